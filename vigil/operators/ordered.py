@@ -51,13 +51,21 @@ def add_slices(df: DataFrame, order_col: str, n_slices: int | None = None) -> Da
     return b.transform(keyed).drop(tmp).withColumn(SLICE, F.col(SLICE).cast("int"))
 
 
+def _sliced(df: DataFrame, order_col: str, n_slices: int | None) -> tuple[DataFrame, bool]:
+    """Reuse an existing ``_slice`` column (several passes over one ordering
+    share one quantile job) or add one."""
+    if SLICE in df.columns:
+        return df, False
+    return add_slices(df, order_col, n_slices), True
+
+
 def sliced_lag(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
                prefix: str = "prev_", n_slices: int | None = None) -> DataFrame:
     """``lag(c, 1) over (partition by keys order by order)`` for each c in cols.
 
     ``order[0]`` must be the time column used for slicing.
     """
-    d = add_slices(df, order[0], n_slices)
+    d, added = _sliced(df, order[0], n_slices)
     part = keys + [SLICE]
     w = Window.partitionBy(*part).orderBy(*order)
     d = d.withColumn("_rn", F.row_number().over(w))
@@ -74,14 +82,15 @@ def sliced_lag(df: DataFrame, keys: list[str], order: list[str], cols: list[str]
     for c in cols:
         d = d.withColumn(prefix + c, F.when(F.col("_rn") == 1, F.col("_carry")[c])
                          .otherwise(F.col(prefix + c)))
-    return d.drop("_rn", "_carry", SLICE)
+    d = d.drop("_rn", "_carry")
+    return d.drop(SLICE) if added else d
 
 
 def sliced_running_sum(df: DataFrame, keys: list[str], order: list[str], out: str,
                        value: Column | None = None, n_slices: int | None = None) -> DataFrame:
     """Running ``sum(value)`` (``count(*)`` when value is None) ordered by
     ``order`` within ``keys``, rows unbounded preceding."""
-    d = add_slices(df, order[0], n_slices)
+    d, added = _sliced(df, order[0], n_slices)
     part = keys + [SLICE]
     v = F.lit(1).cast("long") if value is None else value
     d = d.withColumn("_v", v)
@@ -95,7 +104,8 @@ def sliced_running_sum(df: DataFrame, keys: list[str], order: list[str], out: st
                    F.lit(0).cast(totals.schema["_tot"].dataType)),
     ).select(*part, "_offset")
     d = d.join(totals, on=part, how="left")
-    return d.withColumn(out, F.col("_local") + F.col("_offset")).drop("_v", "_local", "_offset", SLICE)
+    d = d.withColumn(out, F.col("_local") + F.col("_offset")).drop("_v", "_local", "_offset")
+    return d.drop(SLICE) if added else d
 
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int,
@@ -127,7 +137,7 @@ def sliced_last_value(df: DataFrame, keys: list[str], order: list[str], cols: li
                       prefix: str = "last_", n_slices: int | None = None) -> DataFrame:
     """``last(c, ignorenulls) over (partition by keys order by order rows
     unbounded preceding .. current row)`` for each c (the as-of carry)."""
-    d = add_slices(df, order[0], n_slices)
+    d, added = _sliced(df, order[0], n_slices)
     part = keys + [SLICE]
     w = (Window.partitionBy(*part).orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, 0))
@@ -145,7 +155,8 @@ def sliced_last_value(df: DataFrame, keys: list[str], order: list[str], cols: li
     d = d.join(tails, on=part, how="left")
     for c in cols:
         d = d.withColumn(prefix + c, F.coalesce(F.col(prefix + c), F.col("_carry_" + c)))
-    return d.drop(*["_carry_" + c for c in cols], SLICE)
+    d = d.drop(*["_carry_" + c for c in cols])
+    return d.drop(SLICE) if added else d
 
 
 def exact_rank_values(df: DataFrame, keys: list[str], value: str,

@@ -67,3 +67,10 @@ def _count():
 
 
 _counter = _count()
+
+
+def cut_lineage(df):
+    """Materialise ``df`` into the shared checkpoint folder and return a
+    DataFrame reading it (reliable checkpoint: survives executor loss)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
