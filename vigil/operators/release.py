@@ -165,8 +165,8 @@ def latency_series(requests: DataFrame, keys: list[str], width: str = "1 minute"
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str,
               values: list[str], backward: bool = True) -> DataFrame:
-    """For each left row the last right row at/before (``backward``) or
-    the first right row strictly after its time, per key.
+    """For each left row the last right row at or before (``backward``)
+    or the first right row at or after its time, per key.
 
     Union + sliced ``last(ignorenulls)`` carry; no key holds a task and no
     pair is enumerated.
@@ -195,7 +195,7 @@ def deploy_before_after(deploys: DataFrame, series: DataFrame, keys: list[str],
                         deploy_ts: str = "ts", point_ts: str = "point_ts",
                         value: str = "p95_ms") -> DataFrame:
     """J7 + W9: p95 before = last point at/before the deploy, after = first
-    point after it; delta = after - before; regression iff before > 0 and
+    point at/after it; delta = after - before; regression iff before > 0 and
     delta / before > 0.2 (strict); no before -> false."""
     b = asof_join(deploys, series.withColumnRenamed(value, "latency_before"), keys,
                   deploy_ts, point_ts, ["latency_before"], backward=True)

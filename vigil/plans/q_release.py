@@ -151,7 +151,7 @@ WITH s AS ({_SERIES_SQL}),
 ba AS (
 SELECT d.deploy_id, d.ts, d.service, d.git_sha,
   (SELECT p95_ms FROM s WHERE s.service = d.service AND s.point_ts <= d.ts ORDER BY s.point_ts DESC LIMIT 1) AS latency_before,
-  (SELECT p95_ms FROM s WHERE s.service = d.service AND s.point_ts > d.ts ORDER BY s.point_ts LIMIT 1) AS latency_after
+  (SELECT p95_ms FROM s WHERE s.service = d.service AND s.point_ts >= d.ts ORDER BY s.point_ts LIMIT 1) AS latency_after
 FROM deployments d)
 SELECT *, latency_after - latency_before AS latency_delta,
   coalesce(latency_before > 0 AND (latency_after - latency_before) / latency_before > 0.2, false) AS regression
