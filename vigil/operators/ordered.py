@@ -171,7 +171,10 @@ def exact_rank_values(df: DataFrame, keys: list[str], value: str,
     cnt = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
     tot = cnt.groupBy(*keys).agg(F.sum("_c").alias("n"))
     cum = sliced_running_sum(cnt, keys, [value], "_cum", value=F.col("_c"))
-    cum = cum.join(tot, on=keys, how="inner") if keys else cum.crossJoin(F.broadcast(tot))
+    if keys:
+        cum = cum.join(tot, on=keys, how="inner")
+    else:   # one-row total on a constant key
+        cum = cum.withColumn("_k", F.lit(1)).join(F.broadcast(tot.withColumn("_k", F.lit(1))), "_k").drop("_k")
     aggs = [F.first(F.col("n")).alias("n")]
     for name, q in quantiles.items():
         r = F.least(F.floor(F.col("n") * F.lit(q)) + 1, F.col("n"))

@@ -1 +1,116 @@
-"""Registered queries (q_recommender)."""
+"""Registered recommender queries over ``engagement`` and ``catalog``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vigil.operators import recommender as RC
+from vigil.plans.registry import query
+from vigil.sources.tables import view
+
+_W = """CASE event_type WHEN 'view_complete' THEN 4.0 WHEN 'rating' THEN 3.0 WHEN 'view_start' THEN 1.0
+             WHEN 'search' THEN 0.5 ELSE 1.0 END"""
+_MATRIX = f"""
+SELECT user_id, item_id, sum({_W} * value) AS weight FROM engagement
+WHERE item_id IN (SELECT id FROM catalog) GROUP BY user_id, item_id"""
+
+
+@query("validate_engagement", """
+SELECT * FROM engagement
+WHERE item_id IN (SELECT id FROM catalog) AND event_type IN ('view_start', 'view_complete', 'rating', 'search')""",
+       ("engagement", "catalog"))
+def validate_engagement(spark, sf):
+    """Accepted engagement events (known item, allowed type)."""
+    ok, _ = RC.validate_engagement(view(spark, sf, "engagement"), view(spark, sf, "catalog"))
+    return ok
+
+
+@query("rejected_engagement", """
+SELECT *, 'unknown item' AS reason FROM engagement WHERE item_id NOT IN (SELECT id FROM catalog)
+UNION ALL
+SELECT *, 'invalid event_type' FROM engagement
+WHERE item_id IN (SELECT id FROM catalog) AND event_type NOT IN ('view_start', 'view_complete', 'rating', 'search')""",
+       ("engagement", "catalog"))
+def rejected_engagement(spark, sf):
+    """I15 quarantine: rejected events with the reason."""
+    _, bad = RC.validate_engagement(view(spark, sf, "engagement"), view(spark, sf, "catalog"))
+    return bad
+
+
+def _matrix(spark, sf):
+    return RC.engagement_matrix(view(spark, sf, "engagement"), view(spark, sf, "catalog"))
+
+
+@query("engagement_matrix", _MATRIX, ("engagement", "catalog"))
+def engagement_matrix(spark, sf):
+    """A12 + F7 + E9: weighted interaction per (user, item) over catalog items."""
+    return _matrix(spark, sf)
+
+
+@query("trending", f"""
+WITH m AS ({_MATRIX}),
+s AS (SELECT c.id AS item_id, c.title, c.rating, coalesce(x.s, 0.0) AS s
+      FROM catalog c LEFT JOIN (SELECT item_id, sum(weight) AS s FROM m GROUP BY item_id) x ON c.id = x.item_id),
+st AS (SELECT min(s) AS lo, max(s) AS hi FROM s),
+n AS (SELECT COUNT(*) AS nnz FROM m)
+SELECT item_id, title,
+       round(CASE WHEN nnz > 0 THEN (s - lo) / (hi - lo + 1e-9) ELSE rating / 10.0 END, 4) AS score,
+       'trending' AS source
+FROM s, st, n ORDER BY s DESC, rating DESC, item_id LIMIT 10""", ("engagement", "catalog"))
+def trending(spark, sf):
+    """M8: top-10 trending catalog items."""
+    return RC.trending(_matrix(spark, sf), view(spark, sf, "catalog"))
+
+
+@query("item_tfidf", """
+WITH t AS (SELECT id AS item_id,
+                  regexp_extract_all(lower(array_to_string(genres, ' ') || ' ' || array_to_string(tags, ' ')),
+                                     '\\b\\w\\w+\\b') AS tok FROM catalog),
+g AS (SELECT item_id, unnest(list_concat(tok, list_transform(range(1, len(tok)), lambda i: tok[i] || ' ' || tok[i + 1]))) AS term
+      FROM t),
+tf AS (SELECT item_id, term, CAST(COUNT(*) AS DOUBLE) AS tf FROM g GROUP BY item_id, term),
+df AS (SELECT term, COUNT(*) AS df FROM tf GROUP BY term),
+n AS (SELECT COUNT(*) AS n FROM catalog),
+w AS (SELECT tf.item_id, tf.term, tf.tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n)
+SELECT item_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS w FROM w""", ("catalog",))
+def item_tfidf(spark, sf):
+    """M4: unit TF-IDF vectors of uni/bi-grams over genres + tags."""
+    return RC.item_vectors(view(spark, sf, "catalog"))
+
+
+@query("content_recommendations")
+def content_recommendations(spark, sf):
+    """M5 + M7 (content branch) + J8 + J9: top-10 unwatched items per user by
+    mean cosine similarity to the watched items."""
+    return RC.hybrid_recommend(_matrix(spark, sf), view(spark, sf, "catalog"), model=None)
+
+
+@query("hybrid_recommendations")
+def hybrid_recommendations(spark, sf):
+    """M6 + M7 + M10: ALS (implicit, 50 factors, 20 iterations, reg 0.1)
+    blended 0.7 / 0.3 with content scores for users with >= 5 watched items."""
+    m = _matrix(spark, sf)
+    model = RC.fit_als(m)
+    return RC.hybrid_recommend(m, view(spark, sf, "catalog"), model=model)
+
+
+@query("precision_at_k")
+def precision_at_k(spark, sf):
+    """Content recommendations from the first half of the month scored
+    against the items each user engaged with afterwards."""
+    e = view(spark, sf, "engagement")
+    cut = F.lit("2024-01-16 00:00:00").cast("timestamp")
+    train = e.filter(F.col("ts").cast("timestamp") < cut)
+    test = RC.known_items(e.filter(F.col("ts").cast("timestamp") >= cut), view(spark, sf, "catalog"))
+    recs = RC.hybrid_recommend(RC.engagement_matrix(train, view(spark, sf, "catalog")),
+                               view(spark, sf, "catalog"), model=None)
+    return RC.precision_at_k(recs, test)
+
+
+@query("training_metadata", f"""
+WITH m AS ({_MATRIX})
+SELECT COUNT(DISTINCT user_id) AS n_users, COUNT(DISTINCT item_id) AS n_items, COUNT(*) AS n_interactions,
+       'ContentBased' AS algorithm FROM m""", ("engagement", "catalog"))
+def training_metadata(spark, sf):
+    """Users, items and interactions of the training matrix."""
+    return RC.training_metadata(_matrix(spark, sf), None)
