@@ -1 +1,33 @@
-"""Registered queries (q_classifier)."""
+"""Registered event-classification queries over ``events``."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from vigil.operators import classifier as C
+from vigil.plans.registry import query
+from vigil.sources.tables import read_table
+
+
+def event_messages(spark, sf):
+    """Kafka-style JSON payloads built from the events table."""
+    ev = read_table(spark, sf, "events")
+    return ev.select(F.to_json(F.struct(
+        F.col("event_id").cast("string").alias("eventId"), F.col("event_type").alias("eventType"),
+        F.col("ts").cast("string").alias("occurredAt"))).alias("value"))
+
+
+@query("classify_events")
+def classify_events(spark, sf):
+    """I6 + E11 + M1 + M2 + E10: parse every event payload and classify its
+    text with the TF-IDF naive Bayes model."""
+    model = C.fit_event_classifier(C.training_frame(spark))
+    return C.classify_events(C.parse_events(event_messages(spark, sf)), model) \
+        .select("eventId", "category", "confidence", "sentiment")
+
+
+@query("batch_predict")
+def batch_predict(spark, sf):
+    """M3 + I7: the serialized (key, value) prediction records of the batch job."""
+    model = C.fit_event_classifier(C.training_frame(spark))
+    return C.batch_predict(event_messages(spark, sf), model)
