@@ -131,56 +131,45 @@ def incident_text(df: DataFrame) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def token_table(docs: DataFrame, id_col: str, words: Column) -> DataFrame:
-    """(id, token, set size) from a word-set column."""
-    d = docs.select(F.col(id_col).alias("id"), words.alias("ws"))
-    return d.select("id", F.size("ws").alias("n"), F.explode("ws").alias("token"))
-
-
-def jaccard_pairs(left: DataFrame, right: DataFrame | None, threshold: float = SIMILARITY_MIN,
-                  self_join: bool = True) -> DataFrame:
-    """Exact set-similarity join: every pair with Jaccard > ``threshold``.
-
-    Prefix filtering (Bayardo et al. 2007, "Scaling up all pairs similarity
-    search"): tokens are ranked by global document frequency (rarest first);
-    a pair with J >= t must share a token among the first
-    ``|x| - ceil(t*|x|) + 1`` tokens of each set, and its sizes satisfy
-    ``t*|x| <= |y| <= |x|/t``.  Candidates come from an equi-join on prefix
-    tokens only (the most frequent tokens of each set never generate
-    pairs), are de-duplicated, and verified exactly by a second token join
-    that counts the shared tokens of each candidate pair.  No cut-off on
-    partners: the filter is exact.
-
-    ``left`` / ``right``: token tables ``(id, n, token)``.
+def jaccard_pairs(sets: DataFrame, threshold: float = SIMILARITY_MIN) -> DataFrame:
+    """Exact set-similarity self-join: every pair with Jaccard > ``threshold``.
+
+    ``sets``: ``(id, ws)`` with ``ws`` a distinct token array.
+
+    Prefix filtering with positional filtering (Bayardo et al. 2007; Xiao
+    et al. 2008, "PPJoin"): tokens are ranked by global document frequency
+    (rarest first).  A pair with J >= t shares a token among the first
+    ``|x| - ceil(t*|x|) + 1`` tokens of each set, the sizes satisfy
+    ``t*|x| <= |y| <= |x|/t``, and the overlap needed,
+    ``ceil(t / (1 + t) * (|x| + |y|))``, must still be reachable after the
+    first shared prefix token: ``1 + min(|x| - i, |y| - j)``.  Candidates
+    come from an equi-join on prefix tokens only (the most frequent tokens
+    of each set never generate pairs) and are verified exactly with
+    ``size(array_intersect)``.  No cut-off on partners: every filter is a
+    proven bound.
     """
-    r = left if right is None else right
-    allt = left.select("token", "id").unionByName(r.select("token", "id")) if right is not None \
-        else left.select("token", "id")
-    df = allt.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
-    rank = df.withColumn("_trank", F.struct("_df", "token"))
-
-    def prefixed(t: DataFrame) -> DataFrame:
-        x = t.join(rank, "token")
-        w = Window.partitionBy("id").orderBy("_trank")
-        x = x.withColumn("_pos", F.row_number().over(w))
-        plen = F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1
-        return x.filter(F.col("_pos") <= plen).select("id", "n", "token")
-
-    lp, rp = prefixed(left), prefixed(r)
-    cand = (lp.alias("a").join(rp.alias("b"), F.col("a.token") == F.col("b.token"))
-            .select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"),
-                    F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b")))
-    if self_join:
-        cand = cand.filter(F.col("id_a") < F.col("id_b"))
-    cand = cand.filter((F.col("n_b") >= F.col("n_a") * threshold)
-                       & (F.col("n_b") * threshold <= F.col("n_a"))).distinct()
-    # verification: shared tokens per candidate pair
-    la = left.select(F.col("id").alias("id_a"), "token")
-    rb = r.select(F.col("id").alias("id_b"), "token")
-    shared = (cand.join(la, "id_a").join(rb, ["id_b", "token"])
-              .groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("inter")))
+    t = threshold
+    tok = sets.select("id", F.size("ws").alias("n"), F.posexplode("ws").alias("_p", "token"))
+    df = tok.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
+    x = tok.join(df, "token")
+    w = Window.partitionBy("id").orderBy("_df", "token")
+    x = x.withColumn("pos", F.row_number().over(w))
+    plen = F.col("n") - F.ceil(F.col("n") * F.lit(t)) + 1
+    pre = x.filter(F.col("pos") <= plen).select("id", "n", "token", "pos")
+    a = pre.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "token", F.col("pos").alias("pos_a"))
+    b = pre.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "token", F.col("pos").alias("pos_b"))
+    cand = (a.join(b, "token")
+            .filter((F.col("id_a") < F.col("id_b"))
+                    & (F.col("n_b") >= F.col("n_a") * t) & (F.col("n_b") * t <= F.col("n_a")))
+            .groupBy("id_a", "id_b", "n_a", "n_b")
+            .agg(F.min("pos_a").alias("i"), F.min("pos_b").alias("j")))
+    need = F.ceil(F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b")))
+    cand = cand.filter(1 + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) >= need)
+    sa = sets.select(F.col("id").alias("id_a"), F.col("ws").alias("ws_a"))
+    sb = sets.select(F.col("id").alias("id_b"), F.col("ws").alias("ws_b"))
+    v = cand.join(sa, "id_a").join(sb, "id_b").withColumn("inter", F.size(F.array_intersect("ws_a", "ws_b")))
     sim = F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))
-    return shared.withColumn("similarity", sim).filter(F.col("similarity") > threshold)
+    return v.select("id_a", "id_b", "inter", sim.alias("similarity")).filter(F.col("similarity") > t)
 
 
 def similar_incidents(incidents: DataFrame, k: int = SIMILAR_LIMIT, id_col: str = "incident_id",
@@ -190,8 +179,8 @@ def similar_incidents(incidents: DataFrame, k: int = SIMILAR_LIMIT, id_col: str
     characters), similarity strictly above 0.1, ties by the other id."""
     tags = F.col("tags") if "tags" in incidents.columns else F.array(F.col("tag"))
     ws = word_set(F.col("title"), F.col("description"), F.array_join(tags, " "))
-    tok = token_table(incidents, id_col, ws)
-    pairs = jaccard_pairs(tok, None, threshold, self_join=True)
+    sets = incidents.select(F.col(id_col).alias("id"), ws.alias("ws"))
+    pairs = jaccard_pairs(sets, threshold)
     both = pairs.select(F.col("id_a").alias(id_col), F.col("id_b").alias("similar_id"), "similarity") \
         .unionByName(pairs.select(F.col("id_b").alias(id_col), F.col("id_a").alias("similar_id"), "similarity"))
     return top_n(both, [id_col], [F.col("similarity").desc(), F.col("similar_id")], k,
