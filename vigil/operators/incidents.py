@@ -361,7 +361,7 @@ def confidence(top_strength: Column, top_corr: Column, top_sim: Column) -> Colum
     20 x top similarity + 5 when patterns and correlations agree;
     min(round, 95)."""
     c = (F.lit(20.0) + F.coalesce(top_strength * 30, F.lit(0.0))
-         + F.coalesce(F.least(top_corr * 25, F.lit(25.0)), F.lit(0.0))
+         + F.when(top_corr.isNotNull(), F.least(top_corr * 25, F.lit(25.0))).otherwise(F.lit(0.0))
          + F.coalesce(top_sim * 20, F.lit(0.0))
          + F.when(top_strength.isNotNull() & top_corr.isNotNull(), 5.0).otherwise(0.0))
     return F.least(F.round(c), F.lit(95.0)).cast("int")
