@@ -131,10 +131,12 @@ def incident_text(df: DataFrame) -> Column:
     return F.concat_ws(" ", *parts)
 
 
-def jaccard_pairs(sets: DataFrame, threshold: float = SIMILARITY_MIN) -> DataFrame:
+def jaccard_pairs(sets: DataFrame, threshold: float = SIMILARITY_MIN, right: DataFrame | None = None) -> DataFrame:
     """Exact set-similarity self-join: every pair with Jaccard > ``threshold``.
 
-    ``sets``: ``(id, ws)`` with ``ws`` a distinct token array.
+    ``sets``: ``(id, ws)`` with ``ws`` a distinct token array.  With
+    ``right`` it is an R-S join (``id_a`` from ``sets``, ``id_b`` from
+    ``right``) sharing one global token order.
 
     Prefix filtering with positional filtering (Bayardo et al. 2007; Xiao
     et al. 2008, "PPJoin"): tokens are ranked by global document frequency
@@ -149,24 +151,33 @@ def jaccard_pairs(sets: DataFrame, threshold: float = SIMILARITY_MIN) -> DataFra
     proven bound.
     """
     t = threshold
-    tok = sets.select("id", F.size("ws").alias("n"), F.posexplode("ws").alias("_p", "token"))
+    rs = sets if right is None else right
+
+    def toks(s: DataFrame, side: int) -> DataFrame:
+        return s.select("id", F.lit(side).alias("_side"), F.size("ws").alias("n"),
+                        F.explode("ws").alias("token"))
+
+    tok = toks(sets, 0) if right is None else toks(sets, 0).unionByName(toks(right, 1))
     df = tok.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
     x = tok.join(df, "token")
-    w = Window.partitionBy("id").orderBy("_df", "token")
+    w = Window.partitionBy("_side", "id").orderBy("_df", "token")
     x = x.withColumn("pos", F.row_number().over(w))
     plen = F.col("n") - F.ceil(F.col("n") * F.lit(t)) + 1
-    pre = x.filter(F.col("pos") <= plen).select("id", "n", "token", "pos")
-    a = pre.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "token", F.col("pos").alias("pos_a"))
-    b = pre.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "token", F.col("pos").alias("pos_b"))
+    pre = x.filter(F.col("pos") <= plen).select("_side", "id", "n", "token", "pos")
+    a = pre.filter(F.col("_side") == 0).select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "token",
+                                                F.col("pos").alias("pos_a"))
+    b = pre.filter(F.col("_side") == (0 if right is None else 1)).select(
+        F.col("id").alias("id_b"), F.col("n").alias("n_b"), "token", F.col("pos").alias("pos_b"))
+    order_ok = (F.col("id_a") < F.col("id_b")) if right is None else F.lit(True)
     cand = (a.join(b, "token")
-            .filter((F.col("id_a") < F.col("id_b"))
+            .filter(order_ok
                     & (F.col("n_b") >= F.col("n_a") * t) & (F.col("n_b") * t <= F.col("n_a")))
             .groupBy("id_a", "id_b", "n_a", "n_b")
             .agg(F.min("pos_a").alias("i"), F.min("pos_b").alias("j")))
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b")))
     cand = cand.filter(1 + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) >= need)
     sa = sets.select(F.col("id").alias("id_a"), F.col("ws").alias("ws_a"))
-    sb = sets.select(F.col("id").alias("id_b"), F.col("ws").alias("ws_b"))
+    sb = rs.select(F.col("id").alias("id_b"), F.col("ws").alias("ws_b"))
     v = cand.join(sa, "id_a").join(sb, "id_b").withColumn("inter", F.size(F.array_intersect("ws_a", "ws_b")))
     sim = F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))
     return v.select("id_a", "id_b", "inter", sim.alias("similarity")).filter(F.col("similarity") > t)

@@ -218,3 +218,31 @@ SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY project ORDER BY confid
 def error_commit_correlations(spark, sf):
     """First five timeline errors x commits within 1 h, top five."""
     return I.correlate_errors_commits(_timeline(spark, sf))
+
+
+def _analysis(spark, sf):
+    from vigil.plans import analysis as AN
+    return AN.analyze(project_logs(spark, sf), view(spark, sf, "metric_samples"), project_commits(spark, sf),
+                      view(spark, sf, "incidents"), _patterns(spark))
+
+
+@query("analyze")
+def analyze(spark, sf):
+    """C1 (+ A5, T-K3, J3, J5, J4, C3, A6, C4): root-cause analysis of every
+    project."""
+    return _analysis(spark, sf)
+
+
+@query("analyze_incidents")
+def analyze_incidents(spark, sf):
+    """Analysis of every stored incident (patterns, similar incidents,
+    fixes, confidence, root cause)."""
+    from vigil.plans import analysis as AN
+    return AN.analyze_incidents(view(spark, sf, "incidents"), _patterns(spark))
+
+
+@query("record_incidents")
+def record_incidents(spark, sf):
+    """Incidents recorded from the project analyses."""
+    from vigil.plans import analysis as AN
+    return AN.record_incidents(_analysis(spark, sf))
