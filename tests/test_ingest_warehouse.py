@@ -59,3 +59,8 @@ def test_classifier_edges(spark):
     assert got["unknown"] is not None
     meta = C.classifier_metadata(C.training_frame(spark)).first()
     assert (meta.n_samples, meta.n_classes) == (36, 5)
+
+
+def test_greetings_by_name(spark):
+    g = spark.createDataFrame([(1, "Alice"), (2, "ALICE"), (3, "bob")], "id long, name string")
+    assert sorted(r.id for r in W.greetings_by_name(g, "alice").collect()) == [1, 2]

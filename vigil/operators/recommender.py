@@ -76,24 +76,51 @@ def trending(matrix: DataFrame, catalog: DataFrame, k: int = TOP_K) -> DataFrame
                  [F.col("s").desc(), F.col("rating").desc(), F.col("item_id")], k).drop("s", "rating")
 
 
-def item_vectors(catalog: DataFrame, id_col: str = "id") -> DataFrame:
-    """M4: TF-IDF of uni- and bi-grams over ``genres + tags`` (lower-cased,
-    tokens of two or more word characters), idf = ln((1 + n) / (1 + df)) + 1,
-    raw term counts, L2-normalised: rows ``(item_id, term, w)``."""
+def _text_key() -> Column:
+    return F.concat_ws("\u0001", F.array_join("genres", " "), F.array_join("tags", " "))
+
+
+def key_vectors(catalog: DataFrame, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """M4 on distinct catalog texts: items with the same genres + tags have
+    the same TF-IDF vector, so vectors are computed once per text key (df
+    still counts items).  Returns ``(item_id -> key, (key, term, w))``."""
+    keyed = catalog.select(F.col(id_col).alias("item_id"), _text_key().alias("key"), "genres", "tags")
+    keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("items"), F.first("genres").alias("genres"),
+                                    F.first("tags").alias("tags"))
     text = F.lower(F.concat_ws(" ", F.array_join("genres", " "), F.array_join("tags", " ")))
-    d = catalog.select(F.col(id_col).alias("item_id"), F.regexp_extract_all(text, F.lit(_TOKEN), 0).alias("tok"))
-    grams = F.concat(d["tok"], F.transform(F.arrays_zip(F.slice("tok", 1, F.greatest(F.size("tok") - 1, F.lit(0))),
-                                                        F.slice("tok", 2, F.greatest(F.size("tok") - 1, F.lit(0)))),
+    d = keys.select("key", "items", F.regexp_extract_all(text, F.lit(_TOKEN), 0).alias("tok"))
+    n1 = F.greatest(F.size("tok") - 1, F.lit(0))
+    grams = F.concat(d["tok"], F.transform(F.arrays_zip(F.slice("tok", 1, n1), F.slice("tok", 2, n1)),
                                            lambda z: F.concat_ws(" ", z["0"], z["1"])))
-    t = d.select("item_id", F.explode(grams).alias("term"))
-    tf = t.groupBy("item_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    t = d.select("key", "items", F.explode(grams).alias("term"))
+    tf = t.groupBy("key", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.first("items").alias("items"))
     n = catalog.agg(F.count(F.lit(1)).alias("n")).withColumn("_k", F.lit(1))
-    dfr = (tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("_k", F.lit(1))
+    dfr = (tf.groupBy("term").agg(F.sum("items").alias("df")).withColumn("_k", F.lit(1))
            .join(F.broadcast(n), "_k").drop("_k"))   # one-row table on a constant key
     dfr = dfr.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     w = tf.join(dfr, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("item_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "item_id").select("item_id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    norm = w.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    kv = w.join(norm, "key").select("key", "term", (F.col("w") / F.col("norm")).alias("w"))
+    return keyed.select("item_id", "key"), kv
+
+
+def item_vectors(catalog: DataFrame, id_col: str = "id") -> DataFrame:
+    """M4: TF-IDF of uni- and bi-grams over ``genres + tags`` (lower-cased,
+    tokens of two or more word characters), idf = ln((1 + n) / (1 + df)) + 1,
+    raw term counts, L2-normalised: rows ``(item_id, term, w)``."""
+    keyed, kv = key_vectors(catalog, id_col)
+    return keyed.join(kv, "key").select("item_id", "term", "w")
+
+
+def content_key_scores(matrix: DataFrame, keyed: DataFrame, kv: DataFrame) -> DataFrame:
+    """M5 per (user, text key): profile . key vector, where the profile is the
+    mean of the watched items' unit vectors."""
+    watched = matrix.select("user_id", "item_id").distinct()
+    nw = watched.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_watched"))
+    prof = (watched.join(keyed, "item_id").join(kv, "key").groupBy("user_id", "term").agg(F.sum("w").alias("pw"))
+            .join(nw, "user_id").select("user_id", "term", (F.col("pw") / F.col("n_watched")).alias("pw")))
+    return (prof.join(kv, "term").groupBy("user_id", "key")
+            .agg(F.sum(F.col("pw") * F.col("w")).alias("content_score")))
 
 
 def content_scores(matrix: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -108,6 +135,26 @@ def content_scores(matrix: DataFrame, vectors: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("pw") * F.col("w")).alias("content_score")))
 
 
+def content_candidates(matrix: DataFrame, keyed: DataFrame, kv: DataFrame, k: int) -> DataFrame:
+    """Exact top-k content candidates per user without scoring every item:
+    keys are ranked by score; the keys needed to cover ``k`` unwatched items
+    (all keys scoring at least the covering key's score, so ties stay
+    exact) are expanded to their items."""
+    cks = content_key_scores(matrix, keyed, kv)
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("items"))
+    wk = matrix.select("user_id", "item_id").distinct().join(keyed, "item_id") \
+        .groupBy("user_id", "key").agg(F.count(F.lit(1)).alias("watched_in_key"))
+    c = (cks.join(sizes, "key").join(wk, ["user_id", "key"], "left")
+         .withColumn("avail", F.col("items") - F.coalesce("watched_in_key", F.lit(0))))
+    w = Window.partitionBy("user_id").orderBy(F.col("content_score").desc(), F.col("key"))
+    c = c.withColumn("_before", F.coalesce(F.sum("avail").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                           F.lit(0)))
+    cover = c.filter(F.col("_before") < k).groupBy("user_id").agg(F.min("content_score").alias("_s"))
+    sel = c.join(cover, "user_id").filter(F.col("content_score") >= F.col("_s")).select("user_id", "key",
+                                                                                         "content_score")
+    return sel.join(keyed, "key").select("user_id", "item_id", "content_score")
+
+
 def fit_als(matrix: DataFrame, seed: int = 42, rank: int = ALS_FACTORS, max_iter: int = ALS_ITERATIONS,
             reg: float = ALS_REG):
     """M6: implicit-feedback ALS on the engagement matrix (None when fewer
@@ -139,20 +186,25 @@ def hybrid_recommend(matrix: DataFrame, catalog: DataFrame, model=None, k: int =
     ('content'); watched items removed; score rounded to 4 decimals; catalog
     fields attached.
 
-    Candidates are the items sharing a term with the user's profile plus the
-    model's top ``k + watched`` items; ALS scores are min-max normalised over
-    these candidates (the reference normalises over the whole catalog).
+    Content candidates are the exact top ``k`` (+ watched, with a model) by
+    content score, found on distinct catalog texts (``content_candidates``);
+    with a model the ALS top ``k + watched`` items are added and ALS scores
+    are min-max normalised over these candidates (the reference normalises
+    over the whole catalog).
     Users without history are served by ``trending``.
     """
-    vec = item_vectors(catalog)
-    cs = content_scores(matrix, vec)
+    keyed, kv = key_vectors(catalog)
     nw = matrix.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_watched"))
+    max_w = int(nw.agg(F.max("n_watched")).first()[0] or 0) if model is not None else 0
+    cs = content_candidates(matrix, keyed, kv, k + max_w)
     cand = cs.select("user_id", "item_id")
     if model is not None:
-        extra = candidates_per_user or (k + int(nw.agg(F.max("n_watched")).first()[0] or 0))
+        extra = candidates_per_user or (k + max_w)
         top = model.recommendForAllUsers(extra).select(F.col("user_id"), F.explode("recommendations").alias("r"))
         cand = cand.unionByName(top.select("user_id", F.col("r.item_id").alias("item_id"))).distinct()
-    d = cand.join(cs, ["user_id", "item_id"], "left").fillna(0.0, ["content_score"]).join(nw, "user_id")
+    cks = content_key_scores(matrix, keyed, kv)
+    d = (cand.join(keyed, "item_id").join(cks, ["user_id", "key"], "left").drop("key")
+         .fillna(0.0, ["content_score"]).join(nw, "user_id"))
     if model is not None:
         d = d.join(als_scores(model, d), ["user_id", "item_id"], "left")
         w = Window.partitionBy("user_id")

@@ -129,3 +129,9 @@ def storage_info(df: DataFrame, ts: str = "ts") -> DataFrame:
     files = m.groupBy("f").agg(F.first("s").alias("s"), F.min(ts).alias("o"), F.max(ts).alias("n"))
     return files.agg(F.sum("s").alias("bytes"), F.count(F.lit(1)).alias("files"),
                      F.min("o").alias("oldest"), F.max("n").alias("newest"))
+
+
+def greetings_by_name(greetings: DataFrame, name: str, col: str = "name") -> DataFrame:
+    """case-insensitive name equality (pushed to the scan as a filter on
+    ``lower(name)``)."""
+    return greetings.filter(F.lower(F.col(col)) == name.lower())
