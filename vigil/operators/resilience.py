@@ -232,5 +232,6 @@ def chaos_run_summary(probes: DataFrame, runs: DataFrame, window_s: int = 120,
     ends = (out.withColumn("_end_ts", F.col("start_ts").cast("timestamp") + F.expr(f"INTERVAL {int(window_s)} SECONDS"))
             .withColumn("_k", F.lit(0)))
     after = asof_join(ends, probes_ok, ["_k"], "_end_ts", "_probe_ts", ["after_ok"], backward=False)
-    return (after.withColumn("passed", (F.col("error_ratio") < lim) & F.coalesce(F.col("after_ok"), F.lit(False)))
-            .drop("_end_ts", "_k"))
+    # no probe after the window: not recovered
+    after = after.withColumn("after_ok", F.coalesce(F.col("after_ok"), F.lit(False)))
+    return after.withColumn("passed", (F.col("error_ratio") < lim) & F.col("after_ok")).drop("_end_ts", "_k")

@@ -76,7 +76,7 @@ def log_volume(spark, sf):
 
 
 @query("log_retention", """
-SELECT * FROM (SELECT *, CAST(ts AS DATE) AS dt FROM logs) l
+SELECT * EXCLUDE (dt), strftime(dt, '%Y-%m-%d') AS dt FROM (SELECT *, CAST(ts AS DATE) AS dt FROM logs) l
 WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY
   AND dt IN (SELECT dt FROM (SELECT DISTINCT CAST(ts AS DATE) AS dt FROM logs
                              WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY) d
@@ -84,7 +84,8 @@ WHERE ts >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 7 DAY
 def log_retention(spark, sf):
     """7-day retention and at most 10 newest daily chunks."""
     d = view(spark, sf, "logs").withColumn("dt", F.to_date("ts"))
-    return L.apply_retention(d, "2024-01-31 00:00:00", 7, 10, chunk="dt")
+    out = L.apply_retention(d, "2024-01-31 00:00:00", 7, 10, chunk="dt")
+    return out.withColumn("dt", F.date_format("dt", "yyyy-MM-dd"))
 
 
 @query("error_signatures", """

@@ -147,10 +147,10 @@ o AS (SELECT runs.*, coalesce(agg.requests, 0) AS requests, coalesce(agg.errors,
              CASE WHEN coalesce(agg.requests, 0) > 0 THEN agg.errors / agg.requests
                   WHEN runs.scenario = 'kafka-down' THEN 1.0 ELSE 0.0 END AS error_ratio
       FROM runs LEFT JOIN agg USING (run_id)),
-a AS (SELECT o.*, (SELECT q.status >= 200 AND q.status < 500 FROM requests q
-                   WHERE q.ts >= o.start_ts + INTERVAL 120 SECOND ORDER BY q.ts, q.request_id LIMIT 1) AS after_ok
+a AS (SELECT o.*, coalesce((SELECT q.status >= 200 AND q.status < 500 FROM requests q
+                   WHERE q.ts >= o.start_ts + INTERVAL 120 SECOND ORDER BY q.ts, q.request_id LIMIT 1), false) AS after_ok
       FROM o)
-SELECT *, error_ratio < CASE WHEN scenario = 'kafka-down' THEN 0.3 ELSE 0.5 END AND coalesce(after_ok, false) AS passed
+SELECT *, error_ratio < CASE WHEN scenario = 'kafka-down' THEN 0.3 ELSE 0.5 END AND after_ok AS passed
 FROM a""", ("chaos_results", "requests"))
 def chaos_run_summary(spark, sf):
     """Probe requests inside each 2-minute chaos window (interval join),
