@@ -197,6 +197,14 @@ def chaos_recommendations(results: DataFrame, keys: list[str] = ["project"]) ->
     return a.unionByName(b).distinct()
 
 
+def chaos_slo(summary: DataFrame, results: DataFrame) -> DataFrame:
+    """Chaos SLOs per run — error ratio <= 5 %, probe p99 <= 2000 ms,
+    recovery <= 60 s (all inclusive)."""
+    from vigil.operators.release import CHAOS_SLO, slo_check
+    d = summary.join(results.select("run_id", "recovery_ms"), "run_id", "left")
+    return slo_check(d, CHAOS_SLO, at_most=True)
+
+
 def chaos_run_summary(probes: DataFrame, runs: DataFrame, window_s: int = 120,
                       ts: str = "ts", status: str = "status", latency: str = "latency_ms") -> DataFrame:
     """Probe requests during each chaos window ``[start, start + window)``
@@ -217,7 +225,8 @@ def chaos_run_summary(probes: DataFrame, runs: DataFrame, window_s: int = 120,
     j = r.join(p, on="_b", how="inner").filter((F.col("_pt") >= F.col("_start")) & (F.col("_pt") < F.col("_end")))
     ok = (F.col("_st") >= 200) & (F.col("_st") < 500)
     agg = j.groupBy("run_id").agg(F.count(F.lit(1)).alias("requests"),
-                                  F.count_if(~ok).alias("errors"), F.avg("_lat").alias("avg_latency_ms"))
+                                  F.count_if(~ok).alias("errors"), F.avg("_lat").alias("avg_latency_ms"),
+                                  F.percentile("_lat", F.lit(0.99)).alias("p99_ms"))
     out = runs.join(agg, on="run_id", how="left").fillna(0, ["requests", "errors"])
     lim = F.coalesce(F.create_map(*[x for k, v in ERROR_RATIO_LIMIT.items() for x in (F.lit(k), F.lit(v))])[
         F.col("scenario")], F.lit(ERROR_RATIO_DEFAULT))

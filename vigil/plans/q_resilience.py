@@ -135,15 +135,16 @@ def chaos_recommendations(spark, sf):
     return X.chaos_recommendations(view(spark, sf, "chaos_results"))
 
 
-@query("chaos_run_summary", """
+_RUN_SQL = """
 WITH runs AS (SELECT c.project, c.run_id, c.scenario, e.ts AS start_ts
               FROM chaos_results c JOIN events e ON c.run_id = e.event_id),
 agg AS (SELECT r.run_id, COUNT(*) AS requests,
                COUNT(*) FILTER (WHERE NOT (q.status >= 200 AND q.status < 500)) AS errors,
-               avg(q.latency_ms) AS avg_latency_ms
+               avg(q.latency_ms) AS avg_latency_ms, quantile_cont(q.latency_ms, 0.99) AS p99_ms
         FROM runs r JOIN requests q ON q.ts >= r.start_ts AND q.ts < r.start_ts + INTERVAL 120 SECOND
         GROUP BY r.run_id),
 o AS (SELECT runs.*, coalesce(agg.requests, 0) AS requests, coalesce(agg.errors, 0) AS errors, agg.avg_latency_ms,
+             agg.p99_ms,
              CASE WHEN coalesce(agg.requests, 0) > 0 THEN agg.errors / agg.requests
                   WHEN runs.scenario = 'kafka-down' THEN 1.0 ELSE 0.0 END AS error_ratio
       FROM runs LEFT JOIN agg USING (run_id)),
@@ -151,11 +152,29 @@ a AS (SELECT o.*, coalesce((SELECT q.status >= 200 AND q.status < 500 FROM reque
                    WHERE q.ts >= o.start_ts + INTERVAL 120 SECOND ORDER BY q.ts, q.request_id LIMIT 1), false) AS after_ok
       FROM o)
 SELECT *, error_ratio < CASE WHEN scenario = 'kafka-down' THEN 0.3 ELSE 0.5 END AND after_ok AS passed
-FROM a""", ("chaos_results", "requests"))
+FROM a"""
+
+
+@query("chaos_run_summary", _RUN_SQL, ("chaos_results", "requests"))
 def chaos_run_summary(spark, sf):
     """Probe requests inside each 2-minute chaos window (interval join),
     error ratio, average latency, recovery probe and pass rule."""
-    runs = (view(spark, sf, "chaos_results").join(
+    return X.chaos_run_summary(view(spark, sf, "requests"), _runs(spark, sf))
+
+
+def _runs(spark, sf):
+    return (view(spark, sf, "chaos_results").join(
         read_table(spark, sf, "events").select(F.col("event_id").alias("run_id"), F.col("ts").alias("start_ts")),
         on="run_id", how="inner").select("project", "run_id", "scenario", "start_ts"))
-    return X.chaos_run_summary(view(spark, sf, "requests"), runs)
+
+
+@query("chaos_slo", f"""
+WITH s AS ({_RUN_SQL}),
+d AS (SELECT s.*, c.recovery_ms FROM s LEFT JOIN chaos_results c USING (run_id))
+SELECT *, error_ratio_slo_ok AND p99_ms_slo_ok AND recovery_ms_slo_ok AS slo_met FROM (
+  SELECT *, coalesce(error_ratio <= 0.05, false) AS error_ratio_slo_ok, coalesce(p99_ms <= 2000.0, false) AS p99_ms_slo_ok,
+            coalesce(recovery_ms <= 60000.0, false) AS recovery_ms_slo_ok FROM d) x""", ("chaos_results", "requests"))
+def chaos_slo(spark, sf):
+    """Chaos SLOs per run (error <= 5 %, probe p99 <= 2 s, recovery <= 60 s)."""
+    summary = X.chaos_run_summary(view(spark, sf, "requests"), _runs(spark, sf))
+    return X.chaos_slo(summary, view(spark, sf, "chaos_results"))
