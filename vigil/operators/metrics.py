@@ -114,7 +114,13 @@ def downsample(samples: DataFrame, keys: list[str], span: str, points: int,
     t = F.col(ts).cast("timestamp")
     d = samples.withColumn("_t", t)
     if now is None:
-        d = d.withColumn("_now", F.max("_t").over(Window.partitionBy(*keys)))
+        # latest sample per key as a grouped aggregate (partial max per task),
+        # not a window over the raw samples
+        latest = d.groupBy(*keys).agg(F.max("_t").alias("_now"))
+        if keys:
+            d = d.join(latest, keys)
+        else:   # one-row table on a constant key
+            d = d.withColumn("_k", F.lit(1)).join(F.broadcast(latest.withColumn("_k", F.lit(1))), "_k").drop("_k")
     else:
         d = d.withColumn("_now", F.lit(now).cast("timestamp"))
     span_us = F.expr(f"INTERVAL {span}")
