@@ -32,7 +32,7 @@ def test_fix_lookup_latest(spark):
 def test_snapshot_regression_and_slo(spark):
     rows = [(i, 100.0) for i in range(5)] + [(5, 125.0), (6, 70.0)]
     d = spark.createDataFrame([("s", i, v) for i, v in rows], "service string, o long, p95_ms double")
-    r = {x.o: (x.regression, x.improvement) for x in R.snapshot_regression(d, ["service"], "o").collect()}
+    r = {x.o: (x.regression, x.improvement) for x in R.snapshot_regression(d, ["service"], ["o"]).collect()}
     assert r[5] == (True, False) and r[0] == (False, False)
     s = spark.createDataFrame([(0.04, 1999.0, 60000.0)], "error_ratio double, p99_ms double, recovery_ms double")
     assert R.slo_check(s, R.CHAOS_SLO, at_most=True).first().slo_met is True

@@ -39,3 +39,13 @@ def test_top_n_and_ranks(spark):
         vals = sorted(x.t for x in d.filter(F.col("k") == r.k).collect())
         n = len(vals)
         assert r.p50 == vals[min(int(n * 0.5), n - 1)] and r.p99 == vals[min(int(n * 0.99), n - 1)]
+
+
+def test_rolling_mean(spark):
+    from vigil.operators.ordered import sliced_rolling_mean
+    d = data(spark, 1500, seed=4)
+    w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(-5, -1)
+    exp = {r.id: r.m for r in d.select("id", F.avg("v").over(w).alias("m")).collect()}
+    got = {r.id: r.m for r in sliced_rolling_mean(d, ["k"], ["t", "id"], "v", 5, "m", n_slices=11).collect()}
+    assert exp.keys() == got.keys()
+    assert all((exp[i] is None and got[i] is None) or abs(exp[i] - got[i]) < 1e-9 for i in exp)

@@ -181,3 +181,39 @@ def exact_rank_values(df: DataFrame, keys: list[str], value: str,
         hit = (F.col("_cum") >= r) & (F.col("_cum") - F.col("_c") < r)
         aggs.append(F.max(F.when(hit, F.col(value))).alias(name))
     return cum.groupBy(*keys).agg(*aggs)
+
+
+def sliced_rolling_mean(df: DataFrame, keys: list[str], order: list[str], col: str, n: int, out: str,
+                        n_slices: int | None = None) -> DataFrame:
+    """``avg(col) over (partition by keys order by order rows between n
+    preceding and 1 preceding)`` without a key in one task: the local frame
+    is completed with the last ``n`` values of the preceding slices, carried
+    through a small (key, slice) table of at most ``n`` values per slice."""
+    d, added = _sliced(df, order[0], n_slices)
+    part = keys + [SLICE]
+    w = Window.partitionBy(*part).orderBy(*order)
+    d = (d.withColumn("_p", F.row_number().over(w))
+         .withColumn("_cnt", F.count(F.lit(1)).over(Window.partitionBy(*part)))
+         .withColumn("_ls", F.sum(col).over(w.rowsBetween(-n, -1)))
+         .withColumn("_lc", F.count(col).over(w.rowsBetween(-n, -1))))
+    tails = (d.filter(F.col("_p") > F.col("_cnt") - n)
+             .groupBy(*part).agg(F.array_sort(F.collect_list(F.struct(F.col("_p"), F.col(col).alias("v"))))
+                                 .alias("_t")))
+    tails = tails.withColumn("_t", F.transform("_t", lambda x: x["v"]))
+    ws = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    prev = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(F.col(SLICE), F.col("_t"))).over(ws)),
+                                 lambda x: x["_t"]))
+    tails = tails.withColumn("_carry", F.slice(prev, F.greatest(F.size(prev) - n + 1, F.lit(1)), n)) \
+        .select(*part, "_carry")
+    d = d.join(tails, part, "left")
+    m = F.greatest(F.lit(n) - (F.col("_p") - 1), F.lit(0))
+    cpart = F.when(m > 0, F.slice(F.coalesce("_carry", F.array().cast("array<double>")),
+                                  F.greatest(F.size(F.coalesce("_carry", F.array())) - m + 1, F.lit(1)),
+                                  F.greatest(m, F.lit(1)))).otherwise(F.array().cast("array<double>"))
+    csum = F.aggregate(cpart, F.lit(0.0), lambda a, x: a + F.coalesce(x.cast("double"), F.lit(0.0)))
+    ccnt = F.aggregate(cpart, F.lit(0), lambda a, x: a + F.when(x.isNull(), 0).otherwise(1))
+    total = F.coalesce(F.col("_ls").cast("double"), F.lit(0.0)) + csum
+    count = F.col("_lc") + ccnt
+    d = d.withColumn(out, F.when(count > 0, total / count))
+    d = d.drop("_p", "_cnt", "_ls", "_lc", "_carry")
+    return d.drop(SLICE) if added else d

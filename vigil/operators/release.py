@@ -213,24 +213,25 @@ def deploy_regression(df: DataFrame, before: str = "latency_before",
     return df.withColumn("latency_delta", delta).withColumn("regression", reg)
 
 
-def snapshot_regression(snapshots: DataFrame, keys: list[str], order: str,
+def snapshot_regression(snapshots: DataFrame, keys: list[str], order: list[str],
                         thresholds: dict[str, tuple[str, float]] | None = None) -> DataFrame:
     """Compare each deploy snapshot with the mean of the previous five:
     p95 +20 %, p99 +30 %, error +5 points, lag +50 % flag a regression and the
     same margins downwards an improvement.
 
-    The frame is ``rowsBetween(-5, -1)`` per key; keys are deploy series
-    (one row per deploy), a small table.
+    The baseline is the mean over ``rows between 5 preceding and 1
+    preceding`` per key, computed with the sliced rolling mean so a busy
+    service's deploy history is spread over slices.
     """
     th = thresholds or {"p95_ms": ("rel", 0.20), "p99_ms": ("rel", 0.30),
                         "error_pct": ("abs", 5.0), "lag": ("rel", 0.50)}
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-5, -1)
+    from vigil.operators.ordered import sliced_rolling_mean
     d = snapshots
     regs, imps = [], []
     for c, (kind, m) in th.items():
         if c not in d.columns:
             continue
-        d = d.withColumn(f"{c}_baseline", F.avg(c).over(w))
+        d = sliced_rolling_mean(d, keys, order, c, 5, f"{c}_baseline")
         base = F.col(f"{c}_baseline")
         if kind == "rel":
             regs.append(F.col(c) > base * (1 + m))

@@ -178,8 +178,7 @@ def snapshot_regression(spark, sf):
     series = R.latency_series(view(spark, sf, "requests"), ["service"])
     dep = view(spark, sf, "deployments").select("deploy_id", "ts", "service")
     snap = R.asof_join(dep, series, ["service"], "ts", "point_ts", ["p95_ms"], backward=True)
-    snap = snap.withColumn("_o", F.struct("ts", "deploy_id"))
-    return R.snapshot_regression(snap, ["service"], "_o").drop("_o")
+    return R.snapshot_regression(snap, ["service"], ["ts", "deploy_id"])
 
 
 @query("comparison_slo", f"""
