@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions.scalar import threshold_op
-from vigil.operators.ordered import SLICE, add_slices, sliced_lag, sliced_last_value
+from vigil.operators.ordered import SLICE, add_slices, sliced_last_value, sliced_prev
 from vigil.session import cut_lineage
 
 COOLDOWN_MS = 60000
@@ -155,18 +155,17 @@ def alert_history(evals: DataFrame, keys: list[str] = ["project"], ts: str = "ts
          .select(*keys, "threshold_id", "container", "_ckey", "_ms", "_tie", "breached", "value",
                  "threshold", "severity", "threshold_name", "metric"))
     order = ["_ms", "_tie"]
-    d = add_slices(cut_lineage(d), "_ms")     # one quantile job shared by the three passes
+    d = add_slices(cut_lineage(d), "_ms")     # one quantile job shared by both passes
     d = d.withColumn("_true_ms", F.when(F.col("breached"), F.col("_ms")))
-    d = sliced_last_value(d, k, order, ["_true_ms"], prefix="_last")                  # pass A
-    d = cut_lineage(d)
-    d = sliced_lag(d, k, order, ["breached", "_last_true_ms", "_ms"], prefix="_p")     # pass B
-    d = cut_lineage(d)
+    # pass 1: previous row (breached, time) and the last true sample before the row
+    d = sliced_prev(d, k, order, ["breached", "_ms"], ["_true_ms"], prefix="_p")
+    d = cut_lineage(d.withColumnRenamed("_p_true_ms", "_p_last_true_ms"))
     run_start = F.col("breached") & ~F.coalesce(F.col("_pbreached"), F.lit(False))
     sync = run_start & (F.col("_p_last_true_ms").isNull()
                         | (F.col("_ms") - F.col("_p_last_true_ms") >= cooldown_ms))
     d = (d.withColumn("_run_start_ms", F.when(run_start, F.col("_ms")))
          .withColumn("_sync_ms", F.when(sync, F.col("_ms"))))
-    d = sliced_last_value(d, k, order, ["_run_start_ms", "_sync_ms"], prefix="_c")       # pass C
+    d = sliced_last_value(d, k, order, ["_run_start_ms", "_sync_ms"], prefix="_c")       # pass 2
     rs = F.col("_c_run_start_ms")
     resolve_cand = ~F.col("breached") & F.coalesce(F.col("_pbreached"), F.lit(False))
     in_window = F.col("breached") & (F.col("_ms") < rs + cooldown_ms)

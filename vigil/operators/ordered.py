@@ -217,3 +217,37 @@ def sliced_rolling_mean(df: DataFrame, keys: list[str], order: list[str], col: s
     d = d.withColumn(out, F.when(count > 0, total / count))
     d = d.drop("_p", "_cnt", "_ls", "_lc", "_carry")
     return d.drop(SLICE) if added else d
+
+
+def sliced_prev(df: DataFrame, keys: list[str], order: list[str], lag_cols: list[str],
+                last_cols: list[str], prefix: str = "_p", n_slices: int | None = None) -> DataFrame:
+    """One sliced pass giving, per row, the previous row's ``lag_cols`` and
+    the last non-null value of each of ``last_cols`` strictly before the
+    row (``lag`` and ``last(ignorenulls) rows unbounded preceding .. 1
+    preceding``), with one summary table for the slice borders."""
+    d, added = _sliced(df, order[0], n_slices)
+    part = keys + [SLICE]
+    w = Window.partitionBy(*part).orderBy(*order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("_rn", F.row_number().over(w))
+    for c in lag_cols:
+        d = d.withColumn(prefix + c, F.lag(c).over(w))
+    for c in last_cols:
+        d = d.withColumn(prefix + c, F.last(c, ignorenulls=True).over(before))
+    aggs = [F.max_by(F.struct(*[F.col(c).alias(c) for c in lag_cols]), F.struct(*order)).alias("_tail")]
+    aggs += [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*order))).alias("_tl_" + c)
+             for c in last_cols]
+    tails = d.groupBy(*part).agg(*aggs)
+    ws = Window.partitionBy(*keys).orderBy(SLICE)
+    tails = tails.withColumn("_carry", F.lag("_tail").over(ws))
+    for c in last_cols:
+        tails = tails.withColumn("_cl_" + c, F.last("_tl_" + c, ignorenulls=True).over(
+            ws.rowsBetween(Window.unboundedPreceding, -1)))
+    tails = tails.select(*part, "_carry", *["_cl_" + c for c in last_cols])
+    d = d.join(tails, part, "left")
+    for c in lag_cols:
+        d = d.withColumn(prefix + c, F.when(F.col("_rn") == 1, F.col("_carry")[c]).otherwise(F.col(prefix + c)))
+    for c in last_cols:
+        d = d.withColumn(prefix + c, F.coalesce(F.col(prefix + c), F.col("_cl_" + c)))
+    d = d.drop("_rn", "_carry", *["_cl_" + c for c in last_cols])
+    return d.drop(SLICE) if added else d
