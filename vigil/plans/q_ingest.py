@@ -122,7 +122,7 @@ def exposition_metrics(spark, sf):
     return G.structure_exposition(lines, ["service"])
 
 
-@query("log_store_response")
+@query("log_store_response", "SELECT service, ts, message FROM logs", ("logs",))
 def log_store_response(spark, sf):
     """Log-store JSON responses (one stream per line) -> rows."""
     l = view(spark, sf, "logs")
