@@ -56,3 +56,67 @@ def classify_stream(spark, sf):
     model = C.fit_event_classifier(C.training_frame(spark))
     out = C.serialize_predictions(C.classify_events(C.parse_events(stream), model))
     return S.run_to_table(out, "classify")
+
+
+def _run_batches(spark, stream, name, fn):
+    S.foreach_batch(stream, name, fn).awaitTermination()
+
+
+@query("engagement_ingest_stream", """
+SELECT event_id, ts, user_id, item_id, event_type, value, CAST(strftime(ts, '%Y%m') AS INTEGER) AS yyyymm
+FROM engagement
+WHERE item_id IN (SELECT id FROM catalog) AND event_type IN ('view_start', 'view_complete', 'rating', 'search')""",
+       ("engagement", "catalog"))
+def engagement_ingest_stream(spark, sf):
+    """T4 + I15 + S13 + M9: the engagement stream validated and appended by
+    month (rejects quarantined, retrain counter kept); returns the table."""
+    from vigil.session import scratch_path
+    e = view(spark, sf, "engagement").withColumn("ts", F.col("ts").cast("timestamp"))
+    out, bad, ctr = (scratch_path(spark, x) for x in ("eng-events", "eng-bad", "eng-counter"))
+    fn = S.engagement_ingest_batch(view(spark, sf, "catalog"), out, bad, ctr)
+    _run_batches(spark, _stream_of(spark, e, "engagement"), "engagement", fn)
+    return spark.read.parquet(out).drop("_epoch")
+
+
+@query("event_fanout_stream")
+def event_fanout_stream(spark, sf):
+    """Every raw event payload to one sink, decodable typed events to a
+    second; returns the typed sink."""
+    from vigil.session import scratch_path
+    ev = read_table(spark, sf, "events")
+    msgs = ev.select(F.to_json(F.struct(
+        F.col("event_id").cast("string").alias("eventId"), F.col("event_type").alias("eventType"),
+        F.col("ts").cast("string").alias("occurredAt"))).alias("value"))
+    raw, typed = scratch_path(spark, "fan-raw"), scratch_path(spark, "fan-typed")
+    _run_batches(spark, _stream_of(spark, msgs, "fanout", order=None), "fanout", S.event_fanout_batch(raw, typed))
+    return spark.read.schema("eventId string, eventType string, occurredAt string, name string").json(typed)
+
+
+@query("metrics_ingest_stream")
+def metrics_ingest_stream(spark, sf):
+    """T7 + S15 + J1: metric snapshots appended by day, thresholds evaluated
+    per micro-batch; returns the evaluations."""
+    from vigil.operators.metrics import samples_as_snapshots
+    from vigil.session import scratch_path
+    snaps = samples_as_snapshots(view(spark, sf, "metric_samples"))
+    snap_path, eval_path = scratch_path(spark, "snapshots"), scratch_path(spark, "evaluations")
+    fn = S.metrics_ingest_batch(snap_path, eval_path, A.default_thresholds(spark))
+    _run_batches(spark, _stream_of(spark, snaps, "snapshots", order="timestamp"), "metrics", fn)
+    return spark.read.parquet(eval_path)
+
+
+@query("article_ingest_stream")
+def article_ingest_stream(spark, sf):
+    """T3 + I13 + S14 + I14: story records upserted into the articles change
+    log and the catalog rebuilt from the latest articles; returns the
+    catalog."""
+    from vigil.session import scratch_path
+    p = read_table(spark, sf, "pages")
+    js = p.select(F.to_json(F.struct(
+        F.col("page_id").alias("id"), F.lit("story").alias("type"),
+        F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.col("url"),
+        (F.col("page_id") % 1000).alias("score"), F.col("page_id").alias("time"))).alias("value"))
+    log, cat = scratch_path(spark, "articles-log"), scratch_path(spark, "catalog")
+    _run_batches(spark, _stream_of(spark, js, "stories", order=None), "articles", S.article_ingest_batch(log, cat, 2024))
+    return spark.read.parquet(cat).withColumn("genres", F.array_join("genres", ",")) \
+        .withColumn("tags", F.array_join("tags", ","))

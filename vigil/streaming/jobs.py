@@ -166,6 +166,9 @@ def engagement_ingest_batch(catalog: DataFrame, events_path: str, quarantine_pat
     (sorted by user and time), quarantine rejects, and call ``retrain``
     once 50 or more accepted events arrived since the last retrain (the
     counter is a small table, so it survives restarts)."""
+    # the counter table exists from the start (mode "ignore" keeps a restarted job's value)
+    catalog.sparkSession.createDataFrame([(0,)], "n long").write.mode("ignore").parquet(counter_path)
+
     def fn(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         ok, bad = RC.validate_engagement(batch, catalog)
@@ -176,10 +179,7 @@ def engagement_ingest_batch(catalog: DataFrame, events_path: str, quarantine_pat
         W.write_append(ok_obs, events_path, ["user_id", "ts"], ["yyyymm"])
         bad.write.mode("append").parquet(quarantine_path)
         n = int(obs.get.get("n", 0))
-        try:
-            since = spark.read.parquet(counter_path).agg(F.sum("n")).first()[0] or 0
-        except Exception:  # noqa: BLE001 - first batch: no counter yet
-            since = 0
+        since = spark.read.parquet(counter_path).agg(F.sum("n")).first()[0] or 0
         if retrain is not None and since + n >= RC.RETRAIN_EVERY:
             retrain()
             spark.createDataFrame([(0,)], "n long").write.mode("overwrite").parquet(counter_path)
