@@ -49,3 +49,13 @@ def test_rolling_mean(spark):
     got = {r.id: r.m for r in sliced_rolling_mean(d, ["k"], ["t", "id"], "v", 5, "m", n_slices=11).collect()}
     assert exp.keys() == got.keys()
     assert all((exp[i] is None and got[i] is None) or abs(exp[i] - got[i]) < 1e-9 for i in exp)
+
+
+def test_exact_percentiles_match_percentile(spark):
+    from vigil.operators.ordered import exact_percentiles
+    d = data(spark, 3000, seed=9).withColumn("t", (F.col("t") % 97).cast("double"))   # many duplicates
+    exp = {r.k: (r.a, r.b) for r in d.groupBy("k").agg(F.percentile("t", F.lit(0.5)).alias("a"),
+                                                      F.percentile("t", F.lit(0.99)).alias("b")).collect()}
+    got = {r.k: (r.a, r.b) for r in exact_percentiles(d, ["k"], "t", {"a": 0.5, "b": 0.99}).collect()}
+    assert exp.keys() == got.keys()
+    assert all(abs(exp[k][i] - got[k][i]) < 1e-9 for k in exp for i in (0, 1))

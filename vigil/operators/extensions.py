@@ -56,9 +56,11 @@ def domain_regression(requests: DataFrame, domain: F.Column, version: str = "ver
                       old: str = "old", new: str = "new") -> DataFrame:
     """p95 per domain for the old and the new version; regression when
     the new p95 exceeds the old by more than 20 %."""
-    d = requests.withColumn("domain", domain).groupBy("domain").agg(
-        F.percentile(F.when(F.col(version) == old, F.col("latency_ms")), F.lit(0.95)).alias("p95_old"),
-        F.percentile(F.when(F.col(version) == new, F.col("latency_ms")), F.lit(0.95)).alias("p95_new"))
+    from vigil.operators.ordered import exact_percentiles
+    r = requests.withColumn("domain", domain).filter(F.col(version).isin(old, new))
+    p = exact_percentiles(r, ["domain", version], "latency_ms", {"p95": 0.95})
+    d = p.groupBy("domain").agg(F.max(F.when(F.col(version) == old, F.col("p95"))).alias("p95_old"),
+                                F.max(F.when(F.col(version) == new, F.col("p95"))).alias("p95_new"))
     return d.withColumn("regression", F.coalesce(
         F.col("p95_new") > F.col("p95_old") * (1 + DOMAIN_REGRESSION), F.lit(False)))
 

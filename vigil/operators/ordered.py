@@ -251,3 +251,32 @@ def sliced_prev(df: DataFrame, keys: list[str], order: list[str], lag_cols: list
         d = d.withColumn(prefix + c, F.coalesce(F.col(prefix + c), F.col("_cl_" + c)))
     d = d.drop("_rn", "_carry", *["_cl_" + c for c in last_cols])
     return d.drop(SLICE) if added else d
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Per key the linearly interpolated percentile (``percentile`` /
+    ``quantile_cont``): h = (n - 1) q, v[floor h] + (h - floor h) x
+    (v[floor h + 1] - v[floor h]) over the ascending values, computed from
+    exact order statistics (``(key, value, count)`` with a map-side combine
+    and a sliced running count) instead of one in-memory value map per key."""
+    cnt = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    tot = cnt.groupBy(*keys).agg(F.sum("_c").alias("n"))
+    cum = sliced_running_sum(cnt, keys, [value], "_cum", value=F.col("_c"))
+    if keys:
+        cum = cum.join(tot, on=keys, how="inner")
+    else:
+        cum = cum.withColumn("_k", F.lit(1)).join(F.broadcast(tot.withColumn("_k", F.lit(1))), "_k").drop("_k")
+    aggs = []
+    for name, q in quantiles.items():
+        h = (F.col("n") - 1) * F.lit(float(q))
+        lo_rank = F.floor(h) + 1                        # 1-based ranks
+        hi_rank = F.least(lo_rank + 1, F.col("n"))
+        at = lambda r: (F.col("_cum") >= r) & (F.col("_cum") - F.col("_c") < r)
+        aggs += [F.max(F.when(at(lo_rank), F.col(value))).alias(f"_{name}_lo"),
+                 F.max(F.when(at(hi_rank), F.col(value))).alias(f"_{name}_hi"),
+                 F.first(h - F.floor(h)).alias(f"_{name}_f")]
+    g = cum.groupBy(*keys).agg(*aggs)
+    for name in quantiles:
+        lo, hi, fr = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}_f")
+        g = g.withColumn(name, lo + fr * (hi - lo)).drop(f"_{name}_lo", f"_{name}_hi", f"_{name}_f")
+    return g

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.scalar import format_pct_change
-from vigil.operators.ordered import exact_rank_values, sliced_last_value
+from vigil.operators.ordered import exact_percentiles, exact_rank_values, sliced_last_value
 
 # --- fixed values (must equal the reference's rules) ---------------------
 # perf gate: p95 < 500 ms, p99 < 1000 ms, error ratio < 0.01, avg < 200 ms
@@ -39,8 +39,9 @@ def perf_summary(requests: DataFrame, keys: list[str], latency: str = "latency_m
     """Count, duration, rate, failed ratio (status >= 400), avg/min/max and
     interpolated p50/p90/p95/p99 latency per key.
 
-    ``percentile`` keeps a value->count map per group with a map-side
-    combine; its size is bounded by the number of distinct latencies.
+    Percentiles are exact order statistics computed with a sliced running
+    count (``exact_percentiles``), so no service's latencies are gathered in
+    one task.
     """
     failed = F.col(status) >= 400
     lat = F.col(latency)
@@ -48,12 +49,13 @@ def perf_summary(requests: DataFrame, keys: list[str], latency: str = "latency_m
         F.count(F.lit(1)).alias("requests"),
         F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"),
         F.count_if(failed).alias("failed"),
-        F.avg(lat).alias("avg_ms"), F.min(lat).alias("min_ms"), F.max(lat).alias("max_ms"),
-        F.percentile(lat, F.lit(0.5)).alias("p50_ms"),
-        F.percentile(lat, F.lit(0.9)).alias("p90_ms"),
-        F.percentile(lat, F.lit(0.95)).alias("p95_ms"),
-        F.percentile(lat, F.lit(0.99)).alias("p99_ms"),
-    )
+        F.avg(lat).alias("avg_ms"), F.min(lat).alias("min_ms"), F.max(lat).alias("max_ms"))
+    pct = exact_percentiles(requests, keys, latency,
+                            {"p50_ms": 0.5, "p90_ms": 0.9, "p95_ms": 0.95, "p99_ms": 0.99})
+    if keys:
+        out = out.join(pct, keys, "left")
+    else:   # one-row tables on a constant key
+        out = out.withColumn("_k", F.lit(1)).join(pct.withColumn("_k", F.lit(1)), "_k").drop("_k")
     dur = _seconds(F.col("last_ts"), F.col("first_ts"))
     return (out.withColumn("duration_s", dur)
             .withColumn("rate", F.try_divide(F.col("requests").cast("double"), F.col("duration_s")))
