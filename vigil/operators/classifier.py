@@ -128,19 +128,26 @@ def classify_events(events: DataFrame, model: dict[str, DataFrame], id_col: str
     """
     m, prior = model_literal(model)
     text = event_text(events)
-    known = F.filter(tokens(text), lambda t: F.map_contains_key(m, t))
+    # stop words are never in the vocabulary, so the vocabulary filter drops
+    # them; each known token's model entry is looked up once
+    toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), 0)
+    known = F.filter(toks, lambda t: F.map_contains_key(m, t))
     uniq = F.array_distinct(known)
-    weights = F.transform(uniq, lambda t: F.struct(
-        t.alias("t"), (F.size(F.filter(known, lambda x: x == t)) * m[t]["idf"]).alias("w")))
-    norm = F.sqrt(F.aggregate(weights, F.lit(0.0), lambda a, z: a + z["w"] * z["w"]))
+    entries = F.transform(uniq, lambda t: F.struct(
+        (F.size(F.filter(known, lambda x: x == t)) * m[t]["idf"]).alias("w"), m[t]["lp"].alias("lp")))
+    d0 = events.withColumn("_e", entries)
+    norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda a, z: a + z["w"] * z["w"]))
+    d0 = d0.withColumn("_norm", norm)
+
     def class_term(i):
-        return lambda a, z: a + z["w"] / norm * m[z["t"]]["lp"][i]
+        return lambda a, z: a + z["w"] / F.col("_norm") * z["lp"][i]
 
-    jll = [F.lit(lp0) + F.aggregate(weights, F.lit(0.0), class_term(i)) for i, (_, lp0) in enumerate(prior)]
+    jll = [F.lit(lp0) + F.aggregate("_e", F.lit(0.0), class_term(i)) for i, (_, lp0) in enumerate(prior)]
+    events = d0
     d = events.withColumn("_jll", F.array(*jll)).withColumn("_text", text)
     mx = F.array_max("_jll")
-    d = d.withColumn("_e", F.transform("_jll", lambda v: F.exp(v - mx)))
-    d = d.withColumn("_p", F.transform("_e", lambda v: v / F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)))
+    d = d.withColumn("_x", F.transform("_jll", lambda v: F.exp(v - mx)))
+    d = d.withColumn("_p", F.transform("_x", lambda v: v / F.aggregate("_x", F.lit(0.0), lambda a, x: a + x)))
     best = F.array_position(F.col("_p"), F.array_max("_p"))
     classes = F.array(*[F.lit(c) for c, _ in prior])
     empty = F.col("_text") == ""
@@ -148,7 +155,7 @@ def classify_events(events: DataFrame, model: dict[str, DataFrame], id_col: str
     conf = F.when(empty, 0.0).otherwise(F.round(F.array_max("_p"), 4)).cast("float")
     return d.select(F.coalesce(F.col(id_col), F.lit("unknown")).alias("eventId"), cat.alias("category"),
                     conf.alias("confidence"), sentiment_of(cat).alias("sentiment"),
-                    *[c for c in events.columns if c != id_col])
+                    *[c for c in events.columns if c != id_col and c not in ("_e", "_norm")])
 
 
 def parse_events(raw: DataFrame, value: str = "value") -> DataFrame:
