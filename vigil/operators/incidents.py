@@ -336,7 +336,8 @@ def build_timeline(commits: DataFrame, logs: DataFrame, keys: list[str] = ["proj
                  F.concat(F.lit("["), F.col("service"), F.lit("] "), truncate(F.col("message"), 200)).alias("event"),
                  F.lit("error").alias("severity"), F.lit(None).cast("string").alias("details"),
                  F.col(tie).alias("event_id"))
-    return c.unionByName(e)
+    # T-K7: ascending by real timestamps (a distributed range sort)
+    return c.unionByName(e).orderBy(*keys, "ts", "event_id")
 
 
 def correlate_errors_commits(timeline: DataFrame, keys: list[str] = ["project"]) -> DataFrame:
