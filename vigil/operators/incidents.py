@@ -415,3 +415,29 @@ def suggest_fixes(pattern_matches: DataFrame, patterns: DataFrame, similar: Data
 def relevance_score(temporal: Column, semantic: Column, severity_weight: Column) -> Column:
     """P5: 0.3 temporal + 0.4 semantic + 0.3 severity."""
     return 0.3 * temporal + 0.4 * semantic + 0.3 * severity_weight
+
+
+LEVEL_WEIGHT = {"error": 1.0, "warn": 0.5}
+
+
+def context_relevance(logs: DataFrame, issues: DataFrame, keys: list[str] = ["project"], k: int = 20,
+                      window_s: int = 3600, tie: str = "log_id") -> DataFrame:
+    """P5: rank each project's log lines as analysis context for its issue:
+    temporal = max(0, 1 - age / 1 h) before the project's newest line,
+    semantic = Jaccard of the line's and the issue's word sets, severity =
+    1 error / 0.5 warn / 0 otherwise; the ``k`` most relevant lines."""
+    from vigil.functions.text import detect_level
+    iw = issues.select(*keys, word_set(F.concat_ws(" ", "finding", "details",
+                                                   F.regexp_replace("tags", ",", " "))).alias("_iws"))
+    now = logs.groupBy(*keys).agg(F.max("ts").alias("_now"))
+    d = logs.join(iw, keys).join(now, keys).withColumn("_lws", word_set(F.col("message")))
+    inter = F.size(F.array_intersect("_lws", "_iws"))
+    union = F.size("_lws") + F.size("_iws") - inter
+    age = (F.unix_micros(F.col("_now").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
+    lw = F.create_map(*[x for kk, v in LEVEL_WEIGHT.items() for x in (F.lit(kk), F.lit(v))])
+    d = (d.withColumn("temporal", F.greatest(F.lit(0.0), 1 - age / window_s))
+         .withColumn("semantic", F.when(union > 0, inter / union).otherwise(0.0))
+         .withColumn("severity", F.coalesce(lw[detect_level("message")], F.lit(0.0))))
+    d = d.withColumn("relevance", relevance_score(F.col("temporal"), F.col("semantic"), F.col("severity")))
+    d = d.select(*keys, tie, "ts", "temporal", "semantic", "severity", "relevance")
+    return top_n(d, keys, [F.col("relevance").desc(), F.col(tie)], k, salt_col=tie, rank_col="rank")

@@ -246,3 +246,36 @@ def record_incidents(spark, sf):
     """Incidents recorded from the project analyses."""
     from vigil.plans import analysis as AN
     return AN.record_incidents(_analysis(spark, sf))
+
+
+_LVL = """CASE WHEN contains(lower(message), 'error') OR contains(lower(message), 'exception')
+               OR contains(lower(message), 'fatal') THEN 1.0
+               WHEN contains(lower(message), 'warn') THEN 0.5 ELSE 0.0 END"""
+_IWS = "list_distinct(list_filter(string_split_regex(lower(finding || ' ' || details || ' ' || replace(tags, ',', ' ')), '\\s+'), lambda w: length(w) > 3))"
+_LWS = "list_distinct(list_filter(string_split_regex(lower(message), '\\s+'), lambda w: length(w) > 3))"
+
+
+@query("context_relevance", f"""
+WITH iss AS ({_ISSUES_SQL}),
+prim AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY project ORDER BY severity_rank, rule_order,
+                                                     container NULLS FIRST) AS rn FROM iss) x WHERE rn = 1),
+{_PLOGS},
+nw AS (SELECT project, max(ts) AS now_ts FROM plogs GROUP BY project),
+j AS (SELECT l.project, l.log_id, l.ts, l.message, {_IWS} AS iws, {_LWS} AS lws, nw.now_ts
+      FROM plogs l JOIN prim USING (project) JOIN nw USING (project)),
+s AS (SELECT project, log_id, ts,
+             greatest(0.0, 1 - ((epoch_us(now_ts) - epoch_us(ts)) / 1e6) / 3600) AS temporal,
+             CASE WHEN len(lws) + len(iws) - len(list_intersect(lws, iws)) > 0
+                  THEN len(list_intersect(lws, iws)) / (len(lws) + len(iws) - len(list_intersect(lws, iws)))
+                  ELSE 0.0 END AS semantic,
+             {_LVL} AS severity FROM j),
+r AS (SELECT *, 0.3 * temporal + 0.4 * semantic + 0.3 * severity AS relevance FROM s)
+SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY project ORDER BY relevance DESC, log_id) AS rank FROM r) x
+WHERE rank <= 20""", ("logs", "metric_samples"))
+def context_relevance(spark, sf):
+    """P5: the 20 most relevant log lines per project for its primary issue
+    (0.3 temporal + 0.4 semantic + 0.3 severity)."""
+    from vigil.plans import analysis as AN
+    logs = project_logs(spark, sf)
+    prim = AN.primary_issues(I.detect_issues(logs, view(spark, sf, "metric_samples")))
+    return I.context_relevance(logs, prim)
