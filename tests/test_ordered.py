@@ -59,3 +59,15 @@ def test_exact_percentiles_match_percentile(spark):
     got = {r.k: (r.a, r.b) for r in exact_percentiles(d, ["k"], "t", {"a": 0.5, "b": 0.99}).collect()}
     assert exp.keys() == got.keys()
     assert all(abs(exp[k][i] - got[k][i]) < 1e-9 for k in exp for i in (0, 1))
+
+
+def test_null_ordering_values(spark):
+    d = spark.createDataFrame([(1, "a", None, 1.0), (2, "a", 5, 2.0), (3, "a", 3, 3.0), (4, "b", None, 4.0),
+                               (5, "b", 1, 5.0)], "id long, k string, t long, v double")
+    w = Window.partitionBy("k").orderBy("t", "id")
+    exp = {r.id: (r.p, r.c) for r in d.select("id", F.lag("v").over(w).alias("p"),
+                                              F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+                                              .alias("c")).collect()}
+    lag = {r.id: r.prev_v for r in sliced_lag(d, ["k"], ["t", "id"], ["v"], n_slices=4).collect()}
+    rc = {r.id: r.rc for r in sliced_running_sum(d, ["k"], ["t", "id"], "rc", n_slices=4).collect()}
+    assert {i: (lag[i], rc[i]) for i in exp} == exp

@@ -48,7 +48,8 @@ def add_slices(df: DataFrame, order_col: str, n_slices: int | None = None) -> Da
     splits = sorted({float(q) for q in qs if q is not None})
     splits = [float("-inf")] + splits + [float("inf")]
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=SLICE, handleInvalid="keep")
-    return b.transform(keyed).drop(tmp).withColumn(SLICE, F.col(SLICE).cast("int"))
+    # null ordering values sort first in Spark: give them slice -1 (NaN keeps the last bucket)
+    return b.transform(keyed).drop(tmp).withColumn(SLICE, F.coalesce(F.col(SLICE).cast("int"), F.lit(-1)))
 
 
 def _sliced(df: DataFrame, order_col: str, n_slices: int | None) -> tuple[DataFrame, bool]:
