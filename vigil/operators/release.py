@@ -178,8 +178,9 @@ def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str,
                      F.col(left_ts).cast("timestamp").alias("_t"),
                      F.lit(1 if backward else 0).alias("_side"),
                      *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values])
-    r2 = right.select(*keys, F.col(right_ts).cast("timestamp").alias("_t"),
-                      F.lit(0 if backward else 1).alias("_side"), *values)
+    # a right row without a time never qualifies (as in `point_ts <= ts`)
+    r2 = right.filter(F.col(right_ts).isNotNull()).select(
+        *keys, F.col(right_ts).cast("timestamp").alias("_t"), F.lit(0 if backward else 1).alias("_side"), *values)
     u = l2.unionByName(r2, allowMissingColumns=True)
     if backward:
         u = u.withColumn("_id", F.monotonically_increasing_id())
