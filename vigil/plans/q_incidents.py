@@ -279,3 +279,22 @@ def context_relevance(spark, sf):
     logs = project_logs(spark, sf)
     prim = AN.primary_issues(I.detect_issues(logs, view(spark, sf, "metric_samples")))
     return I.context_relevance(logs, prim)
+
+
+@query("incident_fix_lookup", """
+WITH fx AS (SELECT doc_id AS incident_id, CASE WHEN toxic = 1 THEN 'failed' ELSE 'resolved' END AS outcome,
+                   doc_id AS applied_at FROM labels)
+SELECT i.incident_id, i.title, i.status, fx.outcome AS fix_outcome, CAST(fx.applied_at AS VARCHAR) AS fix_applied_at
+FROM incidents i LEFT JOIN fx USING (incident_id)""", ("incidents",))
+def incident_fix_lookup(spark, sf):
+    """Each incident with its latest fix record (fix records derived
+    from the labels table)."""
+    from vigil.operators.extensions import fix_lookup
+    lab = read_table(spark, sf, "labels")
+    fixes = lab.select(F.col("doc_id").alias("incident_id"),
+                       F.when(F.col("toxic") == 1, "failed").otherwise("resolved").alias("outcome"),
+                       F.col("doc_id").alias("applied_at"))
+    inc = view(spark, sf, "incidents").select("incident_id", "title", "status")
+    out = fix_lookup(inc, fixes)
+    return out.select("incident_id", "title", "status", F.col("fix.outcome").alias("fix_outcome"),
+                      F.col("fix.applied_at").cast("string").alias("fix_applied_at"))
