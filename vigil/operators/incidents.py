@@ -169,12 +169,16 @@ def jaccard_pairs(sets: DataFrame, threshold: float = SIMILARITY_MIN, right: Dat
     b = pre.filter(F.col("_side") == (0 if right is None else 1)).select(
         F.col("id").alias("id_b"), F.col("n").alias("n_b"), "token", F.col("pos").alias("pos_b"))
     order_ok = (F.col("id_a") < F.col("id_b")) if right is None else F.lit(True)
+    need = F.ceil(F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b")))
+    # positional bound per candidate row, before the shuffle: the first shared
+    # token of a valid pair has the loosest bound, so only rows of pairs that
+    # cannot qualify (or later shared tokens) are dropped
     cand = (a.join(b, "token")
             .filter(order_ok
-                    & (F.col("n_b") >= F.col("n_a") * t) & (F.col("n_b") * t <= F.col("n_a")))
+                    & (F.col("n_b") >= F.col("n_a") * t) & (F.col("n_b") * t <= F.col("n_a"))
+                    & (1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need))
             .groupBy("id_a", "id_b", "n_a", "n_b")
             .agg(F.min("pos_a").alias("i"), F.min("pos_b").alias("j")))
-    need = F.ceil(F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b")))
     cand = cand.filter(1 + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) >= need)
     sa = sets.select(F.col("id").alias("id_a"), F.col("ws").alias("ws_a"))
     sb = rs.select(F.col("id").alias("id_b"), F.col("ws").alias("ws_b"))
