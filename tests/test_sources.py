@@ -37,3 +37,14 @@ def test_latest_run_file(spark, tmp_path):
     from pyspark.sql import types as T
     runs = S.read_run_results(spark, str(tmp_path), T.StructType([T.StructField("duration", T.StringType())]))
     assert S.latest_run(runs).first().duration == "perf-2024-02-01.json"
+
+
+def test_csv_export_sink(spark, tmp_path):
+    from vigil.operators import metrics as M
+    snaps = spark.createDataFrame(
+        [(1704067200000, "p", [("c", 12.345, 50.0, None, None, None, None)],
+          (5.0, None, None, None, None, None, None, None, None))], S.METRICS_SCHEMA)
+    M.export_csv(snaps, str(tmp_path / "csv"))
+    rows = spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()
+    assert len(rows) == 1 and rows[0].cpuPercent in ("12.35", "12.34") and rows[0].httpTotalRequests == "5"
+    assert list(rows[0].asDict()) == M.CSV_COLUMNS
