@@ -67,3 +67,31 @@ def test_orchestrator_service_environment(spark):
     env = spark.createDataFrame([(json.dumps({"name": "app-pr-42", "revision": "abcdef123"}),)], "value string")
     e = G.structure_environments(env).first()
     assert (e.revision, e.sync, e.is_pr, e.pr_number) == ("abcdef1", "Unknown", True, "42")
+
+
+def test_vector_similar_equals_brute_force(spark):
+    import random
+    rnd = random.Random(11)
+    centers = [[rnd.gauss(0, 1) for _ in range(8)] for _ in range(4)]
+    rows = []
+    for i in range(160):
+        c = centers[i % 4]
+        rows.append((i, [float(x + rnd.gauss(0, 0.6)) for x in c]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {(r.vec_id, r.similar_id) for r in X.vector_similar(df).collect()}
+
+    def unit(v):
+        import math
+        v = [float(__import__("numpy").float32(x)) for x in v]
+        n = math.sqrt(sum(x * x for x in v))
+        return [x / n for x in v]
+    us = {i: unit(v) for i, v in rows}
+    cand = {}
+    for a in us:
+        for b in us:
+            if a != b:
+                c = sum(x * y for x, y in zip(us[a], us[b]))
+                if c >= 0.75:
+                    cand.setdefault(a, []).append((-c, b))
+    exp = {(a, b) for a, lst in cand.items() for _, b in sorted(lst)[:5]}
+    assert len(exp) > 50 and got == exp
