@@ -298,3 +298,26 @@ def incident_fix_lookup(spark, sf):
     out = fix_lookup(inc, fixes)
     return out.select("incident_id", "title", "status", F.col("fix.outcome").alias("fix_outcome"),
                       F.col("fix.applied_at").cast("string").alias("fix_applied_at"))
+
+
+@query("suggestion_ranking")
+def suggestion_ranking(spark, sf):
+    """The top fix of every analysed incident aggregated into ranked
+    suggestions — frequency (incidents), severity (worst status: open high,
+    investigating medium, resolved low), ease (success rate of the fix's
+    pattern) and confidence (mean analysis confidence / 100)."""
+    from vigil.operators.extensions import rank_suggestions
+    from vigil.plans import analysis as AN
+    inc = view(spark, sf, "incidents")
+    pats = _patterns(spark)
+    a = AN.analyze_incidents(inc, pats).filter(F.col("top_fix").isNotNull()).join(
+        inc.select("incident_id", "status"), "incident_id")
+    sev = (F.when(F.col("status") == "open", 2).when(F.col("status") == "investigating", 1).otherwise(0))
+    ease = pats.select(F.col("name").alias("top_pattern"), F.col("successRate").alias("ease"))
+    s = (a.join(ease, "top_pattern", "left")
+         .groupBy(F.col("top_fix").alias("description"))
+         .agg(F.count(F.lit(1)).alias("frequency"), F.max(sev).alias("_sev"),
+              F.max("ease").alias("ease"), (F.avg("confidence") / 100).alias("confidence")))
+    s = s.withColumn("severity", F.when(F.col("_sev") == 2, "high").when(F.col("_sev") == 1, "medium")
+                     .otherwise("low")).drop("_sev").fillna(0.0, ["ease"])
+    return rank_suggestions(s)
