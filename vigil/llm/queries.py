@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import chat, sharding
+from vigil.llm import ann, chat, sharding, simhash
 from vigil.llm.common import text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,19 @@ def op10_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(docs, 40, "size", ["_group"])
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
                       "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest found of every vector whose id is divisible by 100."""
+    df = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(df, F.col("vec_id") % 100 == 0)
+
+
+@register
+def op8_anchor_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; links at two bits or fewer."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash.simhash_components(docs, shingle=3, max_bits=2)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                        "component_id")
