@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import ann, chat, sharding, simhash
-from vigil.llm.common import text_or_empty
+from vigil.llm import ann, chat, langid, packing, secret_scan, sharding, simhash, surrogate
+from vigil.llm.common import id_crc32, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,3 +85,43 @@ def op8_anchor_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(docs, shingle=3, max_bits=2)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         "component_id")
+
+
+@register
+def op2_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; dictionaries learned from the documents that
+    are not held out."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", (id_crc32("doc_id") % 4 == 2).alias("held_out"))
+    learned = langid.learn_dictionaries(docs.where(~F.col("held_out")))
+    return langid.identify(docs.drop("lang"), learned).drop("text")
+
+
+def word_tokenizer() -> str:
+    """Path of the public word tokenizer's file."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register
+def op5_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, tokenised, in sequences of at most 4096 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, word_tokenizer(), capacity=4096, end_id=1)
+
+
+@register
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret candidate of all documents with the forest's score.  The
+    labelled findings are a stand-in, see reviewed_findings."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secret_scan.scan_secrets(docs)
+    return found.select(F.col("key").alias("doc_id"), "start", "length",
+                        F.sha2("value", 256).alias("value_sha256"), "assigned", "score", "is_secret")
+
+
+@register
+def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their personal data replaced."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogate.replace_entities(docs, key="surrogate key of the query")
