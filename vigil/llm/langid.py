@@ -78,7 +78,7 @@ def encoded_sizes(text: str, dictionaries: tuple, level: int = 5, block: int = 1
 
 
 def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str = "text",
-             min_margin: float = 0.02) -> DataFrame:
+             min_margin: float = 0.008) -> DataFrame:
     """``docs`` with lang_pred, score and accepted (replacing columns of these
     names).
 

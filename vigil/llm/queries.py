@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import ann, chat, langid, packing, secret_scan, sharding, simhash, surrogate
+from vigil.llm import ann, chat, decontam, langid, packing, secret_scan, sharding, simhash, surrogate
 from vigil.llm.common import id_crc32, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,10 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their personal data replaced."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogate.replace_entities(docs, key="surrogate key of the query")
+
+
+@register
+def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item found in a document, all documents searched."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))

@@ -130,15 +130,22 @@ def render(kind: str, value: str, norm: str) -> str:
 
 
 def find_entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, normal form) in order, none overlapping: earlier
-    patterns first, then earlier places."""
+    """(start, end, kind, normal form) in order, none overlapping: what an
+    earlier pattern takes is blank to the later ones."""
     out: list[tuple[int, int, str, str]] = []
     for kind, pattern in PATTERNS:
+        new = []
         for m in pattern.finditer(text):
             a, b = m.span("name") if kind == "name" else m.span()
             gender = _GENDER.get(m.group("title").lower(), "n") if kind == "name" else "n"
-            if not any(a < y and x < b for x, y, _, _ in out):
-                out.append((a, b, kind, normal(kind, text[a:b], gender)))
+            new.append((a, b, kind, normal(kind, text[a:b], gender)))
+        if new:
+            at, parts = 0, []
+            for a, b, _, _ in new:
+                parts += [text[at:a], "\0" * (b - a)]
+                at = b
+            text = "".join(parts) + text[at:]
+            out += new
     return sorted(out)
 
 
