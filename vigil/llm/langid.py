@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.common import free_name, unit_hash
@@ -77,21 +77,19 @@ def encoded_sizes(text: str, dictionaries: tuple, level: int = 5, block: int = 1
     return [sum(len(c.compress(p)) for p in parts) for c in _coders(dictionaries, level)]
 
 
-def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str = "text",
-             min_margin: float = 0.008) -> DataFrame:
-    """``docs`` with lang_pred, score and accepted (replacing columns of these
-    names).
+def judged(dictionaries: list[tuple[str, bytes]], text: str = "text",
+           min_margin: float = 0.008) -> Column:
+    """struct(lang_pred, score, accepted) of a text column.
 
     score: by how much the best encoding is smaller than the runner-up, as a
     share of the runner-up (0 to 1; 1 if only one language was learned).
     lang_pred is `und`, and the score 0, for texts that are null or have no
-    letter, and where no language was learned.  Ties go to the most
-    frequent language.  accepted: not `und`, and a score of ``min_margin`` or more.
-    Every row returns, repeated rows and empty texts too.
+    letter, and where no language was learned.  Ties go to the most frequent
+    language.  accepted: not `und`, and a score of ``min_margin`` or more.
     """
     learned = tuple(dictionaries)
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
+    @F.pandas_udf("struct<lang_pred:string,score:double,accepted:boolean>")
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
             langs, scores = [], []
@@ -105,9 +103,26 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str =
                 rest = min(sizes[:best] + sizes[best + 1:], default=None)
                 langs.append(learned[best][0])
                 scores.append(1.0 if rest is None else 1.0 - sizes[best] / rest)
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            out = pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object),
+                                "score": pd.Series(scores, dtype=float)})
+            out["accepted"] = (out["lang_pred"] != UNKNOWN) & (out["score"] >= min_margin)
+            yield out
+    return judge(F.col(text).cast("string"))
+
+
+def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str = "text",
+             min_margin: float = 0.008) -> DataFrame:
+    """``docs`` with lang_pred, score and accepted (see judged; columns of these
+    names are replaced).  Every row returns, repeated rows and empty texts too;
+    an empty table gives no rows."""
     docs = docs.drop("lang_pred", "score", "accepted")
     j = free_name(docs, "_judged")
-    return docs.withColumn(j, judge(F.col(text).cast("string"))).select(
-        *docs.columns, F.col(j)["lang_pred"].alias("lang_pred"), F.col(j)["score"].alias("score"),
-        ((F.col(j)["lang_pred"] != UNKNOWN) & (F.col(j)["score"] >= min_margin)).alias("accepted"))
+    return docs.withColumn(j, judged(dictionaries, text, min_margin)).select(*docs.columns, f"{j}.*")
+
+
+def keep_identified(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str = "text",
+                    min_margin: float = 0.008) -> DataFrame:
+    """``docs``, all columns, without the rows whose language is rejected."""
+    j = free_name(docs, "_judged")
+    return docs.withColumn(j, judged(dictionaries, text, min_margin)).where(
+        F.col(j)["accepted"]).drop(j)

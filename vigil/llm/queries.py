@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import ann, chat, decontam, langid, packing, secret_scan, sharding, simhash, surrogate
+from vigil.llm import ann, backoff_lm, chat, decontam, langid, packing, secret_scan, sharding, simhash, surrogate
 from vigil.llm.common import id_crc32, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,12 @@ def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item found in a document, all documents searched."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op4_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under the model of those not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = backoff_lm.score_texts(docs, id_crc32("doc_id") % 5 != 1)
+    return out.select("doc_id", (~F.col("trained_on")).alias("held_out"), "n_tokens", "n_known",
+                      "train_tokens", "base_score", "score")
