@@ -124,7 +124,8 @@ def near_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     covered = prints.select("fp", anchor_columns("fp", max_bits).alias("c"))
     home = covered.select(F.col("c.home").alias("anchor"), F.col("fp").alias("a"))
     near = covered.select(F.explode("c.near").alias("anchor"), F.col("fp").alias("b"))
-    return home.join(near, "anchor").where(
+    # Spark's size estimate does not see what the explode multiplies: never broadcast it
+    return home.hint("merge").join(near, "anchor").where(
         (F.col("a") < F.col("b"))
         & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)).select("a", "b")
 
