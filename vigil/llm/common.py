@@ -19,6 +19,16 @@ def to_scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+    """``df``; sets the rows that Spark hands to Python at once to at most
+    ``rows``, since texts are long and workers of several tasks share an
+    executor's memory."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(name, "10000")) > rows:
+        conf.set(name, str(rows))
+    return df
+
+
 def text_or_empty(text: str) -> Column:
     """The text column, null as the empty string."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

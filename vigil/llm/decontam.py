@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import free_name, to_scratch, unit_hash
+from vigil.llm.common import bounded_batches, free_name, to_scratch, unit_hash
 
 _SIGNS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _SENTENCE = re.compile(r"[.!?]+(?:\s+|$)")
@@ -216,6 +216,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
         F.col(item_text).alias("text")).agg(
             F.min(F.col(item)).alias("item"),
             (F.min(F.col(answer)) if answer else F.lit(None)).cast("string").alias("answer")), "items")
+    bounded_batches(docs)
     last = None
     while True:
         left = rows if last is None else rows.where(F.col("item") > last)

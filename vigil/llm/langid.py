@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import free_name, unit_hash
+from vigil.llm.common import bounded_batches, free_name, unit_hash
 
 UNKNOWN = "und"
 TAIL = b"\n" * 48
@@ -115,7 +115,7 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str =
     """``docs`` with lang_pred, score and accepted (see judged; columns of these
     names are replaced).  Every row returns, repeated rows and empty texts too;
     an empty table gives no rows."""
-    docs = docs.drop("lang_pred", "score", "accepted")
+    docs = bounded_batches(docs).drop("lang_pred", "score", "accepted")
     j = free_name(docs, "_judged")
     return docs.withColumn(j, judged(dictionaries, text, min_margin)).select(*docs.columns, f"{j}.*")
 
@@ -123,6 +123,6 @@ def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str =
 def keep_identified(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str = "text",
                     min_margin: float = 0.008) -> DataFrame:
     """``docs``, all columns, without the rows whose language is rejected."""
-    j = free_name(docs, "_judged")
+    j = free_name(bounded_batches(docs), "_judged")
     return docs.withColumn(j, judged(dictionaries, text, min_margin)).where(
         F.col(j)["accepted"]).drop(j)

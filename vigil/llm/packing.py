@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import to_scratch
+from vigil.llm.common import bounded_batches, to_scratch
 
 # ---------------------------------------------------------------- search
 
@@ -195,7 +195,7 @@ def _tokenizer(path: str):
     return _TOKENIZER[path]
 
 
-def token_ids(text: str, path: str, keep: int = 700_000) -> bytes:
+def token_ids(text: str, path: str, keep: int = 500_000) -> bytes:
     """The token ids of a text as little-endian 32-bit integers.
 
     The word tokenizer lower-cases, drops white space and encodes each run of
@@ -255,7 +255,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
                                  part if with_ids else None))
             yield pd.DataFrame(rows, columns=["key", "piece", "start", "length", "ids_crc32", "ids"])
     kind = dict(docs.dtypes)[key]
-    out = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInPandas(
+    out = bounded_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInPandas(
         cut, f"key {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
     return to_scratch(out if with_ids else out.drop("ids"), "pieces")
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import free_name, to_scratch
+from vigil.llm.common import bounded_batches, free_name, to_scratch
 
 # fixed values: generator polynomial of the (23, 12) Golay code, its covering radius
 GOLAY, GOLAY_BITS, RADIUS = 0xC75, 23, 3
@@ -164,7 +164,7 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     rows each return a row.  An empty table returns an empty result.  Extra
     columns are ignored.
     """
-    prints = to_scratch(docs.select(
+    prints = to_scratch(bounded_batches(docs).select(
         F.col(key).alias("key"), fingerprint_column(text, shingle).alias("fp")), "prints")
     distinct = to_scratch(prints.groupBy("fp").agg(F.min("key").alias("first")), "distinct")
     label = components(near_links(distinct.select("fp"), max_bits))
@@ -183,17 +183,20 @@ def keep_one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "te
     under that key the one with the smallest text hash, once.  All columns stay.
     """
     found = simhash_components(docs, key, text, shingle, max_bits)
-    k, h = free_name(docs, "_keep"), free_name(docs, "_hash")
-    # rows of the smallest keys only: (key, fingerprint); repeats are settled below
-    heads = found.where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(
-        F.col(key).alias(k)).agg(F.count("*").alias("n"), F.countDistinct("root").alias("roots"))
-    kept = docs.join(heads, docs[key].eqNullSafe(heads[k])).drop(k)
-    once = kept.where("n = 1").drop("n", "roots")
-    again = kept.where("n > 1").drop("n", "roots").withColumn(
-        h, F.struct(F.xxhash64(text), F.xxhash64(*docs.columns)))
+    k, n, f, r, h = (free_name(docs, x) for x in ("_keep", "_rows", "_fp", "_root", "_hash"))
+    # the rows of the smallest keys; keys that have several are settled apart
     first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(
-        F.col(key).alias(k), "fp", "root")
-    again = again.withColumn("_fp", fingerprint_column(text, shingle)).join(
-        first.distinct(), (F.col("_fp") == first["fp"]) & docs[key].eqNullSafe(first[k]))
-    best = again.groupBy("root").agg(F.min_by(F.struct(*docs.columns), F.col(h)).alias("r"))
-    return once.unionByName(best.select("r.*"))
+        F.col(key).alias(k), F.col("fp").alias(f), F.col("root").alias(r))
+    heads = to_scratch(first.groupBy(k).agg(F.count("*").alias(n)), "heads")
+    once = heads.where(F.col(n) == 1)
+    kept = docs.join(once, docs[key].eqNullSafe(once[k]), "left_semi")
+    repeated = heads.where(F.col(n) > 1)
+    if repeated.isEmpty():
+        return kept
+    again = docs.join(repeated, docs[key].eqNullSafe(repeated[k]), "left_semi").withColumn(
+        h, fingerprint_column(text, shingle))
+    again = again.join(first.distinct(), (again[h] == first[f]) & again[key].eqNullSafe(first[k]))
+    best = again.groupBy(r).agg(F.min_by(
+        F.struct(*[again[c] for c in docs.columns]),
+        F.struct(F.xxhash64(text), F.xxhash64(*docs.columns))).alias("row"))
+    return kept.unionByName(best.select("row.*"))

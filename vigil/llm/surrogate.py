@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import free_name, to_scratch
+from vigil.llm.common import bounded_batches, free_name, to_scratch
 
 _TITLES = {"f": "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|г-жа|κυρία",
            "m": "Mr|Sir|Herr|Monsieur|Señor|Sr|г-н|κύριος", "n": "Dr|Prof"}
@@ -158,7 +158,7 @@ def occurrences(docs: DataFrame, text: str) -> DataFrame:
                 [(h, a, b - a, kind, t[a:b], norm) for h, t in zip(p["text_hash"], p["text"])
                  for a, b, kind, norm in find_entities(t)],
                 columns=["text_hash", "start", "length", "kind", "value", "norm"])
-    rows = docs.where(F.col(text).rlike(MAY_HOLD)).select(
+    rows = bounded_batches(docs).where(F.col(text).rlike(MAY_HOLD)).select(
         F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
     return to_scratch(rows.mapInPandas(
         find, "text_hash long, start long, length long, kind string, value string, norm string"), "entities")
