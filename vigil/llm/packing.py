@@ -124,7 +124,7 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20000,
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 5000,
                    width: int = 4) -> Plan:
     """Fillings and how many sequences get each, as few sequences as found.
 
@@ -142,29 +142,46 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 20000,
     least = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     best_n = sum(n for _, n in best)
-    stack: list[tuple[dict[int, int], int, tuple | None]] = [(counts, 0, None)]
-    while stack and nodes and best_n > least:
-        nodes -= 1
-        left, waste, path = stack.pop()
-        if waste > (best_n - 1) * capacity - total:
-            continue
-        if not left:
-            plan = []
-            while path:
-                plan.append(path[0])
-                path = path[1]
-            best, best_n = plan, sum(n for _, n in plan)
-            continue
+    left, plan, waste = dict(counts), [], 0
+
+    def move(whole: Filling, n: int) -> None:
+        """Take n fillings from what is left (put them back if negative)."""
+        nonlocal waste
+        for size, each in Counter(whole).items():
+            now = left.get(size, 0) - n * each
+            if now:
+                left[size] = now
+            else:
+                del left[size]
+        waste += n * (capacity - sum(whole))
+
+    def options() -> Iterator[Filling]:
         longest = max(left)
         rest = dict(left)
         rest[longest] -= 1
-        for f in reversed(fillings(sorted(rest), rest, capacity - longest, width)):
-            whole = (longest, *f)
-            need = Counter(whole)
-            n = min(left[k] // v for k, v in need.items())
-            after = {k: v - n * need.get(k, 0) for k, v in left.items()}
-            stack.append(({k: v for k, v in after.items() if v},
-                          waste + n * (capacity - sum(whole)), ((whole, n), path)))
+        lengths = sorted(k for k, v in rest.items() if v)
+        return iter([(longest, *f) for f in fillings(lengths, rest, capacity - longest, width)])
+    # the path from the root: its options still open at each depth, its moves in plan
+    path = [options()]
+    while path and nodes and best_n > least:
+        whole = next(path[-1], None)
+        if whole is None:
+            path.pop()
+            if plan:
+                done, n = plan.pop()
+                move(done, -n)
+            continue
+        nodes -= 1
+        n = min(left[k] // v for k, v in Counter(whole).items())
+        move(whole, n)
+        plan.append((whole, n))
+        if not left and sum(n for _, n in plan) < best_n:
+            best, best_n = list(plan), sum(n for _, n in plan)
+        if not left or waste > (best_n - 1) * capacity - total:
+            done, n = plan.pop()
+            move(done, -n)
+        else:
+            path.append(options())
     return best
 
 
@@ -281,7 +298,7 @@ def _slots(plan: Plan) -> dict[str, np.ndarray]:
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
          capacity: int = 4096, end_id: int = 1, with_ids: bool = False,
-         nodes: int = 20000) -> DataFrame:
+         nodes: int = 5000) -> DataFrame:
     """One row per piece: key, piece, start, length, ids_crc32, (ids,)
     sequence_id, offset (gapless from 0 in each sequence).
 
