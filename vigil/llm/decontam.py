@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -126,55 +127,74 @@ class Index:
     def __init__(self, items: list[Item], vocabulary: dict[bytes, int], idf: np.ndarray,
                  basis: np.ndarray, min_cosine: float, min_lcs: float, min_answer: float):
         self.items, self.vocabulary = items, vocabulary
-        self.terms = np.vstack([basis * idf[:, None].astype(np.float32),
-                                np.zeros((1, basis.shape[1]), np.float32)])
+        self.terms = basis * idf[:, None].astype(np.float32)
         self.limits = (min_cosine, min_lcs, min_answer)
         sizes = [max(16, 1 << (len(x.words) - 1).bit_length()) for x in items]
         vectors = np.stack([self.terms[[vocabulary[w] for w in x.words]].sum(0) for x in items])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         self.classes = {s: np.array([i for i, x in enumerate(sizes) if x == s]) for s in set(sizes)}
         self.vectors = {s: vectors[at] for s, at in self.classes.items()}
+        self.longest = max(self.classes)
 
     def find(self, text: str | None) -> list[dict]:
         """The items found in a text: windows twice as long as the items'
-        length class and half overlapping, so that a copy lies whole in one."""
+        length class and half overlapping, so that a copy lies whole in one.
+        A candidate is read word by word only if enough of the item's words
+        are there at all, which the subsequence cannot exceed."""
         words = words_of(text)
         if not words:
             return []
         min_cosine, min_lcs, min_answer = self.limits
         other = len(self.vocabulary)
-        look = self.vocabulary.get
-        ids = np.fromiter((look(w, other) for w in words), np.int64, len(words))
+        ids = np.fromiter(map(self.vocabulary.get, words, repeat(other)), np.int64, len(words))
         best: dict[int, dict] = {}
-        seen: set[tuple[int, int]] = set()
-        for size in sorted(self.classes):
-            sums = self._window_sums(ids, size)
-            norms = np.linalg.norm(sums, axis=1, keepdims=True)
-            cosine = (sums @ self.vectors[size].T) / np.maximum(norms, 1e-12)
-            for row, col in zip(*np.nonzero(cosine >= min_cosine)):
-                n = int(self.classes[size][col])
-                item, start = self.items[n], max(0, (int(row) - 1) * size - size // 2)
-                if (n, start) in seen:
-                    continue
-                seen.add((n, start))
-                near = words[start:(int(row) + 1) * size + size // 2]
-                share = lcs_length(item.words, near) / len(item.words)
-                if share < min_lcs or share <= best.get(n, {}).get("lcs_share", 0.0):
-                    continue
-                answer = lcs_length(item.answer, near) / len(item.answer) if item.answer else 1.0
-                if answer >= min_answer:
-                    best[n] = {"item_id": item.item_id, "cosine": float(cosine[row, col]),
-                               "lcs_share": share, "answer_share": answer}
+        size, blocks = 16, self._block_sums(ids)
+        while size <= self.longest:
+            if size in self.classes:
+                edge = np.zeros_like(blocks[:1])
+                sums = np.vstack([blocks, edge]) + np.vstack([edge, blocks])
+                norms = np.linalg.norm(sums, axis=1, keepdims=True)
+                cosine = (sums @ self.vectors[size].T) / np.maximum(norms, 1e-12)
+                rows, cols = np.nonzero(cosine >= min_cosine)
+                at = -1
+                for row, col in zip(rows.tolist(), cols.tolist()):
+                    if row != at:
+                        at = row
+                        start = max(0, (row - 1) * size - size // 2)
+                        near = words[start:(row + 1) * size + size // 2]
+                        held = set(near).__contains__
+                    n = int(self.classes[size][col])
+                    item = self.items[n]
+                    if sum(map(held, item.words)) < min_lcs * len(item.words):
+                        continue
+                    share = lcs_length(item.words, near) / len(item.words)
+                    if share < min_lcs or share <= best.get(n, {}).get("lcs_share", 0.0):
+                        continue
+                    answer = lcs_length(item.answer, near) / len(item.answer) if item.answer else 1.0
+                    if answer >= min_answer:
+                        best[n] = {"item_id": item.item_id, "cosine": float(cosine[row, col]),
+                                   "lcs_share": share, "answer_share": answer}
+            if len(blocks) % 2:
+                blocks = np.vstack([blocks, np.zeros_like(blocks[:1])])
+            blocks = blocks[::2] + blocks[1::2]
+            size *= 2
         return [best[n] for n in sorted(best)]
 
-    def _window_sums(self, ids: np.ndarray, size: int, chunk: int = 1 << 14) -> np.ndarray:
-        """Latent sums of the windows [(j-1) * size, (j+1) * size)."""
+    def _block_sums(self, ids: np.ndarray, size: int = 16, chunk: int = 1 << 14) -> np.ndarray:
+        """Latent sums of the words of each block of 16; words that no item
+        holds add nothing and are skipped."""
         parts = []
-        for at in range(0, len(ids), chunk):  # a multiple of every class
+        for at in range(0, len(ids), chunk):  # a multiple of the block
             part = ids[at:at + chunk]
-            parts.append(np.add.reduceat(self.terms[part], np.arange(0, len(part), size), axis=0))
-        blocks = np.concatenate(parts)
-        return np.vstack([blocks, np.zeros_like(blocks[:1])]) + np.vstack([np.zeros_like(blocks[:1]), blocks])
+            places = np.flatnonzero(part < len(self.vocabulary))
+            n = -(-len(part) // size)
+            out = np.zeros((n, self.terms.shape[1]), np.float32)
+            if len(places):
+                first = np.searchsorted(places, np.arange(n) * size)
+                full = np.flatnonzero(np.diff(np.r_[first, len(places)]))
+                out[full] = np.add.reduceat(self.terms[part[places]], first[full], axis=0)
+            parts.append(out)
+        return np.concatenate(parts)
 
 
 def build_index(docs: DataFrame, rows: list, text: str, rank: int, background: int, min_words: int,
@@ -208,7 +228,7 @@ def build_index(docs: DataFrame, rows: list, text: str, rank: int, background: i
 
 def indexes(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
             item_text: str = "text", answer: str | None = None, block: int = 512, rank: int = 128,
-            background: int = 512, min_words: int = 6, min_cosine: float = 0.33,
+            background: int = 512, min_words: int = 6, min_cosine: float = 0.38,
             min_lcs: float = 0.6, min_answer: float = 0.5) -> Iterator[Index]:
     """An index for each block of benchmark items, in order of id.  Equal
     texts are one item (the smallest id); null and short ones are none."""
