@@ -189,10 +189,11 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 5000,
 
 _CACHE: dict[bytes, bytes] = {}
 _TOKENIZER: dict[str, object] = {}
-# a full stop or comma before a space that does not follow a letter of Latin-1
-# or a digit (there it could belong to a longer run of signs)
-_NO_WORD_END = re.compile(
-    rb"(?<![a-z0-9])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,] ")
+# a letter and the sign after it, which is never part of a contraction
+_WORD_SIGN = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
+# signs other than a full stop or comma that ends a word of Latin-1 letters or digits
+_OTHER_SIGNS = re.compile(
+    rb"[!-&(-+/:-@\[-`{-~]|(?<![a-z0-9])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,] ")
 _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
@@ -200,15 +201,20 @@ def _tokenizer(path: str):
     if path not in _TOKENIZER:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
+        words = Tokenizer.from_file(path)  # for lower-case words alone: nothing to normalise
+        words.normalizer = None
+        words.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.Split(" ", "removed"),
+            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = np.zeros(t.get_vocab_size() + 1, bool)
         for token, i in t.get_vocab().items():
             ends[i] = token.endswith("</w>")
         _TOKENIZER.clear()
         _CACHE.clear()
-        _TOKENIZER[path] = (t, ends)
+        _TOKENIZER[path] = (t, words, ends)
     return _TOKENIZER[path]
 
 
@@ -217,12 +223,14 @@ def token_ids(text: str, path: str, keep: int = 500_000) -> bytes:
 
     The word tokenizer lower-cases, drops white space and encodes each run of
     letters, each digit and each run of other signs by itself, so a text is
-    encoded part by part (cut at spaces, line breaks, and before a full stop
-    or comma that ends a word) and known parts come from a bounded cache.
+    encoded part by part (cut at spaces, line breaks, and between a letter
+    and a sign) and known parts come from a bounded cache.
     """
-    t, ends = _tokenizer(path)
+    t, words, ends = _tokenizer(path)
     raw = text.encode("utf-8", "replace").lower().replace(b"\n", b" ")
-    if not _NO_WORD_END.search(raw):
+    if _OTHER_SIGNS.search(raw):
+        raw = _WORD_SIGN.sub(rb"\1 \2", raw)
+    else:
         raw = raw.replace(b". ", b" . ").replace(b", ", b" , ")
     parts = raw.split(b" ")
     got = list(map(_CACHE.get, parts))
@@ -236,8 +244,8 @@ def token_ids(text: str, path: str, keep: int = 500_000) -> bytes:
             s = p.decode("utf-8")
             (plain if _PLAIN.fullmatch(s) else other).append((p, s))
         if plain:  # one word each: its tokens end at the first end-of-word token
-            ids = np.array(t.encode(" ".join([s for _, s in plain]),
-                                    add_special_tokens=False).ids, "<u4")
+            ids = np.array(words.encode_batch_fast([" ".join([s for _, s in plain])],
+                                                   add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(ends[ids]) + 1).tolist()
             if len(cuts) == len(plain):
                 flat = ids.tobytes()
@@ -262,6 +270,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     Null text: empty."""
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tail = np.array([end_id], "<u4").tobytes()
+        _CACHE.clear()  # idle workers would keep it
         for p in parts:
             rows = []
             for k, t in zip(p["key"], p["text"]):
@@ -271,6 +280,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
                     rows.append((k, n, at // 4, len(part) // 4, zlib.crc32(part),
                                  part if with_ids else None))
             yield pd.DataFrame(rows, columns=["key", "piece", "start", "length", "ids_crc32", "ids"])
+        _CACHE.clear()
     kind = dict(docs.dtypes)[key]
     out = bounded_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInPandas(
         cut, f"key {kind}, piece int, start long, length long, ids_crc32 long, ids binary")

@@ -84,24 +84,24 @@ def _errors(max_bits: int) -> list[list[np.ndarray]]:
 
 
 @lru_cache(maxsize=1)
-def _syndromes() -> np.ndarray:
-    """Remainder of every 23-bit word, from those of its halves."""
+def _syndromes() -> tuple[list[int], list[int]]:
+    """Remainders of the words that have only the low 12 or the high 11 bits."""
     half = []
     for shift, bits in ((0, 12), (12, 11)):
         v = np.arange(1 << bits, dtype=np.int64) << shift
         for top in range(GOLAY_BITS - 1, 10, -1):
             v = np.where(v >> top & 1, v ^ (GOLAY << (top - 11)), v)
-        half.append(v)
-    return (half[1][:, None] ^ half[0][None, :]).reshape(-1).astype(np.int16)
+        half.append(v.tolist())
+    return half[0], half[1]
 
 
 def anchors(fp: int, max_bits: int) -> tuple[int, np.ndarray]:
     """Home anchor of a fingerprint, and all anchors that residents within
     ``max_bits`` of it can have as their home."""
-    err, syn = _errors(max_bits), _syndromes()
+    err, (low, high) = _errors(max_bits), _syndromes()
     mask = (1 << GOLAY_BITS) - 1
     v1, v2 = fp & mask, fp >> GOLAY_BITS & mask
-    e1, e2 = err[syn[v1]], err[syn[v2]]
+    e1, e2 = (err[low[v & 4095] ^ high[v >> 12]] for v in (v1, v2))
     near = [(((v1 ^ e1[a]) >> 11) << 12)[:, None] | ((v2 ^ e2[b]) >> 11)[None, :]
             for a in range(max_bits + 1) for b in range(max_bits + 1 - a)]
     return int(near[0][0, 0]), np.concatenate([x.reshape(-1) for x in near])
