@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm.common import bounded_batches, free_name, to_scratch
@@ -37,8 +37,17 @@ PATTERNS = [
     ("card", re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")),
     ("name", re.compile(rf"(?<!\w)(?P<title>{'|'.join(_TITLES.values())})\b\.? (?P<name>{_NAME}(?: {_NAME})?)")),
 ]
-#: every text with an entity matches this
-MAY_HOLD = r"[0-9@]|(?U)\b(" + "|".join(_TITLES.values()) + r")\b"
+
+
+def may_hold(text: str) -> Column:
+    """True for every text with an entity: a digit or @, or a title that
+    something follows."""
+    c = F.col(text).cast("string")
+    out = c.rlike("[0-9@]")
+    for title in "|".join(_TITLES.values()).split("|"):
+        out = out | F.contains(c, F.lit(title + " ")) | F.contains(c, F.lit(title + ". "))
+    return F.coalesce(out, F.lit(False))
+
 
 _SCRIPTS = {
     "latin": ("ba be bi bo da de di do ga ka ke ko la le li lo ma me mi mo na ne ni no ra re ri ro sa se so ta te ti to va ve vi".split(),
@@ -158,7 +167,7 @@ def occurrences(docs: DataFrame, text: str) -> DataFrame:
                 [(h, a, b - a, kind, t[a:b], norm) for h, t in zip(p["text_hash"], p["text"])
                  for a, b, kind, norm in find_entities(t)],
                 columns=["text_hash", "start", "length", "kind", "value", "norm"])
-    rows = bounded_batches(docs).where(F.col(text).rlike(MAY_HOLD)).select(
+    rows = bounded_batches(docs).where(may_hold(text)).select(
         F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
     return to_scratch(rows.mapInPandas(
         find, "text_hash long, start long, length long, kind string, value string, norm string"), "entities")
@@ -218,7 +227,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
                 t = "".join(parts) + t[at:]
             out.append(t)
         return pd.Series(out, dtype=object)
-    may = F.coalesce(F.col(text).rlike(MAY_HOLD), F.lit(False))
+    may = may_hold(text)
     some = docs.where(may).withColumn(h, F.xxhash64(text)).join(spans, h, "left")
     n = F.greatest(F.coalesce(F.size(s), F.lit(0)), F.lit(0)).cast("long")
     some = some.withColumn("n_entities", n).withColumn(text, F.when(F.col(s).isNull(), F.col(text)).otherwise(
