@@ -198,27 +198,35 @@ _PLAIN = re.compile("[a-zß-öø-ÿ]+")
 
 
 def _tokenizer(path: str):
+    """The tokenizer, its own two first steps, and which ids end a word."""
     if path not in _TOKENIZER:
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
         t = Tokenizer.from_file(path)
         t.encode_special_tokens = True
-        words = Tokenizer.from_file(path)  # for lower-case words alone: nothing to normalise
-        words.normalizer = None
-        words.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.Split(" ", "removed"),
-            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        ends = np.zeros(t.get_vocab_size() + 1, bool)
-        for token, i in t.get_vocab().items():
-            ends[i] = token.endswith("</w>")
+        ends = np.array([(t.id_to_token(i) or "").endswith("</w>")
+                         for i in range(t.get_vocab_size())])
         _TOKENIZER.clear()
         _CACHE.clear()
-        _TOKENIZER[path] = (t, words, ends)
+        _TOKENIZER[path] = (t, (t.normalizer, t.pre_tokenizer), ends)
     return _TOKENIZER[path]
 
 
-def token_ids(text: str, path: str, keep: int = 500_000) -> bytes:
+def _encode_words(t, steps: tuple, words: list[str]) -> np.ndarray:
+    """Ids of lower-case words in a row, without normalising what is normal."""
+    from tokenizers import pre_tokenizers
+    t.normalizer = None
+    t.pre_tokenizer = pre_tokenizers.Sequence([
+        pre_tokenizers.Split(" ", "removed"),
+        pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    try:
+        return np.array(t.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+    finally:
+        t.normalizer, t.pre_tokenizer = steps
+
+
+def token_ids(text: str, path: str, keep: int = 300_000) -> bytes:
     """The token ids of a text as little-endian 32-bit integers.
 
     The word tokenizer lower-cases, drops white space and encodes each run of
@@ -226,7 +234,7 @@ def token_ids(text: str, path: str, keep: int = 500_000) -> bytes:
     encoded part by part (cut at spaces, line breaks, and between a letter
     and a sign) and known parts come from a bounded cache.
     """
-    t, words, ends = _tokenizer(path)
+    t, steps, ends = _tokenizer(path)
     raw = text.encode("utf-8", "replace").lower().replace(b"\n", b" ")
     if _OTHER_SIGNS.search(raw):
         raw = _WORD_SIGN.sub(rb"\1 \2", raw)
@@ -244,8 +252,7 @@ def token_ids(text: str, path: str, keep: int = 500_000) -> bytes:
             s = p.decode("utf-8")
             (plain if _PLAIN.fullmatch(s) else other).append((p, s))
         if plain:  # one word each: its tokens end at the first end-of-word token
-            ids = np.array(words.encode_batch_fast([" ".join([s for _, s in plain])],
-                                                   add_special_tokens=False)[0].ids, "<u4")
+            ids = _encode_words(t, steps, [s for _, s in plain])
             cuts = (np.flatnonzero(ends[ids]) + 1).tolist()
             if len(cuts) == len(plain):
                 flat = ids.tobytes()
