@@ -181,9 +181,9 @@ def assign(entities: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
     against all norms and all surrogates given before; of several that agree,
     the first by norm keeps it, the others try again.
     """
-    @F.udf("string")
-    def make(kind: str, norm: str, attempt: int) -> str:
-        return surrogate(key, kind, norm, attempt)
+    @F.pandas_udf("string")
+    def make(kind: pd.Series, norm: pd.Series, attempt: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(key, k, n, a) for k, n, a in zip(kind, norm, attempt)], dtype=object)
     known = to_scratch(entities.select("kind", "norm").distinct(), "entity-list")
     taken, open_, done = known, known, None
     for attempt in range(rounds):
