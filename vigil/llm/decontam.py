@@ -22,6 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -220,7 +221,9 @@ def build_index(docs: DataFrame, rows: list, text: str, rank: int, background: i
     schema = "ids array<int>, weights array<double>"
     drawn = docs.where(unit_hash(text, seed=23) < min(1.0, min(background, len(items)) / max(1, n)))
     sample = drawn.select(F.col(text).cast("string").alias("text")).mapInPandas(sampled, schema)
-    own = spark.createDataFrame([vector(x.words) for x in items], schema)
+    ids, weights = zip(*(vector(x.words) for x in items))
+    own = spark.createDataFrame(pa.table({
+        "ids": pa.array(ids, pa.list_(pa.int32())), "weights": pa.array(weights, pa.list_(pa.float64()))}))
     passages = to_scratch(own.unionByName(sample), "passages")
     basis = randomised_svd(passages, len(vocabulary), rank)
     return Index(items, vocabulary, idf, basis, *limits)
@@ -257,7 +260,8 @@ def matches_column(text: str, index: Index) -> Column:
     def find(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield pd.Series([index.find(t) for t in s], dtype=object)
-    return find(F.col(text).cast("string"))
+    # else Spark repeats the function in a filter that it infers from an explode
+    return find.asNondeterministic()(F.col(text).cast("string"))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",

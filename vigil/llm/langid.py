@@ -107,7 +107,7 @@ def judged(dictionaries: list[tuple[str, bytes]], text: str = "text",
                                 "score": pd.Series(scores, dtype=float)})
             out["accepted"] = (out["lang_pred"] != UNKNOWN) & (out["score"] >= min_margin)
             yield out
-    return judge(F.col(text).cast("string"))
+    return judge.asNondeterministic()(F.col(text).cast("string"))
 
 
 def identify(docs: DataFrame, dictionaries: list[tuple[str, bytes]], text: str = "text",

@@ -59,7 +59,7 @@ def fingerprint_column(text: str, shingle: int = 3) -> Column:
     def prints(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
             yield pd.Series([fingerprint(t, shingle) for t in s], dtype="int64")
-    return prints(F.col(text).cast("string"))
+    return prints.asNondeterministic()(F.col(text).cast("string"))
 
 
 @lru_cache(maxsize=4)
@@ -115,7 +115,8 @@ def anchor_columns(fp: str, max_bits: int) -> Column:
             got = [anchors(int(v), max_bits) for v in s]
             yield pd.DataFrame({"home": pd.Series([h for h, _ in got], dtype="int32"),
                                 "near": [x.astype(np.int32) for _, x in got]})
-    return cover(F.col(fp))
+    # else Spark repeats the function in a filter that it infers from the join
+    return cover.asNondeterministic()(F.col(fp))
 
 
 def near_links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
