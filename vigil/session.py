@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -21,7 +22,7 @@ _DEFAULTS = {
 }
 
 
-def get_spark(master: str | None = None, shuffle_partitions: int = 8,
+def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "vigil", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine's defaults.
 
@@ -32,7 +33,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
         b = b.master(master)
     for k, v in _DEFAULTS.items():
         b = b.config(k, v)
-    b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shuffle_partitions is not None:  # else what spark-submit gave holds
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     b = b.config("spark.driver.memory", os.environ.get("VIGIL_DRIVER_MEMORY", "16g"))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
@@ -48,11 +50,15 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one; only when it
-    is unset (local tests) a fresh scratch folder is created and set.
+    Uses ``spark.checkpoint.dir`` when the cluster names one; only in local
+    mode, where driver and executors are one process, an unset one is replaced
+    by a fresh scratch folder.  On a cluster an unset one is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.conf.get("spark.master", "local")
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"spark.checkpoint.dir is not set for {master}: executors need a shared folder")
         d = tempfile.mkdtemp(prefix="vigil-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     try:

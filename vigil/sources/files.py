@@ -108,10 +108,12 @@ def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 
 def read_patterns(spark: SparkSession, path: str) -> DataFrame:
-    """Stored patterns, or the 8 built-ins when none are stored."""
+    """Stored patterns in stored order, or the 8 built-ins when none are
+    stored; ``ord`` is the order that pattern matching needs."""
     from vigil.operators.incidents import PATTERN_SCHEMA, patterns_df
     stored = read_json_array(spark, path, T.StructType([f for f in PATTERN_SCHEMA.fields if f.name != "ord"]))
-    builtin = patterns_df(spark).drop("ord")
+    builtin = patterns_df(spark)
+    stored = stored.withColumn("ord", F.monotonically_increasing_id().cast(PATTERN_SCHEMA["ord"].dataType))
     has = stored.limit(1).select(F.lit(1).alias("_k"))
     fallback = builtin.withColumn("_k", F.lit(1)).join(has, "_k", "left_anti").drop("_k")
     return stored.unionByName(fallback, allowMissingColumns=True)
