@@ -19,7 +19,7 @@ def to_scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
+def bounded_batches(df: DataFrame, rows: int = 256) -> DataFrame:
     """``df``; sets the rows that Spark hands to Python at once to at most
     ``rows``, since texts are long and workers of several tasks share an
     executor's memory."""

@@ -226,7 +226,7 @@ def _encode_words(t, steps: tuple, words: list[str]) -> np.ndarray:
         t.normalizer, t.pre_tokenizer = steps
 
 
-def token_ids(text: str, path: str, keep: int = 300_000) -> bytes:
+def token_ids(text: str, path: str, keep: int = 100_000) -> bytes:
     """The token ids of a text as little-endian 32-bit integers.
 
     The word tokenizer lower-cases, drops white space and encodes each run of
