@@ -84,7 +84,9 @@ def error_streaks(requests: DataFrame, keys: list[str], width_s: int = 60) -> Da
             (F.count_if(F.col("status").between(500, 599)) * 100.0 / F.count(F.lit(1))).alias("error_pct"))
     w = Window.partitionBy(*keys).orderBy("step")
     c = c.withColumn("bad", F.col("error_pct") > MONITOR_ERROR_PCT)
-    c = c.withColumn("_chg", F.when(F.col("bad") != F.lag("bad").over(w), 1).otherwise(0))
+    # a minute without a check ends a run
+    new_run = (F.col("bad") != F.lag("bad").over(w)) | (F.col("step") - F.lag("step").over(w) > 1)
+    c = c.withColumn("_chg", F.when(new_run, 1).otherwise(0))
     c = c.withColumn("_run", F.sum("_chg").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = c.filter("bad").groupBy(*keys, "_run").agg(
         F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.count(F.lit(1)).alias("checks"))
@@ -97,12 +99,17 @@ def error_streaks(requests: DataFrame, keys: list[str], width_s: int = 60) -> Da
 def traffic_gaps(requests: DataFrame, keys: list[str], minutes: int = MONITOR_SILENCE_MIN,
                  tie: str = "request_id") -> DataFrame:
     """P4: 'dead service' — no traffic for 15 minutes between consecutive
-    requests of a key (sliced lag, no key in one task)."""
+    requests of a key (sliced lag, no key in one task), or from its last
+    request to the end of the range (the newest request of all keys)."""
     d = sliced_lag(requests.select(*keys, "ts", tie), keys, ["ts", tie], ["ts"], prefix="prev_")
-    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))) / 6e7
-    return (d.withColumn("gap_minutes", gap).filter(F.col("gap_minutes") >= minutes)
-            .select(*keys, F.col("prev_ts").alias("silent_from"), F.col("ts").alias("silent_to"), "gap_minutes",
-                    F.lit("dead service").alias("classification")))
+    between = d.select(*keys, F.col("prev_ts").alias("silent_from"), F.col("ts").alias("silent_to"))
+    last = requests.groupBy(*keys).agg(F.max("ts").alias("silent_from"), F.lit(0).alias("_k"))
+    end = requests.agg(F.max("ts").alias("silent_to")).withColumn("_k", F.lit(0))
+    after = last.join(F.broadcast(end), "_k").select(*keys, "silent_from", "silent_to")   # one row
+    gap = (F.unix_micros(F.col("silent_to").cast("timestamp"))
+           - F.unix_micros(F.col("silent_from").cast("timestamp"))) / 6e7
+    return (between.unionByName(after).withColumn("gap_minutes", gap).filter(F.col("gap_minutes") >= minutes)
+            .withColumn("classification", F.lit("dead service")))
 
 
 def latency_regressions(deploy_ba: DataFrame) -> DataFrame:
@@ -163,7 +170,8 @@ def dead_letter(attempts: DataFrame, key: str = "message_id", max_attempts: int
 
 def rank_suggestions(s: DataFrame, keys: list[str] = []) -> DataFrame:
     """Rank suggestions by incident frequency, severity, ease of fix and
-    confidence (each scaled to 0..1; frequency by the maximum per key)."""
+    confidence (each scaled to 0..1; frequency by the maximum per key), the
+    best first."""
     sev = F.create_map(*[x for k, v in SEVERITY_WEIGHT.items() for x in (F.lit(k), F.lit(v))])
     mx = s.groupBy(*keys).agg(F.max("frequency").alias("_mx")) if keys else \
         s.agg(F.max("frequency").alias("_mx")).withColumn("_k", F.lit(1))
@@ -172,7 +180,8 @@ def rank_suggestions(s: DataFrame, keys: list[str] = []) -> DataFrame:
     score = (RANKING_WEIGHTS["frequency"] * F.coalesce("_f", F.lit(0.0))
              + RANKING_WEIGHTS["severity"] * F.coalesce(sev[F.col("severity")], F.lit(0.0))
              + RANKING_WEIGHTS["ease"] * F.col("ease") + RANKING_WEIGHTS["confidence"] * F.col("confidence"))
-    return d.withColumn("priority_score", score).drop("_f")
+    return d.withColumn("priority_score", score).drop("_f").orderBy(
+        *keys, F.desc("priority_score"), "description")
 
 
 def batch_recommend_all(recs: DataFrame, model_version: str, path: str | None = None) -> DataFrame:

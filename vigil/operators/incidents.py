@@ -5,6 +5,8 @@ P5, P7, P13)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from vigil.functions.scalar import severity_rank
 from vigil.functions.text import (is_connection_error_line, is_error_line, is_oom_line,
                                   truncate, word_set)
 from vigil.operators.ordered import top_n
+from vigil.session import cut_lineage
 
 # --- fixed values (must equal the reference's rules) ---------------------
 # built-in failure patterns:
@@ -84,6 +87,8 @@ PATTERN_SCHEMA = T.StructType([
     T.StructField("ord", T.IntegerType()),
 ])
 MAX_BROADCAST_PATTERNS = 100_000
+SIMILARITY_STEPS = (0.6, 0.3)   # thresholds tried before the wanted one
+PREFIX_SHARED = 8               # tokens that candidates share in their prefixes
 
 
 def patterns_df(spark: SparkSession, extra: list[tuple] | None = None) -> DataFrame:
@@ -138,50 +143,55 @@ def jaccard_pairs(sets: DataFrame, threshold: float = SIMILARITY_MIN, right: Dat
     ``right`` it is an R-S join (``id_a`` from ``sets``, ``id_b`` from
     ``right``) sharing one global token order.
 
-    Prefix filtering with positional filtering (Bayardo et al. 2007; Xiao
-    et al. 2008, "PPJoin"): tokens are ranked by global document frequency
-    (rarest first).  A pair with J >= t shares a token among the first
-    ``|x| - ceil(t*|x|) + 1`` tokens of each set, the sizes satisfy
-    ``t*|x| <= |y| <= |x|/t``, and the overlap needed,
-    ``ceil(t / (1 + t) * (|x| + |y|))``, must still be reachable after the
-    first shared prefix token: ``1 + min(|x| - i, |y| - j)``.  Candidates
-    come from an equi-join on prefix tokens only (the most frequent tokens
-    of each set never generate pairs) and are verified exactly with
+    Prefix filtering (Bayardo et al. 2007; Xiao et al. 2008), extended to
+    several shared tokens: tokens are ranked by global document frequency,
+    rarest first.  A pair with J >= t has sizes ``t*|x| <= |y| <= |x|/t`` and
+    an overlap of at least ``o = ceil(t / (1 + t) * (|x| + |y|))``; its first
+    ``l`` shared tokens are followed by ``o - l`` others, so they lie among
+    the first ``|x| - o + l`` tokens of each set.  Candidates therefore share
+    ``l`` tokens there, counted in an equi-join on tokens (the most frequent
+    tokens of each set never generate pairs), and are verified exactly with
     ``size(array_intersect)``.  No cut-off on partners: every filter is a
     proven bound.
     """
-    t = threshold
     rs = sets if right is None else right
-
-    def toks(s: DataFrame, side: int) -> DataFrame:
-        return s.select("id", F.lit(side).alias("_side"), F.size("ws").alias("n"),
-                        F.explode("ws").alias("token"))
-
-    tok = toks(sets, 0) if right is None else toks(sets, 0).unionByName(toks(right, 1))
+    both = sets.withColumn("_side", F.lit(0))
+    if right is not None:
+        both = both.unionByName(right.withColumn("_side", F.lit(1)))
+    tok = ranked_tokens(both, ["_side"])
+    a = tok.filter(F.col("_side") == 0).drop("_side")
+    b = a if right is None else tok.filter(F.col("_side") == 1).drop("_side")
+    order = (F.col("id_a") < F.col("id_b")) if right is None else F.lit(True)
+    return verified_pairs(a, b, sets, rs, threshold, order)
+
+
+def ranked_tokens(sets: DataFrame, side: list[str] = []) -> DataFrame:
+    """``(*side, id, n, token, pos)``: the tokens of each set, the rarest over
+    all ``sets`` first; ``n`` is the size of the set."""
+    tok = sets.select(*side, "id", F.size("ws").alias("n"), F.explode("ws").alias("token"))
     df = tok.groupBy("token").agg(F.count(F.lit(1)).alias("_df"))
-    x = tok.join(df, "token")
-    w = Window.partitionBy("_side", "id").orderBy("_df", "token")
-    x = x.withColumn("pos", F.row_number().over(w))
-    plen = F.col("n") - F.ceil(F.col("n") * F.lit(t)) + 1
-    pre = x.filter(F.col("pos") <= plen).select("_side", "id", "n", "token", "pos")
-    a = pre.filter(F.col("_side") == 0).select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "token",
-                                                F.col("pos").alias("pos_a"))
-    b = pre.filter(F.col("_side") == (0 if right is None else 1)).select(
-        F.col("id").alias("id_b"), F.col("n").alias("n_b"), "token", F.col("pos").alias("pos_b"))
-    order_ok = (F.col("id_a") < F.col("id_b")) if right is None else F.lit(True)
+    w = Window.partitionBy(*side, "id").orderBy("_df", "token")
+    return tok.join(df, "token").withColumn("pos", F.row_number().over(w)).drop("_df")
+
+
+def verified_pairs(tok_a: DataFrame, tok_b: DataFrame, sets_a: DataFrame, sets_b: DataFrame, t: float,
+                   order: Column) -> DataFrame:
+    """Pairs with Jaccard > ``t`` that satisfy ``order``, from tokens ranked
+    together (see ``jaccard_pairs``)."""
+    least = F.ceil(F.col("n") * F.lit(t))
+    a, b = (d.filter(F.col("pos") <= F.col("n") - least + F.least(F.lit(PREFIX_SHARED), least)).select(
+        F.col("id").alias("id_" + x), F.col("n").alias("n_" + x), "token", F.col("pos").alias("pos_" + x))
+        for d, x in ((tok_a, "a"), (tok_b, "b")))
     need = F.ceil(F.lit(t / (1 + t)) * (F.col("n_a") + F.col("n_b")))
-    # positional bound per candidate row, before the shuffle: the first shared
-    # token of a valid pair has the loosest bound, so only rows of pairs that
-    # cannot qualify (or later shared tokens) are dropped
+    shared = F.least(F.lit(PREFIX_SHARED), need)
     cand = (a.join(b, "token")
-            .filter(order_ok
+            .filter(order
                     & (F.col("n_b") >= F.col("n_a") * t) & (F.col("n_b") * t <= F.col("n_a"))
-                    & (1 + F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need))
-            .groupBy("id_a", "id_b", "n_a", "n_b")
-            .agg(F.min("pos_a").alias("i"), F.min("pos_b").alias("j")))
-    cand = cand.filter(1 + F.least(F.col("n_a") - F.col("i"), F.col("n_b") - F.col("j")) >= need)
-    sa = sets.select(F.col("id").alias("id_a"), F.col("ws").alias("ws_a"))
-    sb = rs.select(F.col("id").alias("id_b"), F.col("ws").alias("ws_b"))
+                    & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need - shared))
+            .groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("_m"))
+            .filter(F.col("_m") >= shared).drop("_m"))
+    sa = sets_a.select(F.col("id").alias("id_a"), F.col("ws").alias("ws_a"))
+    sb = sets_b.select(F.col("id").alias("id_b"), F.col("ws").alias("ws_b"))
     v = cand.join(sa, "id_a").join(sb, "id_b").withColumn("inter", F.size(F.array_intersect("ws_a", "ws_b")))
     sim = F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))
     return v.select("id_a", "id_b", "inter", sim.alias("similarity")).filter(F.col("similarity") > t)
@@ -191,15 +201,50 @@ def similar_incidents(incidents: DataFrame, k: int = SIMILAR_LIMIT, id_col: str
                       threshold: float = SIMILARITY_MIN) -> DataFrame:
     """For every incident the ``k`` most similar other incidents by
     Jaccard of word sets (title, description, tags; words longer than 3
-    characters), similarity strictly above 0.1, ties by the other id."""
+    characters), similarity strictly above 0.1, ties by the other id.
+
+    Incidents of equal word sets are one class with its ``k + 1`` smallest
+    ids, so copies are never paired with each other.  The exact join runs at
+    falling thresholds: a class that has found ``k + 1`` incidents above one
+    needs no lower one, since all that it has not found are less similar.
+    """
     tags = F.col("tags") if "tags" in incidents.columns else F.array(F.col("tag"))
     ws = word_set(F.col("title"), F.col("description"), F.array_join(tags, " "))
-    sets = incidents.select(F.col(id_col).alias("id"), ws.alias("ws"))
-    pairs = jaccard_pairs(sets, threshold)
-    both = pairs.select(F.col("id_a").alias(id_col), F.col("id_b").alias("similar_id"), "similarity") \
-        .unionByName(pairs.select(F.col("id_b").alias(id_col), F.col("id_a").alias("similar_id"), "similarity"))
-    return top_n(both, [id_col], [F.col("similarity").desc(), F.col("similar_id")], k,
-                 salt_col="similar_id", rank_col="rank")
+    sets = cut_lineage(incidents.select(F.col(id_col).alias("id"), F.array_sort(ws).alias("ws"))
+                       .filter(F.size("ws") > 0))
+    classes = cut_lineage(sets.groupBy("ws").agg(F.min("id").alias("id")))
+    member = cut_lineage(sets.join(classes.withColumnRenamed("id", "cls"), "ws").select("id", "cls"))
+    heads = cut_lineage(top_n(member, ["cls"], [F.col("id")], k + 1, salt_col="id"))
+    tok = cut_lineage(ranked_tokens(classes))
+    n_own = heads.groupBy("cls").agg(F.count(F.lit(1)).alias("n_own"))
+    left, found = classes, []
+    for t in [x for x in SIMILARITY_STEPS if x > threshold] + [threshold]:
+        pairs = verified_pairs(tok.join(left.select("id"), "id", "left_semi"), tok, left, classes, t,
+                               F.col("id_a") != F.col("id_b"))
+        top = cut_lineage(top_n(pairs, ["id_a"], [F.col("similarity").desc(), F.col("id_b")], k + 1,
+                                salt_col="id_b"))
+        if t == threshold:
+            found.append(top)
+            break
+        n = top.groupBy(F.col("id_a").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
+        full = n_own.join(n, "cls", "left").filter(F.col("n_own") + F.coalesce("n", F.lit(0)) > k)
+        full = cut_lineage(full.select(F.col("cls").alias("id")))
+        found.append(top.join(full.withColumnRenamed("id", "id_a"), "id_a", "left_semi"))
+        left = cut_lineage(left.join(full, "id", "left_anti"))
+        if left.isEmpty():
+            break
+    pairs = reduce(DataFrame.unionByName, found)
+    near = pairs.select(F.col("id_a").alias("of"), F.col("id_b").alias("cls"), "similarity").join(heads, "cls") \
+        .select("of", F.col("id").alias("similar_id"), "similarity")
+    own = heads.select(F.col("cls").alias("of"), F.col("id").alias("similar_id"), F.lit(1.0).alias("similarity"))
+    best = top_n(near.unionByName(own), ["of"], [F.col("similarity").desc(), F.col("similar_id")], k + 1)
+    lists = best.groupBy("of").agg(F.array_sort(F.collect_list(
+        F.struct((-F.col("similarity")).alias("s"), F.col("similar_id").alias("i")))).alias("_l"))
+    rows = member.join(lists.withColumnRenamed("of", "cls"), "cls").select(
+        F.col("id").alias(id_col), F.posexplode(F.slice(
+            F.filter("_l", lambda x: x["i"] != F.col("id")), 1, k)).alias("_p", "_x"))
+    return rows.select(id_col, F.col("_x.i").alias("similar_id"), (-F.col("_x.s")).alias("similarity"),
+                       (F.col("_p") + 1).alias("rank"))
 
 
 def search_incidents(incidents: DataFrame, type_: str | None = None, status: str | None = None,
@@ -424,12 +469,12 @@ def relevance_score(temporal: Column, semantic: Column, severity_weight: Column)
 LEVEL_WEIGHT = {"error": 1.0, "warn": 0.5}
 
 
-def context_relevance(logs: DataFrame, issues: DataFrame, keys: list[str] = ["project"], k: int = 20,
+def context_relevance(logs: DataFrame, issues: DataFrame, keys: list[str] = ["project"],
                       window_s: int = 3600, tie: str = "log_id") -> DataFrame:
-    """P5: rank each project's log lines as analysis context for its issue:
+    """P5: score each project's log lines as analysis context for its issue:
     temporal = max(0, 1 - age / 1 h) before the project's newest line,
     semantic = Jaccard of the line's and the issue's word sets, severity =
-    1 error / 0.5 warn / 0 otherwise; the ``k`` most relevant lines."""
+    1 error / 0.5 warn / 0 otherwise.  All lines return."""
     from vigil.functions.text import detect_level
     iw = issues.select(*keys, word_set(F.concat_ws(" ", "finding", "details",
                                                    F.regexp_replace("tags", ",", " "))).alias("_iws"))
@@ -443,5 +488,4 @@ def context_relevance(logs: DataFrame, issues: DataFrame, keys: list[str] = ["pr
          .withColumn("semantic", F.when(union > 0, inter / union).otherwise(0.0))
          .withColumn("severity", F.coalesce(lw[detect_level("message")], F.lit(0.0))))
     d = d.withColumn("relevance", relevance_score(F.col("temporal"), F.col("semantic"), F.col("severity")))
-    d = d.select(*keys, tie, "ts", "temporal", "semantic", "severity", "relevance")
-    return top_n(d, keys, [F.col("relevance").desc(), F.col(tie)], k, salt_col=tie, rank_col="rank")
+    return d.select(*keys, tie, "ts", "temporal", "semantic", "severity", "relevance")

@@ -166,30 +166,35 @@ def latency_series(requests: DataFrame, keys: list[str], width: str = "1 minute"
 
 
 def asof_join(left: DataFrame, right: DataFrame, keys: list[str], left_ts: str, right_ts: str,
-              values: list[str], backward: bool = True) -> DataFrame:
+              values: list[str], backward: bool = True, tie: str | None = None) -> DataFrame:
     """For each left row the last right row at or before (``backward``)
     or the first right row at or after its time, per key.
 
+    Of several right rows at that time the one with the largest ``tie``
+    (forward: the smallest) counts; without ``tie`` the values decide.
+
     Union + sliced ``last(ignorenulls)`` carry; no key holds a task and no
     pair is enumerated.
     """
     lcols = left.columns
+    # one row per key and time; a right row without a time never qualifies (as in `point_ts <= ts`)
+    pick = F.max_by if backward else F.min_by
+    by = F.col(tie) if tie else F.struct(*values)
+    right = right.filter(F.col(right_ts).isNotNull()).groupBy(*keys, right_ts).agg(
+        *[pick(F.col(v), F.when(F.col(v).isNotNull(), by)).alias(v) for v in values])
     l2 = left.select(*[F.col(c) for c in lcols],
                      F.col(left_ts).cast("timestamp").alias("_t"),
                      F.lit(1 if backward else 0).alias("_side"),
                      *[F.lit(None).cast(right.schema[v].dataType).alias(v) for v in values])
-    # a right row without a time never qualifies (as in `point_ts <= ts`)
-    r2 = right.filter(F.col(right_ts).isNotNull()).select(
-        *keys, F.col(right_ts).cast("timestamp").alias("_t"), F.lit(0 if backward else 1).alias("_side"), *values)
+    r2 = right.select(*keys, F.col(right_ts).cast("timestamp").alias("_t"), F.lit(0 if backward else 1).alias("_side"),
+                      *values)
     u = l2.unionByName(r2, allowMissingColumns=True)
     if backward:
-        u = u.withColumn("_id", F.monotonically_increasing_id())
-        u = sliced_last_value(u, keys, ["_t", "_side", "_id"], values, prefix="_asof_")
+        u = sliced_last_value(u, keys, ["_t", "_side"], values, prefix="_asof_")
     else:
         # next value: reverse time so "first after" becomes "last before"
         u = u.withColumn("_rt", -F.unix_micros("_t")).withColumn("_rs", -F.col("_side"))
-        u = u.withColumn("_id", F.monotonically_increasing_id())
-        u = sliced_last_value(u, keys, ["_rt", "_rs", "_id"], values, prefix="_asof_")
+        u = sliced_last_value(u, keys, ["_rt", "_rs"], values, prefix="_asof_")
     out = u.filter(F.col("_side") == (1 if backward else 0))
     return out.select(*lcols, *[F.col("_asof_" + v).alias(v) for v in values])
 

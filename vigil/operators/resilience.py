@@ -206,11 +206,12 @@ def chaos_slo(summary: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def chaos_run_summary(probes: DataFrame, runs: DataFrame, window_s: int = 120,
-                      ts: str = "ts", status: str = "status", latency: str = "latency_ms") -> DataFrame:
+                      ts: str = "ts", status: str = "status", latency: str = "latency_ms", tie: str = "request_id") -> DataFrame:
     """Probe requests during each chaos window ``[start, start + window)``
     -> count, error ratio (ok = 200 <= status < 500; no probes -> 0, kafka-down
     -> 1), average latency; passed = ratio below the scenario limit and the
-    first probe after the window is ok.
+    first probe after the window is ok (of probes at one time that with the
+    smallest ``tie``).
 
     Interval join: each run is expanded to the minute buckets its window
     covers and equi-joined on (bucket); the residual keeps exact bounds.
@@ -237,10 +238,10 @@ def chaos_run_summary(probes: DataFrame, runs: DataFrame, window_s: int = 120,
     from vigil.operators.release import asof_join
     probes_ok = probes.select(F.col(ts).cast("timestamp").alias("_probe_ts"),
                               ((F.col(status) >= 200) & (F.col(status) < 500)).alias("after_ok"),
-                              F.lit(0).alias("_k"))
+                              F.col(tie).alias("_tie"), F.lit(0).alias("_k"))
     ends = (out.withColumn("_end_ts", F.col("start_ts").cast("timestamp") + F.expr(f"INTERVAL {int(window_s)} SECONDS"))
             .withColumn("_k", F.lit(0)))
-    after = asof_join(ends, probes_ok, ["_k"], "_end_ts", "_probe_ts", ["after_ok"], backward=False)
+    after = asof_join(ends, probes_ok, ["_k"], "_end_ts", "_probe_ts", ["after_ok"], backward=False, tie="_tie")
     # no probe after the window: not recovered
     after = after.withColumn("after_ok", F.coalesce(F.col("after_ok"), F.lit(False)))
     return after.withColumn("passed", (F.col("error_ratio") < lim) & F.col("after_ok")).drop("_end_ts", "_k")

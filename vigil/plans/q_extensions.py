@@ -50,7 +50,8 @@ WITH c AS (SELECT service, CAST(floor(epoch_us(ts) / 60000000) AS BIGINT) AS ste
                   COUNT(*) FILTER (WHERE status BETWEEN 500 AND 599) * 100.0 / COUNT(*) AS error_pct
            FROM requests GROUP BY service, CAST(floor(epoch_us(ts) / 60000000) AS BIGINT)),
 b AS (SELECT *, error_pct > 5.0 AS bad FROM c),
-b2 AS (SELECT *, CASE WHEN bad <> lag(bad) OVER (PARTITION BY service ORDER BY step) THEN 1 ELSE 0 END AS chg FROM b),
+b2 AS (SELECT *, CASE WHEN bad <> lag(bad) OVER (PARTITION BY service ORDER BY step)
+                          OR step - lag(step) OVER (PARTITION BY service ORDER BY step) > 1 THEN 1 ELSE 0 END AS chg FROM b),
 g AS (SELECT *, sum(chg) OVER (PARTITION BY service ORDER BY step ROWS UNBOUNDED PRECEDING) AS run FROM b2),
 r AS (SELECT service, run, min(step) AS f, max(step) AS l, COUNT(*) AS checks FROM g WHERE bad GROUP BY service, run)
 SELECT service, f * 60 AS start_epoch_s, l * 60 AS end_epoch_s, checks, 'service degradation' AS classification
@@ -63,10 +64,11 @@ def error_streaks(spark, sf):
 @query("traffic_gaps", """
 SELECT service, prev_ts AS silent_from, ts AS silent_to, (epoch_us(ts) - epoch_us(prev_ts)) / 6e7 AS gap_minutes,
        'dead service' AS classification
-FROM (SELECT service, ts, lag(ts) OVER (PARTITION BY service ORDER BY ts, request_id) AS prev_ts FROM requests) x
+FROM (SELECT service, ts, lag(ts) OVER (PARTITION BY service ORDER BY ts, request_id) AS prev_ts FROM requests
+      UNION ALL SELECT service, (SELECT max(ts) FROM requests), max(ts) FROM requests GROUP BY service) x
 WHERE (epoch_us(ts) - epoch_us(prev_ts)) / 6e7 >= 15""", ("requests",))
 def traffic_gaps(spark, sf):
-    """No traffic for 15 minutes per service."""
+    """No traffic for 15 minutes per service, within or at the end of the range."""
     return X.traffic_gaps(view(spark, sf, "requests"), ["service"])
 
 

@@ -270,10 +270,9 @@ s AS (SELECT project, log_id, ts,
                   ELSE 0.0 END AS semantic,
              {_LVL} AS severity FROM j),
 r AS (SELECT *, 0.3 * temporal + 0.4 * semantic + 0.3 * severity AS relevance FROM s)
-SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY project ORDER BY relevance DESC, log_id) AS rank FROM r) x
-WHERE rank <= 20""", ("logs", "metric_samples"))
+SELECT * FROM r""", ("logs", "metric_samples"))
 def context_relevance(spark, sf):
-    """P5: the 20 most relevant log lines per project for its primary issue
+    """P5: relevance of every log line of a project for its primary issue
     (0.3 temporal + 0.4 semantic + 0.3 severity)."""
     from vigil.plans import analysis as AN
     logs = project_logs(spark, sf)

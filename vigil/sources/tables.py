@@ -56,7 +56,7 @@ FROM events WHERE event_type = 'signup'""",
 SELECT event_id AS commit_id, ts, SUBSTR(MD5(CAST(event_id AS STRING)), 1, 7) AS sha, 'Commit ' || props AS message
 FROM events WHERE event_type = 'purchase'""",
     "incidents": """
-SELECT d.doc_id AS incident_id, d.source AS project, SUBSTR(d.text, 1, 80) AS title, SUBSTR(d.text, 1, 400) AS description,
+SELECT d.doc_id AS incident_id, d.source AS project, SUBSTR(d.text, 1, 80) AS title, d.text AS description,
        d.lang AS tag, CASE WHEN l.quality = 1 THEN 'resolved' WHEN l.quality = 0 THEN 'open' ELSE 'investigating' END AS status,
        CASE WHEN l.toxic = 1 THEN 'failed' WHEN l.toxic = 0 THEN 'resolved' END AS fix_outcome
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
