@@ -219,8 +219,12 @@ def similar_incidents(incidents: DataFrame, k: int = SIMILAR_LIMIT, id_col: str
     n_own = heads.groupBy("cls").agg(F.count(F.lit(1)).alias("n_own"))
     left, found = classes, []
     for t in [x for x in SIMILARITY_STEPS if x > threshold] + [threshold]:
-        pairs = verified_pairs(tok.join(left.select("id"), "id", "left_semi"), tok, left, classes, t,
-                               F.col("id_a") != F.col("id_b"))
+        open_tok = tok.join(left.select("id"), "id", "left_semi")
+        once = cut_lineage(verified_pairs(open_tok, open_tok, left, left, t, F.col("id_a") < F.col("id_b")))
+        pairs = once.union(once.select("id_b", "id_a", "inter", "similarity"))
+        if found:   # classes that are done still are partners of the others
+            pairs = pairs.unionByName(verified_pairs(
+                open_tok, tok.join(left.select("id"), "id", "left_anti"), left, classes, t, F.lit(True)))
         top = cut_lineage(top_n(pairs, ["id_a"], [F.col("similarity").desc(), F.col("id_b")], k + 1,
                                 salt_col="id_b"))
         if t == threshold:
