@@ -296,6 +296,35 @@ def test_leaks_found_and_clean_kept(spark):
     assert decontam.find_leaks(df.limit(0), bench).count() == 0
 
 
+def test_cut_copies_are_found(spark):
+    rng = random.Random(15)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    items = [(i, words(n), words(m)) for i, (n, m) in enumerate([(20, 5), (12, 4), (40, 1), (25, 12)])]
+    bench = spark.createDataFrame([(i, f"{a}. {b}.") for i, a, b in items], "item_id long, text string")
+    hosts = [f"{words(100)} {a}. {words(100)}" for _, a, _ in items] + [words(300)]
+    for i, a, b in items:  # 30 % of the words changed, the whole last sentence among them
+        w = f"{a} {b}".split()
+        left = max(0, round(0.3 * len(w)) - len(b.split()))
+        for at in rng.sample(range(len(a.split())), left):
+            w[at] = words(1)
+        hosts.append(" ".join([words(100), *w[:len(a.split())], words(len(b.split()) + 100)]))
+    df = docs(spark, hosts)
+    whole = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, bench).collect()}
+    held = {(d, i) for d, t in enumerate(hosts) for i, a, b in items
+            if decontam.lcs_length(decontam.words_of(f"{a} {b}"), decontam.words_of(t))
+            >= 0.6 * len(decontam.words_of(f"{a} {b}"))}
+    assert whole == held >= {(0, 0), (1, 1), (2, 2), (3, 3), (5, 0), (6, 1), (7, 2)}
+    assert {r["doc_id"] for r in decontam.drop_leaks(df, bench).collect()} == {
+        d for d in range(len(hosts)) if d not in {x for x, _ in held}}
+    # an answer column still decides where it is given
+    given = bench.withColumn("answer", F.when(F.col("item_id") != 2, F.regexp_extract("text", r"([^.]+)\.$", 1)))
+    found = decontam.find_leaks(df, given, answer="answer").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(2, 2), (7, 2)}
+    assert all(r["answer_share"] is None for r in found)
+
+
 # ------------------------------------------------------------------ secrets
 
 def test_secrets_found_and_redacted(spark):

@@ -4,8 +4,9 @@ Passages are TF-IDF vectors over the words of the benchmark.  A distributed
 randomised SVD of benchmark passages and a background sample of corpus
 passages gives a latent space; every window of every document is compared with
 the benchmark items there, and candidates are checked by the longest common
-subsequence of words with the item and with its answer.  So copies with
-changed, dropped or inserted words are found, and shared topics alone are not.
+subsequence of words with the item and, where the benchmark has an answer
+column, with the answer.  So copies with changed, dropped or inserted words,
+cut ones too, are found, and shared topics alone are not.
 
 Benchmark items come in blocks of bounded size, each a pass over the
 documents, so what tasks and driver hold does not grow with the benchmark.
@@ -14,7 +15,6 @@ Only document frequencies and small matrices are shuffled; no text moves.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from vigil.llm.common import bounded_batches, free_name, to_scratch, unit_hash
 
 _SIGNS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
-_SENTENCE = re.compile(r"[.!?]+(?:\s+|$)")
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -45,14 +44,11 @@ class Item:
 
 
 def read_items(rows: list, min_words: int) -> list[Item]:
-    """Items with ``min_words`` words at least; the answer is the answer column
-    if there is one, else the last sentence of the text."""
+    """Items with ``min_words`` words at least; without an answer column, or
+    where it is null, the answer is empty and nothing is asked of it."""
     out = []
     for item_id, text, answer in rows:
         words = words_of(text)
-        if answer is None:
-            parts = [s for s in _SENTENCE.split(text or "") if words_of(s)]
-            answer = parts[-1] if parts else ""
         if len(words) >= min_words:
             out.append(Item(item_id, words, words_of(answer)))
     return out
@@ -171,8 +167,8 @@ class Index:
                     share = lcs_length(item.words, near) / len(item.words)
                     if share < min_lcs or share <= best.get(n, {}).get("lcs_share", 0.0):
                         continue
-                    answer = lcs_length(item.answer, near) / len(item.answer) if item.answer else 1.0
-                    if answer >= min_answer:
+                    answer = lcs_length(item.answer, near) / len(item.answer) if item.answer else None
+                    if answer is None or answer >= min_answer:
                         best[n] = {"item_id": item.item_id, "cosine": float(cosine[row, col]),
                                    "lcs_share": share, "answer_share": answer}
             if len(blocks) % 2:
@@ -267,7 +263,7 @@ def matches_column(text: str, index: Index) -> Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
                **options) -> DataFrame:
     """One row per document and benchmark item found in it: key, item_id,
-    cosine, lcs_share, answer_share.
+    cosine, lcs_share, answer_share (null where no answer is given).
 
     Null and empty texts hold nothing; repeated rows return their findings
     again; extra columns are ignored; with no document or no item the result
