@@ -349,6 +349,16 @@ def test_secrets_found_and_redacted(spark):
     assert secret_scan.judge(found, forest).where("is_secret").count() == 31
 
 
+def test_long_secrets_leave_no_remainder(spark):
+    rng = random.Random(16)
+    values = ["".join(rng.choice("abcdefghijklmnopABCDEFGHIJ0123456789+/") for _ in range(2000)) for _ in range(12)]
+    values += [".".join(v[i:i + 700] for i in (0, 700, 1400)) for v in values[:4]]
+    df = docs(spark, [f'{prose("en", 20, i)} token={v} {prose("en", 20, i + 50)}' for i, v in enumerate(values)])
+    labelled = secret_scan.scan(df, secret_scan.Lexicon({})).select("features", F.lit(1).alias("label"))
+    for i, r in enumerate(secret_scan.redact_secrets(df, labelled).orderBy("doc_id").collect()):
+        assert r["text"] == f'{prose("en", 20, i)} token=[SECRET] {prose("en", 20, i + 50)}'
+
+
 # ------------------------------------------------------------------ surrogates
 
 def test_surrogates_keep_type_coreference_and_distinctness(spark):
