@@ -359,6 +359,37 @@ def test_long_secrets_leave_no_remainder(spark):
         assert r["text"] == f'{prose("en", 20, i)} token=[SECRET] {prose("en", 20, i + 50)}'
 
 
+def test_bare_keys_and_letters_only_passwords_are_redacted(spark):
+    rng = random.Random(17)
+    mixed = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+    def of(n, chars=mixed):
+        return "".join(rng.choice(chars) for _ in range(n))
+    secrets = ["AKIA" + of(16, mixed[26:52] + "234567"), "ghp_" + of(36), "sk_live_" + of(24) + "7",
+               "eyJ" + of(30) + "1.eyJ" + of(90) + "2." + of(43) + "3", of(63) + "5\n" + of(63) + "6"]
+    passwords = ["qzvkxwtrpl", "HjwqzKxvbnTr"]
+    texts = [f'{prose("en", 20, i)} {s} {prose("en", 20, i + 50)}' for i, s in enumerate(secrets)]
+    texts += [f'{prose("en", 20, i)} password = "{s}" {prose("en", 20, i + 70)}' for i, s in enumerate(passwords)]
+    kept = ["password = example1234", "card 4111111111111111", "run 2024-01-12T10", "commit " + of(40, "0123456789abcdef")]
+    texts += [f'{prose("en", 20, i)} {s} {prose("en", 20, i + 90)}' for i, s in enumerate(kept)]
+    out = [r["text"] for r in secret_scan.redact_secrets(docs(spark, texts)).orderBy("doc_id").collect()]
+    for i, s in enumerate(secrets + passwords):
+        assert not [part for part in re.split(r"[.\s]", s) if part in out[i]] and "[SECRET]" in out[i]
+    assert out[-len(kept):] == texts[-len(kept):]
+
+
+def test_training_sample_is_drawn_per_label(spark):
+    rare = [([1.0 + i / 100] * 16, 1) for i in range(20)]
+    many = spark.range(20000).select(F.array(*[F.rand(i) / 2 for i in range(16)]).alias("features"), F.lit(0).alias("label"))
+    labelled = many.union(spark.createDataFrame(rare, "features array<double>, label int"))
+    forest = secret_scan.train(labelled, bound=100)
+    found = spark.createDataFrame([(f,) for f, _ in rare], "features array<double>")
+    assert secret_scan.judge(found, forest).where("is_secret").count() == 20
+    # equal findings do not all stay or all go
+    same = spark.range(20000).select(F.array(*[F.lit(0.0)] * 16).alias("features"), F.lit(0).alias("label"))
+    assert secret_scan.train(same, bound=100) is not None
+
+
 # ------------------------------------------------------------------ surrogates
 
 def test_surrogates_keep_type_coreference_and_distinctness(spark):
