@@ -325,6 +325,28 @@ def test_cut_copies_are_found(spark):
     assert all(r["answer_share"] is None for r in found)
 
 
+def test_every_benchmark_row_is_searched(spark):
+    rng = random.Random(18)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    items = [(1, words(20)), (1, words(20)), (1, words(20)), (None, words(20)), (None, words(15)),
+             (2, words(20)), (3, words(3)), (None, words(1)), (4, words(5)), (5, " ?! "), (6, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    hosts = [f"{words(100)}, {t.upper()}! {words(100)}" for _, t in items[:9]]
+    w = items[8][1].split()
+    hosts += [f"{words(50)} {' '.join(w[:4])} {words(1)} {w[4]} {words(50)}", words(200)]
+    df = docs(spark, hosts)
+    for block in (1, 2, 512):
+        got = Counter((r["doc_id"], r["item_id"]) for r in decontam.find_leaks(df, bench, block=block).collect())
+        assert got == Counter((i, n) for i, (n, _) in enumerate(items[:9]))
+        assert sorted(r["doc_id"] for r in decontam.drop_leaks(df, bench, block=block).collect()) == [9, 10]
+    # an answer that is given must be near a short item, too
+    given = bench.withColumn("answer", F.when(F.col("item_id") == 3, F.lit(words(2))))
+    assert {r["doc_id"] for r in decontam.find_leaks(df, given, answer="answer").collect()} == {
+        0, 1, 2, 3, 4, 5, 7, 8}
+
+
 # ------------------------------------------------------------------ secrets
 
 def test_secrets_found_and_redacted(spark):

@@ -38,20 +38,16 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class Item:
-    item_id: int
+    item_id: int | None
     words: list[bytes]
     answer: list[bytes]
 
 
-def read_items(rows: list, min_words: int) -> list[Item]:
-    """Items with ``min_words`` words at least; without an answer column, or
-    where it is null, the answer is empty and nothing is asked of it."""
-    out = []
-    for item_id, text, answer in rows:
-        words = words_of(text)
-        if len(words) >= min_words:
-            out.append(Item(item_id, words, words_of(answer)))
-    return out
+def read_items(rows: list) -> list[Item]:
+    """Items with a word; without an answer column, or where it is null, the
+    answer is empty and nothing is asked of it."""
+    items = [Item(item_id, words_of(text), words_of(answer)) for item_id, text, answer in rows]
+    return [x for x in items if x.words]
 
 
 def lcs_length(item: list[bytes], other: list[bytes]) -> int:
@@ -119,13 +115,20 @@ def randomised_svd(passages: DataFrame, terms: int, rank: int, power: int = 2,
 
 
 class Index:
-    """Latent vectors of the items of a block, and all that checking needs."""
+    """Latent vectors of the items of a block, and all that checking needs.
+    ``short`` items have no vector: their words are looked for as they are."""
 
-    def __init__(self, items: list[Item], vocabulary: dict[bytes, int], idf: np.ndarray,
+    def __init__(self, items: list[Item], short: list[Item], vocabulary: dict[bytes, int], idf: np.ndarray,
                  basis: np.ndarray, min_cosine: float, min_lcs: float, min_answer: float):
-        self.items, self.vocabulary = items, vocabulary
+        self.items, self.vocabulary = items + short, vocabulary
+        self.short: dict[bytes, list[int]] = {}
+        for n, x in enumerate(short, len(items)):
+            self.short.setdefault(x.words[0], []).append(n)
         self.terms = basis * idf[:, None].astype(np.float32)
         self.limits = (min_cosine, min_lcs, min_answer)
+        self.classes, self.vectors, self.longest = {}, {}, 0
+        if not items:
+            return
         sizes = [max(16, 1 << (len(x.words) - 1).bit_length()) for x in items]
         vectors = np.stack([self.terms[[vocabulary[w] for w in x.words]].sum(0) for x in items])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
@@ -142,9 +145,11 @@ class Index:
         if not words:
             return []
         min_cosine, min_lcs, min_answer = self.limits
+        best = self._find_short(words)
+        if not self.classes:
+            return [best[n] for n in sorted(best)]
         other = len(self.vocabulary)
         ids = np.fromiter(map(self.vocabulary.get, words, repeat(other)), np.int64, len(words))
-        best: dict[int, dict] = {}
         size, blocks = 16, self._block_sums(ids)
         while size <= self.longest:
             if size in self.classes:
@@ -177,6 +182,22 @@ class Index:
             size *= 2
         return [best[n] for n in sorted(best)]
 
+    def _find_short(self, words: list[bytes]) -> dict[int, dict]:
+        """Short items whose words stand in the text in a row."""
+        best: dict[int, dict] = {}
+        if not self.short:
+            return best
+        for at in [i for i, w in enumerate(words) if w in self.short]:
+            for n in self.short[words[at]]:
+                item = self.items[n]
+                if n in best or words[at:at + len(item.words)] != item.words:
+                    continue
+                near = words[max(0, at - 16):at + 32]
+                answer = lcs_length(item.answer, near) / len(item.answer) if item.answer else None
+                if answer is None or answer >= self.limits[2]:
+                    best[n] = {"item_id": item.item_id, "cosine": 1.0, "lcs_share": 1.0, "answer_share": answer}
+        return best
+
     def _block_sums(self, ids: np.ndarray, size: int = 16, chunk: int = 1 << 14) -> np.ndarray:
         """Latent sums of the words of each block of 16; words that no item
         holds add nothing and are skipped."""
@@ -198,9 +219,10 @@ def build_index(docs: DataFrame, rows: list, text: str, rank: int, background: i
                 limits: tuple[float, float, float]) -> Index | None:
     """The index of a block of (item_id, text, answer)."""
     spark = docs.sparkSession
-    items = read_items(rows, min_words)
+    every = read_items(rows)
+    items, short = [[x for x in every if (len(x.words) < min_words) == is_short] for is_short in (False, True)]
     if not items:
-        return None
+        return Index([], short, {}, np.zeros(0), np.zeros((0, 1), np.float32), *limits) if short else None
     vocabulary = {w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))}
     n, held = document_frequencies(docs, text, vocabulary)
     idf = np.log((n + 1) / (held + 1)) + 0.1
@@ -222,15 +244,17 @@ def build_index(docs: DataFrame, rows: list, text: str, rank: int, background: i
         "ids": pa.array(ids, pa.list_(pa.int32())), "weights": pa.array(weights, pa.list_(pa.float64()))}))
     passages = to_scratch(own.unionByName(sample), "passages")
     basis = randomised_svd(passages, len(vocabulary), rank)
-    return Index(items, vocabulary, idf, basis, *limits)
+    return Index(items, short, vocabulary, idf, basis, *limits)
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
             item_text: str = "text", answer: str | None = None, block: int = 512, rank: int = 128,
             background: int = 512, min_words: int = 6, min_cosine: float = 0.38,
             min_lcs: float = 0.6, min_answer: float = 0.5) -> Iterator[Index]:
-    """An index for each block of benchmark items, in order of id.  Equal
-    texts are one item (the smallest id); null and short ones are none."""
+    """An index for each block of benchmark items, in order of id and text,
+    those without an id first.  Equal texts are one item (the smallest id);
+    null texts and texts without a word are none.  Items under ``min_words``
+    words are found only word by word, nothing changed."""
     rows = to_scratch(benchmark.where(F.col(item_text).isNotNull()).groupBy(
         F.col(item_text).alias("text")).agg(
             F.min(F.col(item)).alias("item"),
@@ -238,16 +262,17 @@ def indexes(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     bounded_batches(docs)
     last = None
     while True:
-        left = rows if last is None else rows.where(F.col("item") > last)
-        got = left.where("item IS NOT NULL").orderBy("item", "text").limit(block).select(
-            "item", "text", "answer").collect()
+        # nulls are the smallest in the order and inside a struct
+        left = rows if last is None else rows.where(F.struct("item", "text") > F.struct(
+            F.lit(last[0]).cast(rows.schema["item"].dataType).alias("item"), F.lit(last[1]).alias("text")))
+        got = left.orderBy("item", "text").limit(block).select("item", "text", "answer").collect()
         if not got:
             return
         made = build_index(docs, [tuple(r) for r in got], text, rank, background, min_words,
                            (min_cosine, min_lcs, min_answer))
         if made:
             yield made
-        last = got[-1]["item"]
+        last = got[-1]
 
 
 def matches_column(text: str, index: Index) -> Column:
