@@ -443,6 +443,25 @@ def test_surrogates_keep_type_coreference_and_distinctness(spark):
     assert surrogate.replace_entities(df.limit(0), "k").count() == 0
 
 
+def test_names_are_replaced_whole_and_at_each_mention(spark):
+    texts = ["Mr John Quincy Adams spoke. John Quincy Adams left; ADAMS stayed, Adams's dog and adams too.",
+             "Ms Anna Smith-Jones met Herr Dr. Jan van der Berg. Then Smith-Jones and Jan van der Berg, Berg. Jones!",
+             "Dr Smith wrote. Mr John Smith, Mr Smith and John Smith: Smith.", "Mrs. O'Brien, J. O'Brien.",
+             "Adams and Smith have no title here.", None]
+    out = [r["text"] for r in surrogate.replace_entities(docs(spark, texts), "k").orderBy("doc_id").collect()]
+    for t in out[:4]:
+        assert not re.search(r"John|Quincy|Adams\b|ADAMS|Anna|Smith|Jones|Jan\b|Berg|Brien", t)
+    a = re.fullmatch(r"Mr (\w+) (\w+) (\w+) spoke\. (\w+) (\w+) (\w+) left; (\w+) stayed, (\w+)'s dog and adams too\.", out[0])
+    x, y, z = a.groups()[:3]
+    assert a.groups()[3:] == (x, y, z, z.upper(), z)
+    b = re.fullmatch(r"Ms \w+ (\w+)-(\w+) met Herr Dr\. (\w+) van der (\w+)\. Then (\w+)-(\w+) and "
+                     r"(\w+) van der (\w+), (\w+)\. (\w+)!", out[1]).groups()
+    assert b[4:6] == b[:2] and b[6:8] == b[2:4] and b[8] == b[3] and b[9] == b[1]
+    c = re.fullmatch(r"Dr (\w+) wrote\. Mr (\w+) (\w+), Mr (\w+) and (\w+) (\w+): (\w+)\.", out[2]).groups()
+    assert len({c[0], c[2], c[3], c[5], c[6]}) == 1 and c[1] == c[4] == x and c[0] == b[0]
+    assert out[4:] == texts[4:]
+
+
 def test_surrogate_collisions_are_resolved(spark):
     rows = [("ip", f"{i}.{j}.1.1") for i in range(1, 10) for j in range(1, 10)]  # small formats
     got = surrogate.assign(spark.createDataFrame(rows, "kind string, norm string"), b"k").collect()

@@ -3,9 +3,11 @@
 Detected entities are replaced by made-up ones of the same type and format:
 digits for digits, letters for letters of the same script and case, valid
 octets, check digits that hold where they held, names that keep the gender
-their title or ending shows.  Replacements follow from a secret key, so an
-entity has the same surrogate in every document, however it is written
-(coreference).  Collision checks over all distinct entities keep surrogates
+their title shows.  Replacements follow from a secret key, so an entity has
+the same surrogate in every document, however it is written (coreference).
+Names are found by a title, and further mentions of a full name or surname in
+the same document without one; each part of a name has its own surrogate, so
+full names and surnames agree.  Collision checks over all distinct entities keep surrogates
 distinct from each other and from every entity that occurs.
 """
 
@@ -25,6 +27,11 @@ from vigil.llm.common import bounded_batches, free_name, to_scratch
 _TITLES = {"f": "Mrs|Ms|Miss|Frau|Madame|Mme|Mlle|Señora|Señorita|Sra|Srta|г-жа|κυρία",
            "m": "Mr|Sir|Herr|Monsieur|Señor|Sr|г-н|κύριος", "n": "Dr|Prof"}
 _NAME = r"[^\W\d_a-zà-öø-ÿа-яα-ω][^\W\d_]{1,30}"
+_TITLE = "|".join(_TITLES.values())
+_PART = rf"(?:[^\W\d_a-zà-öø-ÿа-яα-ω]['’])?{_NAME}"
+_WORD = rf"{_PART}(?:-{_PART})*"
+_INITIAL = r"[^\W\d_a-zà-öø-ÿа-яα-ω]\."
+_PARTICLES = "van|von|der|den|de|del|della|la|le|du|di|da|dos|zu|zur|bin|ibn|al"
 _GENDER = {t.lower(): g for g, ts in _TITLES.items() for t in ts.split("|")}
 # each pattern starts at a boundary, so that long runs are read once
 PATTERNS = [
@@ -35,8 +42,14 @@ PATTERNS = [
                          r"|(?<![\w+])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w+-])\d{3}-\d{3}-\d{4}(?![\w-])")),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("card", re.compile(r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])")),
-    ("name", re.compile(rf"(?<!\w)(?P<title>{'|'.join(_TITLES.values())})\b\.? (?P<name>{_NAME}(?: {_NAME})?)")),
+    ("name", re.compile(rf"(?<!\w)(?P<title>{_TITLE})\b\.? (?:(?:{_TITLE})\b\.? )*"
+                        rf"(?P<name>(?:{_INITIAL} ?)*(?:(?:{_PARTICLES}) )*{_WORD}(?!\w)"
+                        rf"(?: (?:{_INITIAL} ?)*(?:(?:{_PARTICLES}) )*{_WORD}(?!\w))*)")),
 ]
+_WORDS = re.compile(rf"(?<![\w'’-]){_WORD}(?!\w)")
+_GAP = re.compile(rf" (?:(?:{_INITIAL}|{_PARTICLES}) ?)*")
+_SUFFIXES = {"jr", "sr", "junior", "senior", "ii", "iii", "iv"}
+_PARTS = re.compile(rf"(?<![\w'’]){_PART}(?!\w)")
 
 
 def may_hold(text: str) -> Column:
@@ -138,39 +151,99 @@ def render(kind: str, value: str, norm: str) -> str:
     return "".join(next(left) if c.isalnum() else c for c in value)
 
 
-def find_entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, normal form) in order, none overlapping: what an
-    earlier pattern takes is blank to the later ones."""
-    out: list[tuple[int, int, str, str]] = []
+def _mentions(text: str, names: list[list[str]]) -> list[tuple[int, int]]:
+    """Spans of the mentions, capitalised as names are, of the full names and
+    surnames (the last word, and its parts between hyphens)."""
+    given: dict[str, set[str]] = {}
+    for words in names:
+        for last in {words[-1], *words[-1].split("-")}:
+            given.setdefault(last, set()).update(words[:-1])
+    out: list[tuple[int, int]] = []
+    run: list[tuple[int, int, str]] = []
+    for m in _WORDS.finditer(text):
+        a, b = m.span()
+        word = m.group().casefold()
+        if not run or a - run[-1][1] > 40 or not _GAP.fullmatch(text, run[-1][1], a):
+            run = []
+        run.append((a, b, word))
+        if word in given:
+            start = a
+            for at, _, before in reversed(run[:-1]):
+                if before not in given[word]:
+                    break
+                start = at
+            while out and out[-1][0] >= start:  # a given name that is a surname as well
+                start = min(start, out.pop()[0])
+            out.append((start, b))
+            run = []
+    return out
+
+
+def find_entities(text: str) -> list[tuple[int, int, str, str, bool]]:
+    """(start, end, kind, normal form, first of its entity) in order, none
+    overlapping: what an earlier pattern takes is blank to the later ones.  A
+    name gives a row for each of its parts."""
+    out: list[tuple[int, int, str, str, bool]] = []
+    names: list[list[str]] = []
+
+    def blank(text: str, spans: list[tuple[int, int]]) -> str:
+        at, parts = 0, []
+        for a, b in spans:
+            parts += [text[at:a], "\0" * (b - a)]
+            at = b
+        return "".join(parts) + text[at:]
+
+    def add_name(a: int, b: int, gender: str) -> None:
+        for n, m in enumerate(_PARTS.finditer(text, a, b)):
+            out.append((m.start(), m.end(), "name", normal("name", m.group(), gender), not n))
     for kind, pattern in PATTERNS:
-        new = []
+        spans = []
         for m in pattern.finditer(text):
             a, b = m.span("name") if kind == "name" else m.span()
-            gender = _GENDER.get(m.group("title").lower(), "n") if kind == "name" else "n"
-            new.append((a, b, kind, normal(kind, text[a:b], gender)))
-        if new:
-            at, parts = 0, []
-            for a, b, _, _ in new:
-                parts += [text[at:a], "\0" * (b - a)]
-                at = b
-            text = "".join(parts) + text[at:]
-            out += new
+            spans.append((a, b))
+            if kind == "name":
+                add_name(a, b, _GENDER.get(m.group("title").lower(), "n"))
+                words = [w.group().casefold() for w in _WORDS.finditer(text, a, b)]
+                names.append([w for w in words if w not in _SUFFIXES] or words)
+            else:
+                out.append((a, b, kind, normal(kind, text[a:b]), True))
+        if spans:
+            text = blank(text, spans)
+    if names:
+        for a, b in _mentions(text, names):
+            add_name(a, b, "n")
     return sorted(out)
 
 
+def one_gender(entities: DataFrame) -> DataFrame:
+    """(kind, norm, resolved) for every distinct (kind, norm): a part of a name
+    has one gender in all documents, the one that its titles show, neuter if
+    they show none or both."""
+    known = to_scratch(entities.select("kind", "norm").distinct(), "entity-norms")
+    name = F.col("kind") == "name"
+    word = F.when(name, F.expr("substring(norm, 3)"))
+    shown = F.when(~F.col("norm").startswith("n:"), F.substring("norm", 1, 1))
+    genders = known.where(name).groupBy(word.alias("word")).agg(F.min(shown).alias("a"), F.max(shown).alias("b"))
+    gender = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise("n")
+    return to_scratch(known.withColumn("word", word).join(genders, "word", "left").select(
+        "kind", "norm", F.when(name, F.concat(gender, F.lit(":"), "word")).otherwise(F.col("norm")).alias("resolved")),
+        "entity-genders")
+
+
 def occurrences(docs: DataFrame, text: str) -> DataFrame:
     """Written table of entities in the distinct texts: text_hash, start,
-    length, kind, value, norm."""
+    length, kind, value, norm, first (of the parts of a name)."""
     def find(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             yield pd.DataFrame(
-                [(h, a, b - a, kind, t[a:b], norm) for h, t in zip(p["text_hash"], p["text"])
-                 for a, b, kind, norm in find_entities(t)],
-                columns=["text_hash", "start", "length", "kind", "value", "norm"])
+                [(h, a, b - a, kind, t[a:b], norm, first) for h, t in zip(p["text_hash"], p["text"])
+                 for a, b, kind, norm, first in find_entities(t)],
+                columns=["text_hash", "start", "length", "kind", "value", "norm", "first"])
     rows = bounded_batches(docs).where(may_hold(text)).select(
         F.xxhash64(text).alias("text_hash"), F.col(text).cast("string").alias("text"))
     return to_scratch(rows.mapInPandas(
-        find, "text_hash long, start long, length long, kind string, value string, norm string"), "entities")
+        find, "text_hash long, start long, length long, kind string, value string, norm string, "
+        "first boolean"), "entities")
 
 
 def assign(entities: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
@@ -211,9 +284,12 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
     docs = docs.drop("n_entities")
     h, s = free_name(docs, "_hash"), free_name(docs, "_spans")
     found = occurrences(docs, text)
-    named = found.join(assign(found, key.encode()), ["kind", "norm"])
+    genders = one_gender(found)
+    new = assign(genders.select("kind", F.col("resolved").alias("norm")), key.encode())
+    new = genders.join(new.withColumnRenamed("norm", "resolved"), ["kind", "resolved"]).drop("resolved")
+    named = found.join(new, ["kind", "norm"])
     spans = named.groupBy(F.col("text_hash").alias(h)).agg(F.sort_array(F.collect_set(
-        F.struct("start", "length", "kind", "value", "new"))).alias(s))
+        F.struct("start", "length", "kind", "value", "new", "first"))).alias(s))
 
     @F.pandas_udf("string")
     def rewrite(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -229,7 +305,7 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame
         return pd.Series(out, dtype=object)
     may = may_hold(text)
     some = docs.where(may).withColumn(h, F.xxhash64(text)).join(spans, h, "left")
-    n = F.greatest(F.coalesce(F.size(s), F.lit(0)), F.lit(0)).cast("long")
+    n = F.greatest(F.coalesce(F.size(F.filter(s, lambda x: x["first"])), F.lit(0)), F.lit(0)).cast("long")
     some = some.withColumn("n_entities", n).withColumn(text, F.when(F.col(s).isNull(), F.col(text)).otherwise(
         rewrite(F.col(text).cast("string"), F.col(s))))
     return some.select(*docs.columns, "n_entities").unionByName(
