@@ -347,6 +347,32 @@ def test_every_benchmark_row_is_searched(spark):
         0, 1, 2, 3, 4, 5, 7, 8}
 
 
+def test_latent_space_is_of_all_windows_of_distinct_texts(spark):
+    rng = random.Random(19)
+    vocab = [a + b for a in "bdfgk" for b in ("ala", "olo", "umu", "iri")]
+    items = [" ".join(rng.choice(vocab) for _ in range(12)) for _ in range(6)]
+    texts = [" ".join(rng.choice(vocab[:4 + 3 * (i % 6)] + ["other"]) for _ in range(n))
+             for i, n in enumerate([200, 130, 64, 10, 300, 90])]
+    texts += [texts[0]] * 9 + [None, "", "nothing here"]
+    df = docs(spark, texts)
+    index, = decontam.indexes(df, spark.createDataFrame([*enumerate(items)], "item_id long, text string"), rank=4)
+    terms = sorted({w for t in items for w in t.split()})
+    held = np.array([sum(w in (t or "").split() for t in texts) for w in terms])
+    idf = np.log((len(texts) + 1) / (held + 1)) + 0.1
+
+    def gram(windows):
+        x = np.array([[w.count(t) for t in terms] * idf for w in windows])
+        x = x[x.any(1)]
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        return x.T @ x / len(x)
+    whole = [t.split() for t in {t for t in texts if t}]
+    both = gram([t.split() for t in items]) + gram([w[i:i + 64] for w in whole for i in range(0, len(w), 64)])
+    basis = index.terms / idf[:, None]
+    assert np.allclose(basis.T @ basis, np.eye(4), atol=1e-4)
+    top = np.sort(np.linalg.eigvalsh(both))[::-1][:4]
+    assert np.allclose(np.sort(np.diag(basis.T @ both @ basis))[::-1], top, rtol=1e-3)
+
+
 # ------------------------------------------------------------------ secrets
 
 def test_secrets_found_and_redacted(spark):

@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are TF-IDF vectors over the words of the benchmark.  A distributed
-randomised SVD of benchmark passages and a background sample of corpus
-passages gives a latent space; every window of every document is compared with
+randomised SVD of the benchmark and all windows of the distinct texts of the
+corpus gives a latent space; every window of every document is compared with
 the benchmark items there, and candidates are checked by the longest common
 subsequence of words with the item and, where the benchmark has an answer
 column, with the answer.  So copies with changed, dropped or inserted words,
@@ -10,12 +10,12 @@ cut ones too, are found, and shared topics alone are not.
 
 Benchmark items come in blocks of bounded size, each a pass over the
 documents, so what tasks and driver hold does not grow with the benchmark.
-Only document frequencies and small matrices are shuffled; no text moves.
+Document frequencies, small matrices and, once a block, the numbers of the
+benchmark's words in each text are shuffled; no text moves.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import bounded_batches, free_name, to_scratch, unit_hash
+from vigil.llm.common import bounded_batches, free_name, to_scratch
 
 _SIGNS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -80,38 +80,83 @@ def document_frequencies(docs: DataFrame, text: str, vocabulary: dict[bytes, int
     return got.get(-1, 0), np.array([got.get(i, 0) for i in range(len(vocabulary))], np.int64)
 
 
-def randomised_svd(passages: DataFrame, terms: int, rank: int, power: int = 2,
+def _multiplied(texts: Iterator[bytes], q: np.ndarray, idf: np.ndarray, window: int = 64,
+                chunk: int = 1 << 15) -> tuple[np.ndarray, int]:
+    """X'Xq and the number of rows of X, the unit TF-IDF vectors of all windows
+    of the texts (the term of each word, 32 bits; len(idf) for other words)."""
+    terms, z, rows = len(idf), np.zeros(q.shape), 0
+    held: list[np.ndarray] = []
+
+    def flush() -> None:
+        nonlocal rows
+        ids = np.concatenate(held).astype(np.int64)
+        held.clear()
+        at = np.flatnonzero(ids < terms)
+        pairs, n = np.unique(at // window * terms + ids[at], return_counts=True)
+        if not len(pairs):
+            return
+        term, first = pairs % terms, np.r_[True, np.diff(pairs // terms) > 0]
+        row, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+        rows += len(starts)
+        v = n * idf[term]
+        v = (v / np.sqrt(np.add.reduceat(v * v, starts))[row]).astype(np.float32)[:, None]
+        there = np.add.reduceat(q[term] * v, starts)
+        order = np.argsort(term, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(term[order]) > 0])
+        z[term[order][cuts]] += np.add.reduceat(there[row[order]] * v[order], cuts)
+    room = chunk
+    for raw in texts:
+        ids = np.frombuffer(raw, "<u4")
+        for start in range(0, len(ids), chunk):  # a multiple of the window
+            part = ids[start:start + chunk]
+            held.append(np.r_[part, np.full(-len(part) % window, terms, "<u4")])
+            room -= len(held[-1])
+            if room <= 0:
+                flush()
+                room = chunk
+    if held:
+        flush()
+    return z, rows
+
+
+def randomised_svd(items: list[bytes], texts: DataFrame, idf: np.ndarray, rank: int, power: int = 2,
                    seed: int = 1) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the sparse passage matrix
-    (columns ids, weights).  Each round multiplies by the matrix and back:
-    tasks sum over their passages, a shuffle by blocks of terms sums over the
-    tasks, and the driver orthonormalises terms x (rank + 16) numbers."""
-    width, step = min(rank + 16, terms), 512
+    """Right singular vectors (terms x rank) of the TF-IDF matrix of the items
+    and of all windows of the texts (column ids), both sides with the same
+    weight, since the items are few.  Each round multiplies by the matrix and
+    back: tasks sum over their windows, a shuffle by blocks of terms sums over
+    the tasks, and the driver orthonormalises terms x (rank + 16) numbers."""
+    terms, step = len(idf), 512
+    width = min(rank + 16, terms)
     q = np.linalg.qr(np.random.default_rng(seed).standard_normal((terms, width)))[0]
 
     def sums(q: np.ndarray) -> np.ndarray:
+        q = q.astype(np.float32)
+
         def multiply(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            z = np.zeros((terms, width))
-            for p in parts:
-                for ids, weights in zip(p["ids"], p["weights"]):
-                    np.add.at(z, ids, np.outer(weights, weights @ q[ids]))
-            yield pd.DataFrame([(i, z[i:i + step].tobytes()) for i in range(0, terms, step)
-                                if z[i:i + step].any()], columns=["block", "z"])
+            z, rows = _multiplied((raw for p in parts for raw in p["ids"]), q, idf)
+            yield pd.DataFrame([(-1, np.array([float(rows)]).tobytes())] + [
+                (i, z[i:i + step].tobytes()) for i in range(0, terms, step) if z[i:i + step].any()],
+                columns=["block", "z"])
 
         def add(p: pd.DataFrame) -> pd.DataFrame:
             total = sum(np.frombuffer(z) for z in p["z"])
             return pd.DataFrame({"block": p["block"][:1], "z": [total.tobytes()]})
-        out = np.zeros((terms, width))
-        for r in passages.mapInPandas(multiply, "block int, z binary").groupBy("block").applyInPandas(
+        out, rows = np.zeros((terms, width)), 0.0
+        for r in texts.mapInPandas(multiply, "block int, z binary").groupBy("block").applyInPandas(
                 add, "block int, z binary").collect():
-            part = np.frombuffer(r["z"]).reshape(-1, width)
-            out[r["block"]:r["block"] + len(part)] = part
-        return out
+            part = np.frombuffer(r["z"])
+            if r["block"] < 0:
+                rows = part[0]
+            else:
+                out[r["block"]:r["block"] + len(part) // width] = part.reshape(-1, width)
+        own, n = _multiplied(iter(items), q, idf)
+        return out / max(1.0, rows) + own / max(1, n)
     for _ in range(power):
         q = np.linalg.qr(sums(q))[0]
     values, turn = np.linalg.eigh(q.T @ sums(q))
     best = np.argsort(-values)[:rank]
-    return (q @ turn[:, best[values[best] > 1e-9]]).astype(np.float32)
+    return (q @ turn[:, best[values[best] > 1e-9 * values[best[0]]]]).astype(np.float32)
 
 
 class Index:
@@ -215,10 +260,9 @@ class Index:
         return np.concatenate(parts)
 
 
-def build_index(docs: DataFrame, rows: list, text: str, rank: int, background: int, min_words: int,
+def build_index(docs: DataFrame, rows: list, text: str, rank: int, min_words: int,
                 limits: tuple[float, float, float]) -> Index | None:
     """The index of a block of (item_id, text, answer)."""
-    spark = docs.sparkSession
     every = read_items(rows)
     items, short = [[x for x in every if (len(x.words) < min_words) == is_short] for is_short in (False, True)]
     if not items:
@@ -227,29 +271,24 @@ def build_index(docs: DataFrame, rows: list, text: str, rank: int, background: i
     n, held = document_frequencies(docs, text, vocabulary)
     idf = np.log((n + 1) / (held + 1)) + 0.1
 
-    def vector(words: list[bytes]) -> tuple[list[int], list[float]]:
-        c = Counter(vocabulary[w] for w in words if w in vocabulary)
-        v = np.array([k * idf[i] for i, k in c.items()])
-        return list(c), (v / max(float(np.linalg.norm(v)), 1e-12)).tolist()
+    def encode(words: list[bytes]) -> bytes:
+        return np.fromiter(map(vocabulary.get, words, repeat(len(vocabulary))), "<u4", len(words)).tobytes()
 
-    def sampled(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
-            out = [vector(words_of(t)[:64]) for t in p["text"]]
-            yield pd.DataFrame([x for x in out if x[0]], columns=["ids", "weights"])
-    schema = "ids array<int>, weights array<double>"
-    drawn = docs.where(unit_hash(text, seed=23) < min(1.0, min(background, len(items)) / max(1, n)))
-    sample = drawn.select(F.col(text).cast("string").alias("text")).mapInPandas(sampled, schema)
-    ids, weights = zip(*(vector(x.words) for x in items))
-    own = spark.createDataFrame(pa.table({
-        "ids": pa.array(ids, pa.list_(pa.int32())), "weights": pa.array(weights, pa.list_(pa.float64()))}))
-    passages = to_scratch(own.unionByName(sample), "passages")
-    basis = randomised_svd(passages, len(vocabulary), rank)
+            rows = [(h, words_of(t)) for h, t in zip(p["h"], p["text"])]
+            yield pd.DataFrame([(h, encode(w)) for h, w in rows if not vocabulary.keys().isdisjoint(w)],
+                               columns=["h", "ids"])
+    # equal texts are one: term numbers are shuffled for it, no text
+    whole = docs.select(F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text")).mapInPandas(
+        encoded, "h long, ids binary").groupBy("h").agg(F.first("ids").alias("ids")).select("ids")
+    basis = randomised_svd([encode(x.words) for x in items], to_scratch(whole, "passages"), idf, rank)
     return Index(items, short, vocabulary, idf, basis, *limits)
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
             item_text: str = "text", answer: str | None = None, block: int = 512, rank: int = 128,
-            background: int = 512, min_words: int = 6, min_cosine: float = 0.38,
+            min_words: int = 6, min_cosine: float = 0.38,
             min_lcs: float = 0.6, min_answer: float = 0.5) -> Iterator[Index]:
     """An index for each block of benchmark items, in order of id and text,
     those without an id first.  Equal texts are one item (the smallest id);
@@ -268,7 +307,7 @@ def indexes(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
         got = left.orderBy("item", "text").limit(block).select("item", "text", "answer").collect()
         if not got:
             return
-        made = build_index(docs, [tuple(r) for r in got], text, rank, background, min_words,
+        made = build_index(docs, [tuple(r) for r in got], text, rank, min_words,
                            (min_cosine, min_lcs, min_answer))
         if made:
             yield made
