@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import ann, backoff_lm, chat, decontam, langid, packing, secret_scan, sharding, simhash, surrogate
+from vigil.llm import (ann, backoff_lm, chat, decontam, langid, packing, secret_scan, sharding, simhash, surrogate,
+                       token_files)
 from vigil.llm.common import id_crc32, text_or_empty
+from vigil.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -141,3 +143,11 @@ def op4_backoff_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = backoff_lm.score_texts(docs, id_crc32("doc_id") % 5 != 1)
     return out.select("doc_id", (~F.col("trained_on")).alias("held_out"), "n_tokens", "n_known",
                       "train_tokens", "base_score", "score")
+
+
+@register
+def op11_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and digest, read back from the token files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = token_files.write_token_files(docs, scratch_path(spark, "token-files"), word_tokenizer())
+    return token_files.read_documents(spark, files).withColumnRenamed("key", "doc_id")
