@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import (ann, backoff_lm, chat, decontam, langid, packing, secret_scan, sharding, simhash, surrogate,
-                       token_files)
+from vigil.llm import (ann, backoff_lm, chat, decontam, langid, packing, secret_scan, sharding, simhash, spelling,
+                       surrogate, token_files)
 from vigil.llm.common import id_crc32, text_or_empty
 from vigil.session import scratch_path
 
@@ -151,3 +151,10 @@ def op11_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = token_files.write_token_files(docs, scratch_path(spark, "token-files"), word_tokenizer())
     return token_files.read_documents(spark, files).withColumnRenamed("key", "doc_id")
+
+
+@register
+def op12_prefix_suffix_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with its near words, form and root."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.group_variants(docs)
