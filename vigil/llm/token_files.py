@@ -35,31 +35,54 @@ WIDTHS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 32, 60])
 RUN, WIDE = 0, 15
 _RUN_ID_BITS = 32                 # below a run's length of up to 28 bits
 _LEAST_RUN = 61                   # a run shorter than that fits other words as well
-BLOCK, SEGMENT = 4096, 1 << 18
+BLOCK, SEGMENT = 4096, 1 << 16
 
 
-def encode_block(ids: np.ndarray) -> np.ndarray:
-    """The words of one block: greedy, as many ids a word as fit from each place on."""
+def _selectors(v: np.ndarray) -> np.ndarray:
+    """The selector with the most ids at each place of a row of ids, none of
+    which reaches over the end of its block."""
+    n = len(v)
+    bits = np.maximum((v.astype(np.float64).view(np.int64) >> 52) - 1022, 0)
+    bits = np.append(bits, np.full(-n % BLOCK, 255)).astype(np.uint8).reshape(-1, BLOCK)
+    best = np.full(bits.shape, WIDE, np.int8)
+    widest, c = bits, 1           # the widest of the c ids from each place on
+    for s in range(WIDE - 1, RUN, -1):
+        while c < COUNTS[s]:
+            widest = np.maximum(widest[:, :-1], bits[:, c:])
+            c += 1
+        fits = widest <= WIDTHS[s]
+        if not fits.any():
+            break                 # more ids are wider still, and get fewer bits each
+        best[:, :BLOCK - c + 1][fits] = s
+    return best.ravel()[:n].astype(np.int64)
+
+
+def _long_runs(v: np.ndarray) -> list[tuple[int, int]]:
+    """First and end of the runs of one id that are worth an escape."""
+    same = v[1:] == v[:-1]
+    if np.count_nonzero(same) < _LEAST_RUN - 1:
+        return []
+    edge = np.flatnonzero(~same) + 1
+    firsts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(v)]])
+    long = (ends - firsts >= _LEAST_RUN) & (v[firsts] >> np.uint64(_RUN_ID_BITS) == 0)
+    return list(zip(firsts[long].tolist(), ends[long].tolist()))
+
+
+def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, place of each word's first id): greedy, as many ids a word as fit."""
     n = len(ids)
-    if not n:
-        return np.empty(0, "<u8")
     v = ids.astype(np.uint64)
+    if not n:
+        return np.empty(0, "<u8"), np.empty(0, np.int64)
     if int(v.max()) >> 60:
         raise ValueError("ids of more than 60 bits have no code")
-    best = np.full(n, WIDE)       # the selector with the most ids at each place
-    for s in range(WIDE - 1, RUN, -1):
-        wide = np.concatenate([[0], np.cumsum(v >> np.uint64(WIDTHS[s]) != 0)])
-        c = COUNTS[s]
-        if c <= n:
-            fits = wide[c:] == wide[:n - c + 1]
-            best[:n - c + 1][fits] = s
+    best = _selectors(v)
     step = COUNTS[best]
-    edge = np.flatnonzero(np.diff(v) != 0) + 1
-    firsts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [n]])
-    long = (ends - firsts >= _LEAST_RUN) & (v[firsts] >> np.uint64(_RUN_ID_BITS) == 0)
-    for a, b in zip(firsts[long], ends[long]):   # from anywhere in a run to its end
-        at = np.arange(a, b - _LEAST_RUN + 1)
-        best[at], step[at] = RUN, b - at
+    for a, b in _long_runs(v):
+        for lo in range(a // BLOCK * BLOCK, b, BLOCK):   # from anywhere to the run's or the block's end
+            hi = min(b, lo + BLOCK)
+            at = np.arange(max(a, lo), hi - _LEAST_RUN + 1)
+            best[at], step[at] = RUN, hi - at
     starts, i, steps = [], 0, step.tolist()
     while i < n:
         starts.append(i)
@@ -75,7 +98,7 @@ def encode_block(ids: np.ndarray) -> np.ndarray:
             continue
         shifts = (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64)
         words[m] |= np.bitwise_or.reduce(v[first[:, None] + np.arange(COUNTS[s])] << shifts, axis=1)
-    return words.astype("<u8")
+    return words.astype("<u8"), at
 
 
 def decode_words(words: np.ndarray) -> np.ndarray:
@@ -102,9 +125,9 @@ def decode_words(words: np.ndarray) -> np.ndarray:
 def encode_segment(ids: np.ndarray) -> tuple[bytes, bytes]:
     """(words, offsets): all blocks' words in a row, and the first word of each
     block and of the end, as little-endian 32-bit numbers."""
-    blocks = [encode_block(ids[i:i + BLOCK]) for i in range(0, len(ids), BLOCK)]
-    ends = np.cumsum([0] + [len(b) for b in blocks]).astype("<u4")
-    return b"".join(b.tobytes() for b in blocks), ends.tobytes()
+    words, at = encode_words(ids)
+    offsets = np.searchsorted(at, np.arange(0, len(ids) + BLOCK, BLOCK))
+    return words.tobytes(), offsets.astype("<u4").tobytes()
 
 
 def read_ids(words: bytes, offsets: bytes, start: int = 0, length: int | None = None) -> np.ndarray:

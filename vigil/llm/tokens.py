@@ -2,8 +2,7 @@
 
 The tokenizer lower-cases, drops white space and encodes each run of letters,
 each digit and each run of other signs by itself.  A text can therefore be cut
-at white space and between a letter and a sign; known parts come from a cache
-that a Python worker keeps between its tasks, and the unknown parts of a whole
+at white space and between a letter and a sign; known parts come from a cache that a Python worker keeps between its tasks, and the unknown parts of a whole
 batch of texts are encoded together.
 """
 
@@ -11,8 +10,7 @@ from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 #: bytes that the cache of one worker may hold, both generations together
 CACHE_BYTES = 160_000_000
@@ -26,6 +24,9 @@ _BEFORE = re.compile(rb"[ .,'\-\x97\xb7][.,]")
 # a letter and the sign after it, which is never part of a contraction
 _WORD_SIGN = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
 _WORD = re.compile("[a-zß-öø-ÿ]+")
+# byte-level vocabularies write bytes that do not print as the signs from 256 on
+_BYTE_SIGNS = {b: 256 + i for i, b in enumerate(
+    x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174))}
 
 
 class _Cache(dict):
@@ -44,18 +45,12 @@ class WordIds:
 
     def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings are ordinary text
-        # for lower-case words in a row, which need neither of the first two steps
-        self.words = Tokenizer.from_file(path)
-        self.words.encode_special_tokens = True
-        self.words.normalizer = None
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([
-            pre_tokenizers.Split(" ", "removed"),
-            pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.ends = np.array([(self.whole.id_to_token(i) or "").endswith("</w>")
-                              for i in range(self.whole.get_vocab_size())])
+        self.model = self.whole.model            # for lower-case words, which need no other step
+        if hasattr(self.model, "_resize_cache"):
+            self.model._resize_cache(0)          # words come here once
         self.limit = cache_bytes // 2
         self.new, self.old, self.size = _Cache(), {}, 0
 
@@ -70,29 +65,20 @@ class WordIds:
         return raw.split()
 
     def _fresh(self, missed: set[bytes]) -> dict[bytes, bytes]:
-        out, plain, other = {}, [], []
+        out, other, tokenize = {}, [], self.model.tokenize
         for p in missed:
             known = self.old.get(p)
             if known is not None:
                 out[p] = known
-                continue
-            s = p.decode("utf-8")
-            (plain if _WORD.fullmatch(s) else other).append((p, s))
-        if plain:   # one word each: its ids end at the first that ends a word
-            ids = np.array(self.words.encode_batch_fast(
-                [" ".join([s for _, s in plain])], add_special_tokens=False)[0].ids, "<u4")
-            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(cuts) == len(plain):
-                flat, start = ids.tobytes(), 0
-                for (p, _), stop in zip(plain, cuts):
-                    out[p] = flat[start:stop]
-                    start = stop
+            elif _WORD.fullmatch(s := p.decode("utf-8")):
+                signs = s if s.isascii() else p.decode("latin-1").translate(_BYTE_SIGNS)
+                out[p] = array("I", [t.id for t in tokenize(signs)]).tobytes()
             else:
-                other += plain
+                other.append((p, s))
         for i in range(0, len(other), 1000):
             some = other[i:i + 1000]
             for (p, _), e in zip(some, self.whole.encode_batch_fast([s for _, s in some], add_special_tokens=False)):
-                out[p] = np.array(e.ids, "<u4").tobytes()
+                out[p] = array("I", e.ids).tobytes()
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
