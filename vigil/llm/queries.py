@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import (ann, backoff_lm, chat, decontam, langid, packing, secret_scan, sharding, simhash, spelling,
-                       surrogate, token_files)
+from vigil.llm import (ann, backoff_lm, chat, decontam, langid, packing, phrases, secret_scan, sharding,
+                       simhash, spelling, surrogate, token_files)
 from vigil.llm.common import id_crc32, text_or_empty
 from vigil.session import scratch_path
 
@@ -158,3 +158,38 @@ def op12_prefix_suffix_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of all documents with its near words, form and root."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return spelling.group_variants(docs)
+
+
+@register
+def op13_de_bruijn_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best-scoring phrases of each language of all documents."""
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+ORACLE["op13_de_bruijn_phrases"] = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+ws AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM piece),
+pos AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM ws),
+gram AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+         FROM pos, (VALUES (1), (2), (3), (4)) AS k(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM gram GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k AS words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+sub AS (SELECT c.lang, array_to_string(w[i:i + j - 1], ' ') AS phrase, max(a) AS top
+        FROM c, (VALUES (2), (3)) AS j(j), (VALUES (1), (2), (3)) AS i(i)
+        WHERE j < words AND i + j - 1 <= words GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN sub USING (lang, phrase)
+         WHERE top IS NULL OR 100 * top::HUGEINT < 80 * a::HUGEINT),
+cut AS (SELECT kept.lang, kept.phrase, a, x.k AS cut_k, l.f AS l, r.f AS r,
+               2000000 * a::HUGEINT // (l.f + r.f) AS score
+        FROM kept JOIN (VALUES (1), (2), (3)) AS x(k) ON x.k < words
+        JOIN f l ON l.lang = kept.lang AND l.phrase = array_to_string(w[1:x.k], ' ')
+        JOIN f r ON r.lang = kept.lang AND r.phrase = array_to_string(w[x.k + 1:words], ' ')),
+best AS (SELECT lang, phrase, a, arg_min({'l': l, 'r': r, 's': score}, score::HUGEINT * 4 + cut_k) AS b
+         FROM cut GROUP BY lang, phrase, a),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY b.s DESC, a DESC, phrase) AS rank,
+                  phrase, a, b.l AS l, b.r AS r, b.s::BIGINT AS score FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
