@@ -9,7 +9,6 @@ among the pieces of their length.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_right
 from collections import Counter
@@ -21,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.llm.common import bounded_batches, to_scratch
+from vigil.llm.tokens import word_ids
 
 # ---------------------------------------------------------------- search
 
@@ -187,88 +187,6 @@ def bin_completion(counts: dict[int, int], capacity: int, nodes: int = 5000,
 
 # ---------------------------------------------------------------- tokens
 
-_CACHE: dict[bytes, bytes] = {}
-_TOKENIZER: dict[str, object] = {}
-# a letter and the sign after it, which is never part of a contraction
-_WORD_SIGN = re.compile(rb"([a-z])([!-&(-/:-@\[-`{-~])")
-# signs other than a full stop or comma that ends a word of Latin-1 letters or digits
-_OTHER_SIGNS = re.compile(
-    rb"[!-&(-+/:-@\[-`{-~]|(?<![a-z0-9])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,] ")
-_PLAIN = re.compile("[a-zß-öø-ÿ]+")
-
-
-def _tokenizer(path: str):
-    """The tokenizer, its own two first steps, and which ids end a word."""
-    if path not in _TOKENIZER:
-        import os
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        ends = np.array([(t.id_to_token(i) or "").endswith("</w>")
-                         for i in range(t.get_vocab_size())])
-        _TOKENIZER.clear()
-        _CACHE.clear()
-        _TOKENIZER[path] = (t, (t.normalizer, t.pre_tokenizer), ends)
-    return _TOKENIZER[path]
-
-
-def _encode_words(t, steps: tuple, words: list[str]) -> np.ndarray:
-    """Ids of lower-case words in a row, without normalising what is normal."""
-    from tokenizers import pre_tokenizers
-    t.normalizer = None
-    t.pre_tokenizer = pre_tokenizers.Sequence([
-        pre_tokenizers.Split(" ", "removed"),
-        pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-    try:
-        return np.array(t.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-    finally:
-        t.normalizer, t.pre_tokenizer = steps
-
-
-def token_ids(text: str, path: str, keep: int = 100_000) -> bytes:
-    """The token ids of a text as little-endian 32-bit integers.
-
-    The word tokenizer lower-cases, drops white space and encodes each run of
-    letters, each digit and each run of other signs by itself, so a text is
-    encoded part by part (cut at spaces, line breaks, and between a letter
-    and a sign) and known parts come from a bounded cache.
-    """
-    t, steps, ends = _tokenizer(path)
-    raw = text.encode("utf-8", "replace").lower().replace(b"\n", b" ")
-    if _OTHER_SIGNS.search(raw):
-        raw = _WORD_SIGN.sub(rb"\1 \2", raw)
-    else:
-        raw = raw.replace(b". ", b" . ").replace(b", ", b" , ")
-    parts = raw.split(b" ")
-    got = list(map(_CACHE.get, parts))
-    if None in got:
-        miss = {p for p, g in zip(parts, got) if g is None}
-        if len(_CACHE) + len(miss) > keep:
-            _CACHE.clear()
-        fresh = {}
-        plain, other = [], []
-        for p in miss:
-            s = p.decode("utf-8")
-            (plain if _PLAIN.fullmatch(s) else other).append((p, s))
-        if plain:  # one word each: its tokens end at the first end-of-word token
-            ids = _encode_words(t, steps, [s for _, s in plain])
-            cuts = (np.flatnonzero(ends[ids]) + 1).tolist()
-            if len(cuts) == len(plain):
-                flat = ids.tobytes()
-                for (p, _), start, stop in zip(plain, [0, *cuts], cuts):
-                    fresh[p] = flat[4 * start:4 * stop]
-            else:
-                other += plain
-        if other:
-            for (p, _), e in zip(other, t.encode_batch_fast(
-                    [s for _, s in other], add_special_tokens=False)):
-                fresh[p] = np.array(e.ids, "<u4").tobytes()
-        _CACHE.update(fresh)
-        got = [fresh[p] if g is None else g for p, g in zip(parts, got)]
-    return b"".join(got)
-
-
 def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text",
                  capacity: int = 4096, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Written table of pieces: key, piece (from 0), start, length, ids_crc32,
@@ -276,18 +194,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     ids and then ``end_id``; only documents longer than ``capacity`` are cut.
     Null text: empty."""
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tail = np.array([end_id], "<u4").tobytes()
-        _CACHE.clear()  # idle workers would keep it
+        tail, encoder = np.array([end_id], "<u4").tobytes(), word_ids(tokenizer)
         for p in parts:
             rows = []
-            for k, t in zip(p["key"], p["text"]):
-                ids = token_ids(t or "", tokenizer) + tail
+            for k, ids in zip(p["key"], encoder.encode(p["text"].tolist())):
+                ids += tail
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     rows.append((k, n, at // 4, len(part) // 4, zlib.crc32(part),
                                  part if with_ids else None))
             yield pd.DataFrame(rows, columns=["key", "piece", "start", "length", "ids_crc32", "ids"])
-        _CACHE.clear()
     kind = dict(docs.dtypes)[key]
     out = bounded_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInPandas(
         cut, f"key {kind}, piece int, start long, length long, ids_crc32 long, ids binary")

@@ -11,9 +11,12 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import islice
 
-#: bytes that the cache of one worker may hold, both generations together
-CACHE_BYTES = 160_000_000
+#: bytes that the cache of one worker may hold
+CACHE_BYTES = 64_000_000
+#: places that mark which parts were met before; a part is cached when it comes again
+MET = 1 << 22
 _ENTRY = 170        # bytes of two small objects and their place in a dict
 _SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 # the bytes of texts whose full stops and commas can be cut off without a pattern
@@ -32,7 +35,8 @@ _BYTE_SIGNS = {b: 256 + i for i, b in enumerate(
 class _Cache(dict):
     """Keys that are not there are noted and have no value yet."""
 
-    def __init__(self):
+    def __init__(self, items=()):
+        super().__init__(items)
         self.missed: list[bytes] = []
 
     def __missing__(self, key: bytes) -> None:
@@ -51,8 +55,9 @@ class WordIds:
         self.model = self.whole.model            # for lower-case words, which need no other step
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)          # words come here once
-        self.limit = cache_bytes // 2
-        self.new, self.old, self.size = _Cache(), {}, 0
+        self.limit = cache_bytes
+        self.new, self.size = _Cache(), 0
+        self.met, self.marks = bytearray(MET), 0
 
     @staticmethod
     def parts(text: str) -> list[bytes]:
@@ -67,10 +72,7 @@ class WordIds:
     def _fresh(self, missed: set[bytes]) -> dict[bytes, bytes]:
         out, other, tokenize = {}, [], self.model.tokenize
         for p in missed:
-            known = self.old.get(p)
-            if known is not None:
-                out[p] = known
-            elif _WORD.fullmatch(s := p.decode("utf-8")):
+            if _WORD.fullmatch(s := p.decode("utf-8")):
                 signs = s if s.isascii() else p.decode("latin-1").translate(_BYTE_SIGNS)
                 out[p] = array("I", [t.id for t in tokenize(signs)]).tobytes()
             else:
@@ -81,6 +83,17 @@ class WordIds:
                 out[p] = array("I", e.ids).tobytes()
         return out
 
+    def _met(self, part: bytes) -> bool:
+        """Was the part met in an earlier batch?  (Rarely true by chance.)"""
+        at = hash(part) % len(self.met)
+        if self.met[at]:
+            return True
+        self.met[at] = 1
+        self.marks += 1
+        if self.marks > len(self.met) // 4:
+            self.met, self.marks = bytearray(len(self.met)), 0
+        return False
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.parts(t) if t else [] for t in texts]
         new = self.new
@@ -97,12 +110,14 @@ class WordIds:
         if open_:
             fresh = self._fresh(set(new.missed))
             new.missed.clear()
-            new.update(fresh)
             for i in open_:
                 out[i] = b"".join([fresh[p] if g is None else g for p, g in zip(cut[i], out[i])])
-            self.size += sum(map(len, fresh)) + sum(map(len, fresh.values())) + _ENTRY * len(fresh)
-            if self.size > self.limit:   # the elder half goes
-                self.new, self.old, self.size = _Cache(), dict(new), 0
+            again = {p: x for p, x in fresh.items() if self._met(p)}
+            new.update(again)
+            self.size += sum(map(len, again)) + sum(map(len, again.values())) + _ENTRY * len(again)
+            if self.size > self.limit:   # the later half goes: frequent parts come early
+                self.new = _Cache(islice(new.items(), len(new) // 2))
+                self.size //= 2
         return out
 
 
