@@ -31,64 +31,70 @@ from vigil.llm.common import bounded_batches, to_scratch
 from vigil.operators.ordered import top_n
 
 ORDER = 4                   # words of an edge
-HELD = 400_000              # grams that a task holds before it packs them
-PART_BYTES = 3 << 20        # of text for each hashed part of a language
+HELD = 300_000              # grams that a task holds before it packs them
+PART_BYTES = 2 << 20        # of text for each hashed part of a language
 SALTS = 8
 _END = b"\xff"              # between pieces; no byte of a text
 _TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _END * 10 + b" ")
-_PACK = "lang string, part int, grams binary, counts binary"
+_PACK = "lang string, part int, words int, ones binary, grams binary, counts binary"
+_UNZIP = zstandard.ZstdDecompressor().decompress
 
 
 # ---------------------------------------------------------------- counting
 
-def edges_and_ends(text: str, at_once: int = HELD // 4) -> Iterator[list[bytes]]:
-    """For each word of a text the gram that starts there: of ``ORDER`` words,
-    or of those left in its piece.  Lists of at most ``at_once`` grams."""
+def edges_and_ends(text: str, at_once: int = HELD // 4) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """For each word of a text the gram that starts there: (those of ``ORDER``
+    words, those of the words left in a piece), at most ``at_once`` at a time."""
     words = text.encode("utf-8", "replace").lower().translate(_TABLE).replace(_END, b" \xff ").split()
     words += [_END] * ORDER
     for lo in range(0, len(words) - ORDER, at_once):
         some = words[lo:lo + at_once + ORDER - 1]
-        grams = map(b" ".join, zip(*[some[i:len(some) - ORDER + 1 + i] for i in range(ORDER)]))
-        yield [g.partition(b" \xff")[0] for g in grams if g[0] != 255]
+        grams = list(map(b" ".join, zip(*[some[i:len(some) - ORDER + 1 + i] for i in range(ORDER)])))
+        yield ([g for g in grams if _END not in g],
+               [g.partition(b" \xff")[0] for g in grams if _END in g and g[0] != 255])
 
 
 class _Packer:
-    """Counts by language, handed on as packs of (lang, part)."""
+    """Counts by language and words of a gram, handed on as packs."""
 
     def __init__(self, parts: int):
         self.parts, self.held, self.n = parts, defaultdict(Counter), 0
-        self.zip = zstandard.ZstdCompressor(level=1)
+        self.press = zstandard.ZstdCompressor(level=1).compress
 
     def rows(self) -> Iterator[pa.RecordBatch]:
-        for lang, counts in self.held.items():
-            if not counts:
-                continue
+        for (lang, words), counts in self.held.items():
             grams = sorted(counts)
             part = np.fromiter(map(zlib.crc32, grams), np.int64, len(grams)) % self.parts
-            yield from self.pack(lang, grams, [counts[g] for g in grams], part)
+            yield from self.pack(lang, words, grams, list(map(counts.__getitem__, grams)), part)
         self.held.clear()
         self.n = 0
 
-    def pack(self, lang: str, grams: list[bytes], counts: list[int], part: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(part, kind="stable")
-        sorted_part = part[order]
+    def pack(self, lang: str, words: int, grams: list[bytes], counts: list[int], part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Grams that occur once apart from those with a count."""
+        if not grams:
+            return
+        numbers = np.array(counts, "<i8")
+        order = np.lexsort((numbers > 1, part))      # stable: grams stay sorted
+        sorted_part, numbers = part[order], numbers[order]
         cuts = np.flatnonzero(np.concatenate([[True], sorted_part[1:] != sorted_part[:-1], [True]]))
-        numbers, at = np.array(counts, "<i8")[order], order.tolist()
-        press = self.zip.compress
-        cols = ([], [], [], [])
-        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
-            cols[0].append(lang)
-            cols[1].append(int(sorted_part[a]))
-            cols[2].append(press(b"\n".join([grams[i] for i in at[a:b]])))
-            cols[3].append(press(numbers[a:b].tobytes()))
+        names = [grams[i] for i in order.tolist()]
+        singles = np.add.reduceat(numbers == 1, cuts[:-1], dtype=np.int64).tolist()
+        rows = ([], [], [])
+        for a, b, one in zip(cuts.tolist(), cuts[1:].tolist(), singles):
+            rows[0].append(self.press(b"\n".join(names[a:a + one])))
+            rows[1].append(self.press(b"\n".join(names[a + one:b])))
+            rows[2].append(self.press(numbers[a + one:b].tobytes()))
+        k = len(rows[0])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.binary(), pa.binary()))],
-            names=["lang", "part", "grams", "counts"])
+            [pa.array([lang] * k, pa.string()), pa.array(sorted_part[cuts[:-1]], pa.int32()),
+             pa.array([words] * k, pa.int32()), *(pa.array(c, pa.binary()) for c in rows)],
+            names=["lang", "part", "words", "ones", "grams", "counts"])
 
 
-def _unpack(grams: bytes, counts: bytes) -> tuple[list[bytes], list[int]]:
-    unzip = zstandard.ZstdDecompressor().decompress
-    return unzip(grams).split(b"\n"), np.frombuffer(unzip(counts), "<i8").tolist()
+def _unpack(ones: bytes, grams: bytes, counts: bytes) -> tuple[list[bytes], list[bytes], list[int]]:
+    """(grams that occur once, other grams, their counts)."""
+    a, b, n = (_UNZIP(x) for x in (ones, grams, counts))
+    return a.split(b"\n") if a else [], b.split(b"\n") if n else [], np.frombuffer(n, "<i8").tolist()
 
 
 def _count_texts(parts: int):
@@ -96,9 +102,11 @@ def _count_texts(parts: int):
         out = _Packer(parts)
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for grams in edges_and_ends(text):
-                    out.held[lang].update(grams)
-                    out.n += len(grams)
+                for edges, ends in edges_and_ends(text):
+                    out.held[lang, ORDER].update(edges)
+                    out.n += len(edges) + len(ends)
+                    for g in ends:
+                        out.held[lang, g.count(b" ") + 1][g] += 1
                     if out.n >= HELD:
                         yield from out.rows()
         yield from out.rows()
@@ -108,42 +116,42 @@ def _count_texts(parts: int):
 def _sum_level(words: int, parts: int, least: int):
     """Packs sorted by (lang, part) -> grams of ``words`` words are whole now:
     the frequent ones are results (packs with a negative part), and all flow to
-    the gram before their last word; ends of fewer words go on as they are."""
+    the gram before their last word.  Packs of fewer words go on unopened."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Packer(parts)
-        here, sums = None, {}
+        here, sums = None, Counter()
 
         def close() -> Iterator[pa.RecordBatch]:
-            lang, nxt = here[0], out.held[here[0]]
-            keep: list[bytes] = []
-            for g, n in sums.items():
-                if g.count(b" ") == words - 1:
-                    if n >= least:
-                        keep.append(g)
-                    if words > 1:
+            lang = here[0]
+            keep = [g for g, n in sums.items() if n >= least]
+            if words > 1:
+                nxt = out.held[lang, words - 1]
+                nxt.update([g[:g.rindex(b" ")] for g, n in sums.items() if n == 1])
+                for g, n in sums.items():
+                    if n > 1:
                         nxt[g[:g.rindex(b" ")]] += n
-                    else:
-                        nxt[b""] += n
-                else:
-                    nxt[g] += n
+                out.n = sum(map(len, out.held.values()))
+            else:
+                yield from out.pack(lang, 0, [b""], [sum(sums.values())], np.array([-1]))
             if keep:
-                yield from out.pack(lang, keep, [sums[g] for g in keep], np.full(len(keep), -1 - zlib.crc32(keep[0]) % 64))
-            if sum(map(len, out.held.values())) >= HELD:
+                yield from out.pack(lang, words, keep, [sums[g] for g in keep],
+                                    np.full(len(keep), -1 - zlib.crc32(keep[0]) % 64))
+            if out.n >= HELD:
                 yield from out.rows()
         for b in batches:
-            for lang, part, grams, counts in zip(*(c.to_pylist() for c in b.columns)):
-                if part < 0:
-                    yield pa.RecordBatch.from_pylist(
-                        [{"lang": lang, "part": part, "grams": grams, "counts": counts}], pa.schema(
-                            [("lang", pa.string()), ("part", pa.int32()), ("grams", pa.binary()), ("counts", pa.binary())]))
-                    continue
+            cols = [c.to_pylist() for c in b.columns]
+            on = np.array([p < 0 or w < words for p, w in zip(cols[1], cols[2])], bool)
+            if on.any():
+                yield b.filter(pa.array(on))
+            for lang, part, _, *packed in (r for r, skip in zip(zip(*cols), on.tolist()) if not skip):
                 if here != (lang, part):
                     if here:
                         yield from close()
-                    here, sums = (lang, part), {}
-                get = sums.get
-                for g, n in zip(*_unpack(grams, counts)):
-                    sums[g] = get(g, 0) + n
+                    here, sums = (lang, part), Counter()
+                ones, grams, counts = _unpack(*packed)
+                sums.update(ones)
+                for g, n in zip(grams, counts):
+                    sums[g] += n
         if here:
             yield from close()
         yield from out.rows()
@@ -164,11 +172,12 @@ def gram_counts(docs: DataFrame, least: int, lang: str = "lang", text: str = "te
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lang, _, grams, counts in zip(*(c.to_pylist() for c in b.columns)):
-                g, n = _unpack(grams, counts)
+            for lang, _, words, *packed in zip(*(c.to_pylist() for c in b.columns)):
+                ones, grams, counts = _unpack(*packed)
+                g, n = ones + grams, [1] * len(ones) + counts
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(g), pa.string()), pa.array([x.decode() for x in g], pa.string()),
-                     pa.array([x.count(b" ") + 1 if x else 0 for x in g], pa.int32()), pa.array(n, pa.int64())],
+                     pa.array([words] * len(g), pa.int32()), pa.array(n, pa.int64())],
                     names=["lang", "gram", "words", "f"])
     found = packs.mapInArrow(read, "lang string, gram string, words int, f long")
     found = to_scratch(found, "phrase-grams")
