@@ -3,11 +3,12 @@ summaries (A26, U2), fix lookup (J6) and batch recommendation (M10)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.text import is_error_line
 from vigil.operators.ordered import sliced_lag, top_n
+from vigil.operators.simjoin import top_cosine
 
 # --- fixed values (specification) ----------------------------------------
 DOMAIN_REGRESSION = 0.20        # p95 +20 %
@@ -124,37 +125,13 @@ def consumer_backpressure(lag: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def vector_similar(vectors: DataFrame, id_col: str = "vec_id", vec: str = "embedding",
-                   min_cos: float = VECTOR_MIN_COS, k: int = VECTOR_LIMIT, pivots: int = 2) -> DataFrame:
-    """Pairs with cosine >= 0.75, at most five per vector, exact.
-
-    Unit vectors u, v have cos >= c  <=>  |u - v| <= r = sqrt(2 - 2c).  By
-    the triangle inequality |d(u, p) - d(v, p)| <= r for any pivot p, so
-    vectors are bucketed by their distance to the pivots (the first
-    coordinate axes) in cells of width r and only vectors in the same or
-    neighbouring cells are compared; candidates are verified exactly.
-    """
-    r = (2 - 2 * min_cos) ** 0.5
-    norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x))
-    u = vectors.select(F.col(id_col).alias("id"),
-                       F.transform(vec, lambda x: x.cast("double") / F.when(norm > 0, norm).otherwise(1.0)).alias("u"))
-    cells = [F.floor(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("u")[i])) / F.lit(r)).cast("long")
-             for i in range(pivots)]
-    u = u.withColumn("cell", F.array(*cells))
-    # neighbour cells of the right side: 3^pivots offsets
-    offs = [[]]
-    for _ in range(pivots):
-        offs = [o + [d] for o in offs for d in (-1, 0, 1)]
-    b = u.select(F.col("id").alias("id_b"), F.col("u").alias("u_b"),
-                 F.explode(F.array(*[F.array(*[F.col("cell")[i] + o[i] for i in range(pivots)]) for o in offs]))
-                 .alias("cell"))
-    a = u.select(F.col("id").alias("id_a"), F.col("u").alias("u_a"), "cell")
-    cos = F.aggregate(F.zip_with("u_a", "u_b", lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    j = a.join(b, "cell").filter(F.col("id_a") < F.col("id_b")).select("id_a", "id_b", cos.alias("cosine"))
-    j = j.filter(F.col("cosine") >= min_cos)
-    both = j.select(F.col("id_a").alias(id_col), F.col("id_b").alias("similar_id"), "cosine") \
-        .unionByName(j.select(F.col("id_b").alias(id_col), F.col("id_a").alias("similar_id"), "cosine"))
-    return top_n(both, [id_col], [F.col("cosine").desc(), F.col("similar_id")], k, salt_col="similar_id",
-                 rank_col="rank")
+                   min_cos: float = VECTOR_MIN_COS, k: int = VECTOR_LIMIT) -> DataFrame:
+    """For each vector at most five others with cosine >= 0.75, exact
+    (``simjoin.top_cosine``).  Zero vectors and nulls have no partner."""
+    usable = F.col(vec).isNotNull() & F.exists(vec, lambda x: x != 0)
+    rows = vectors.where(usable).select(F.col(id_col).alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
+    return top_cosine(rows, k, min_cos).select(
+        F.col("id").alias(id_col), F.col("other").alias("similar_id"), F.col("score").alias("cosine"), "rank")
 
 
 def dead_letter(attempts: DataFrame, key: str = "message_id", max_attempts: int = DLQ_ATTEMPTS
@@ -184,10 +161,13 @@ def rank_suggestions(s: DataFrame, keys: list[str] = []) -> DataFrame:
         *keys, F.desc("priority_score"), "description")
 
 
-def batch_recommend_all(recs: DataFrame, model_version: str, path: str | None = None) -> DataFrame:
+def batch_recommend_all(recs: DataFrame, model_version: str, path: str | None = None,
+                        now: Column | None = None) -> DataFrame:
     """Persist the top-K rows of every user with the model version as a
-    replacing (latest-wins) table keyed by (user_id, item_id)."""
-    out = recs.withColumn("model_ver", F.lit(model_version)).withColumn("timestamp", F.current_timestamp()) \
+    replacing table keyed by (user_id, item_id): rows are appended, readers take
+    the latest ``timestamp`` of a key (``warehouse.recs_for_user``, F8)."""
+    out = recs.withColumn("model_ver", F.lit(model_version)) \
+        .withColumn("timestamp", F.current_timestamp() if now is None else now) \
         .withColumn("genres", F.array_join("genres", ",") if "genres" in recs.columns else F.lit(""))
     if path:
         out.sortWithinPartitions("user_id", "item_id").write.mode("append").parquet(path)

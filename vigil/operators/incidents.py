@@ -5,8 +5,6 @@ P5, P7, P13)."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +13,7 @@ from vigil.functions.scalar import severity_rank
 from vigil.functions.text import (is_connection_error_line, is_error_line, is_oom_line,
                                   truncate, word_set)
 from vigil.operators.ordered import top_n
-from vigil.session import cut_lineage
+from vigil.operators.simjoin import classes_of, spread_over_members, top_jaccard
 
 # --- fixed values (must equal the reference's rules) ---------------------
 # built-in failure patterns:
@@ -87,7 +85,6 @@ PATTERN_SCHEMA = T.StructType([
     T.StructField("ord", T.IntegerType()),
 ])
 MAX_BROADCAST_PATTERNS = 100_000
-SIMILARITY_STEPS = (0.6, 0.3)   # thresholds tried before the wanted one
 PREFIX_SHARED = 8               # tokens that candidates share in their prefixes
 
 
@@ -203,52 +200,16 @@ def similar_incidents(incidents: DataFrame, k: int = SIMILAR_LIMIT, id_col: str
     Jaccard of word sets (title, description, tags; words longer than 3
     characters), similarity strictly above 0.1, ties by the other id.
 
-    Incidents of equal word sets are one class with its ``k + 1`` smallest
-    ids, so copies are never paired with each other.  The exact join runs at
-    falling thresholds: a class that has found ``k + 1`` incidents above one
-    needs no lower one, since all that it has not found are less similar.
+    Incidents of equal word sets are one class, so copies are never paired
+    with each other; classes are joined by ``simjoin.top_jaccard``.
     """
     tags = F.col("tags") if "tags" in incidents.columns else F.array(F.col("tag"))
     ws = word_set(F.col("title"), F.col("description"), F.array_join(tags, " "))
-    sets = cut_lineage(incidents.select(F.col(id_col).alias("id"), F.array_sort(ws).alias("ws"))
-                       .filter(F.size("ws") > 0))
-    classes = cut_lineage(sets.groupBy("ws").agg(F.min("id").alias("id")))
-    member = cut_lineage(sets.join(classes.withColumnRenamed("id", "cls"), "ws").select("id", "cls"))
-    heads = cut_lineage(top_n(member, ["cls"], [F.col("id")], k + 1, salt_col="id"))
-    tok = cut_lineage(ranked_tokens(classes))
-    n_own = heads.groupBy("cls").agg(F.count(F.lit(1)).alias("n_own"))
-    left, found = classes, []
-    for t in [x for x in SIMILARITY_STEPS if x > threshold] + [threshold]:
-        open_tok = tok.join(left.select("id"), "id", "left_semi")
-        once = cut_lineage(verified_pairs(open_tok, open_tok, left, left, t, F.col("id_a") < F.col("id_b")))
-        pairs = once.union(once.select("id_b", "id_a", "inter", "similarity"))
-        if found:   # classes that are done still are partners of the others
-            pairs = pairs.unionByName(verified_pairs(
-                open_tok, tok.join(left.select("id"), "id", "left_anti"), left, classes, t, F.lit(True)))
-        top = cut_lineage(top_n(pairs, ["id_a"], [F.col("similarity").desc(), F.col("id_b")], k + 1,
-                                salt_col="id_b"))
-        if t == threshold:
-            found.append(top)
-            break
-        n = top.groupBy(F.col("id_a").alias("cls")).agg(F.count(F.lit(1)).alias("n"))
-        full = n_own.join(n, "cls", "left").filter(F.col("n_own") + F.coalesce("n", F.lit(0)) > k)
-        full = cut_lineage(full.select(F.col("cls").alias("id")))
-        found.append(top.join(full.withColumnRenamed("id", "id_a"), "id_a", "left_semi"))
-        left = cut_lineage(left.join(full, "id", "left_anti"))
-        if left.isEmpty():
-            break
-    pairs = reduce(DataFrame.unionByName, found)
-    near = pairs.select(F.col("id_a").alias("of"), F.col("id_b").alias("cls"), "similarity").join(heads, "cls") \
-        .select("of", F.col("id").alias("similar_id"), "similarity")
-    own = heads.select(F.col("cls").alias("of"), F.col("id").alias("similar_id"), F.lit(1.0).alias("similarity"))
-    best = top_n(near.unionByName(own), ["of"], [F.col("similarity").desc(), F.col("similar_id")], k + 1)
-    lists = best.groupBy("of").agg(F.array_sort(F.collect_list(
-        F.struct((-F.col("similarity")).alias("s"), F.col("similar_id").alias("i")))).alias("_l"))
-    rows = member.join(lists.withColumnRenamed("of", "cls"), "cls").select(
-        F.col("id").alias(id_col), F.posexplode(F.slice(
-            F.filter("_l", lambda x: x["i"] != F.col("id")), 1, k)).alias("_p", "_x"))
-    return rows.select(id_col, F.col("_x.i").alias("similar_id"), (-F.col("_x.s")).alias("similarity"),
-                       (F.col("_p") + 1).alias("rank"))
+    sets = incidents.select(F.col(id_col).alias("id"), F.array_sort(ws).alias("ws")).filter(F.size("ws") > 0)
+    member, classes = classes_of(sets, "ws", "json")
+    near = spread_over_members(top_jaccard(classes, k + 1, threshold), member, k, 1.0)
+    return near.select(F.col("id").alias(id_col), F.col("other").alias("similar_id"),
+                       F.col("score").alias("similarity"), "rank")
 
 
 def search_incidents(incidents: DataFrame, type_: str | None = None, status: str | None = None,

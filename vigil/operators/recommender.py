@@ -12,12 +12,16 @@ watched items' unit vectors), so scores come from one sparse term join
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.scalar import ALLOWED_ENGAGEMENT, event_weight, rating_from_score
 from vigil.operators.ordered import top_n
+from vigil.operators.scoring import dense_ids, factor_extremes, top_items
+from vigil.session import cut_lineage
 
 # --- fixed values (must equal the reference's rules) ---------------------
 COLLAB_WEIGHT = 0.7
@@ -135,94 +139,109 @@ def content_scores(matrix: DataFrame, vectors: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("pw") * F.col("w")).alias("content_score")))
 
 
-def content_candidates(matrix: DataFrame, keyed: DataFrame, kv: DataFrame, k: int) -> DataFrame:
-    """Exact top-k content candidates per user without scoring every item:
-    keys are ranked by score; the keys needed to cover ``k`` unwatched items
-    (all keys scoring at least the covering key's score, so ties stay
-    exact) are expanded to their items."""
-    cks = content_key_scores(matrix, keyed, kv)
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("items"))
-    wk = matrix.select("user_id", "item_id").distinct().join(keyed, "item_id") \
-        .groupBy("user_id", "key").agg(F.count(F.lit(1)).alias("watched_in_key"))
-    c = (cks.join(sizes, "key").join(wk, ["user_id", "key"], "left")
-         .withColumn("avail", F.col("items") - F.coalesce("watched_in_key", F.lit(0))))
-    w = Window.partitionBy("user_id").orderBy(F.col("content_score").desc(), F.col("key"))
-    c = c.withColumn("_before", F.coalesce(F.sum("avail").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                           F.lit(0)))
-    cover = c.filter(F.col("_before") < k).groupBy("user_id").agg(F.min("content_score").alias("_s"))
-    sel = c.join(cover, "user_id").filter(F.col("content_score") >= F.col("_s")).select("user_id", "key",
-                                                                                         "content_score")
-    return sel.join(keyed, "key").select("user_id", "item_id", "content_score")
+@dataclass
+class Factors:
+    """A fitted factor model under the ids of its matrix, whatever their type."""
+    users: DataFrame     # user_id, features
+    items: DataFrame     # item_id, features
+    rank: int
 
 
 def fit_als(matrix: DataFrame, seed: int = 42, rank: int = ALS_FACTORS, max_iter: int = ALS_ITERATIONS,
-            reg: float = ALS_REG):
+            reg: float = ALS_REG) -> Factors | None:
     """M6: implicit-feedback ALS on the engagement matrix (None when fewer
     than five interactions).  Users and items keep their own roles (quirk
-    Q11)."""
+    Q11).  Ids may be strings or longs of any size: the trainer gets dense
+    numbers (``scoring.dense_ids``) and the factors get the ids back."""
     if matrix.limit(MIN_INTERACTIONS).count() < MIN_INTERACTIONS:
         return None
-    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, implicitPrefs=True, userCol="user_id",
-              itemCol="item_id", ratingCol="weight", seed=seed, coldStartStrategy="drop",
+    users, items = (cut_lineage(dense_ids(matrix, c, "n_" + c)) for c in ("user_id", "item_id"))
+    rows = matrix.join(users, "user_id").join(items, "item_id").select(
+        F.col("n_user_id").cast("int"), F.col("n_item_id").cast("int"), F.col("weight").cast("float"))
+    als = ALS(rank=rank, maxIter=max_iter, regParam=reg, implicitPrefs=True, userCol="n_user_id",
+              itemCol="n_item_id", ratingCol="weight", seed=seed, coldStartStrategy="drop",
               nonnegative=False, checkpointInterval=5)
-    return als.fit(matrix.select(F.col("user_id").cast("int"), F.col("item_id").cast("int"),
-                                 F.col("weight").cast("float")))
+    model = als.fit(rows)
+    named = [f.select(F.col("id").cast("long").alias("n_" + c), "features").join(
+                 ids.withColumn("n_" + c, F.col("n_" + c).cast("long")), "n_" + c).select(c, "features")
+             for f, ids, c in ((model.userFactors, users, "user_id"), (model.itemFactors, items, "item_id"))]
+    return Factors(cut_lineage(named[0]), cut_lineage(named[1]), rank)
 
 
-def als_scores(model, pairs: DataFrame) -> DataFrame:
+def als_scores(model: Factors, pairs: DataFrame) -> DataFrame:
     """ALS score of (user, item) candidate pairs: dot product of the factor
     vectors, joined per pair (no user x item product)."""
-    uf = model.userFactors.select(F.col("id").alias("user_id"), F.col("features").alias("uf"))
-    itf = model.itemFactors.select(F.col("id").alias("item_id"), F.col("features").alias("itf"))
+    uf = model.users.select("user_id", F.col("features").alias("uf"))
+    itf = model.items.select("item_id", F.col("features").alias("itf"))
     pairs = pairs.select("user_id", "item_id").join(uf, "user_id").join(itf, "item_id")
     dot = F.aggregate(F.zip_with("uf", "itf", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
     return pairs.select("user_id", "item_id", dot.alias("als_score"))
 
 
-def hybrid_recommend(matrix: DataFrame, catalog: DataFrame, model=None, k: int = TOP_K,
-                     candidates_per_user: int | None = None) -> DataFrame:
+def content_profiles(matrix: DataFrame, keyed: DataFrame, kv: DataFrame) -> DataFrame:
+    """``(user_id, n_watched, terms, weights)``: the mean of the unit vectors of
+    a user's watched items."""
+    watched = matrix.select("user_id", "item_id").distinct()
+    nw = watched.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_watched"))
+    prof = watched.join(keyed, "item_id").join(kv, "key").groupBy("user_id", "term").agg(F.sum("w").alias("pw"))
+    lists = prof.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("term", "pw"))).alias("_t"))
+    return nw.join(lists, "user_id", "left").select(
+        "user_id", "n_watched", F.col("_t.term").alias("terms"),
+        F.transform("_t.pw", lambda x: x / F.col("n_watched")).alias("weights"))
+
+
+def hybrid_recommend(matrix: DataFrame, catalog: DataFrame, model: Factors | None = None, k: int = TOP_K,
+                     users: DataFrame | None = None) -> DataFrame:
     """M7 + J8 + J9: per user — five or more watched items and a model:
     0.7 x minmax(ALS) + 0.3 x content ('hybrid'); some watched: content
-    ('content'); watched items removed; score rounded to 4 decimals; catalog
-    fields attached.
-
-    Content candidates are the exact top ``k`` (+ watched, with a model) by
-    content score, found on distinct catalog texts (``content_candidates``);
-    with a model the ALS top ``k + watched`` items are added and ALS scores
-    are min-max normalised over these candidates (the reference normalises
-    over the whole catalog).
-    Users without history are served by ``trending``.
+    ('content'); of ``users`` (user_id) those without history: rating / 10
+    ('trending').  Watched items removed; score rounded to 4 decimals; catalog
+    fields attached.  Ties go to the smaller item id.
+
+    Every catalog item counts for every user, also in the smallest and largest
+    ALS score (an item that the model does not know scores 0), see
+    ``scoring.top_items``.  Users without history share one list.
     """
     keyed, kv = key_vectors(catalog)
-    nw = matrix.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_watched"))
-    max_w = int(nw.agg(F.max("n_watched")).first()[0] or 0) if model is not None else 0
-    cs = content_candidates(matrix, keyed, kv, k + max_w)
-    cand = cs.select("user_id", "item_id")
-    if model is not None:
-        extra = candidates_per_user or (k + max_w)
-        top = model.recommendForAllUsers(extra).select(F.col("user_id"), F.explode("recommendations").alias("r"))
-        cand = cand.unionByName(top.select("user_id", F.col("r.item_id").alias("item_id"))).distinct()
-    cks = content_key_scores(matrix, keyed, kv)
-    d = (cand.join(keyed, "item_id").join(cks, ["user_id", "key"], "left").drop("key")
-         .fillna(0.0, ["content_score"]).join(nw, "user_id"))
-    if model is not None:
-        d = d.join(als_scores(model, d), ["user_id", "item_id"], "left")
-        w = Window.partitionBy("user_id")
-        lo, hi = F.min("als_score").over(w), F.max("als_score").over(w)
-        norm = F.when(hi > lo, (F.col("als_score") - lo) / (hi - lo)).otherwise(F.col("als_score"))
-        d = d.withColumn("_c", norm)
-        hybrid = (F.col("n_watched") >= MIN_INTERACTIONS) & F.col("als_score").isNotNull()
-        score = F.when(hybrid, COLLAB_WEIGHT * F.col("_c") + (1 - COLLAB_WEIGHT) * F.col("content_score")) \
-            .otherwise(F.col("content_score"))
-        source = F.when(hybrid, "hybrid").otherwise("content")
+    vec = kv.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("_t"))
+    items = keyed.join(vec, "key", "left").select(
+        F.col("item_id").alias("id"), F.col("_t.term").alias("terms"), F.col("_t.w").alias("weights"))
+    prof = content_profiles(matrix, keyed, kv)
+    asked = prof.select(F.col("user_id").alias("id"), "n_watched", "terms", "weights")
+    none = F.lit(None).cast("array<float>")
+    if model is None:
+        items = items.withColumn("factors", none)
+        asked = asked.select("id", none.alias("factors"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"),
+                             "terms", "weights")
     else:
-        score, source = F.col("content_score"), F.lit("content")
-    d = d.withColumn("score", score.cast("float").cast("double")).withColumn("source", source)
-    d = d.join(matrix.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")    # J9
-    top = top_n(d, ["user_id"], [F.col("score").desc(), F.col("item_id")], k, salt_col="item_id", rank_col="rank")
-    cat = catalog.select(F.col("id").alias("item_id"), "title", "genres", "rating")
+        items = items.join(model.items.select(F.col("item_id").alias("id"), F.col("features").alias("factors")),
+                           "id", "left")
+        known = asked.where(F.col("n_watched") >= MIN_INTERACTIONS).select("id").join(
+            model.users.select(F.col("user_id").alias("id"), F.col("features").alias("factors")), "id")
+        items, known = cut_lineage(items), cut_lineage(known)
+        asked = asked.join(known.join(factor_extremes(items, known, model.rank), "id"), "id", "left").select(
+            "id", "factors", "lo", "hi", "terms", "weights")
+    rank = model.rank if model is not None else 1
+    barred = matrix.select(F.col("user_id").alias("user"), F.col("item_id").alias("id")).distinct()    # J9
+    d = top_items(items.select("id", "factors", "terms", "weights"), asked, barred, k, COLLAB_WEIGHT, rank)
+    top = top_n(d, ["user"], [F.col("score").desc(), F.col("item")], k, rank_col="rank")
+    top = top.select(F.col("user").alias("user_id"), "rank", F.col("item").alias("item_id"),
+                     F.col("score").cast("double").alias("score"), F.lit("content").alias("source"))
+    if model is not None:
+        top = top.join(known.select(F.col("id").alias("user_id"), F.lit("hybrid").alias("_s")), "user_id", "left") \
+            .withColumn("source", F.coalesce("_s", "source")).drop("_s")
+    if users is not None:
+        new = users.select("user_id").distinct().join(matrix.select("user_id").distinct(), "user_id", "left_anti")
+        best = top_n(catalog.select(F.col("id").alias("item_id"), (F.col("rating") / 10.0).alias("score")), [],
+                     [F.col("score").desc(), F.col("item_id")], k, rank_col="rank")
+        shared = best.agg(F.collect_list(F.struct("rank", "item_id", "score")).alias("_l"))    # k entries
+        rows = new.withColumn("_k", F.lit(1)).join(F.broadcast(shared.withColumn("_k", F.lit(1))), "_k") \
+            .select("user_id", F.inline("_l"))
+        top = top.unionByName(rows.withColumn("source", F.lit("trending")))
+    fields = [c for c in ("title", "genres", "tags", "year") if c in catalog.columns]
+    cat = catalog.select(F.col("id").alias("item_id"), *fields, F.col("rating").alias("catalog_rating"))
     return (top.join(cat, "item_id", "left")                                                # J8
-            .select("user_id", "rank", "item_id", "title", "genres", F.col("rating").alias("catalog_rating"),
+            .select("user_id", "rank", "item_id", *fields, "catalog_rating",
                     F.round("score", 4).alias("score"), "source"))
 
 

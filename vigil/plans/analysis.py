@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vigil.functions.text import word_set
 from vigil.operators import incidents as I
 from vigil.operators.ordered import top_n
+from vigil.operators.simjoin import top_jaccard
 
 
 def _issue_text() -> F.Column:
@@ -35,8 +36,8 @@ def similar_to_issues(issues: DataFrame, incidents: DataFrame, keys: list[str] =
     tags = F.col("tags") if "tags" in incidents.columns else F.array(F.col("tag"))
     kw = incidents.select(F.col("incident_id").cast("string").alias("id"),
                           word_set(F.col("title"), F.col("description"), F.array_join(tags, " ")).alias("ws"))
-    pairs = I.jaccard_pairs(iw, I.SIMILARITY_MIN, right=kw)
-    p = pairs.select(F.col("id_a").alias("_key"), F.col("id_b").alias("similar_id"), "similarity")
+    p = top_jaccard(iw, k, I.SIMILARITY_MIN, others=kw).select(
+        F.col("id").alias("_key"), F.col("other").alias("similar_id"), F.col("score").alias("similarity"))
     top = top_n(p, ["_key"], [F.col("similarity").desc(), F.col("similar_id")], k, rank_col="rank")
     info = incidents.select(F.col("incident_id").cast("string").alias("similar_id"), "title",
                             *(["resolution"] if "resolution" in incidents.columns else []))
