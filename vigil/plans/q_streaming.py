@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 
 from vigil.operators import alerts as A
 from vigil.operators import classifier as C
+from vigil.operators import recommender as RC
 from vigil.plans.registry import query
 from vigil.sources.tables import read_table, view
 from vigil.streaming import jobs as S
 
 
-def _stream_of(spark, df, name, order="ts"):
+def _stream_of(spark, df, name, order="ts", per_batch=None):
+    """The table as a file stream; ``per_batch`` files make a micro-batch."""
     path, schema = S.stage_files(df, name, order=order)
-    return S.read_stream(spark, path, "parquet", schema)
+    return S.read_stream(spark, path, "parquet", schema, max_files=per_batch)
 
 
 @query("alert_state_stream")
@@ -38,7 +40,12 @@ def log_volume_stream(spark, sf):
     return S.run_to_table(S.log_volume_stream(_stream_of(spark, l, "logs")), "log_volume")
 
 
-@query("request_rate_stream")
+@query("request_rate_stream", """
+WITH w AS (SELECT service, status, unnest(range(0, 10)) AS i, CAST(floor(epoch_us(ts) / 3e7) AS BIGINT) AS step FROM requests)
+SELECT service, status, make_timestamp((step - i) * 30000000) AS window_start, COUNT(*) / 300.0 AS rate FROM w
+GROUP BY service, status, step - i
+HAVING make_timestamp((step - i) * 30000000) + INTERVAL 5 minute
+       <= (SELECT max(CAST(ts AS TIMESTAMP)) FROM requests) - INTERVAL 10 minute""", ("requests",))
 def request_rate_stream(spark, sf):
     """Sliding 5-minute / 30-second request rate per service and status."""
     r = view(spark, sf, "requests").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -73,12 +80,19 @@ def engagement_ingest_stream(spark, sf):
     from vigil.session import scratch_path
     e = view(spark, sf, "engagement").withColumn("ts", F.col("ts").cast("timestamp"))
     out, bad, ctr = (scratch_path(spark, x) for x in ("eng-events", "eng-bad", "eng-counter"))
-    fn = S.engagement_ingest_batch(view(spark, sf, "catalog"), out, bad, ctr)
-    _run_batches(spark, _stream_of(spark, e, "engagement"), "engagement", fn)
-    return spark.read.parquet(out).drop("_epoch")
+    catalog, models = view(spark, sf, "catalog"), []
 
+    def retrain():       # M9 calls back into the trainer with all events so far
+        models.append(RC.fit_als(RC.engagement_matrix(spark.read.parquet(out), catalog), rank=8, max_iter=2))
+    fn = S.engagement_ingest_batch(catalog, out, bad, ctr, retrain)
+    _run_batches(spark, _stream_of(spark, e, "engagement", per_batch=3), "engagement", fn)
+    return spark.read.parquet(out).drop("batch")
 
-@query("event_fanout_stream")
+
+@query("event_fanout_stream", """
+SELECT CAST(event_id AS VARCHAR) AS "eventId", event_type AS "eventType", CAST(ts AS VARCHAR) AS "occurredAt",
+       CAST(NULL AS VARCHAR) AS name
+FROM events WHERE event_type IS NOT NULL""")
 def event_fanout_stream(spark, sf):
     """Every raw event payload to one sink, decodable typed events to a
     second; returns the typed sink."""
@@ -88,8 +102,8 @@ def event_fanout_stream(spark, sf):
         F.col("event_id").cast("string").alias("eventId"), F.col("event_type").alias("eventType"),
         F.col("ts").cast("string").alias("occurredAt"))).alias("value"))
     raw, typed = scratch_path(spark, "fan-raw"), scratch_path(spark, "fan-typed")
-    _run_batches(spark, _stream_of(spark, msgs, "fanout", order=None), "fanout", S.event_fanout_batch(raw, typed))
-    return spark.read.schema("eventId string, eventType string, occurredAt string, name string").json(typed)
+    _run_batches(spark, _stream_of(spark, msgs, "fanout", order=None, per_batch=3), "fanout", S.event_fanout_batch(raw, typed))
+    return spark.read.schema("eventId string, eventType string, occurredAt string, name string, batch long").json(typed).drop("batch")
 
 
 @query("metrics_ingest_stream")
@@ -101,8 +115,53 @@ def metrics_ingest_stream(spark, sf):
     snaps = samples_as_snapshots(view(spark, sf, "metric_samples"))
     snap_path, eval_path = scratch_path(spark, "snapshots"), scratch_path(spark, "evaluations")
     fn = S.metrics_ingest_batch(snap_path, eval_path, A.default_thresholds(spark))
-    _run_batches(spark, _stream_of(spark, snaps, "snapshots", order="timestamp"), "metrics", fn)
-    return spark.read.parquet(eval_path)
+    _run_batches(spark, _stream_of(spark, snaps, "snapshots", order="timestamp", per_batch=3), "metrics", fn)
+    return spark.read.parquet(eval_path).drop("batch")
+
+
+def _samples_and_acknowledgements(spark, sf):
+    """All metric samples, and an acknowledgement of all alerts of a project at
+    every thousandth sample of it."""
+    s = view(spark, sf, "metric_samples").withColumn("ts", F.col("ts").cast("timestamp"))
+    s = s.withColumn("acknowledged", F.lit(False))
+    acks = s.where(F.col("total_requests") % 10000 == 0).select(
+        "project", "ts", "sample_id", F.lit(True).alias("acknowledged"))
+    return s.unionByName(acks, allowMissingColumns=True)
+
+
+@query("alert_ingest_stream")
+def alert_ingest_stream(spark, sf):
+    """T1 + T7: trigger / resolve state with the cooldown and acknowledge-all
+    carried over four micro-batches of samples and acknowledgements; returns
+    the alerts table."""
+    from vigil.session import scratch_path
+    path = scratch_path(spark, "alerts")
+    rows = _samples_and_acknowledgements(spark, sf)
+    _run_batches(spark, _stream_of(spark, rows, "alert-rows", per_batch=2), "alerts",
+                 S.alert_ingest_batch(path, A.default_thresholds(spark)))
+    return S.alerts_table(spark, path).read()
+
+
+@query("retention_upsert", """
+WITH d AS (SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 7 = 0 THEN -1.0 ELSE value END AS value FROM events)
+SELECT * FROM d WHERE CAST(ts AS TIMESTAMP) >= TIMESTAMP '2024-01-11 00:00:00'""")
+def retention_upsert(spark, sf):
+    """S18 + U6: events in a table cut by day; every seventh event is replaced
+    by key, then days before the cut-off go.  Each step runs twice, as a
+    replayed job would, and rewrites only the days it touches."""
+    from vigil.operators.versioned import VersionedTable, day_part
+    from vigil.session import scratch_path
+    ev = read_table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    table = VersionedTable(spark, scratch_path(spark, "events-by-day"), ev.schema, day_part("ts"))
+    fixed = ev.where(F.col("event_id") % 7 == 0).withColumn("value", F.lit(-1.0))
+    old = F.col("ts").cast("timestamp") < F.lit("2024-01-11 00:00:00").cast("timestamp")
+    for _ in range(2):
+        table.upsert(ev, ["event_id"], 0)
+    for _ in range(2):
+        table.upsert(fixed, ["event_id"], 1)
+    for _ in range(2):
+        table.delete(old, 2)
+    return table.read()
 
 
 @query("article_ingest_stream")
@@ -117,6 +176,6 @@ def article_ingest_stream(spark, sf):
         F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.col("url"),
         (F.col("page_id") % 1000).alias("score"), F.col("page_id").alias("time"))).alias("value"))
     log, cat = scratch_path(spark, "articles-log"), scratch_path(spark, "catalog")
-    _run_batches(spark, _stream_of(spark, js, "stories", order=None), "articles", S.article_ingest_batch(log, cat, 2024))
-    return spark.read.parquet(cat).withColumn("genres", F.array_join("genres", ",")) \
+    _run_batches(spark, _stream_of(spark, js, "stories", order=None, per_batch=3), "articles", S.article_ingest_batch(log, cat, 2024))
+    return S.catalog_table(spark, cat).read().withColumn("genres", F.array_join("genres", ",")) \
         .withColumn("tags", F.array_join("tags", ","))

@@ -22,7 +22,8 @@ from vigil.operators import classifier as C
 from vigil.operators import ingest as G
 from vigil.operators import recommender as RC
 from vigil.operators import warehouse as W
-from vigil.session import scratch_path
+from vigil.operators.versioned import VersionedTable, hash_part
+from vigil.session import cut_lineage, scratch_path
 
 # --- fixed values (must equal the reference's rules) ---------------------
 EVENTS_TOPIC, PREDICTIONS_TOPIC = "events", "predictions"
@@ -148,57 +149,144 @@ def foreach_batch(stream: DataFrame, name: str, fn: Callable[[DataFrame, int], N
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
+def write_batch(df: DataFrame, path: str, epoch: int, partition_by: list[str] = [], sort: list[str] = [],
+                fmt: str = "parquet") -> None:
+    """Exactly-once append of one micro-batch: its rows lie in partitions of
+    their own (``batch``), and writing a batch again replaces just these."""
+    d = df.withColumn("batch", F.lit(epoch).cast("long"))
+    d = d.sortWithinPartitions(*sort) if sort else d
+    d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt) \
+        .partitionBy(*partition_by, "batch").save(path)
+
+
+CATALOG = T.StructType([
+    T.StructField("id", T.StringType()), T.StructField("title", T.StringType()),
+    T.StructField("genres", T.ArrayType(T.StringType())), T.StructField("tags", T.ArrayType(T.StringType())),
+    T.StructField("year", T.IntegerType()), T.StructField("rating", T.DoubleType())])
+
+
+def catalog_table(spark: SparkSession, path: str) -> VersionedTable:
+    """The catalog as readers see it: whole versions, one a micro-batch."""
+    return VersionedTable(spark, path, CATALOG, hash_part(["id"]))
+
+
 def article_ingest_batch(articles_log: str, catalog_path: str, year: int) -> Callable[[DataFrame, int], None]:
-    """Story records -> articles change log (append, latest-wins on read)
-    -> catalog rebuilt from the latest articles."""
+    """Story records -> articles change log (by batch; latest-wins on read)
+    -> the catalog's rows of the batch's ids replaced in a new version."""
     def fn(batch: DataFrame, epoch: int) -> None:
         st = G.structure_stories(batch).withColumn("scraped_epoch", F.lit(epoch))
-        W.write_latest_wins_log(st, articles_log, ["id"], "scraped_epoch")
-        latest = W.latest_wins(batch.sparkSession.read.parquet(articles_log), ["id"], "scraped_epoch")
-        RC.articles_to_catalog(latest, year).write.mode("overwrite").parquet(catalog_path)
+        write_batch(st, articles_log, epoch, sort=["id"])
+        latest = W.latest_wins(st, ["id"], "scraped_epoch")
+        catalog_table(batch.sparkSession, catalog_path).upsert(RC.articles_to_catalog(latest, year), ["id"], epoch)
     return fn
 
 
 def engagement_ingest_batch(catalog: DataFrame, events_path: str, quarantine_path: str,
                             counter_path: str, retrain: Callable[[], None] | None = None
                             ) -> Callable[[DataFrame, int], None]:
-    """T4 + S13 + M9: validate, append accepted events partitioned by month
-    (sorted by user and time), quarantine rejects, and call ``retrain``
-    once 50 or more accepted events arrived since the last retrain (the
-    counter is a small table, so it survives restarts)."""
-    # the counter table exists from the start (mode "ignore" keeps a restarted job's value)
-    catalog.sparkSession.createDataFrame([(0,)], "n long").write.mode("ignore").parquet(counter_path)
+    """T4 + S13 + M9: validate, write accepted events by month (sorted by user
+    and time), quarantine rejects, and call ``retrain`` once 50 or more
+    accepted events arrived since the last retrain.
+
+    The ledger (one row a batch: accepted events, whether it retrained) decides
+    that, so it holds across restarts, and a batch that runs again neither
+    counts twice nor retrains again after its row is written."""
+    spark = catalog.sparkSession
+    ledger = "n long, retrained boolean, batch long"
+    spark.createDataFrame([(0, False, -1)], ledger).write.mode("ignore").partitionBy("batch").parquet(counter_path)
 
     def fn(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         ok, bad = RC.validate_engagement(batch, catalog)
-        ok = ok.withColumn("_epoch", F.lit(epoch))
         from pyspark.sql import Observation
         obs = Observation(f"engagement-{epoch}")
         ok_obs = W.with_month(ok).observe(obs, F.count(F.lit(1)).alias("n"))
-        W.write_append(ok_obs, events_path, ["user_id", "ts"], ["yyyymm"])
-        bad.write.mode("append").parquet(quarantine_path)
+        write_batch(ok_obs, events_path, epoch, ["yyyymm"], ["user_id", "ts"])
+        write_batch(bad, quarantine_path, epoch)
         n = int(obs.get.get("n", 0))
-        since = spark.read.parquet(counter_path).agg(F.sum("n")).first()[0] or 0
-        if retrain is not None and since + n >= RC.RETRAIN_EVERY:
+        rows = spark.read.schema(ledger).parquet(counter_path)
+        last = F.coalesce(F.max(F.when(F.col("retrained") & (F.col("batch") < epoch), F.col("batch"))), F.lit(-2))
+        before = rows.agg(last.alias("last"), F.bool_or(F.col("retrained") & (F.col("batch") == epoch)).alias("done")).first()
+        since = F.coalesce(F.sum(F.when((F.col("batch") > before.last) & (F.col("batch") < epoch), F.col("n"))), F.lit(0))
+        due = retrain is not None and rows.agg(RC.retrain_due(since + n)).first()[0]
+        if due and not before.done:
             retrain()
-            spark.createDataFrame([(0,)], "n long").write.mode("overwrite").parquet(counter_path)
-        else:
-            spark.createDataFrame([(since + n,)], "n long").write.mode("overwrite").parquet(counter_path)
+        write_batch(spark.createDataFrame([(n, bool(due))], "n long, retrained boolean"), counter_path, epoch)
     return fn
 
 
-def metrics_ingest_batch(snapshots_path: str, evaluations_path: str, rules: DataFrame
-                         ) -> Callable[[DataFrame, int], None]:
-    """T7 + S15: append snapshots that carry at least one container
-    (partitioned by day), then evaluate the thresholds of the batch."""
+ALERTS = T.StructType([
+    T.StructField("project", T.StringType()), T.StructField("threshold_id", T.StringType()),
+    T.StructField("container", T.StringType()), T.StructField("triggered_ms", T.LongType()),
+    T.StructField("resolved_ms", T.LongType()), T.StructField("value", T.DoubleType())])
+_ALERT_KEYS = ["project", "threshold_id", "container"]
+
+
+def alerts_table(spark: SparkSession, path: str) -> VersionedTable:
+    """Alerts with their trigger and resolve times; the newest one of a key is
+    the key's state."""
+    return VersionedTable(spark, path, ALERTS, hash_part(_ALERT_KEYS))
+
+
+def alert_ingest_batch(alerts_path: str, rules: DataFrame, cooldown_ms: int = A.COOLDOWN_MS
+                       ) -> Callable[[DataFrame, int], None]:
+    """T1 + T7 across micro-batches: threshold state kept in the alerts table.
+
+    Batches hold samples, or acknowledgements of all alerts of a project (rows
+    with ``acknowledged`` true), each with a ``ts``.  The newest alert of each
+    key comes back as the samples that made it (one that triggers and, once
+    resolved, one that does not), so a batch continues where the last one
+    stopped; its alerts replace those of the same trigger time.  Samples of a
+    key must arrive in time order from batch to batch.  A replayed batch starts
+    from the version before it and writes the same version again."""
+    def fn(batch: DataFrame, epoch: int) -> None:
+        table = alerts_table(batch.sparkSession, alerts_path)
+        held = table._read(table.manifest(below=epoch))
+        newest = held.groupBy(*_ALERT_KEYS).agg(
+            F.max_by(F.struct("triggered_ms", "resolved_ms", "value"), "triggered_ms").alias("a")) \
+            .select(*_ALERT_KEYS, "a.*")
+        acks = batch.where(F.coalesce("acknowledged", F.lit(False))).select("project", "ts")
+        long = A.samples_long(batch.where(~F.coalesce("acknowledged", F.lit(False))))
+        evals = A.evaluate_thresholds(long, rules).withColumn("container", F.coalesce("container", F.lit("")))
+        meta = ["threshold_id", "threshold_name", "metric", "threshold", "severity"]
+        names = evals.select(*meta).unionByName(_rule_names(rules).select(*meta)).dropDuplicates(["threshold_id"])
+        cols = [*_ALERT_KEYS, "ts", "sample_id", "breached", "value"]
+
+        def made(ms: str, breached: bool) -> DataFrame:
+            return newest.where(F.col(ms).isNotNull()).select(
+                *_ALERT_KEYS, F.timestamp_millis(ms).alias("ts"), F.lit(-1).cast("long").alias("sample_id"),
+                F.lit(breached).alias("breached"), "value")
+        here = evals.select(*_ALERT_KEYS).unionByName(newest.select(*_ALERT_KEYS)).distinct()
+        quiet = here.join(acks, "project").select(
+            *_ALERT_KEYS, F.col("ts").cast("timestamp").alias("ts"), F.lit(1 << 62).alias("sample_id"),
+            F.lit(False).alias("breached"), F.lit(None).cast("double").alias("value"))
+        rows = evals.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("sample_id", F.col("sample_id").cast("long")) \
+            .select(*cols).unionByName(made("triggered_ms", True)).unionByName(made("resolved_ms", False)).unionByName(quiet)
+        out = A.alert_history(rows.join(names, "threshold_id"), cooldown_ms=cooldown_ms)
+        out = out.select(*[F.col(f.name).cast(f.dataType) for f in ALERTS.fields])
+        table.upsert(cut_lineage(out), [*_ALERT_KEYS, "triggered_ms"], epoch)
+    return fn
+
+
+def _rule_names(rules: DataFrame) -> DataFrame:
+    return rules.select(F.col("id").alias("threshold_id"), F.col("name").alias("threshold_name"), "metric",
+                        F.col("value").alias("threshold"), "severity")
+
+
+def metrics_ingest_batch(snapshots_path: str, evaluations_path: str, rules: DataFrame,
+                         alerts_path: str | None = None) -> Callable[[DataFrame, int], None]:
+    """T7 + S15: write snapshots that carry at least one container (by day),
+    evaluate the thresholds of the batch and, with ``alerts_path``, carry the
+    trigger / resolve state on (``alert_ingest_batch``)."""
     def fn(batch: DataFrame, epoch: int) -> None:
         from vigil.operators.metrics import snapshots_to_samples
         keep = batch.filter(F.size("containers") > 0)
         keep = keep.withColumn("dt", F.to_date(F.timestamp_millis("timestamp")))
-        W.write_append(keep, snapshots_path, ["projectName", "timestamp"], ["dt"])
+        write_batch(keep, snapshots_path, epoch, ["dt"], ["projectName", "timestamp"])
         s = snapshots_to_samples(keep).withColumn("sample_id", F.col("timestamp"))
-        A.evaluate_thresholds(A.samples_long(s), rules).write.mode("append").parquet(evaluations_path)
+        write_batch(A.evaluate_thresholds(A.samples_long(s), rules), evaluations_path, epoch)
+        if alerts_path is not None:
+            alert_ingest_batch(alerts_path, rules)(s.withColumn("acknowledged", F.lit(False)), epoch)
     return fn
 
 
@@ -207,10 +295,10 @@ def event_fanout_batch(raw_path: str, typed_path: str) -> Callable[[DataFrame, i
     typed sink."""
     def fn(batch: DataFrame, epoch: int) -> None:
         batch.persist()
-        batch.write.mode("append").json(raw_path)
+        write_batch(batch, raw_path, epoch, fmt="json")
         parsed = C.parse_events(batch)
-        parsed.filter(~F.col("is_malformed") & F.col("eventType").isNotNull()) \
-            .drop("is_malformed").write.mode("append").json(typed_path)
+        typed = parsed.filter(~F.col("is_malformed") & F.col("eventType").isNotNull()).drop("is_malformed")
+        write_batch(typed, typed_path, epoch, fmt="json")
         batch.unpersist()
     return fn
 
