@@ -190,7 +190,8 @@ def keep_one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "te
         F.col(key).alias(k), F.col("fp").alias(f), F.col("root").alias(r))
     heads = to_scratch(first.groupBy(k).agg(F.count("*").alias(n)), "heads")
     once = heads.where(F.col(n) == 1)
-    kept = docs.join(once, docs[key].eqNullSafe(once[k]), "left_semi")
+    # the same join at every size: kept keys grow with the documents
+    kept = docs.join(once.hint("merge"), docs[key].eqNullSafe(once[k]), "left_semi")
     repeated = heads.where(F.col(n) > 1)
     if repeated.isEmpty():
         return kept
