@@ -36,3 +36,27 @@ def test_confidence_formula(spark):
     d = spark.createDataFrame([(1.0, 0.9, 0.5), (None, None, None)], "s double, c double, m double")
     got = [r[0] for r in d.select(I.confidence(F.col("s"), F.col("c"), F.col("m"))).collect()]
     assert got == [min(round(20 + 30 + 22.5 + 10 + 5), 95), 20]
+
+
+def test_patterns_in_blocks_equal_plain_search(spark, monkeypatch):
+    """Automata of any block size find what a search for each symptom finds."""
+    import random
+    rng = random.Random(2)
+    syll = ["ab", "ba", "é", "x ", "Ab", "", "bab"]
+    pats = [(f"p{i}", f"n{i}", "", "c", ["".join(rng.choice(syll) for _ in range(rng.randrange(1, 4)))
+                                        for _ in range(rng.randrange(1, 5))], [], [], 0.5, 0.5) for i in range(25)]
+    rows = [(i, "".join(rng.choice(syll + ["zz", "Q"]) for _ in range(rng.randrange(0, 14)))) for i in range(80)] + [(99, None)]
+    df = spark.createDataFrame(rows, "id long, body string")
+    want = {}
+    for i, t in rows:
+        for p in pats:
+            hit = [x for x in p[4] if t is not None and x.lower() in t.lower()]
+            if hit:
+                want[(i, p[0])] = (len(hit), len(hit) / len(p[4]), "|".join(hit))
+    patterns = spark.createDataFrame([(*p, i) for i, p in enumerate(pats)], I.PATTERN_SCHEMA)
+    for size in (4_000_000, 9):
+        monkeypatch.setattr(I, "BLOCK_CHARS", size)
+        got = {(r.id, r.pattern_id): (r.matched, r.strength, r.matched_symptoms)
+               for r in I.match_patterns(df, patterns, "id", F.col("body"), None).collect()}
+        assert got == want
+    assert I.match_patterns(df, patterns.limit(0), "id", F.col("body")).count() == 0

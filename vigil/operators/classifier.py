@@ -4,19 +4,23 @@ I7, A27).
 The model is TF-IDF (lower-case tokens of two or more word characters,
 English stop words removed, idf = ln((1 + n) / (1 + df)) + 1, L2 norm) with a
 multinomial naive Bayes (Laplace smoothing 1, empirical class priors),
-written as plain DataFrame aggregates so the learned tables are small
-DataFrames and scoring is a broadcast join, all on the JVM.  The stop-word
-list is Spark's built-in English list.
+written as plain DataFrame aggregates; the learned terms are a table that
+scoring joins, all on the JVM.  The stop words are a parameter; the default is
+Spark's built-in English list.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions.scalar import sentiment_of
+from vigil.session import cut_lineage
 
 # --- fixed values (must equal the reference's rules) ---------------------
 # labelled training phrases: (text, category)
@@ -44,13 +48,19 @@ EVENT_SCHEMA = T.StructType([
 ])
 # --------------------------------------------------------------------------
 
-_TOKEN = r"\b\w\w+\b"
-MAX_BROADCAST_MODEL = 5_000_000
+_TOKEN = r"[\p{L}\p{N}_]{2,}"      # two or more word characters of any script
+
+
+def english_stop_words() -> list[str]:
+    """Spark's built-in English list."""
+    return StopWordsRemover.loadDefaultStopWords("english")
 
 
-def tokens(text: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in StopWordsRemover.loadDefaultStopWords("english")])
+def tokens(text: Column, stop_words: list[str]) -> Column:
     toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), 0)
+    if not stop_words:
+        return toks
+    stop = F.array(*[F.lit(w) for w in stop_words])
     return F.filter(toks, lambda t: ~F.array_contains(stop, t))
 
 
@@ -59,35 +69,36 @@ def training_frame(spark: SparkSession) -> DataFrame:
         .withColumn("doc_id", F.monotonically_increasing_id())
 
 
-def _tfidf(docs: DataFrame, idf: DataFrame) -> DataFrame:
-    """(doc_id, term, x) unit TF-IDF rows; terms outside the vocabulary drop."""
-    t = docs.select("doc_id", F.explode(tokens(F.col("text"))).alias("term"))
-    tf = t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-    w = tf.join(F.broadcast(idf), "term").withColumn("x", F.col("tf") * F.col("idf"))
+@dataclass
+class EventModel:
+    """``terms``: a table (term, idf, lp: log probability of the term in each
+    class) of any size; ``classes``: (label, log prior) in order of the labels."""
+    terms: DataFrame
+    classes: list[tuple[str, float]]
+
+
+def fit_event_classifier(train: DataFrame, stop_words: list[str] | None = None) -> EventModel:
+    """M1: TF-IDF naive Bayes from ``(doc_id, text, label)``.  The terms stay a
+    written table; only the classes (label, count, feature sum) reach the
+    driver.  ``stop_words``: Spark's English list if not given."""
+    stop = english_stop_words() if stop_words is None else stop_words
+    t = train.select("doc_id", "label", F.explode(tokens(F.col("text"), stop)).alias("term"))
+    tf = cut_lineage(t.groupBy("doc_id", "label", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")))
+    labels = [(r[0], r[1]) for r in train.groupBy("label").agg(F.count(F.lit(1))).orderBy("label").collect()]
+    n = sum(c for _, c in labels)
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = cut_lineage(df.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))
+    w = tf.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
     norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_n"))
-    return w.join(norm, "doc_id").select("doc_id", "term", (F.col("x") / F.col("_n")).alias("x"))
-
-
-def fit_event_classifier(train: DataFrame) -> dict[str, DataFrame]:
-    """M1: returns the model tables ``idf(term, idf)``,
-    ``log_prob(term, label, lp)`` and ``prior(label, log_prior, ord)``."""
-    t = train.select("doc_id", "label", F.explode(tokens(F.col("text"))).alias("term"))
-    n = train.count()
-    df = t.select("doc_id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf"))
-    x = _tfidf(train, idf).join(train.select("doc_id", "label"), "doc_id")
-    fc = x.groupBy("label", "term").agg(F.sum("x").alias("fc"))
-    labels = train.groupBy("label").agg(F.count(F.lit(1)).alias("cnt"))
-    n_feat = idf.count()
-    # every (class, vocabulary term) cell, for Laplace smoothing (model-sized table)
-    grid = labels.select("label", F.lit(1).alias("_k")).join(idf.select("term", F.lit(1).alias("_k")), "_k").drop("_k")
-    full = grid.join(fc, ["label", "term"], "left").fillna(0.0, ["fc"])
-    tot = full.groupBy("label").agg(F.sum("fc").alias("tot"))
-    lp = full.join(tot, "label").select(
-        "term", "label", F.log((F.col("fc") + ALPHA) / (F.col("tot") + ALPHA * n_feat)).alias("lp"))
-    prior = labels.select("label", F.log(F.col("cnt") / F.lit(float(n))).alias("log_prior"),
-                          F.dense_rank().over(Window.orderBy("label")).alias("ord"))
-    return {"idf": idf.cache(), "log_prob": lp.cache(), "prior": prior.cache()}
+    x = w.join(norm, "doc_id")
+    fc = x.groupBy("term", "label").agg(F.sum(F.col("x") / F.col("_n")).alias("fc"))
+    fc = cut_lineage(fc.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("label", "fc"))).alias("m")))
+    sums = {r[0]: r[1] for r in fc.select(F.explode("m").alias("label", "fc")).groupBy("label").agg(F.sum("fc")).collect()}
+    n_terms = idf.count()
+    lp = F.array(*[F.log((F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0.0)) + ALPHA)
+                         / F.lit(sums.get(c, 0.0) + ALPHA * n_terms)) for c, _ in labels])
+    return EventModel(cut_lineage(fc.join(idf, "term").select("term", "idf", lp.alias("lp"))),
+                      [(c, math.log(k / n)) for c, k in labels])
 
 
 def event_text(parsed: DataFrame) -> Column:
@@ -95,67 +106,36 @@ def event_text(parsed: DataFrame) -> Column:
     return F.coalesce(F.nullif(F.col("name"), F.lit("")), F.nullif(F.col("eventType"), F.lit("")), F.lit(""))
 
 
-MAX_LITERAL_TERMS = 50_000
-
-
-def model_literal(model: dict[str, DataFrame]) -> tuple[Column, list[tuple[str, float]]]:
-    """The fitted model as a literal ``map<term, struct<idf, lp array>>`` and
-    the ordered (class, log prior) list.  The model is vocabulary x classes
-    numbers; its size is checked before it leaves the cluster."""
-    n = model["idf"].count()
-    if n > MAX_LITERAL_TERMS:
-        raise ValueError(f"vocabulary of {n} terms is too large for a literal model")
-    prior = [(r["label"], float(r["log_prior"])) for r in model["prior"].orderBy("ord").collect()]
-    classes = [c for c, _ in prior]
-    rows = (model["log_prob"].groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("label", "lp"))).alias("m"))
-            .join(model["idf"], "term").collect())
-    entries = []
-    for r in rows:
-        lps = [float(r["m"][c]) for c in classes]
-        entries += [F.lit(r["term"]), F.struct(F.lit(float(r["idf"])).alias("idf"),
-                                               F.array(*[F.lit(v) for v in lps]).alias("lp"))]
-    return F.create_map(*entries), prior
-
-
-def classify_events(events: DataFrame, model: dict[str, DataFrame], id_col: str = "eventId") -> DataFrame:
+def classify_events(events: DataFrame, model: EventModel, id_col: str = "eventId") -> DataFrame:
     """M2: eventId (default 'unknown'), category, confidence = max posterior
     rounded to 4 digits, sentiment; empty text -> neutral / 0.0.
 
-    Scoring is one column expression per row (higher-order functions over
-    the event's tokens against the literal model): TF-IDF of the known
-    terms, L2 norm, joint log-likelihood = log prior + Σ x_t log p(t|c),
-    softmax, arg-max with ties to the first class.  No shuffle, no join.
+    A sparse product at any size of events and vocabulary: the events' terms
+    join the model's on the term, and one aggregate per event sums the squared
+    weights and, for each class, weight x log p(t|c); joint log-likelihood =
+    log prior + sum / norm, softmax, arg-max with ties to the first class.
+    Stop words are not in the vocabulary, so they drop out of the join.
     """
-    m, prior = model_literal(model)
-    text = event_text(events)
-    # stop words are never in the vocabulary, so the vocabulary filter drops
-    # them; each known token's model entry is looked up once
-    toks = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN), 0)
-    known = F.filter(toks, lambda t: F.map_contains_key(m, t))
-    uniq = F.array_distinct(known)
-    entries = F.transform(uniq, lambda t: F.struct(
-        (F.size(F.filter(known, lambda x: x == t)) * m[t]["idf"]).alias("w"), m[t]["lp"].alias("lp")))
-    d0 = events.withColumn("_e", entries)
-    norm = F.sqrt(F.aggregate("_e", F.lit(0.0), lambda a, z: a + z["w"] * z["w"]))
-    d0 = d0.withColumn("_norm", norm)
-
-    def class_term(i):
-        return lambda a, z: a + z["w"] / F.col("_norm") * z["lp"][i]
-
-    jll = [F.lit(lp0) + F.aggregate("_e", F.lit(0.0), class_term(i)) for i, (_, lp0) in enumerate(prior)]
-    events = d0
-    d = events.withColumn("_jll", F.array(*jll)).withColumn("_text", text)
+    d = events.withColumn("_text", event_text(events)).withColumn("_row", F.monotonically_increasing_id())
+    t = d.select("_row", F.explode(tokens(F.col("_text"), [])).alias("term"))
+    tf = t.groupBy("_row", "term").agg(F.count(F.lit(1)).alias("tf"))
+    w = tf.join(model.terms, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    sums = w.groupBy("_row").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), *[
+        F.sum(F.col("w") * F.col("lp")[i]).alias(f"_s{i}") for i in range(len(model.classes))])
+    d = d.join(sums, "_row", "left")
+    jll = [F.lit(p) + F.coalesce(F.col(f"_s{i}") / F.col("_norm"), F.lit(0.0)) for i, (_, p) in enumerate(model.classes)]
+    d = d.withColumn("_jll", F.array(*jll))
     mx = F.array_max("_jll")
     d = d.withColumn("_x", F.transform("_jll", lambda v: F.exp(v - mx)))
     d = d.withColumn("_p", F.transform("_x", lambda v: v / F.aggregate("_x", F.lit(0.0), lambda a, x: a + x)))
     best = F.array_position(F.col("_p"), F.array_max("_p"))
-    classes = F.array(*[F.lit(c) for c, _ in prior])
+    classes = F.array(*[F.lit(c) for c, _ in model.classes])
     empty = F.col("_text") == ""
     cat = F.when(empty, "neutral").otherwise(F.element_at(classes, best.cast("int")))
     conf = F.when(empty, 0.0).otherwise(F.round(F.array_max("_p"), 4)).cast("float")
     return d.select(F.coalesce(F.col(id_col), F.lit("unknown")).alias("eventId"), cat.alias("category"),
                     conf.alias("confidence"), sentiment_of(cat).alias("sentiment"),
-                    *[c for c in events.columns if c != id_col and c not in ("_e", "_norm")])
+                    *[c for c in events.columns if c != id_col], F.col("_text"))
 
 
 def parse_events(raw: DataFrame, value: str = "value") -> DataFrame:
@@ -178,18 +158,26 @@ def serialize_predictions(pred: DataFrame) -> DataFrame:
                        F.to_json(F.struct("eventId", "category", "confidence", "sentiment")).alias("value"))
 
 
-def batch_predict(raw: DataFrame, model: dict[str, DataFrame], sink_path: str | None = None,
-                  fmt: str = "json") -> DataFrame:
-    """M3: parse -> classify -> serialize -> sink.  The row count is taken with
+def predictions_table(pred: DataFrame, at: Column) -> DataFrame:
+    """Rows of the predictions table, ordered by (timestamp, event_id)."""
+    return pred.select(at.cast("timestamp").alias("timestamp"), F.col("eventId").alias("event_id"), "category",
+                       "confidence", "sentiment")
+
+
+def batch_predict(raw: DataFrame, model: EventModel, sink_path: str | None = None,
+                  fmt: str = "json", sink_options: dict[str, str] | None = None) -> DataFrame:
+    """M3 + S9: parse -> classify -> serialize -> sink (a path, or a topic by
+    ``sink_options`` with ``fmt="kafka"``).  The row count is taken with
     ``observe`` during the single write (no second scan); nothing is written
     when there are no events."""
     out = serialize_predictions(classify_events(parse_events(raw), model))
-    if sink_path is None:
+    if sink_path is None and not sink_options:
         return out
     from pyspark.sql import Observation
     obs = Observation("predictions")
     observed = out.observe(obs, F.count(F.lit(1)).alias("rows"))
-    observed.write.mode("append").format(fmt).save(sink_path)
+    w = observed.write.mode("append").format(fmt).options(**(sink_options or {}))
+    w.save(sink_path) if sink_path else w.save()
     return out.sparkSession.createDataFrame([(int(obs.get.get("rows", 0)),)], "rows long")
 
 

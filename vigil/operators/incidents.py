@@ -5,9 +5,14 @@ P5, P7, P13)."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vigil.functions.scalar import severity_rank
 from vigil.functions.text import (is_connection_error_line, is_error_line, is_oom_line,
@@ -84,7 +89,7 @@ PATTERN_SCHEMA = T.StructType([
     T.StructField("successRate", T.DoubleType()), T.StructField("confidence", T.DoubleType()),
     T.StructField("ord", T.IntegerType()),
 ])
-MAX_BROADCAST_PATTERNS = 100_000
+BLOCK_CHARS = 4_000_000         # characters of symptoms in one automaton
 PREFIX_SHARED = 8               # tokens that candidates share in their prefixes
 
 
@@ -94,13 +99,20 @@ def patterns_df(spark: SparkSession, extra: list[tuple] | None = None) -> DataFr
     return spark.createDataFrame(rows, PATTERN_SCHEMA)
 
 
-def _symptoms(patterns: DataFrame) -> DataFrame:
-    s = patterns.select(F.col("id").alias("pattern_id"), F.col("name").alias("pattern_name"),
-                        F.col("ord").alias("pattern_ord"), F.size("symptoms").alias("n_symptoms"),
-                        F.posexplode("symptoms").alias("symptom_pos", "symptom"))
-    s = s.withColumn("_sym", F.lower("symptom"))
-    n = s.count()   # configuration table: size checked before broadcasting
-    return F.broadcast(s) if n <= MAX_BROADCAST_PATTERNS else s
+def _pattern_blocks(patterns: DataFrame, chars: int) -> Iterator[list[tuple]]:
+    """(id, name, ord, symptoms, lower-cased symptoms) in blocks of at most
+    ``chars`` characters of symptoms; the driver holds one block at a time."""
+    rows = patterns.select("id", "name", "ord", "symptoms", F.transform("symptoms", F.lower).alias("low"))
+    block, held = [], 0
+    for r in rows.toLocalIterator():
+        size = sum(len(x or "") for x in r["low"] or [])
+        if block and held + size > chars:
+            yield block
+            block, held = [], 0
+        block.append(tuple(r))
+        held += size
+    if block:
+        yield block
 
 
 def match_patterns(docs: DataFrame, patterns: DataFrame, id_col: str, text: Column,
@@ -109,20 +121,56 @@ def match_patterns(docs: DataFrame, patterns: DataFrame, id_col: str, text: Colu
     matched / all symptoms; kept when >= ``min_strength`` (J2, 0.25) or > 0
     (J3, ``min_strength=None``).  Matched symptoms keep the pattern order.
 
-    The symptom table is broadcast (size-checked); each document is compared
-    with every symptom once (theta join, linear in the documents).
+    One automaton of all symptoms of a block of patterns reads each text once,
+    whatever their number; a pattern lies in one block, so nothing is shuffled.
     """
-    d = docs.select(F.col(id_col), F.lower(text).alias("_text"))
-    j = d.join(_symptoms(patterns), F.expr("instr(_text, _sym) > 0"), "inner")
-    g = j.groupBy(id_col, "pattern_id", "pattern_name", "pattern_ord", "n_symptoms").agg(
-        F.count(F.lit(1)).alias("matched"),
-        F.array_sort(F.collect_list(F.struct("symptom_pos", "symptom"))).alias("_m"))
-    g = g.withColumn("strength", F.col("matched") / F.col("n_symptoms")) \
-        .withColumn("matched_symptoms", F.array_join(F.transform("_m", lambda x: x["symptom"]), "|")) \
-        .drop("_m")
-    if min_strength is not None:
-        g = g.filter(F.col("strength") >= min_strength)
-    return g
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([
+        T.StructField(id_col, kind), T.StructField("pattern_id", T.StringType()), T.StructField("pattern_name", T.StringType()),
+        T.StructField("pattern_ord", T.IntegerType()), T.StructField("n_symptoms", T.IntegerType()),
+        T.StructField("matched", T.LongType()), T.StructField("strength", T.DoubleType()),
+        T.StructField("matched_symptoms", T.StringType())])
+    arrow, least = to_arrow_schema(schema), min_strength
+    d = docs.select(F.col(id_col), F.lower(text).alias("_text")).where("_text IS NOT NULL")
+
+    def search(block: list[tuple]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import ahocorasick
+            numbers = {}
+            for _, _, _, _, low in block:
+                for x in low or []:
+                    if x is not None:
+                        numbers.setdefault(x, len(numbers))
+            find = ahocorasick.Automaton()
+            for x, i in numbers.items():
+                if x:
+                    find.add_word(x, i)
+            always = {numbers[""]} if "" in numbers else set()
+            if len(find):
+                find.make_automaton()
+            owners: dict[int, list] = {}
+            for p, (_, _, _, symptoms, low) in enumerate(block):
+                for pos, x in enumerate(low or []):
+                    if x is not None:
+                        owners.setdefault(numbers[x], []).append((p, pos))
+            for b in batches:
+                out = []
+                for key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    hit: dict[int, list] = {}
+                    for i in always.union(i for _, i in find.iter(t)) if len(find) else always:
+                        for p, pos in owners[i]:
+                            hit.setdefault(p, []).append(pos)
+                    for p, at in hit.items():
+                        pid, name, ord_, symptoms, _ = block[p]
+                        strength = len(at) / len(symptoms)
+                        if least is None or strength >= least:
+                            out.append((key, pid, name, ord_, len(symptoms), len(at), strength,
+                                        "|".join(symptoms[x] for x in sorted(at))))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
+        return run
+    found = [d.mapInArrow(search(block), schema) for block in _pattern_blocks(patterns, BLOCK_CHARS)]
+    return reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
 def incident_text(df: DataFrame) -> Column:

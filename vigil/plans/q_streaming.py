@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigil.operators import alerts as A
-from vigil.operators import classifier as C
 from vigil.operators import recommender as RC
+from vigil.plans.q_classifier import CLASSIFIED, conversation_messages, conversation_model
 from vigil.plans.registry import query
 from vigil.sources.tables import read_table, view
 from vigil.streaming import jobs as S
@@ -52,17 +52,17 @@ def request_rate_stream(spark, sf):
     return S.run_to_table(S.request_rate_stream(_stream_of(spark, r, "requests")), "request_rate")
 
 
-@query("classify_stream")
+@query("classify_stream", CLASSIFIED.format(out="""
+SELECT "eventId" AS key, category FROM p"""))
 def classify_stream(spark, sf):
-    """Stateless classification stream of event payloads."""
-    ev = read_table(spark, sf, "events")
-    msgs = ev.select(F.to_json(F.struct(
-        F.col("event_id").cast("string").alias("eventId"), F.col("event_type").alias("eventType"),
-        F.col("ts").cast("string").alias("occurredAt"))).alias("value"))
-    stream = _stream_of(spark, msgs, "event-msgs", order=None)
-    model = C.fit_event_classifier(C.training_frame(spark))
-    out = C.serialize_predictions(C.classify_events(C.parse_events(stream), model))
-    return S.run_to_table(out, "classify")
+    """T2 + S10: the conversations streamed as event payloads, classified in
+    four micro-batches by the job; read back from its sink."""
+    from vigil.session import scratch_path
+    sink = scratch_path(spark, "predictions")
+    stream = _stream_of(spark, conversation_messages(spark, sf), "event-msgs", order=None, per_batch=2)
+    S.classify_stream(stream, conversation_model(spark, sf), sink).awaitTermination()
+    got = spark.read.schema("key string, value string, batch long").json(sink)
+    return got.select("key", F.get_json_object("value", "$.category").alias("category"))
 
 
 def _run_batches(spark, stream, name, fn):

@@ -109,16 +109,24 @@ def alert_state_stream(samples: DataFrame, rules: DataFrame, cooldown_ms: int =
 
 
 # ---------------------------------------------------------------- T2 -------
-def classify_stream(raw: DataFrame, model: dict[str, DataFrame], sink: str, fmt: str = "json",
+def classify_batch(model: C.EventModel, sink: str, fmt: str = "json", sink_options: dict | None = None
+                   ) -> Callable[[DataFrame, int], None]:
+    """T2 + S10: one micro-batch parsed, classified (a join with the model's
+    terms, which holds no state) and serialized; files are written once a
+    batch, a topic (``fmt="kafka"``) gets them at least once."""
+    def fn(batch: DataFrame, epoch: int) -> None:
+        out = C.serialize_predictions(C.classify_events(C.parse_events(batch), model))
+        if fmt == "kafka":
+            out.write.format(fmt).options(**(sink_options or {})).save()
+        else:
+            write_batch(out, sink, epoch, fmt=fmt)
+    return fn
+
+
+def classify_stream(raw: DataFrame, model: C.EventModel, sink: str, fmt: str = "json",
                     checkpoint: str | None = None, sink_options: dict | None = None, trigger: dict | None = None):
-    """T2 + S10: parse -> classify -> serialize, append, no state."""
-    out = C.serialize_predictions(C.classify_events(C.parse_events(raw), model))
-    w = out.writeStream.outputMode("append").format(fmt) \
-        .option("checkpointLocation", _checkpoint(raw.sparkSession, "classify", checkpoint))
-    for k, v in (sink_options or {}).items():
-        w = w.option(k, v)
-    w = w.trigger(**(trigger or {"availableNow": True}))
-    return w.start() if fmt == "kafka" else w.start(sink)
+    """T2 + S10: the classification job over a stream of event payloads."""
+    return foreach_batch(raw, "classify", classify_batch(model, sink, fmt, sink_options), checkpoint, trigger)
 
 
 # ---------------------------------------------------------------- T5 / T6 --
