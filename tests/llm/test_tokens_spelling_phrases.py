@@ -240,10 +240,10 @@ def prose(seed, docs=120):
     return rows + [("en", None), ("en", ""), (None, " .,; "), ("fr", "solo"), ("en", "tail end " * 3000), ("en", "tail end " * 3000)]
 
 
-@pytest.mark.parametrize("held,part,least,top", [(300_000, 2 << 20, 30, 2000), (200, 3000, 5, 7)])
-def test_collocations_equal_plain_counts(spark, monkeypatch, held, part, least, top):
+@pytest.mark.parametrize("held,parts,least,top", [(400_000, 256, 30, 2000), (200, 5, 5, 7)])
+def test_collocations_equal_plain_counts(spark, monkeypatch, held, parts, least, top):
     monkeypatch.setattr(phrases, "HELD", held)
-    monkeypatch.setattr(phrases, "PART_BYTES", part)
+    monkeypatch.setattr(phrases, "PARTS", parts)
     data = prose(5)
     df = table(spark, data, "lang string, text string")
     got = {tuple(r) for r in phrases.collocations(df, least=least, top=top).collect()}

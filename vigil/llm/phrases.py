@@ -31,12 +31,14 @@ from vigil.llm.common import bounded_batches, to_scratch
 from vigil.operators.ordered import top_n
 
 ORDER = 4                   # words of an edge
-HELD = 300_000              # grams that a task holds before it packs them
-PART_BYTES = 2 << 20        # of text for each hashed part of a language
+HELD = 400_000              # grams that a task holds before it packs them
+PARTS = 256                 # hashed parts of a language at least
+PART_BYTES = 4 << 20        # of text for each part
 SALTS = 8
 _END = b"\xff"              # between pieces; no byte of a text
 _TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\t", _END * 10 + b" ")
-_PACK = "lang string, part int, words int, ones binary, grams binary, counts binary"
+_CUT = b"\xfe"              # between the lists of a pack; no byte of a text either
+_PACK = "lang string, part int, words int, body binary"
 _UNZIP = zstandard.ZstdDecompressor().decompress
 
 
@@ -70,7 +72,7 @@ class _Packer:
         self.n = 0
 
     def pack(self, lang: str, words: int, grams: list[bytes], counts: list[int], part: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Grams that occur once apart from those with a count."""
+        """Grams that occur once stand apart from those with a count."""
         if not grams:
             return
         numbers = np.array(counts, "<i8")
@@ -79,21 +81,18 @@ class _Packer:
         cuts = np.flatnonzero(np.concatenate([[True], sorted_part[1:] != sorted_part[:-1], [True]]))
         names = [grams[i] for i in order.tolist()]
         singles = np.add.reduceat(numbers == 1, cuts[:-1], dtype=np.int64).tolist()
-        rows = ([], [], [])
-        for a, b, one in zip(cuts.tolist(), cuts[1:].tolist(), singles):
-            rows[0].append(self.press(b"\n".join(names[a:a + one])))
-            rows[1].append(self.press(b"\n".join(names[a + one:b])))
-            rows[2].append(self.press(numbers[a + one:b].tobytes()))
-        k = len(rows[0])
+        body = [self.press(_CUT.join([b"\n".join(names[a:a + one]), b"\n".join(names[a + one:b]),
+                                      numbers[a + one:b].tobytes()]))
+                for a, b, one in zip(cuts.tolist(), cuts[1:].tolist(), singles)]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([lang] * k, pa.string()), pa.array(sorted_part[cuts[:-1]], pa.int32()),
-             pa.array([words] * k, pa.int32()), *(pa.array(c, pa.binary()) for c in rows)],
-            names=["lang", "part", "words", "ones", "grams", "counts"])
+            [pa.array([lang] * len(body), pa.string()), pa.array(sorted_part[cuts[:-1]], pa.int32()),
+             pa.array([words] * len(body), pa.int32()), pa.array(body, pa.binary())],
+            names=["lang", "part", "words", "body"])
 
 
-def _unpack(ones: bytes, grams: bytes, counts: bytes) -> tuple[list[bytes], list[bytes], list[int]]:
+def _unpack(body: bytes) -> tuple[list[bytes], list[bytes], list[int]]:
     """(grams that occur once, other grams, their counts)."""
-    a, b, n = (_UNZIP(x) for x in (ones, grams, counts))
+    a, b, n = _UNZIP(body).split(_CUT, 2)
     return a.split(b"\n") if a else [], b.split(b"\n") if n else [], np.frombuffer(n, "<i8").tolist()
 
 
@@ -105,8 +104,7 @@ def _count_texts(parts: int):
                 for edges, ends in edges_and_ends(text):
                     out.held[lang, ORDER].update(edges)
                     out.n += len(edges) + len(ends)
-                    for g in ends:
-                        out.held[lang, g.count(b" ") + 1][g] += 1
+                    out.held[lang, ORDER - 1].update(ends)
                     if out.n >= HELD:
                         yield from out.rows()
         yield from out.rows()
@@ -116,23 +114,28 @@ def _count_texts(parts: int):
 def _sum_level(words: int, parts: int, least: int):
     """Packs sorted by (lang, part) -> grams of ``words`` words are whole now:
     the frequent ones are results (packs with a negative part), and all flow to
-    the gram before their last word.  Packs of fewer words go on unopened."""
+    the gram before their last word; shorter ends go on as they are, and packs
+    that are opened later go on unopened."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Packer(parts)
         here, sums = None, Counter()
 
         def close() -> Iterator[pa.RecordBatch]:
-            lang = here[0]
-            keep = [g for g, n in sums.items() if n >= least]
+            lang, whole = here[0], sums
+            nxt = out.held[lang, words - 1]
+            if words < ORDER:
+                whole = {g: n for g, n in sums.items() if g.count(b" ") == words - 1}
+                for g in sums.keys() - whole.keys():
+                    nxt[g] += sums[g]
+            keep = [g for g, n in whole.items() if n >= least]
             if words > 1:
-                nxt = out.held[lang, words - 1]
-                nxt.update([g[:g.rindex(b" ")] for g, n in sums.items() if n == 1])
-                for g, n in sums.items():
+                nxt.update([g[:g.rindex(b" ")] for g, n in whole.items() if n == 1])
+                for g, n in whole.items():
                     if n > 1:
                         nxt[g[:g.rindex(b" ")]] += n
                 out.n = sum(map(len, out.held.values()))
             else:
-                yield from out.pack(lang, 0, [b""], [sum(sums.values())], np.array([-1]))
+                yield from out.pack(lang, 0, [b""], [sum(whole.values())], np.array([-1]))
             if keep:
                 yield from out.pack(lang, words, keep, [sums[g] for g in keep],
                                     np.full(len(keep), -1 - zlib.crc32(keep[0]) % 64))
@@ -143,12 +146,12 @@ def _sum_level(words: int, parts: int, least: int):
             on = np.array([p < 0 or w < words for p, w in zip(cols[1], cols[2])], bool)
             if on.any():
                 yield b.filter(pa.array(on))
-            for lang, part, _, *packed in (r for r, skip in zip(zip(*cols), on.tolist()) if not skip):
+            for lang, part, _, body in (r for r, skip in zip(zip(*cols), on.tolist()) if not skip):
                 if here != (lang, part):
                     if here:
                         yield from close()
                     here, sums = (lang, part), Counter()
-                ones, grams, counts = _unpack(*packed)
+                ones, grams, counts = _unpack(body)
                 sums.update(ones)
                 for g, n in zip(grams, counts):
                     sums[g] += n
@@ -164,7 +167,7 @@ def gram_counts(docs: DataFrame, least: int, lang: str = "lang", text: str = "te
     row of no words with the number of all its words.  Null languages: und."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"),
                        F.col(text).cast("string").alias("text")).where("text IS NOT NULL")
-    parts = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
+    parts = max(PARTS, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
     packs = bounded_batches(rows, 1024).mapInArrow(_count_texts(parts), _PACK)
     for words in range(ORDER, 0, -1):
         packs = (packs.repartition("lang", "part").sortWithinPartitions("lang", "part")
@@ -172,8 +175,8 @@ def gram_counts(docs: DataFrame, least: int, lang: str = "lang", text: str = "te
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lang, _, words, *packed in zip(*(c.to_pylist() for c in b.columns)):
-                ones, grams, counts = _unpack(*packed)
+            for lang, _, words, body in zip(*(c.to_pylist() for c in b.columns)):
+                ones, grams, counts = _unpack(body)
                 g, n = ones + grams, [1] * len(ones) + counts
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(g), pa.string()), pa.array([x.decode() for x in g], pa.string()),
