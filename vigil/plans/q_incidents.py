@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from vigil.operators import incidents as I
@@ -233,19 +235,97 @@ def analyze(spark, sf):
     return _analysis(spark, sf)
 
 
-@query("analyze_incidents")
+def _fix_values() -> str:
+    rows = [f"('{p[0]}', {ordi}, {p[7]}::DOUBLE, {i}, '{f}', '{p[5][0]}')"
+            for ordi, p in enumerate(I.BUILTIN_PATTERNS + PROSE_PATTERNS) for i, f in enumerate(p[6])]
+    return "(VALUES " + ", ".join(rows) + ") AS f(pattern_id, ord, rate, pos, fix, cause)"
+
+
+# matches, similar incidents and fixes of every handled incident
+_EVIDENCE_SQL = f"""
+pm AS ({_MATCH_SQL}),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY incident_id ORDER BY strength DESC, pattern_ord) AS rn FROM pm),
+words AS (SELECT incident_id, {_WS} AS ws FROM incidents),
+sim AS (SELECT * FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY incident_id ORDER BY similarity DESC, similar_id) AS rank FROM (
+    SELECT a.incident_id, b.incident_id AS similar_id, len(list_intersect(a.ws, b.ws))
+             / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws))) AS similarity
+    FROM words a JOIN words b ON a.incident_id <> b.incident_id WHERE len(a.ws) + len(b.ws) > 0) x
+  WHERE similarity > 0.1) y WHERE rank <= 5),
+cand AS (
+  SELECT r.incident_id, f.fix AS description, r.strength * f.rate * 100 AS confidence,
+         'Pattern: ' || r.pattern_name AS source, r.rn AS o1, f.pos AS o2
+  FROM ranked r JOIN {_fix_values()} ON f.pattern_id = r.pattern_id WHERE r.rn <= 3
+  UNION ALL
+  SELECT sim.incident_id, h.resolution, similarity * 100, 'Similar incident: ' || h.title, 100 + rank, 0
+  FROM sim JOIN handled_incidents h ON h.incident_id = sim.similar_id WHERE h.resolution IS NOT NULL),
+one AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY incident_id, lower(description) ORDER BY o1, o2) AS k
+                       FROM cand) z WHERE k = 1),
+fixes AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY incident_id ORDER BY confidence DESC, o1, o2) AS rank
+                         FROM one) z WHERE rank <= 10),
+sagg AS (SELECT incident_id, max(similarity) AS top, COUNT(*) AS n FROM sim GROUP BY incident_id),
+a AS (SELECT h.incident_id, r.pattern_id, r.pattern_name, coalesce(s.n, 0) AS similar_incidents, least(round(
+             20.0 + coalesce(r.strength * 30, 0.0) + coalesce(s.top * 20, 0.0)), 95.0) AS confidence
+      FROM handled_incidents h LEFT JOIN ranked r ON r.incident_id = h.incident_id AND r.rn = 1
+      LEFT JOIN sagg s ON s.incident_id = h.incident_id)"""
+
+
+def _handled(spark, sf):
+    return view(spark, sf, "handled_incidents")
+
+
+@query("incident_fixes", f"""
+WITH {_EVIDENCE_SQL} SELECT incident_id, description, confidence, source, rank FROM fixes""", ("handled_incidents",))
+def incident_fixes(spark, sf):
+    """C3 + U3: the fixes suggested for every stored incident, from its
+    patterns and from how similar incidents were resolved."""
+    from vigil.plans import analysis as AN
+    _, _, fixes = AN.incident_evidence(_handled(spark, sf), _patterns(spark))
+    return fixes.select("incident_id", "description", "confidence", "source", "rank")
+
+
+_ANALYSIS_SQL = f"""
+WITH {_EVIDENCE_SQL}
+SELECT h.incident_id, CAST(a.confidence AS INTEGER) AS confidence,
+  coalesce(h.root_cause, c.cause, 'Detected: ' || h.title || '. Further investigation needed.') AS root_cause,
+  a.pattern_name AS top_pattern, a.similar_incidents, f.description AS top_fix
+FROM handled_incidents h JOIN a USING (incident_id)
+LEFT JOIN (SELECT DISTINCT pattern_id, cause FROM {_fix_values()}) c ON c.pattern_id = a.pattern_id
+LEFT JOIN fixes f ON f.incident_id = h.incident_id AND f.rank = 1"""
+
+
+@query("analyze_incidents", _ANALYSIS_SQL, ("handled_incidents",))
 def analyze_incidents(spark, sf):
-    """Analysis of every stored incident (patterns, similar incidents,
-    fixes, confidence, root cause)."""
+    """C2 + A6 + C4: analysis of every stored incident (patterns, similar
+    incidents, fixes, confidence, root cause)."""
     from vigil.plans import analysis as AN
-    return AN.analyze_incidents(view(spark, sf, "incidents"), _patterns(spark))
+    return AN.analyze_incidents(_handled(spark, sf), _patterns(spark))
 
 
 @query("record_incidents")
 def record_incidents(spark, sf):
-    """Incidents recorded from the project analyses."""
+    """Incidents recorded from the project analyses, with the matched
+    patterns as sources."""
     from vigil.plans import analysis as AN
-    return AN.record_incidents(_analysis(spark, sf))
+    args = (project_logs(spark, sf), view(spark, sf, "metric_samples"), project_commits(spark, sf),
+            _handled(spark, sf), _patterns(spark))
+    e = AN.project_evidence(*args)
+    out = AN.record_incidents(AN.analyze(*args, evidence=e), e.patterns, now=F.lit("2024-02-01").cast("timestamp"))
+    return out.withColumn("sources", F.array_join("sources", "|")).withColumn("tags", F.array_join("tags", "|"))
+
+
+@query("analysis_evidence")
+def analysis_evidence(spark, sf):
+    """C1's rows in long form: each project's patterns, correlations, similar
+    incidents and fixes, best first."""
+    from vigil.plans import analysis as AN
+    e = AN.project_evidence(project_logs(spark, sf), view(spark, sf, "metric_samples"), project_commits(spark, sf),
+                            _handled(spark, sf), _patterns(spark))
+    rows = [(e.patterns, "pattern", "pattern_name", "strength"), (e.correlations, "correlation", "description", "confidence"),
+            (e.similar, "similar", "similar_id", "similarity"), (e.fixes, "fix", "description", "confidence")]
+    parts = [d.select("project", F.lit(kind).alias("kind"), F.col(text).cast("string").alias("text"),
+                      F.col(score).cast("double").alias("score")) for d, kind, text, score in rows]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 _LVL = """CASE WHEN contains(lower(message), 'error') OR contains(lower(message), 'exception')
@@ -299,24 +379,33 @@ def incident_fix_lookup(spark, sf):
                       F.col("fix.applied_at").cast("string").alias("fix_applied_at"))
 
 
-@query("suggestion_ranking")
+@query("suggestion_ranking", f"""
+WITH {_EVIDENCE_SQL},
+g AS (SELECT f.description, COUNT(*) AS frequency,
+             max(CASE h.status WHEN 'open' THEN 2 WHEN 'investigating' THEN 1 ELSE 0 END) AS sev,
+             coalesce(max(v.rate), 0.0) AS ease, avg(a.confidence) / 100 AS confidence
+      FROM fixes f JOIN handled_incidents h USING (incident_id) JOIN a USING (incident_id)
+      LEFT JOIN (SELECT DISTINCT fix, max(rate) AS rate FROM {_fix_values()} GROUP BY fix) v ON v.fix = f.description
+      GROUP BY f.description)
+SELECT description, frequency, ease, confidence,
+       CASE sev WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS severity FROM g""", ("handled_incidents",))
 def suggestion_ranking(spark, sf):
-    """The top fix of every analysed incident aggregated into ranked
+    """Every fix suggested for any incident aggregated into ranked
     suggestions — frequency (incidents), severity (worst status: open high,
     investigating medium, resolved low), ease (success rate of the fix's
-    pattern) and confidence (mean analysis confidence / 100)."""
+    pattern) and confidence (mean analysis confidence / 100); best first."""
     from vigil.operators.extensions import rank_suggestions
     from vigil.plans import analysis as AN
-    inc = view(spark, sf, "incidents")
-    pats = _patterns(spark)
-    a = AN.analyze_incidents(inc, pats).filter(F.col("top_fix").isNotNull()).join(
-        inc.select("incident_id", "status"), "incident_id")
-    sev = (F.when(F.col("status") == "open", 2).when(F.col("status") == "investigating", 1).otherwise(0))
-    ease = pats.select(F.col("name").alias("top_pattern"), F.col("successRate").alias("ease"))
-    s = (a.join(ease, "top_pattern", "left")
-         .groupBy(F.col("top_fix").alias("description"))
-         .agg(F.count(F.lit(1)).alias("frequency"), F.max(sev).alias("_sev"),
-              F.max("ease").alias("ease"), (F.avg("confidence") / 100).alias("confidence")))
+    inc, pats = _handled(spark, sf), _patterns(spark)
+    evidence = AN.incident_evidence(inc, pats)
+    a = AN.analyze_incidents(inc, pats, evidence).select("incident_id", F.col("confidence").alias("_conf"))
+    sev = F.when(F.col("status") == "open", 2).when(F.col("status") == "investigating", 1).otherwise(0)
+    ease = pats.select(F.explode("fixes").alias("description"), "successRate").groupBy("description").agg(
+        F.max("successRate").alias("ease"))
+    s = (evidence[2].select("incident_id", "description").join(a, "incident_id")
+         .join(inc.select("incident_id", "status"), "incident_id").join(ease, "description", "left")
+         .groupBy("description").agg(F.count(F.lit(1)).alias("frequency"), F.max(sev).alias("_sev"),
+                                     F.max("ease").alias("ease"), (F.avg("_conf") / 100).alias("confidence")))
     s = s.withColumn("severity", F.when(F.col("_sev") == 2, "high").when(F.col("_sev") == 1, "medium")
                      .otherwise("low")).drop("_sev").fillna(0.0, ["ease"])
-    return rank_suggestions(s)
+    return rank_suggestions(s).drop("priority_score")

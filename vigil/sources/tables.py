@@ -60,6 +60,11 @@ SELECT d.doc_id AS incident_id, d.source AS project, SUBSTR(d.text, 1, 80) AS ti
        d.lang AS tag, CASE WHEN l.quality = 1 THEN 'resolved' WHEN l.quality = 0 THEN 'open' ELSE 'investigating' END AS status,
        CASE WHEN l.toxic = 1 THEN 'failed' WHEN l.toxic = 0 THEN 'resolved' END AS fix_outcome
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "handled_incidents": """
+SELECT incident_id, project, title, description, tag, status, fix_outcome,
+       CASE WHEN status = 'resolved' THEN 'Applied the runbook of ' || project END AS resolution,
+       CASE WHEN incident_id % 5 = 0 THEN 'Known cause in ' || project END AS root_cause
+FROM incidents""",
     "chaos_results": """
 SELECT 'p' || CAST(user_id % 3 AS STRING) AS project, event_id AS run_id,
        CASE event_type WHEN 'error' THEN 'pod-kill' WHEN 'signup' THEN 'network-latency' WHEN 'click' THEN 'kafka-down'
@@ -82,12 +87,12 @@ FROM pages""",
 SELECT conv_id, turn, role AS author, text AS body FROM conversations""",
 }
 
-VIEW_DEPS = {"counters": ["requests"], "buckets": ["requests"]}
+VIEW_DEPS = {"counters": ["requests"], "buckets": ["requests"], "handled_incidents": ["incidents"]}
 _BASE = {
     "requests": ["events"], "metric_samples": ["events"], "logs": ["events"],
     "deployments": ["events"], "commits": ["events"], "incidents": ["documents", "labels"],
     "chaos_results": ["events"], "engagement": ["events"], "catalog": ["part"],
-    "articles": ["pages"], "chat": ["conversations"], "counters": [], "buckets": [],
+    "articles": ["pages"], "chat": ["conversations"], "counters": [], "buckets": [], "handled_incidents": [],
 }
 
 
