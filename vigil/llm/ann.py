@@ -150,7 +150,9 @@ def nearest(df: DataFrame, queries: Column, key: str = "vec_id", vec: str = "emb
     ``block`` bounds what the driver holds and sends: so many queries at once.
     """
     spark = df.sparkSession
-    flag = df.withColumn("_asked", queries).select(key, vec, "_asked")
+    # a vector that takes no part must not hide another one of its key
+    flag = df.select(F.col(key).alias("_key"), F.col(vec).alias("_vec"), queries.alias("_asked"))
+    flag = flag.where(usable(F.col("_vec"))).toDF(key, vec, "_asked")
     one = flag.groupBy(key).agg(F.min(F.struct(F.col(vec).alias("v"), "_asked")).alias("r"))
     index = build_index(one.select(key, F.col("r.v").alias("v")), key, "v", tables, seed)
     asked = to_scratch(one.where("r._asked").select(F.col(key).cast("long").alias("vec_id"))

@@ -69,7 +69,8 @@ def shard_by_bytes(df: DataFrame, n_shards: int, size: str, keys: list[str],
     """
     spark = df.sparkSession
     df = df.drop("shard", "slot")
-    k, tie, w, fine = (free_name(df, x) for x in ("_key", "_tie", "_size", "_range"))
+    k, tie, w, fine, i, c, g, g0, n0, b0, at = (free_name(df, x) for x in (
+        "_key", "_tie", "_size", "_range", "_i", "_c", "_g", "_g0", "_n0", "_b0", "_at"))
     rows = (df.withColumn(w, F.coalesce(F.col(size).cast("long"), F.lit(0)))
             .withColumn(k, F.xxhash64(*keys)).withColumn(tie, F.xxhash64(*df.columns)))
     slim = to_scratch(rows.select(k, tie, w), "shard-keys")
@@ -100,31 +101,31 @@ def shard_by_bytes(df: DataFrame, n_shards: int, size: str, keys: list[str],
     placed_range = (of(first) + sub).cast("long")
 
     slim_totals = (slim.groupBy(placed_range.alias(fine))
-                   .agg(F.count("*").alias("_n"), F.sum(w).alias("_b")))
+                   .agg(F.count("*").alias("n"), F.sum(w).alias("b")))
     before = Window.orderBy(fine).rowsBetween(Window.unboundedPreceding, -1)
     starts = slim_totals.select(
-        fine, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
-        F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b0"))
+        fine, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(n0),
+        F.coalesce(F.sum("b").over(before), F.lit(0)).alias(b0))
     dealt = rows.withColumn(fine, placed_range)
     order = Window.partitionBy(fine).orderBy(k, tie)
     group = Window.partitionBy(fine, k)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    dealt = (dealt.withColumn("_i", F.row_number().over(order))
-             .withColumn("_c", F.sum(w).over(upto))
-             .withColumn("_g", F.sum(w).over(group))
-             .withColumn("_g0", F.min(F.col("_c") - F.col(w)).over(group)))
+    dealt = (dealt.withColumn(i, F.row_number().over(order))
+             .withColumn(c, F.sum(w).over(upto))
+             .withColumn(g, F.sum(w).over(group))
+             .withColumn(g0, F.min(F.col(c) - F.col(w)).over(group)))
     dealt = dealt.join(starts, fine)
-    small = F.col("_g") * (64 * n_shards) <= F.lit(total)
-    middle = F.col("_b0") + F.when(small, F.col("_g0") + F.col("_g") / 2).otherwise(
-        F.col("_c") - F.col(w) / 2)
+    small = F.col(g) * (64 * n_shards) <= F.lit(total)
+    middle = F.col(b0) + F.when(small, F.col(g0) + F.col(g) / 2).otherwise(
+        F.col(c) - F.col(w) / 2)
     if total:
         shard = F.least(F.floor(middle * n_shards / total), F.lit(n_shards - 1)).cast("int")
     else:  # nothing has a size: spread the rows
-        shard = F.floor((F.col("_n0") + F.col("_i") - 1) * n_shards / max(n, 1)).cast("int")
+        shard = F.floor((F.col(n0) + F.col(i) - 1) * n_shards / max(n, 1)).cast("int")
     dealt = to_scratch(dealt.select(
-        *df.columns, shard.alias("shard"), (F.col("_n0") + F.col("_i") - 1).alias("_at")),
+        *df.columns, shard.alias("shard"), (F.col(n0) + F.col(i) - 1).alias(at)),
         "shard-rows")
-    firsts = {r[0]: r[1] for r in dealt.groupBy("shard").agg(F.min("_at")).collect()}
+    firsts = {r[0]: r[1] for r in dealt.groupBy("shard").agg(F.min(at)).collect()}
     start = F.get(F.array(*[F.lit(int(firsts.get(i, 0))) for i in range(n_shards)]),
                   F.col("shard"))
-    return dealt.select(*df.columns, "shard", (F.col("_at") - start).cast("long").alias("slot"))
+    return dealt.select(*df.columns, "shard", (F.col(at) - start).cast("long").alias("slot"))

@@ -17,6 +17,7 @@ import hashlib
 import hmac
 import re
 from collections.abc import Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -72,6 +73,10 @@ _SCRIPTS = {
 }
 
 
+#: attempts in a format before it gets longer
+ROOM = 16
+
+
 def _stream(key: bytes, *parts: str) -> Iterator[int]:
     """Bytes that follow from the key and the parts."""
     n = 0
@@ -106,7 +111,10 @@ def normal(kind: str, value: str, gender: str = "n") -> str:
 
 
 def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
-    """The replacement of a normal form; another one for another attempt."""
+    """The replacement of a normal form; another one for another attempt.
+    After every ``ROOM`` attempts the format gets one sign longer, so there is
+    always room in the end."""
+    more = attempt // ROOM
     rnd = _stream(key, kind, norm, str(attempt))
 
     def pick(options: str | list[str]) -> str:
@@ -120,15 +128,17 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int = 0) -> str:
             out.append("".join(pick(parts) for _ in range(2 + attempt // 4 + next(rnd) % 2)) + pick(ends[gender]))
         return f"{gender}:" + " ".join(out)
     if kind == "ip":
-        return ".".join(pick([str(x) for x in range(10 ** (len(o) - 1), min(255, 10 ** len(o)))])
-                        for o in norm.split("."))
+        sizes = [min(3, len(o) + more) for o in norm.split(".")]
+        ends = [pick([str(x) for x in range(10 ** (n - 1), min(255, 10 ** n))]) for n in sizes]
+        return ".".join(ends + [pick(digit) + pick(digit) for _ in range(max(0, more - 2))])
     if kind == "email":
         head, tld = norm.rsplit(".", 1)
-        return "".join(pick(digit) if c.isdigit() else pick(letter) if c.isalpha() else c
-                       for c in head) + "." + tld
+        return "".join(pick(letter) for _ in range(more)) + "".join(
+            pick(digit) if c.isdigit() else pick(letter) if c.isalpha() else c for c in head) + "." + tld
     if kind == "iban":
-        return norm[:2] + "".join(pick(digit) if c.isdigit() else pick(letter).upper() for c in norm[2:])
-    out = [pick(digit[1:])] + [pick(digit) for _ in norm[1:]]
+        return norm[:2] + "".join(pick(digit) if c.isdigit() else pick(letter).upper() for c in norm[2:]) + "".join(
+            pick(digit) for _ in range(more))
+    out = [pick(digit[1:])] + [pick(digit) for _ in norm[1:]] + [pick(digit) for _ in range(more)]
     if kind == "phone":  # the country code stays
         out[:1] = norm[:1]
     if kind == "card" and _luhn(norm) == 0:
@@ -144,11 +154,12 @@ def render(kind: str, value: str, norm: str) -> str:
         return " ".join(w.upper() if len(v) > 1 and v.isupper() else w[:1].upper() + w[1:]
                         for w, v in zip(words, value.split(" ")))
     if kind == "email":
-        return "".join(n.upper() if v.isupper() else n for n, v in zip(norm, value))
+        longer = len(norm) - len(value)
+        return norm[:longer] + "".join(n.upper() if v.isupper() else n for n, v in zip(norm[longer:], value))
     if kind == "ip":
         return norm
     left = iter(norm)
-    return "".join(next(left) if c.isalnum() else c for c in value)
+    return "".join(next(left) if c.isalnum() else c for c in value) + "".join(left)
 
 
 def _mentions(text: str, names: list[list[str]]) -> list[tuple[int, int]]:
@@ -246,7 +257,7 @@ def occurrences(docs: DataFrame, text: str) -> DataFrame:
         "first boolean"), "entities")
 
 
-def assign(entities: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
+def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, norm, new) for every distinct (kind, norm): all ``new`` of a kind
     differ from each other and from every norm of it.
 
@@ -259,7 +270,7 @@ def assign(entities: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
         return pd.Series([surrogate(key, k, n, a) for k, n, a in zip(kind, norm, attempt)], dtype=object)
     known = to_scratch(entities.select("kind", "norm").distinct(), "entity-list")
     taken, open_, done = known, known, None
-    for attempt in range(rounds):
+    for attempt in count():
         tried = open_.withColumn("new", make("kind", "norm", F.lit(attempt)))
         first = tried.groupBy("kind", "new").agg(F.min("norm").alias("norm"))
         free = first.join(taken.select("kind", F.col("norm").alias("new")), ["kind", "new"], "left_anti")
@@ -269,7 +280,6 @@ def assign(entities: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
         open_ = to_scratch(open_.join(given, ["kind", "norm"], "left_anti"), "entity-open")
         if open_.isEmpty():
             return done
-    raise ValueError("a format has too few values for its entities: give it more room")
 
 
 def replace_entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
