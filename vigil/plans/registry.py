@@ -36,5 +36,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from vigil.plans import (  # noqa: F401
         q_release, q_metrics, q_logs, q_telemetry, q_alerts, q_resilience,
-        q_incidents, q_warehouse, q_recommender, q_ingest, q_classifier, q_streaming, q_extensions,
+        q_incidents, q_warehouse, q_recommender, q_ingest, q_classifier, q_streaming, q_extensions, q_sources,
     )

@@ -8,10 +8,12 @@ lines into a quarantine DataFrame instead of failing the job (quirk Q14).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vigil.session import cut_lineage
+
 CORRUPT = "_corrupt_record"
 
 _CONTAINER = T.StructType([T.StructField(n, T.StringType() if n == "name" else T.DoubleType())
@@ -63,7 +65,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 def split_quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(good rows without the corrupt column, quarantined raw lines)."""
-    d = df.cache()     # Spark requires materialisation before filtering on the corrupt column alone
+    d = cut_lineage(df)     # Spark requires materialisation before filtering on the corrupt column alone
     good = d.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     bad = d.filter(F.col(CORRUPT).isNotNull()).select(CORRUPT)
     return good, bad
@@ -113,7 +115,8 @@ def read_patterns(spark: SparkSession, path: str) -> DataFrame:
     from vigil.operators.incidents import PATTERN_SCHEMA, patterns_df
     stored = read_json_array(spark, path, T.StructType([f for f in PATTERN_SCHEMA.fields if f.name != "ord"]))
     builtin = patterns_df(spark)
-    stored = stored.withColumn("ord", F.monotonically_increasing_id().cast(PATTERN_SCHEMA["ord"].dataType))
+    # configuration rows in stored order, numbered without gaps (an id of the second partition is over 2^31)
+    stored = stored.withColumn("ord", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)
     has = stored.limit(1).select(F.lit(1).alias("_k"))
     fallback = builtin.withColumn("_k", F.lit(1)).join(has, "_k", "left_anti").drop("_k")
     return stored.unionByName(fallback, allowMissingColumns=True)
