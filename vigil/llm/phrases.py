@@ -65,9 +65,9 @@ class _Packer:
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         for (lang, words), counts in self.held.items():
-            grams = sorted(counts)
+            grams = list(counts)
             part = np.fromiter(map(zlib.crc32, grams), np.int64, len(grams)) % self.parts
-            yield from self.pack(lang, words, grams, list(map(counts.__getitem__, grams)), part)
+            yield from self.pack(lang, words, grams, list(counts.values()), part)
         self.held.clear()
         self.n = 0
 
@@ -76,14 +76,17 @@ class _Packer:
         if not grams:
             return
         numbers = np.array(counts, "<i8")
-        order = np.lexsort((numbers > 1, part))      # stable: grams stay sorted
+        order = np.lexsort((numbers > 1, part))
         sorted_part, numbers = part[order], numbers[order]
         cuts = np.flatnonzero(np.concatenate([[True], sorted_part[1:] != sorted_part[:-1], [True]]))
         names = [grams[i] for i in order.tolist()]
         singles = np.add.reduceat(numbers == 1, cuts[:-1], dtype=np.int64).tolist()
-        body = [self.press(_CUT.join([b"\n".join(names[a:a + one]), b"\n".join(names[a + one:b]),
-                                      numbers[a + one:b].tobytes()]))
-                for a, b, one in zip(cuts.tolist(), cuts[1:].tolist(), singles)]
+        body = []
+        for a, b, one in zip(cuts.tolist(), cuts[1:].tolist(), singles):     # sorted, they compress better
+            more = sorted(zip(names[a + one:b], numbers[a + one:b].tolist()))
+            body.append(self.press(_CUT.join([
+                b"\n".join(sorted(names[a:a + one])), b"\n".join([g for g, _ in more]),
+                np.array([n for _, n in more], "<i8").tobytes()])))
         yield pa.RecordBatch.from_arrays(
             [pa.array([lang] * len(body), pa.string()), pa.array(sorted_part[cuts[:-1]], pa.int32()),
              pa.array([words] * len(body), pa.int32()), pa.array(body, pa.binary())],
