@@ -3,6 +3,7 @@ plain loops over all pairs."""
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,25 @@ def test_set_index_scores_few(spark):
     assert index.scored < len(rows) * len(rows) / 20
 
 
+def test_rows_are_packed_once_however_many_blocks_they_meet(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "PART_VALUES", 300)
+    rows = _sets(7)
+    sets, _ = simjoin.numbered_words(spark.createDataFrame(rows, "id long, ws array<string>"))
+    blocks = [pa.ipc.open_stream(r["block"]).read_all() for r in simjoin._blocks(sets, 4).collect()]
+    assert len(blocks) > 8
+    assert sorted(i for b in blocks for i in b.column("id").to_pylist()) == sorted(i for i, _ in rows)
+    assert all(sum(b.column("n").to_pylist()) <= 300 for b in blocks)
+
+
+def test_the_worst_of_the_best_bounds_later_blocks():
+    index = simjoin.SetIndex([1, 2, 3], np.array([4, 4, 4]), np.array([0, 4, 8, 12]),
+                             np.array([1, 2, 3, 4, 1, 2, 3, 9, 1, 7, 8, 9]))
+    asked = [9], np.array([4]), np.array([0, 4]), np.array([1, 2, 3, 4])
+    for least, want in ((-np.inf, [0, 1, 2]), (0.6, [0, 1]), (0.7, [0])):
+        [(_, near, _)] = index.many(*asked, 5, 0.1, np.array([least]))
+        assert near.tolist() == want
+
+
 @pytest.mark.parametrize("part", [4_000_000, 300])
 def test_top_cosine_equals_all_pairs(spark, monkeypatch, part):
     monkeypatch.setattr(simjoin, "PART_VALUES", part)

@@ -1,16 +1,18 @@
 """Top-k similarity joins on an inverted or blocked index.
 
-Index rows are dealt to parts of bounded size, queries to splits; each pair of
-a part and a split is one group of rows, sorted so that the index comes first.
-A task builds the part's index once, streams the queries past it and keeps only
-the best ``k`` of each, so neither pairs of a large group of alike rows nor a
-whole query set ever stand in one place.  Upper bounds decide what is scored;
-the results are exact.
+Index rows and queries are packed once into blocks of bounded size and written.
+A task holds one block of queries and streams the index blocks past it, read from
+where they lie (a Cartesian product of the blocks), so rows are not copied once a
+partner block by a shuffle.  It keeps only the best ``k`` of each query; the worst
+of these is the bound for the blocks that follow.  Neither pairs of a large group
+of alike rows nor a whole index ever stand in one place.  Upper bounds decide what
+is scored; the results are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +24,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from vigil.operators.ordered import top_n
 from vigil.session import cut_lineage
 
-PART_VALUES = 4_000_000      # tokens or coordinates that the index of one group holds
-FREQUENT = 256               # tokens of a part whose lists are kept as rows of bits
+PART_VALUES = 4_000_000      # tokens or coordinates that a block holds
+QUERY_ROWS = 64              # queries that make a block of their own worthwhile
+PAIRS = 2_000_000            # products of two vectors made at once
+FREQUENT = 1024              # tokens of a block that are columns of a matrix,
+DENSE_VALUES = 20_000_000    # if it holds no more values than these
 SLACK = 1e-9                 # on bounds; scores decide exactly
 
 
 class SetIndex:
-    """Sets of token numbers; answers the best Jaccard partners of a set.
+    """Sets of token numbers; answers the best Jaccard partners of sets.
 
-    Token lists are visited from the shortest on.  A partner above ``t`` shares
-    more than ``t / (1 + t) * (n + m)`` tokens, at least ``t * n``: so many of
-    the query's longest lists, less one, need not be visited to find all
-    candidates.  What they could add at most decides which candidates stay, and
-    only for these are they looked up.
+    The most frequent tokens are columns of a matrix, so that one product counts
+    what a batch of sets shares of them with all rows; the other tokens have
+    lists of rows.  A partner above ``t`` shares more than ``t / (1 + t) *
+    (n + m)`` tokens: lists are visited only if they can still make up for that.
     """
 
     def __init__(self, ids: list, sizes: np.ndarray, offsets: np.ndarray, tokens: np.ndarray):
@@ -49,53 +53,65 @@ class SetIndex:
         self.starts = np.append(starts, len(tokens))
         self.owners = owner[order].astype(np.int32)
         length = np.diff(self.starts)
-        self.row = np.full(len(self.tokens), -1)
-        often = np.argsort(-length, kind="stable")[:FREQUENT]
-        self.row[often] = np.arange(len(often))
-        self.bits = np.zeros((len(often), len(ids)), bool)
-        for r, t in enumerate(often):
-            self.bits[r, self.owners[self.starts[t]:self.starts[t + 1]]] = True
+        self.column = np.full(len(self.tokens), -1)
+        often = np.argsort(-length, kind="stable")[:max(1, min(FREQUENT, DENSE_VALUES // max(1, len(ids))))]
+        self.column[often] = np.arange(len(often))
+        self.dense = np.zeros((len(ids), len(often)), np.float32)
+        for c, t in enumerate(often):
+            self.dense[self.owners[self.starts[t]:self.starts[t + 1]], c] = 1
         self.scored = 0
 
     def best(self, own, n: int, tokens: np.ndarray, k: int, t: float) -> tuple[np.ndarray, np.ndarray]:
-        none = np.empty(0, np.int64), np.empty(0)
-        if not len(self.tokens) or not len(tokens):
-            return none
-        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        at = at[self.tokens[at] == tokens]
-        if not len(at):
-            return none
-        length = self.starts[at + 1] - self.starts[at]
-        at = at[np.argsort(length, kind="stable")]
-        spare = max(int(np.ceil(t * n - SLACK)) - 1, 0)
-        late = at[len(at) - min(spare, len(at)):]
-        late = late[self.row[late] >= 0]
-        first = at[~np.isin(at, late)]
-        lists = [self.owners[a:b] for a, b in zip(self.starts[first].tolist(), self.starts[first + 1].tolist())]
-        shared = np.bincount(np.concatenate(lists), minlength=len(self.ids)) if lists else \
-            np.zeros(len(self.ids), np.int64)
-        need = t / (1 + t) * (n + self.sizes) - SLACK
-        left = np.flatnonzero(shared + len(late) >= need)
-        left = left[left != self.place.get(own, -1)]
-        got, rows = shared[left], self.row[late][::-1]      # the shorter of the late lists tell more
-        for i in range(0, len(rows), 16):
-            got = got + self.bits[rows[i:i + 16]][:, left].sum(axis=0)
-            stay = got + max(len(rows) - i - 16, 0) >= need[left]
-            left, got = left[stay], got[stay]
-        self.scored += len(left)
-        score = got / (n + self.sizes[left] - got)
-        keep = score > t
-        left, score = left[keep], score[keep]
-        pick = np.lexsort((self.rank[left], -score))[:k]
-        return left[pick], score[pick]
+        for _, near, score in self.many([own], np.array([n]), np.array([0, len(tokens)]), tokens, k, t, np.array([-np.inf])):
+            return near, score
+        return np.empty(0, np.int64), np.empty(0)
+
+    def many(self, owns: list, sizes: np.ndarray, offsets: np.ndarray, tokens: np.ndarray, k: int, t: float,
+             least: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Partners above ``t`` that score at least ``least`` of the query."""
+        if not len(self.tokens):
+            return
+        some = max(1, PAIRS // max(1, len(self.ids)))
+        for lo in range(0, len(owns), some):
+            hi = min(lo + some, len(owns))
+            here = tokens[offsets[lo]:offsets[hi]]
+            query = np.repeat(np.arange(hi - lo), np.diff(offsets[lo:hi + 1]))
+            at = np.minimum(np.searchsorted(self.tokens, here), len(self.tokens) - 1)
+            known = self.tokens[at] == here
+            at, query = at[known], query[known]
+            column = self.column[at]
+            asked = np.zeros((hi - lo, self.dense.shape[1]), np.float32)
+            asked[query[column >= 0], column[column >= 0]] = 1
+            often = asked @ self.dense.T
+            at, query = at[column < 0], query[column < 0]
+            edge = np.searchsorted(query, np.arange(hi - lo + 1))
+            for q in range(lo, hi):
+                rest = at[edge[q - lo]:edge[q - lo + 1]]
+                n, shared, above = float(sizes[q]), often[q - lo], max(t, least[q])
+                need = above / (1 + above) * (n + self.sizes) - SLACK
+                left = np.flatnonzero(shared >= need - len(rest))
+                if not len(left):
+                    continue
+                if len(rest):
+                    lists = [self.owners[a:b] for a, b in zip(self.starts[rest].tolist(), self.starts[rest + 1].tolist())]
+                    shared = shared + np.bincount(np.concatenate(lists), minlength=len(self.ids))
+                    left = np.flatnonzero(shared >= need)
+                left = left[left != self.place.get(owns[q], -1)]
+                self.scored += len(left)
+                got = shared[left].astype(np.float64)
+                score = got / (n + self.sizes[left] - got)
+                keep = (score > t) & (score >= least[q])
+                left, score = left[keep], score[keep]
+                if len(left):
+                    pick = np.lexsort((self.rank[left], -score))[:k]
+                    yield q, left[pick], score[pick]
 
 
 class VectorIndex:
-    """Unit vectors in blocks; answers the best partners by cosine.
+    """Unit vectors; answers the best partners by cosine.
 
-    The dot product over the first half of the coordinates plus the product of
-    the norms of the rest bounds the whole: only pairs whose bound reaches the
-    threshold are scored in full.
+    Products in single precision, with the error they can have, decide which
+    pairs are scored in double precision.
     """
 
     def __init__(self, ids: list, vectors: np.ndarray):
@@ -104,25 +120,33 @@ class VectorIndex:
         self.rank[sorted(range(len(ids)), key=lambda i: ids[i])] = np.arange(len(ids))
         self.place = {x: i for i, x in enumerate(ids)}
         self.whole = vectors
-        self.cut = vectors.shape[1] // 2
-        self.head = np.ascontiguousarray(vectors[:, :self.cut])
-        self.rest = np.sqrt((vectors[:, self.cut:] ** 2).sum(axis=1))
+        self.rough = vectors.astype(np.float32)
+        self.error = SLACK + (vectors.shape[1] + 8) * 2.0 ** -22     # of a rough product of unit vectors
         self.scored = 0
 
-    def best(self, owns: list, queries: np.ndarray, k: int, t: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        rest = np.sqrt((queries[:, self.cut:] ** 2).sum(axis=1))
-        bound = queries[:, :self.cut] @ self.head.T + rest[:, None] * self.rest[None, :]
-        for q, own in enumerate(owns):
-            left = np.flatnonzero(bound[q] >= t - SLACK)
-            left = left[left != self.place.get(own, -1)]
-            if not len(left):
-                continue
-            self.scored += len(left)
-            score = self.whole[left] @ queries[q]
-            keep = score >= t
-            left, score = left[keep], score[keep]
-            pick = np.lexsort((self.rank[left], -score))[:k]
-            yield q, left[pick], score[pick]
+    def best(self, owns: list, queries: np.ndarray, k: int, t: float,
+             least: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Partners of ``t`` or more that score at least ``least`` of the query."""
+        least = np.full(len(owns), t) if least is None else np.maximum(least, t)
+        some = max(1, PAIRS // max(1, len(self.ids)))
+        for lo in range(0, len(owns), some):
+            rough = queries[lo:lo + some].astype(np.float32) @ self.rough.T
+            for q in range(lo, lo + len(rough)):
+                row = rough[q - lo]
+                if owns[q] in self.place:
+                    row[self.place[owns[q]]] = -np.inf
+                left = np.flatnonzero(row >= np.float32(least[q] - self.error))
+                if len(left) > 4 * k:         # what is below the k best by more than the error is out
+                    worst = np.partition(row[left], len(left) - k)[len(left) - k]
+                    left = left[row[left] >= worst - np.float32(2 * self.error)]
+                if not len(left):
+                    continue
+                self.scored += len(left)
+                score = self.whole[left] @ queries[q]
+                keep = score >= least[q]
+                left, score = left[keep], score[keep]
+                pick = np.lexsort((self.rank[left], -score))[:k]
+                yield q, left[pick], score[pick]
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -130,87 +154,113 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return offsets - offsets[0], column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _set_groups(k: int, t: float, same: bool):
-    def build(rows: pa.Table) -> SetIndex:
-        offsets, tokens = _lists(rows.column("v").combine_chunks())
-        return SetIndex(rows.column("id").to_pylist(), rows.column("n").to_numpy(), offsets, tokens)
+class _Sets:
+    """A block of sets, as index or as queries."""
 
-    def ask(index: SetIndex, rows: pa.RecordBatch) -> Iterator[tuple]:
-        offsets, tokens = _lists(rows.column("v"))
-        for q, (own, n) in enumerate(zip(rows.column("id").to_pylist(), rows.column("n").to_pylist())):
-            near, score = index.best(own if same else None, n, tokens[offsets[q]:offsets[q + 1]], k, t)
-            for i, s in zip(near.tolist(), score.tolist()):
-                yield own, index.ids[i], s
-    return build, ask
+    def __init__(self, rows: pa.Table):
+        self.ids, self.n = rows.column("id").to_pylist(), rows.column("n").to_numpy()
+        self.offsets, self.tokens = _lists(rows.column("v").combine_chunks())
 
+    def index(self) -> SetIndex:
+        return SetIndex(self.ids, self.n, self.offsets, self.tokens)
 
-def _vector_groups(k: int, t: float):
-    def matrix(rows) -> np.ndarray:
-        column = rows.column("v")
-        offsets, flat = _lists(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
-        return flat.reshape(len(offsets) - 1, -1)
+    def ask(self, index: SetIndex, least: np.ndarray, k: int, t: float, same: bool) -> Iterator[tuple]:
+        return index.many(self.ids if same else [None] * len(self.ids), self.n, self.offsets, self.tokens, k, t, least)
 
-    def build(rows: pa.Table) -> VectorIndex:
-        return VectorIndex(rows.column("id").to_pylist(), matrix(rows))
 
-    def ask(index: VectorIndex, rows: pa.RecordBatch) -> Iterator[tuple]:
-        owns = rows.column("id").to_pylist()
-        for lo in range(0, len(owns), 256):
-            some = owns[lo:lo + 256]
-            for q, near, score in index.best(some, matrix(rows.slice(lo, len(some))), k, t):
-                for i, s in zip(near.tolist(), score.tolist()):
-                    yield some[q], index.ids[i], s
-    return build, ask
+class _Vectors:
+    """A block of unit vectors, as index or as queries."""
 
+    def __init__(self, rows: pa.Table):
+        self.ids = rows.column("id").to_pylist()
+        offsets, flat = _lists(rows.column("v").combine_chunks())
+        self.vectors = flat.reshape(len(offsets) - 1, -1)
 
-def _top_of_parts(queries: DataFrame, index: DataFrame, groups: tuple[Callable, Callable], values: int) -> DataFrame:
-    """``queries`` and ``index``: id, n, v.  Returns id, other, score: the best
-    of each part for each query."""
-    build, ask = groups
-    parts = max(1, -(-values // PART_VALUES))
-    splits = max(1, parts, 2 * queries.sparkSession.sparkContext.defaultParallelism // parts)
-    dealt = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(splits)).cast("int")
-
-    def each(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = index.select(dealt[0].alias("part"), each(splits).alias("split"), F.lit(0).alias("kind"), "id", "n", "v") \
-        .unionByName(queries.select(each(parts).alias("part"), dealt[1].alias("split"), F.lit(1).alias("kind"),
-                                    "id", "n", "v"))
-    kind = index.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("other", kind),
-                           T.StructField("score", T.DoubleType())])
-    arrow = to_arrow_schema(schema)
+    def index(self) -> VectorIndex:
+        return VectorIndex(self.ids, self.vectors)
+
+    def ask(self, index: VectorIndex, least: np.ndarray, k: int, t: float, same: bool) -> Iterator[tuple]:
+        return index.best(self.ids, self.vectors, k, t, least)
+
+
+def _blocks(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` (id, n, v) in about ``parts`` blocks of at most PART_VALUES
+    values: name, block (an Arrow stream), written."""
+    most = PART_VALUES
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, index = None, [], None
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, values = [], 0
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema) as w:
+                for b in held:
+                    w.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                                              ["name", "block"])
         for b in batches:
-            key = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
-            edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(key)]):
-                if lo == hi:
-                    continue
-                some = b.slice(lo, hi - lo)
-                if group != tuple(key[lo, :2]):
-                    group, held, index = tuple(key[lo, :2]), [], None
-                if key[lo, 2] == 0:
-                    held.append(some)
+            at = b.column("v").offsets.to_numpy()
+            lo = 0
+            while lo < len(b):
+                hi = int(np.searchsorted(at, at[lo] + most - values, "right")) - 1
+                if hi <= lo and values:
+                    yield out()
+                    held, values = [], 0
                     continue
-                if index is None:
-                    if not held:
-                        continue          # no index row of this part
-                    index, held = build(pa.Table.from_batches(held)), []
-                found = list(ask(index, some))
-                if found:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, f.type) for c, f in zip(zip(*found), arrow)], schema=arrow)
-    return (rows.repartition("part", "split").sortWithinPartitions("part", "split", "kind")
-            .mapInArrow(work, schema))
-
-
-def numbered_words(sets: DataFrame, others: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None, int]:
-    """``sets`` (id, ws) with the words as numbers (id, n, v), and how many
-    words all of them hold.  Numbers are hashes under the first seed that gives
-    no two words of the vocabulary the same."""
+                hi = min(max(hi, lo + 1), len(b))
+                held.append(b.slice(lo, hi - lo))
+                values, lo = values + int(at[hi] - at[lo]), hi
+        if held:
+            yield out()
+    return cut_lineage(rows.select("id", "n", "v").repartition(parts).mapInArrow(pack, "name string, block binary"))
+
+
+def _top_of_parts(queries: DataFrame, index: DataFrame, kind: type, k: int, t: float, same: bool) -> DataFrame:
+    """``queries`` and ``index``: id, n, v.  Returns id, other, score: the best
+    ``k`` of each query over groups of the index's blocks."""
+    spark = queries.sparkSession
+
+    def amount(df: DataFrame) -> tuple[int, int]:
+        rows, values = df.agg(F.count(F.lit(1)), F.sum(F.size("v"))).first()
+        return rows, -(-(values or 0) // PART_VALUES)
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(1, amount(index)[1])
+    rows, splits = amount(queries)
+    splits = max(1, splits, min(2 * cores, rows // QUERY_ROWS))
+    groups = max(1, min(parts, 2 * cores // splits))
+    id_type = index.schema["id"].dataType
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("other", id_type),
+                           T.StructField("score", T.DoubleType())])
+
+    def block(row) -> object:
+        return kind(pa.ipc.open_stream(row["block"]).read_all())
+
+    def work(pairs: Iterator[tuple]) -> Iterator[tuple]:
+        asked: dict[str, tuple] = {}           # by block of queries: it, the best of each query, the worst of these
+        last, built = None, None
+        for q, i in pairs:
+            if q["name"] not in asked:
+                some = block(q)
+                asked[q["name"]] = some, [[] for _ in some.ids], np.full(len(some.ids), -np.inf)
+            some, best, least = asked[q["name"]]
+            if last != i["name"]:
+                last, built = i["name"], block(i).index()
+            for n, near, score in some.ask(built, least, k, t, same):
+                best[n] = sorted(best[n] + [(-s, built.ids[x]) for x, s in zip(near.tolist(), score.tolist())])[:k]
+                if len(best[n]) == k:
+                    least[n] = -best[n][-1][0]
+        for some, best, _ in asked.values():
+            for own, found in zip(some.ids, best):
+                for s, other in found:
+                    yield own, other, -s
+    pairs = _blocks(queries, splits).rdd.cartesian(_blocks(index, parts).rdd.coalesce(groups))
+    return cut_lineage(spark.createDataFrame(pairs.mapPartitions(work), schema, verifySchema=False))
+
+
+def numbered_words(sets: DataFrame, others: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """``sets`` and ``others`` (id, ws) with the words as numbers (id, n, v).
+    Numbers are hashes under the first seed that gives no two words of the
+    vocabulary the same."""
     both = sets.select("ws") if others is None else sets.select("ws").unionByName(others.select("ws"))
     words = both.select(F.explode("ws").alias("w"))
     for seed in range(100):
@@ -221,16 +271,15 @@ def numbered_words(sets: DataFrame, others: DataFrame | None = None) -> tuple[Da
 
     def numbers(df: DataFrame) -> DataFrame:
         return df.select("id", F.size("ws").alias("n"), F.transform("ws", lambda w: F.xxhash64(w, F.lit(seed))).alias("v"))
-    total = (sets if others is None else others).agg(F.sum(F.size("ws"))).first()[0] or 0
-    return numbers(sets), None if others is None else numbers(others), total
+    return numbers(sets), None if others is None else numbers(others)
 
 
 def top_jaccard(sets: DataFrame, k: int, t: float, others: DataFrame | None = None) -> DataFrame:
     """id, other, score: for each set of ``sets`` (id, ws: distinct words) its
     ``k`` best partners (in ``others``, else in ``sets`` but itself) with
     Jaccard above ``t``, ties to the smaller id.  Exact."""
-    q, o, total = numbered_words(sets, others)
-    found = _top_of_parts(q, q if o is None else o, _set_groups(k, t, o is None), total)
+    q, o = numbered_words(sets, others)
+    found = _top_of_parts(q, q if o is None else o, _Sets, k, t, o is None)
     return top_n(found, ["id"], [F.col("score").desc(), F.col("other")], k)
 
 
@@ -270,8 +319,7 @@ def top_cosine(vectors: DataFrame, k: int, t: float) -> DataFrame:
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
     unit = vectors.select("id", F.transform("v", lambda x: x / norm).alias("v"))
     member, classes = classes_of(unit, "v", "json")
-    size = classes.agg(F.sum(F.size("v"))).first()[0] or 0
     rows = classes.select("id", F.lit(0).alias("n"), "v")
-    near = top_n(_top_of_parts(rows, rows, _vector_groups(k + 1, t), size), ["id"],
+    near = top_n(_top_of_parts(rows, rows, _Vectors, k + 1, t, True), ["id"],
                  [F.col("score").desc(), F.col("other")], k + 1)
     return spread_over_members(near, member, k, 1.0)
