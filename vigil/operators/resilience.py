@@ -4,11 +4,19 @@ U4, P9)."""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.operators.ordered import top_n
+from vigil.session import cut_lineage
+
+WINDOW_SLICE_ROWS = 100_000      # probes of a slice of the time line
 
 # --- fixed values (must equal the reference's rules) ---------------------
 SCENARIOS = ["pod-kill", "network-latency", "kafka-down", "db-latency", "memory-pressure"]
@@ -205,6 +213,69 @@ def chaos_slo(summary: DataFrame, results: DataFrame) -> DataFrame:
     return slo_check(d, CHAOS_SLO, at_most=True)
 
 
+def _not_ok() -> Column:
+    return ~((F.col("_st") >= 200) & (F.col("_st") < 500))
+
+
+def _joined_windows(p: DataFrame, r: DataFrame, window_s: int) -> DataFrame:
+    """Requests, errors, mean and p99 latency of the probes ``p`` in the windows
+    of each run id of ``r``: each run is expanded to the minute buckets its
+    window covers and equi-joined on (bucket); the residual keeps exact bounds."""
+    p = p.withColumn("_b", F.floor(F.unix_seconds("_pt") / 60))
+    r = r.withColumn("_end", F.col("_start") + F.expr(f"INTERVAL {int(window_s)} SECONDS"))
+    r = r.withColumn("_b", F.explode(F.sequence(F.floor(F.unix_seconds("_start") / 60),
+                                                F.floor((F.unix_seconds("_end") - 1) / 60))))
+    j = r.join(p, on="_b", how="inner").filter((F.col("_pt") >= F.col("_start")) & (F.col("_pt") < F.col("_end")))
+    return j.groupBy("run_id").agg(F.count(F.lit(1)).alias("requests"),
+                                   F.count_if(_not_ok()).alias("errors"), F.avg("_lat").alias("avg_latency_ms"),
+                                   F.percentile("_lat", F.lit(0.99)).alias("p99_ms"))
+
+
+def _sliced_windows(p: DataFrame, windows: DataFrame, window_s: int) -> DataFrame:
+    """The same for ``windows`` (run_id, t: start in microseconds, times: how
+    often the window counts).  The time line is cut at quantiles of the probes; a
+    window goes to the slice it starts in, a probe to each slice with a window
+    that may hold it."""
+    width = int(window_s) * 1_000_000
+    p = p.where("_pt IS NOT NULL").select(F.unix_micros("_pt").alias("t"), F.coalesce(_not_ok(), F.lit(False)).alias("bad"),
+                                          F.col("_lat").cast("double").alias("lat"))
+    n = max(1, p.count() // WINDOW_SLICE_ROWS)
+    cuts = p.select(F.col("t").cast("double")).approxQuantile("t", [i / n for i in range(1, n)], min(0.001, 0.25 / n)) if n > 1 else []
+    splits = [float("-inf"), *(sorted(set(cuts)) or [0.0]), float("inf")]
+
+    def sliced(df: DataFrame, col: str, of: Column) -> DataFrame:
+        b = Bucketizer(splits=splits, inputCol="_x", outputCol="_y")
+        return b.transform(df.withColumn("_x", of.cast("double"))).withColumn(col, F.col("_y").cast("int")).drop("_x", "_y")
+    w = sliced(windows, "slice", F.col("t"))
+    p = sliced(sliced(p, "_a", F.col("t") - (width - 1)), "_b", F.col("t"))
+    p = p.select(F.explode(F.sequence("_a", "_b")).alias("slice"), "t", "bad", "lat")
+
+    def stats(w: pa.Table, p: pa.Table) -> pa.Table:
+        p = p.sort_by("t")
+        t, start = p.column("t").to_numpy(), w.column("t").to_numpy()
+        bad = np.append(0, np.cumsum(p.column("bad").to_numpy()))
+        has = np.append(0, np.cumsum(p.column("lat").is_valid().to_numpy()))
+        lat = p.column("lat").drop_null().to_numpy()
+        lo, hi = np.searchsorted(t, start), np.searchsorted(t, start + width)
+        out = []
+        for run, k, a, b in zip(w.column("run_id").to_pylist(), w.column("times").to_pylist(), lo.tolist(), hi.tolist()):
+            if a == b:
+                continue
+            some, mean, p99 = lat[has[a]:has[b]], None, None
+            if len(some):
+                at = 0.99 * (k * len(some) - 1)
+                low, high = math.floor(at), math.ceil(at)
+                x, y = np.partition(some, sorted({low // k, high // k}))[[low // k, high // k]].tolist()
+                mean, p99 = float(some.sum() / len(some)), x if low == high or x == y else (high - at) * x + (at - low) * y
+            out.append((run, k * (b - a), k * int(bad[b] - bad[a]), mean, p99))
+        types = [w.schema.field("run_id").type, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(c, x) for c, x in zip(zip(*out) if out else [[]] * 5, types)],
+                        names=["run_id", "requests", "errors", "avg_latency_ms", "p99_ms"])
+    kind = dict(windows.dtypes)["run_id"]
+    return w.groupBy("slice").cogroup(p.groupBy("slice")).applyInArrow(
+        stats, f"run_id {kind}, requests long, errors long, avg_latency_ms double, p99_ms double")
+
+
 def chaos_run_summary(probes: DataFrame, runs: DataFrame, window_s: int = 120,
                       ts: str = "ts", status: str = "status", latency: str = "latency_ms", tie: str = "request_id") -> DataFrame:
     """Probe requests during each chaos window ``[start, start + window)``
@@ -213,21 +284,19 @@ def chaos_run_summary(probes: DataFrame, runs: DataFrame, window_s: int = 120,
     first probe after the window is ok (of probes at one time that with the
     smallest ``tie``).
 
-    Interval join: each run is expanded to the minute buckets its window
-    covers and equi-joined on (bucket); the residual keeps exact bounds.
+    Windows and probes meet in slices of the time line (``_sliced_windows``), so
+    a probe is not copied once a window that holds it; runs of one id with
+    several start times are joined (``_joined_windows``).
     """
     p = probes.select(F.col(ts).cast("timestamp").alias("_pt"), F.col(status).alias("_st"),
                       F.col(latency).alias("_lat"))
-    p = p.withColumn("_b", F.floor(F.unix_seconds("_pt") / 60))
-    r = runs.withColumn("_start", F.col("start_ts").cast("timestamp")) \
-        .withColumn("_end", F.col("_start") + F.expr(f"INTERVAL {int(window_s)} SECONDS"))
-    r = r.withColumn("_b", F.explode(F.sequence(F.floor(F.unix_seconds("_start") / 60),
-                                                F.floor((F.unix_seconds("_end") - 1) / 60))))
-    j = r.join(p, on="_b", how="inner").filter((F.col("_pt") >= F.col("_start")) & (F.col("_pt") < F.col("_end")))
-    ok = (F.col("_st") >= 200) & (F.col("_st") < 500)
-    agg = j.groupBy("run_id").agg(F.count(F.lit(1)).alias("requests"),
-                                  F.count_if(~ok).alias("errors"), F.avg("_lat").alias("avg_latency_ms"),
-                                  F.percentile("_lat", F.lit(0.99)).alias("p99_ms"))
+    r = runs.select("run_id", F.col("start_ts").cast("timestamp").alias("_start")).where("run_id IS NOT NULL AND _start IS NOT NULL")
+    at = F.unix_micros("_start")
+    ids = cut_lineage(r.groupBy("run_id").agg(F.count(F.lit(1)).alias("times"), F.min(at).alias("t"), F.max(at).alias("_last")))
+    agg = _sliced_windows(p, ids.where("t = _last").drop("_last"), window_s)
+    several = ids.where("t < _last").select("run_id")
+    if not several.isEmpty():
+        agg = agg.unionByName(_joined_windows(p, r.join(several, "run_id", "left_semi"), window_s))
     out = runs.join(agg, on="run_id", how="left").fillna(0, ["requests", "errors"])
     lim = F.coalesce(F.create_map(*[x for k, v in ERROR_RATIO_LIMIT.items() for x in (F.lit(k), F.lit(v))])[
         F.col("scenario")], F.lit(ERROR_RATIO_DEFAULT))
