@@ -90,3 +90,16 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(out)).filter(F.col("threshold_id") == "cpu-high")
     trig = sorted(r.at_ms for r in got.filter(F.col("event") == "triggered").collect())
     assert trig == [h[0] for h in history(spark, seq)]
+
+
+def test_second_pass_gets_only_rows_that_can_count(spark, monkeypatch):
+    seen, plain = [], A.sliced_last_value
+
+    def counted(d, *args, **kw):
+        seen.append((d.count(), set(d.columns)))
+        return plain(d, *args, **kw)
+    monkeypatch.setattr(A, "sliced_last_value", counted)
+    got = history(spark, [(i, 10.0) for i in range(0, 300, 2)] + [(301, 99.0), (303, 10.0)])
+    assert [(b - a) for a, b, _ in got] == [2000]
+    [(n, cols)] = seen
+    assert n <= 8 and not cols & {"severity", "threshold_name", "metric"}

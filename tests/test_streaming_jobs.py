@@ -180,3 +180,22 @@ def test_alert_state_over_batches_equals_the_whole_history(spark, tmp_path):
     got = [(r.threshold_id, r.container, r.triggered_ms, r.resolved_ms)
            for r in S.alerts_table(spark, str(tmp_path / "alerts")).read().filter("threshold_id LIKE 'cpu%'").collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and any(r[3] is None for r in want)
+
+
+def test_acknowledgements_are_not_paired_with_all_keys(spark, tmp_path, monkeypatch):
+    import datetime as dt
+    t0, rows = dt.datetime(2024, 1, 1), []
+    s = spark.createDataFrame([(i, t0 + dt.timedelta(seconds=i), "p", f"c{i % 10}", 99.0 if i == 7 else 1.0, 1.0) for i in range(20)],
+                              "sample_id long, ts timestamp, project string, container string, cpu_pct double, mem_pct double")
+    a = spark.createDataFrame([("p", t0 + dt.timedelta(seconds=i, milliseconds=500), True) for i in range(200)],
+                              "project string, ts timestamp, acknowledged boolean")
+    plain = S.A.alert_history
+
+    def counted(evals, **kw):
+        rows.append(evals.count())
+        return plain(evals, **kw)
+    monkeypatch.setattr(S.A, "alert_history", counted)
+    S.alert_ingest_batch(str(tmp_path / "alerts"), S.A.default_thresholds(spark))(
+        s.withColumn("acknowledged", F.lit(False)).unionByName(a, allowMissingColumns=True), 0)
+    got = {(r.threshold_id, r.resolved_ms - r.triggered_ms) for r in S.alerts_table(spark, str(tmp_path / "alerts")).read().collect()}
+    assert got == {("cpu-high", 500), ("cpu-critical", 500)} and rows[0] <= 20 * 4 + 4

@@ -152,13 +152,14 @@ def alert_history(evals: DataFrame, keys: list[str] = ["project"], ts: str = "ts
     d = (evals.withColumn("_ms", F.unix_millis(F.col(ts).cast("timestamp")))
          .withColumn("_tie", F.col(tie))
          .withColumn("_ckey", F.coalesce(F.col("container"), F.lit("")))
-         .select(*keys, "threshold_id", "container", "_ckey", "_ms", "_tie", "breached", "value",
-                 "threshold", "severity", "threshold_name", "metric"))
+         .select(*keys, "threshold_id", "container", "_ckey", "_ms", "_tie", "breached", "value"))
     order = ["_ms", "_tie"]
     d = add_slices(cut_lineage(d), "_ms")     # one quantile job shared by both passes
     d = d.withColumn("_true_ms", F.when(F.col("breached"), F.col("_ms")))
     # pass 1: previous row (breached, time) and the last true sample before the row
     d = sliced_prev(d, k, order, ["breached", "_ms"], ["_true_ms"], prefix="_p")
+    # a row that is false after a false one neither starts, ends nor carries anything
+    d = d.filter(F.col("breached") | F.coalesce(F.col("_pbreached"), F.lit(False)))
     d = cut_lineage(d.withColumnRenamed("_p_true_ms", "_p_last_true_ms"))
     run_start = F.col("breached") & ~F.coalesce(F.col("_pbreached"), F.lit(False))
     sync = run_start & (F.col("_p_last_true_ms").isNull()

@@ -22,6 +22,7 @@ from vigil.operators import classifier as C
 from vigil.operators import ingest as G
 from vigil.operators import recommender as RC
 from vigil.operators import warehouse as W
+from vigil.operators.release import asof_join
 from vigil.operators.versioned import VersionedTable, hash_part
 from vigil.session import cut_lineage, scratch_path
 
@@ -264,9 +265,16 @@ def alert_ingest_batch(alerts_path: str, rules: DataFrame, cooldown_ms: int = A.
             return newest.where(F.col(ms).isNotNull()).select(
                 *_ALERT_KEYS, F.timestamp_millis(ms).alias("ts"), F.lit(-1).cast("long").alias("sample_id"),
                 F.lit(breached).alias("breached"), "value")
-        here = evals.select(*_ALERT_KEYS).unionByName(newest.select(*_ALERT_KEYS)).distinct()
-        quiet = here.join(acks, "project").select(
-            *_ALERT_KEYS, F.col("ts").cast("timestamp").alias("ts"), F.lit(1 << 62).alias("sample_id"),
+        # only the first acknowledgement at or after a sample that may trigger can resolve its alert
+        acks = acks.select("project", F.col("ts").cast("timestamp").alias("_ack"),
+                           F.timestamp_millis(F.unix_millis(F.col("ts").cast("timestamp"))).alias("_at")).where("_at IS NOT NULL")
+        may = evals.where("breached").select(*_ALERT_KEYS, F.unix_millis(F.col("ts").cast("timestamp")).alias("_ms")) \
+            .unionByName(newest.select(*_ALERT_KEYS, F.col("triggered_ms").alias("_ms"))).where("_ms IS NOT NULL")
+        times = may.select("project", "_ms").distinct().withColumn("_t0", F.timestamp_millis("_ms"))
+        first = asof_join(times, acks, ["project"], "_t0", "_at", ["_ack"], backward=False, tie="_ack") \
+            .where("_ack IS NOT NULL").select("project", "_ms", "_ack")
+        quiet = may.join(first, ["project", "_ms"]).select(*_ALERT_KEYS, "_ack").distinct().select(
+            *_ALERT_KEYS, F.col("_ack").alias("ts"), F.lit(1 << 62).alias("sample_id"),
             F.lit(False).alias("breached"), F.lit(None).cast("double").alias("value"))
         rows = evals.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("sample_id", F.col("sample_id").cast("long")) \
             .select(*cols).unionByName(made("triggered_ms", True)).unionByName(made("resolved_ms", False)).unionByName(quiet)
