@@ -539,3 +539,9 @@ def test_scores_without_training(spark):
     assert sorted((r["n_tokens"], r["train_tokens"], r["score"], r["base_score"]) for r in got) == [
         (1, 0, 0.0, 0.0), (3, 0, 0.0, 0.0)]
     assert backoff_lm.score_texts(docs(spark, []), F.lit(True)).count() == 0
+
+
+def test_lexicon_counts_every_text(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "Lexicon", dict)
+    docs = spark.range(6000).select(F.concat(F.lit("zebra number "), F.col("id").cast("string")).alias("text"))
+    assert secret_scan.learn_lexicon(docs) == {"zebra": 6000, "number": 6000}

@@ -54,7 +54,7 @@ def _kind(c: str) -> str:
 
 
 class Lexicon:
-    """Known words and letter transitions, from a bounded sample of texts."""
+    """Known words with their counts, and letter transitions."""
 
     def __init__(self, words: dict[str, int]):
         self.words = frozenset(words)
@@ -83,11 +83,9 @@ class Lexicon:
         return got / max(1, len(s))
 
 
-def learn_lexicon(docs: DataFrame, text: str = "text", texts: int = 2000, words: int = 5000,
-                  seed: int = 13) -> Lexicon:
-    """From about ``texts`` texts drawn by a hash; keeps ``words`` words."""
-    n = docs.count()
-    rows = docs.where(unit_hash(text, seed=seed) < min(1.0, texts / max(1, n))).select(
+def learn_lexicon(docs: DataFrame, text: str = "text", words: int = 5000) -> Lexicon:
+    """The ``words`` most frequent words of all texts, with their counts."""
+    rows = docs.select(
         F.explode(F.regexp_extract_all(F.lower(F.col(text).cast("string")),
                                        F.lit(r"(?U)\b\p{L}{4,12}\b"), F.lit(0))).alias("w"))
     top = rows.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words).collect()
