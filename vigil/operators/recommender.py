@@ -200,12 +200,13 @@ def hybrid_recommend(matrix: DataFrame, catalog: DataFrame, model: Factors | Non
 
     Every catalog item counts for every user, also in the smallest and largest
     ALS score (an item that the model does not know scores 0), see
-    ``scoring.top_items``.  Users without history share one list.
+    ``scoring.top_items``; items of equal genres and tags are scored as one.
+    Users without history share one list.
     """
     keyed, kv = key_vectors(catalog)
     vec = kv.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("_t"))
-    items = keyed.join(vec, "key", "left").select(
-        F.col("item_id").alias("id"), F.col("_t.term").alias("terms"), F.col("_t.w").alias("weights"))
+    vec = cut_lineage(vec.select("key", F.col("_t.term").alias("terms"), F.col("_t.w").alias("weights")))
+    items = keyed.select(F.col("item_id").alias("id"), "key")
     prof = content_profiles(matrix, keyed, kv)
     asked = prof.select(F.col("user_id").alias("id"), "n_watched", "terms", "weights")
     none = F.lit(None).cast("array<float>")
@@ -223,7 +224,7 @@ def hybrid_recommend(matrix: DataFrame, catalog: DataFrame, model: Factors | Non
             "id", "factors", "lo", "hi", "terms", "weights")
     rank = model.rank if model is not None else 1
     barred = matrix.select(F.col("user_id").alias("user"), F.col("item_id").alias("id")).distinct()    # J9
-    d = top_items(items.select("id", "factors", "terms", "weights"), asked, barred, k, COLLAB_WEIGHT, rank)
+    d = top_items(items, vec, asked, barred, k, COLLAB_WEIGHT, rank)
     top = top_n(d, ["user"], [F.col("score").desc(), F.col("item")], k, rank_col="rank")
     top = top.select(F.col("user").alias("user_id"), "rank", F.col("item").alias("item_id"),
                      F.col("score").cast("double").alias("score"), F.lit("content").alias("source"))

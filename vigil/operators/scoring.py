@@ -1,12 +1,13 @@
 """Exact top-k scoring of a whole catalog for every user (M5-M7).
 
 Items are dealt to parts of bounded size and users to splits.  A task holds one
-part's items, in order of their ids, and streams users past them: content
-scores from an inverted index of the part's terms, factor scores by matrix
-products over blocks of items in falling order of their norms.  The product of
-the norms bounds what a block can score, so blocks that can change neither a
-user's extremes nor its list are not multiplied.  Only k rows of each user and
-part leave a task.
+part's items and streams users past them.  Items of equal text are one class
+with one content score, from an inverted index of the classes' terms; the ids of
+a class, in order, are read only where they can reach a list.  Items with factors
+are scored one by one, by matrix products over blocks in falling order of their
+norms.  The product of the norms bounds what a block can score, so blocks that
+can change neither a user's extremes nor its list are not multiplied.  Only k
+rows of each user and part leave a task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,32 +50,45 @@ def dense_ids(df: DataFrame, col: str, out: str) -> DataFrame:
 
 
 class _Part:
-    """Items of a part in id order: factors, and terms as an inverted index."""
+    """Items of a part: classes of equal text (rows of terms, weights, ids and, if
+    they have factors, vectors), numbered in the order of their smallest ids."""
 
     def __init__(self, rows: pa.Table, rank: int):
-        order = sorted(range(rows.num_rows), key=rows.column("id").to_pylist().__getitem__)
-        rows = rows.take(pa.array(order))
-        self.ids = rows.column("id").to_pylist()
-        self.place = {x: i for i, x in enumerate(self.ids)}
-        n = len(self.ids)
-        self.factors = np.zeros((n, rank))
-        for i, f in enumerate(rows.column("factors").to_pylist()):
-            if f is not None:
-                self.factors[i] = f
-        norm = np.sqrt((self.factors ** 2).sum(axis=1))
-        self.by_norm = np.argsort(-norm, kind="stable")
-        self.norm = norm[self.by_norm]
-        self.sorted = np.ascontiguousarray(self.factors[self.by_norm])
+        ids, n = _lists(rows.column("ids"))
+        order = pc.sort_indices(ids, null_placement="at_start").to_numpy()
+        self.ids = ids.take(pa.array(order))
+        place = np.empty(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        owner = np.repeat(np.arange(len(n)), n)
+        members = order[np.argsort(owner[order], kind="stable")]       # by class, then by id
+        starts = np.append(0, np.cumsum(n))
+        first = place[members[starts[:-1]]]
+        by_first = np.argsort(first)
+        self.members = [place[members[starts[c]:starts[c + 1]]] for c in by_first.tolist()]
+        number = np.empty(len(n), np.int64)
+        number[by_first] = np.arange(len(n))
+        has = rows.column("vectors").is_valid().to_numpy()
+        self.plain = ~has[by_first]
+        known = np.flatnonzero(has[owner])
+        vectors = _lists(rows.column("vectors"))[0]
+        flat = _lists(vectors)[0].to_numpy(zero_copy_only=False).astype(np.float64)
+        norm = np.sqrt((flat.reshape(-1, rank) ** 2).sum(axis=1))
+        by_norm = np.argsort(-norm, kind="stable")
+        self.norm = norm[by_norm]
+        self.sorted = np.ascontiguousarray(flat.reshape(-1, rank)[by_norm])
+        self.place, self.number = place[known][by_norm], number[owner[known]][by_norm]
+        self.at = {x: i for i, x in enumerate(self.ids.take(pa.array(self.place)).to_pylist())}
         terms: dict[str, tuple[list, list]] = {}
         for i, (ts, ws) in enumerate(zip(rows.column("terms").to_pylist(), rows.column("weights").to_pylist())):
             for t, w in zip(ts or (), ws or ()):
                 at = terms.setdefault(t, ([], []))
-                at[0].append(i)
+                at[0].append(number[i])
                 at[1].append(w)
         self.terms = {t: (np.array(a), np.array(w)) for t, (a, w) in terms.items()}
 
     def content(self, terms: list | None, weights: list | None) -> np.ndarray:
-        out = np.zeros(len(self.ids))
+        """Content score of each class."""
+        out = np.zeros(len(self.members))
         for t, w in zip(terms or (), weights or ()):
             if t in self.terms:
                 at, x = self.terms[t]
@@ -85,7 +100,7 @@ class _Part:
         lo, hi = np.full(len(users), np.inf), np.full(len(users), -np.inf)
         size = np.sqrt((users ** 2).sum(axis=1))
         open_ = np.arange(len(users))
-        for a in range(0, len(self.ids), BLOCK):
+        for a in range(0, len(self.norm), BLOCK):
             reach = size[open_] * self.norm[a] * (1 + SLACK)
             open_ = open_[(reach > hi[open_]) | (-reach < lo[open_])]
             if not len(open_):
@@ -94,6 +109,32 @@ class _Part:
             lo[open_], hi[open_] = np.minimum(lo[open_], s.min(axis=1)), np.maximum(hi[open_], s.max(axis=1))
         return lo, hi
 
+    def best(self, score: np.ndarray, gone: list, k: int) -> list[tuple[int, float, int]]:
+        """Place, score and class of the k best items that are not ``gone``, by the
+        scores of the classes (-inf: left out), ties to the smaller id.  Each better
+        class holds a better item, so k + len(gone) classes hold them all."""
+        pick = _top(score, k + len(gone))
+        out, left = [], set(gone)
+        for run in np.split(pick, np.flatnonzero(np.diff(score[pick])) + 1):
+            if len(out) >= k or not len(run):
+                break
+            most = k - len(out) + len(left)
+            some = sorted((p, c) for c in run.tolist() for p in self.members[c][:most].tolist())[:most]
+            for p, c in some:
+                x = self.ids[p].as_py() if left else None
+                if left and x in left:
+                    left.remove(x)             # of rows with one id, one
+                elif len(out) < k:
+                    out.append((p, score[c], c))
+        return out
+
+
+def _lists(column: pa.Array | pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of a column of lists in a row, and their number in each list."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten(), pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+
 
 def _top(score: np.ndarray, k: int) -> np.ndarray:
     """Places of the k largest, ties to the first; missing ones are -inf."""
@@ -108,34 +149,46 @@ def _top(score: np.ndarray, k: int) -> np.ndarray:
 
 
 def _blended(part: _Part, user: np.ndarray, content: np.ndarray, lo: float, hi: float, weight: float,
-             barred: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+             gone: list, k: int) -> list[tuple[int, float, int]]:
     """Best k of weight * minmax(factor score) + (1 - weight) * content, as 32-bit
-    floats.  Blocks follow in falling norm until none left can reach the list."""
-    score = np.full(len(part.ids), -np.inf, np.float32)
-    most = content.max(initial=0.0)
-    size, worst = np.sqrt((user ** 2).sum()), -np.inf
+    floats.  Items without factors have the factor score 0, so their classes have
+    one score; the others' blocks follow in falling norm until none left can reach
+    the list."""
     span = (hi - lo) if hi > lo else 1.0
     base = lo if hi > lo else 0.0
-    for a in range(0, len(part.ids), BLOCK):
+    rest = (weight * (0.0 - base) / span + (1 - weight) * content).astype(np.float32)
+    rest[~part.plain] = -np.inf
+    found = part.best(rest, gone, k)
+    best, place = np.array([s for _, s, _ in found], np.float32), np.array([p for p, _, _ in found], np.int64)
+    cls = np.array([c for _, _, c in found], np.int64)
+    barred = np.zeros(len(part.norm), bool)
+    barred[[part.at[x] for x in gone if x in part.at]] = True
+    most = content[part.number].max(initial=0.0)
+    size = np.sqrt((user ** 2).sum())
+    for a in range(0, len(part.norm), BLOCK):
+        worst = best[-1] if len(best) >= k else -np.inf
         reach = weight * (size * part.norm[a] - base) / span + (1 - weight) * most
         if reach * (1 + SLACK) + SLACK < worst:
             break
-        at = part.by_norm[a:a + BLOCK]
-        s = weight * (part.sorted[a:a + BLOCK] @ user - base) / span + (1 - weight) * content[at]
-        score[at] = s.astype(np.float32)
-        score[barred] = -np.inf
-        if a + BLOCK < len(part.ids) and len(part.ids) > k:
-            worst = np.partition(score, len(score) - k)[len(score) - k]
-    score[barred] = -np.inf
-    pick = _top(score, k)
-    return pick, score[pick]
-
-
-def _groups(items: DataFrame, users: DataFrame, barred: DataFrame | None, work, out: T.StructType, rank: int) -> DataFrame:
+        c = part.number[a:a + BLOCK]
+        s = (weight * (part.sorted[a:a + BLOCK] @ user - base) / span + (1 - weight) * content[c]).astype(np.float32)
+        keep = np.flatnonzero((s >= worst) & ~barred[a:a + BLOCK])
+        best, place = np.append(best, s[keep]), np.append(place, part.place[a:a + BLOCK][keep])
+        cls = np.append(cls, c[keep])
+        first = np.lexsort((place, -best))[:k]
+        best, place, cls = best[first], place[first], cls[first]
+    return list(zip(place.tolist(), best.tolist(), cls.tolist()))
+
+
+def _groups(items: DataFrame, vectors: DataFrame | None, users: DataFrame, barred: DataFrame | None, work,
+            out: T.StructType, rank: int) -> DataFrame:
     """Runs ``work(part, barred by user, batch of users)`` over all groups.
-    items: id, factors, terms, weights; users: id (any other columns); barred:
-    user, id."""
-    size = items.agg(F.sum(F.lit(rank) + F.coalesce(F.size("terms"), F.lit(0)))).first()[0] or 0
+    items: id, key, factors; vectors: key, terms, weights (none: no content);
+    users: id (any other columns); barred: user, id."""
+    known = F.col("factors").isNotNull()
+    size = items.agg(F.sum(F.when(known, rank + 1).otherwise(1))).first()[0] or 0
+    if vectors is not None:
+        size += vectors.agg(F.sum(F.size("terms"))).first()[0] or 0
     parts = max(1, -(-size // PART_VALUES))
     splits = max(1, parts, 2 * users.sparkSession.sparkContext.defaultParallelism // parts)
 
@@ -144,8 +197,16 @@ def _groups(items: DataFrame, users: DataFrame, barred: DataFrame | None, work,
 
     def each(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = items.select(deal("id", parts).alias("part"), each(splits).alias("split"), F.lit(0).alias("kind"),
-                        F.struct(*items.columns).alias("item"))
+    classes = items.groupBy(deal("id", parts).alias("part"), "key", known.alias("_known")).agg(
+        F.collect_list(F.struct("id", "factors")).alias("_m"))
+    lists = [F.col("_m.id").alias("ids"), F.when(F.col("_known"), F.col("_m.factors")).alias("vectors")]
+    if vectors is not None:
+        classes = classes.join(vectors, "key", "left")
+    else:
+        classes = classes.withColumn("terms", F.lit(None).cast("array<string>")) \
+            .withColumn("weights", F.lit(None).cast("array<double>"))
+    rows = classes.select("part", each(splits).alias("split"), F.lit(0).alias("kind"),
+                          F.struct("terms", "weights", *lists).alias("item"))
     rows = rows.unionByName(users.select(each(parts).alias("part"), deal("id", splits).alias("split"), F.lit(2).alias("kind"),
                                          F.struct(*users.columns).alias("user")), allowMissingColumns=True)
     if barred is not None:
@@ -179,8 +240,7 @@ def _groups(items: DataFrame, users: DataFrame, barred: DataFrame | None, work,
                 if key[lo, 2] == 1:
                     t = table([some], "bar")
                     for u, i in zip(t.column("user").to_pylist(), t.column("id").to_pylist()):
-                        if i in part.place:
-                            bars.setdefault(u, []).append(part.place[i])
+                        bars.setdefault(u, []).append(i)
                     continue
                 t = table([some], "user").to_pylist()
                 for a in range(0, len(t), USERS):
@@ -188,7 +248,8 @@ def _groups(items: DataFrame, users: DataFrame, barred: DataFrame | None, work,
                     if found:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(c, f.type) for c, f in zip(zip(*found), arrow)], schema=arrow)
-    return (rows.repartition("part", "split").sortWithinPartitions("part", "split", "kind").mapInArrow(run, out))
+    dealt = rows.repartitionById(parts * splits, F.col("part") * splits + F.col("split"))      # a task a group
+    return dealt.sortWithinPartitions("part", "split", "kind").mapInArrow(run, out)
 
 
 def factor_extremes(items: DataFrame, users: DataFrame, rank: int) -> DataFrame:
@@ -200,17 +261,20 @@ def factor_extremes(items: DataFrame, users: DataFrame, rank: int) -> DataFrame:
     def work(part: _Part, bars: dict, users: list[dict]) -> list[tuple]:
         lo, hi = part.extremes(np.array([u["factors"] for u in users], np.float64))
         return [(u["id"], float(a), float(b)) for u, a, b in zip(users, lo, hi)]
-    slim = items.select("id", "factors", F.lit(None).cast("array<string>").alias("terms"),
-                        F.lit(None).cast("array<double>").alias("weights"))
-    g = _groups(slim, users.select("id", "factors"), None, work, out, rank)
+    slim = items.where("factors IS NOT NULL").select("id", F.lit("").alias("key"), "factors")
+    g = _groups(slim, None, users.select("id", "factors"), None, work, out, rank)
+    if not items.where("factors IS NULL").isEmpty():
+        g = g.unionByName(users.select("id", F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi")))
     return g.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
-def top_items(items: DataFrame, users: DataFrame, barred: DataFrame, k: int, weight: float, rank: int) -> DataFrame:
+def top_items(items: DataFrame, vectors: DataFrame, users: DataFrame, barred: DataFrame, k: int, weight: float,
+              rank: int) -> DataFrame:
     """user, item, score, content: the k best of each part for every user.
 
-    items: id, factors, terms, weights; users: id, factors (null: content
-    alone), lo, hi, terms, weights; barred: user, id (never returned)."""
+    items: id, key (of its text), factors; vectors: key, terms, weights; users: id,
+    factors (null: content alone), lo, hi, terms, weights; barred: user, id (never
+    returned; distinct)."""
     kind = [df.schema[c].dataType for df, c in ((users, "id"), (items, "id"))]
     out = T.StructType([T.StructField("user", kind[0]), T.StructField("item", kind[1]),
                         T.StructField("score", T.FloatType()), T.StructField("content", T.DoubleType())])
@@ -218,15 +282,11 @@ def top_items(items: DataFrame, users: DataFrame, barred: DataFrame, k: int, wei
     def work(part: _Part, bars: dict, users: list[dict]) -> list[tuple]:
         found = []
         for u in users:
-            content = part.content(u["terms"], u["weights"])
-            gone = np.array(bars.get(u["id"], []), np.int64)
+            content, gone = part.content(u["terms"], u["weights"]), bars.get(u["id"], [])
             if u["factors"] is None:
-                score = content.astype(np.float32)
-                score[gone] = -np.inf
-                pick = _top(score, k)
-                best = score[pick]
+                best = part.best(content.astype(np.float32), gone, k)
             else:
-                pick, best = _blended(part, np.array(u["factors"], np.float64), content, u["lo"], u["hi"], weight, gone, k)
-            found += [(u["id"], part.ids[i], float(s), float(content[i])) for i, s in zip(pick.tolist(), best)]
+                best = _blended(part, np.array(u["factors"], np.float64), content, u["lo"], u["hi"], weight, gone, k)
+            found += [(u["id"], part.ids[p].as_py(), float(s), float(content[c])) for p, s, c in best]
         return found
-    return _groups(items, users, barred, work, out, rank)
+    return _groups(items, vectors, users, barred, work, out, rank)
