@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from vigil.operators.ordered import top_n
-from vigil.session import cut_lineage
+from vigil.session import cut_lineage, stored
 
 PART_VALUES = 4_000_000      # tokens or coordinates that a block holds
 QUERY_ROWS = 64              # queries that make a block of their own worthwhile
@@ -183,9 +183,10 @@ class _Vectors:
         return index.best(self.ids, self.vectors, k, t, least)
 
 
-def _blocks(rows: DataFrame, parts: int) -> DataFrame:
+def _blocks(rows: DataFrame, parts: int | None) -> DataFrame:
     """``rows`` (id, n, v) in about ``parts`` blocks of at most PART_VALUES
-    values: name, block (an Arrow stream), written."""
+    values: name, block (an Arrow stream), written.  Without ``parts`` they are
+    packed where they lie, neither moved nor written."""
     most = PART_VALUES
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +213,10 @@ def _blocks(rows: DataFrame, parts: int) -> DataFrame:
                 values, lo = values + int(at[hi] - at[lo]), hi
         if held:
             yield out()
-    return cut_lineage(rows.select("id", "n", "v").repartition(parts).mapInArrow(pack, "name string, block binary"))
+    rows = rows.select("id", "n", "v")
+    if parts is None:
+        return rows.mapInArrow(pack, "name string, block binary")
+    return cut_lineage(rows.repartition(parts).mapInArrow(pack, "name string, block binary"))
 
 
 def _top_of_parts(queries: DataFrame, index: DataFrame, kind: type, k: int, t: float, same: bool) -> DataFrame:
@@ -224,8 +228,8 @@ def _top_of_parts(queries: DataFrame, index: DataFrame, kind: type, k: int, t: f
         rows, values = df.agg(F.count(F.lit(1)), F.sum(F.size("v"))).first()
         return rows, -(-(values or 0) // PART_VALUES)
     cores = spark.sparkContext.defaultParallelism
-    parts = max(1, amount(index)[1])
     rows, splits = amount(queries)
+    parts = max(1, splits if queries is index else amount(index)[1])
     splits = max(1, splits, min(2 * cores, rows // QUERY_ROWS))
     groups = max(1, min(parts, 2 * cores // splits))
     id_type = index.schema["id"].dataType
@@ -253,7 +257,14 @@ def _top_of_parts(queries: DataFrame, index: DataFrame, kind: type, k: int, t: f
             for own, found in zip(some.ids, best):
                 for s, other in found:
                     yield own, other, -s
-    pairs = _blocks(queries, splits).rdd.cartesian(_blocks(index, parts).rdd.coalesce(groups))
+    asks = _blocks(queries, splits)
+    if splits == 1:                            # one block of queries reads the index once
+        held = _blocks(index, None).rdd
+    elif queries is index and splits == parts:
+        held = asks.rdd.coalesce(groups)
+    else:
+        held = _blocks(index, parts).rdd.coalesce(groups)
+    pairs = asks.rdd.cartesian(held)
     return cut_lineage(spark.createDataFrame(pairs.mapPartitions(work), schema, verifySchema=False))
 
 
@@ -286,13 +297,13 @@ def top_jaccard(sets: DataFrame, k: int, t: float, others: DataFrame | None = No
 def classes_of(rows: DataFrame, value: str, kind: str) -> tuple[DataFrame, DataFrame]:
     """Rows (id, ``value``) of equal value as one class: (members: id, cls) and
     (classes: id = cls, the smallest id of the class, value).  Only digests and
-    ids are shuffled to find them."""
+    ids are shuffled to find them; the values are read again and written once."""
     text = F.to_json(value) if kind == "json" else F.col(value)
-    keyed = cut_lineage(rows.select("id", F.sha2(text, 256).alias("_key"), value))
+    keyed = cut_lineage(rows.select("id", F.sha2(text, 256).alias("_key")))
     heads = keyed.groupBy("_key").agg(F.min("id").alias("cls"))
-    member = cut_lineage(keyed.select("id", "_key").join(heads, "_key").select("id", "cls"))
-    classes = cut_lineage(keyed.select("id", value).join(member.where("id = cls").select("id").distinct(), "id", "left_semi"))
-    return member, classes.dropDuplicates(["id"])
+    member = cut_lineage(keyed.join(heads, "_key").select("id", "cls"))
+    classes = rows.select("id", value).join(member.where("id = cls").select("id").distinct(), "id", "left_semi")
+    return member, stored(classes.dropDuplicates(["id"]), "classes")
 
 
 def spread_over_members(near: DataFrame, member: DataFrame, k: int, own_score: float) -> DataFrame:
