@@ -12,15 +12,18 @@ Spark's built-in English list.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigil.functions.scalar import sentiment_of
-from vigil.session import cut_lineage
+from vigil.session import stored
 
 # --- fixed values (must equal the reference's rules) ---------------------
 # labelled training phrases: (text, category)
@@ -48,6 +51,10 @@ EVENT_SCHEMA = T.StructType([
 ])
 # --------------------------------------------------------------------------
 
+COMMON_NUMBERS = 1_000_000        # broadcast of the common terms: terms x (classes + 6) at most
+BATCH = 256                       # texts handed to Python at once
+_NOT_LATIN = r"[^\x00-\u024F\u2000-\u206F]"
+_LATIN_TOKEN = re.compile(r"\w{2,}")
 _TOKEN = r"[\p{L}\p{N}_]{2,}"      # two or more word characters of any script
 
 
@@ -72,33 +79,109 @@ def training_frame(spark: SparkSession) -> DataFrame:
 @dataclass
 class EventModel:
     """``terms``: a table (term, idf, lp: log probability of the term in each
-    class) of any size; ``classes``: (label, log prior) in order of the labels."""
+    class) of any size; ``classes``: (label, log prior) in order of the labels;
+    terms of an idf up to ``common`` are few enough to be broadcast."""
     terms: DataFrame
     classes: list[tuple[str, float]]
+    common: float = math.inf
+
+
+def with_counts(rows: DataFrame, text: Column, stop_words: list[str]) -> DataFrame:
+    """``rows`` with ``counts``, the distinct terms of the text and how often
+    each stands there, so no token is shuffled to be counted.  Python cuts
+    texts of Latin letters and general punctuation, on which ``\\w`` and
+    ``_TOKEN`` agree in any Unicode version; other texts come cut at blanks."""
+    stop = frozenset(stop_words)
+
+    @F.arrow_udf("array<struct<term:string,tf:double>>")
+    def count(texts: pa.Array, cut: pa.Array) -> pa.Array:
+        offsets, terms, tf = [0], [], []
+        for t, c in zip(texts, cut):
+            t = t.as_py()
+            n = Counter([w for w in t.split(" ") if len(w) > 1] if c.as_py() else _LATIN_TOKEN.findall(t))
+            for w in stop & n.keys():
+                del n[w]
+            terms.extend(n)
+            tf.extend(n.values())
+            offsets.append(offsets[-1] + len(n))
+        both = [pa.array(terms, pa.string()), pa.array(tf, pa.float64())]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(both, ["term", "tf"]))
+    conf, batch = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(conf.get(batch, "10000")) > BATCH:
+        conf.set(batch, str(BATCH))
+    low = F.lower(F.coalesce(text, F.lit("")))
+    cut = low.rlike(_NOT_LATIN)
+    low = F.when(cut, F.regexp_replace(low, r"[^\p{L}\p{N}_]+", " ")).otherwise(low)
+    return rows.withColumn("counts", count(low, cut))
+
+
+def counted_documents(train: DataFrame, stop_words: list[str]) -> DataFrame:
+    """(doc_id, label, counts) written once.  Rows of the same id and label are
+    one document: their terms are added up and stay rows of one term each, so
+    that no document is gathered."""
+    d = train.select("doc_id", "label", "text")
+    again = stored(d.groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    if again.isEmpty():
+        return stored(with_counts(d, F.col("text"), stop_words).drop("text"), "counts")
+    a = again.select(F.col("doc_id").alias("_d"), F.col("label").alias("_l"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("label").eqNullSafe(F.col("_l"))
+    once = with_counts(d.join(a, same, "left_anti"), F.col("text"), stop_words).drop("text")
+    t = d.join(a, same, "left_semi").select("doc_id", "label", F.explode(tokens(F.col("text"), stop_words)).alias("term"))
+    t = t.groupBy("doc_id", "label", "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+    return stored(once.unionByName(t.select("doc_id", "label", F.array(F.struct("term", "tf")).alias("counts"))), "counts")
+
+
+def join_terms(rows: DataFrame, terms: DataFrame, common: float) -> DataFrame:
+    """``rows`` (of a term each) with the columns of ``terms``.  The common
+    terms, most of all rows, meet in a broadcast; only rows of other terms are
+    shuffled."""
+    if common == math.inf:
+        return rows.join(F.broadcast(terms), "term")
+    few = terms.where(F.col("idf") <= common)
+    rest = rows.join(F.broadcast(few.select("term")), "term", "left_anti")
+    return rows.join(F.broadcast(few), "term").unionByName(rest.join(terms.where(F.col("idf") > common), "term"))
+
+
+def common_idf(idf: DataFrame, most: int) -> float:
+    """The idf up to which there are at most ``most`` terms (infinite: all).
+    Document frequencies are counted by their number of bits."""
+    left, cut = most, math.inf
+    sizes = idf.groupBy(F.length(F.bin("df")).alias("bits")).agg(
+        F.count(F.lit(1)).alias("n"), F.max("idf").alias("idf")).orderBy(F.col("bits").desc()).collect()
+    for i, r in enumerate(sizes):
+        left -= r["n"]
+        if left < 0:
+            return sizes[i - 1]["idf"] if i else -math.inf
+    return cut
 
 
 def fit_event_classifier(train: DataFrame, stop_words: list[str] | None = None) -> EventModel:
-    """M1: TF-IDF naive Bayes from ``(doc_id, text, label)``.  The terms stay a
-    written table; only the classes (label, count, feature sum) reach the
-    driver.  ``stop_words``: Spark's English list if not given."""
+    """M1: TF-IDF naive Bayes from ``(doc_id, text, label)``.  Terms are counted
+    inside each text; documents' norms and the rare terms are shuffled.  The
+    terms stay a written table; only the classes (label, count, feature sum)
+    and the terms' number reach the driver.  ``stop_words``: Spark's English
+    list if not given."""
     stop = english_stop_words() if stop_words is None else stop_words
-    t = train.select("doc_id", "label", F.explode(tokens(F.col("text"), stop)).alias("term"))
-    tf = cut_lineage(t.groupBy("doc_id", "label", "term").agg(F.count(F.lit(1)).cast("double").alias("tf")))
+    counted = counted_documents(train, stop)
     labels = [(r[0], r[1]) for r in train.groupBy("label").agg(F.count(F.lit(1))).orderBy("label").collect()]
     n = sum(c for _, c in labels)
+    tf = counted.select("doc_id", F.inline("counts"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = cut_lineage(df.select("term", (F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1).alias("idf")))
-    w = tf.join(idf, "term").withColumn("x", F.col("tf") * F.col("idf"))
+    idf = stored(df.withColumn("idf", F.log(F.lit(1.0 + n) / (1 + F.col("df"))) + 1), "idf")
+    common = common_idf(idf, COMMON_NUMBERS // (len(labels) + 6))
+    w = join_terms(tf, idf.drop("df"), common).withColumn("x", F.col("tf") * F.col("idf"))
     norm = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_n"))
-    x = w.join(norm, "doc_id")
-    fc = x.groupBy("term", "label").agg(F.sum(F.col("x") / F.col("_n")).alias("fc"))
-    fc = cut_lineage(fc.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("label", "fc"))).alias("m")))
+    x = counted.join(norm, "doc_id").select("label", "_n", F.inline("counts"))
+    fc = x.groupBy("term", "label").agg(F.sum(F.col("tf") / F.col("_n")).alias("fc"))
+    fc = fc.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("label", "fc"))).alias("m"))
+    fc = stored(fc.join(idf, "term").select("term", "idf", F.transform_values(
+        "m", lambda _, v: v * F.col("idf")).alias("m")), "features")
     sums = {r[0]: r[1] for r in fc.select(F.explode("m").alias("label", "fc")).groupBy("label").agg(F.sum("fc")).collect()}
     n_terms = idf.count()
     lp = F.array(*[F.log((F.coalesce(F.try_element_at("m", F.lit(c)), F.lit(0.0)) + ALPHA)
                          / F.lit(sums.get(c, 0.0) + ALPHA * n_terms)) for c, _ in labels])
-    return EventModel(cut_lineage(fc.join(idf, "term").select("term", "idf", lp.alias("lp"))),
-                      [(c, math.log(k / n)) for c, k in labels])
+    return EventModel(stored(fc.select("term", "idf", lp.alias("lp")), "terms"),
+                      [(c, math.log(k / n)) for c, k in labels], common)
 
 
 def event_text(parsed: DataFrame) -> Column:
@@ -110,17 +193,17 @@ def classify_events(events: DataFrame, model: EventModel, id_col: str = "eventId
     """M2: eventId (default 'unknown'), category, confidence = max posterior
     rounded to 4 digits, sentiment; empty text -> neutral / 0.0.
 
-    A sparse product at any size of events and vocabulary: the events' terms
-    join the model's on the term, and one aggregate per event sums the squared
-    weights and, for each class, weight x log p(t|c); joint log-likelihood =
-    log prior + sum / norm, softmax, arg-max with ties to the first class.
-    Stop words are not in the vocabulary, so they drop out of the join.
+    A sparse product at any size of events and vocabulary: the events' terms,
+    counted in each event and written with it, join the model's on the term,
+    and one aggregate per event sums the squared weights and, for each class,
+    weight x log p(t|c); joint log-likelihood = log prior + sum / norm,
+    softmax, arg-max with ties to the first class.  Stop words are not in the
+    vocabulary, so they drop out of the join.
     """
     d = events.withColumn("_text", event_text(events)).withColumn("_row", F.monotonically_increasing_id())
-    t = d.select("_row", F.explode(tokens(F.col("_text"), [])).alias("term"))
-    tf = t.groupBy("_row", "term").agg(F.count(F.lit(1)).alias("tf"))
-    w = tf.join(model.terms, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    sums = w.groupBy("_row").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), *[
+    d = stored(with_counts(d, F.col("_text"), []), "events")
+    w = join_terms(d.select("_row", F.inline("counts")), model.terms, model.common).withColumn("w", F.col("tf") * F.col("idf"))
+    d, sums = d.drop("counts"), w.groupBy("_row").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_norm"), *[
         F.sum(F.col("w") * F.col("lp")[i]).alias(f"_s{i}") for i in range(len(model.classes))])
     d = d.join(sums, "_row", "left")
     jll = [F.lit(p) + F.coalesce(F.col(f"_s{i}") / F.col("_norm"), F.lit(0.0)) for i, (_, p) in enumerate(model.classes)]
