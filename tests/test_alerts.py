@@ -103,3 +103,31 @@ def test_second_pass_gets_only_rows_that_can_count(spark, monkeypatch):
     assert [(b - a) for a, b, _ in got] == [2000]
     [(n, cols)] = seen
     assert n <= 8 and not cols & {"severity", "threshold_name", "metric"}
+
+
+def test_many_keys_share_few_groups_and_keep_their_own_state(spark, tmp_path, monkeypatch):
+    from vigil.streaming import jobs as S
+    monkeypatch.setattr(S, "ALERT_GROUPS", 2)
+    schema = "sample_id long, ts timestamp, project string, container string, cpu_pct double, mem_pct double"
+    names = [f"c{i}" for i in range(9)] + [None]
+    want, src = [], tmp_path / "src"
+    for batch in range(2):
+        rows = []
+        for i, c in enumerate(names):
+            for at, v in [(0, 90.0), (7 + i, 10.0)] if batch == 0 else [(50 + i, 90.0), (100 + i, 90.0), (200, 5.0)]:
+                rows.append((len(rows), T0 + dt.timedelta(seconds=at), "p0", c, v, 1.0))
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src / f"b{batch}"))
+    base = int(T0.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+    for i, c in enumerate(names):
+        # the second breach is inside the cooldown of 60 s until its sample at 100 s
+        again = 50 + i if 50 + i >= 60 else 100 + i
+        want += [(c or "", "triggered", base), (c or "", "resolved", base + (7 + i) * 1000),
+                 (c or "", "triggered", base + again * 1000), (c or "", "resolved", base + 200000)]
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", "true").parquet(str(src))
+    q = (S.alert_state_stream(stream, A.default_thresholds(spark)).writeStream.format("parquet")
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out")))
+    q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).filter(F.col("threshold_id") == "cpu-high")
+    assert sorted((r.container or "", r.event, r.at_ms) for r in got.collect()) == sorted(want)
+    assert 0 < q.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2

@@ -9,6 +9,7 @@ given, so restarts resume exactly where they stopped.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -71,26 +72,30 @@ _ALERT_OUT = T.StructType([
     T.StructField("project", T.StringType()), T.StructField("threshold_id", T.StringType()),
     T.StructField("container", T.StringType()), T.StructField("event", T.StringType()),
     T.StructField("at_ms", T.LongType()), T.StructField("value", T.DoubleType())])
-_ALERT_STATE = T.StructType([
-    T.StructField("active", T.BooleanType()), T.StructField("last_trigger_ms", T.LongType())])
+# JSON: [project, threshold_id, container, active, last_trigger_ms]
+_ALERT_STATE = T.StructType([T.StructField("keys", T.StringType())])
+ALERT_GROUPS = 4096
 
 
 def _alert_fold(cooldown_ms: int):
     def fn(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, last = (state.get if state.exists else (False, None))
+        held = {(p, i, c): (active, last) for p, i, c, active, last in json.loads(state.get[0])} if state.exists else {}
         rows = pd.concat(list(batches)).sort_values(["_ms", "_tie"], kind="mergesort")
         out = []
-        for ms, b, v in zip(rows["_ms"].to_numpy(), rows["breached"].to_numpy(), rows["value"].to_numpy()):
+        for k, ms, b, v in zip(zip(rows["project"], rows["threshold_id"], rows["container"]),
+                               rows["_ms"].to_numpy(), rows["breached"].to_numpy(), rows["value"].to_numpy()):
+            active, last = held.get(k, (False, None))
             ms = int(ms)
             if b:
                 if not active and (last is None or ms - last >= cooldown_ms):
-                    active, last = True, ms
-                    out.append((key[0], key[1], key[2] or None, "triggered", ms, float(v)))
+                    held[k] = True, ms
+                    out.append((k[0], k[1], k[2] or None, "triggered", ms, float(v)))
             elif active:
-                active = False
-                out.append((key[0], key[1], key[2] or None, "resolved", ms, float(v)))
-        state.update((active, last))
-        yield pd.DataFrame(out, columns=[f.name for f in _ALERT_OUT.fields])
+                held[k] = False, last
+                out.append((k[0], k[1], k[2] or None, "resolved", ms, float(v)))
+        state.update((json.dumps([[*k, *x] for k, x in held.items()]),))
+        if out:
+            yield pd.DataFrame(out, columns=[f.name for f in _ALERT_OUT.fields])
     return fn
 
 
@@ -99,13 +104,16 @@ def alert_state_stream(samples: DataFrame, rules: DataFrame, cooldown_ms: int =
     """Trigger / resolve events per (project, threshold, container) with
     the 60 s cooldown, state kept per key across micro-batches
     (``applyInPandasWithState``); rows of a key inside one micro-batch are
-    folded in event-time order.  Matches the batch ``alert_history`` when
+    folded in event-time order.  A group costs far more than its rows, so keys
+    share a fixed number of groups by their hash, and a group's state holds
+    each of its keys' own.  Matches the batch ``alert_history`` when
     each key's samples arrive in time order."""
     ev = A.evaluate_thresholds(A.samples_long(samples, tie=tie), rules)
     ev = ev.select("project", "threshold_id", F.coalesce("container", F.lit("")).alias("container"),
                    F.unix_millis(F.col("ts").cast("timestamp")).alias("_ms"), F.col(tie).alias("_tie"),
                    "breached", "value")
-    return ev.groupBy("project", "threshold_id", "container").applyInPandasWithState(
+    group = F.pmod(F.xxhash64("project", "threshold_id", "container"), F.lit(ALERT_GROUPS))
+    return ev.withColumn("_group", group).groupBy("_group").applyInPandasWithState(
         _alert_fold(cooldown_ms), _ALERT_OUT, _ALERT_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
