@@ -373,6 +373,53 @@ def test_latent_space_is_of_all_windows_of_distinct_texts(spark):
     assert np.allclose(np.sort(np.diag(basis.T @ both @ basis))[::-1], top, rtol=1e-3)
 
 
+def test_texts_are_read_once_and_searched_as_numbers(spark, tmp_path):
+    rng = random.Random(20)
+
+    def words(n):
+        return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    items = [words(20), words(40), words(3)]
+    bench = spark.createDataFrame([(i, t, items[0].split()[2] + " unheard" if i == 2 else None)
+                                   for i, t in enumerate(items)], "item_id long, text string, answer string")
+    texts = [f"{words(90)} {items[0]}", f"{items[1]} {words(9)}", f"{words(30)}, {items[2]}!", None, words(50)]
+    big = 1 << 60
+    rows = [(big + i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (big, texts[0])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    found = decontam.find_leaks(df, bench)
+    assert not any(str(tmp_path) in f for f in found.inputFiles())
+    assert Counter((r["doc_id"], r["item_id"]) for r in found.collect()) == Counter(
+        [(big, 0), (big, 0), (None, 0), (big + 1, 1), (big + 2, 2)])
+    # words of an answer that no item holds are numbers, too
+    assert {r["item_id"] for r in decontam.find_leaks(df, bench, answer="answer").collect()} == {0, 1}
+
+
+def test_frequent_and_rare_terms_give_the_same_sums():
+    rng = np.random.default_rng(21)
+    terms, window = 300, 64
+    weight = 1 / np.arange(1, terms + 2) ** 1.2
+    texts = [rng.choice(terms + 1, n, p=weight / weight.sum()) for n in (5000, 1, 64, 200, 40000, 900)]
+    idf, q = rng.random(terms) + 0.5, rng.standard_normal((terms, 8)).astype(np.float32)
+    rows = [np.bincount(t[i:i + window], minlength=terms + 1)[:terms] * idf
+            for t in texts for i in range(0, len(t), window)]
+    x = np.array([r / np.linalg.norm(r) for r in rows if r.any()])
+    raw = [t.astype("<u4").tobytes() for t in texts]
+    for chunk in (1 << 12, 1 << 15):
+        z, n = decontam._multiplied(iter(raw), q, idf, chunk=chunk)
+        assert n == len(x) and np.allclose(z, x.T @ (x @ q), rtol=1e-4, atol=1e-3)
+    row, term = np.repeat(np.arange(400), 3), np.r_[np.zeros(1180, int), np.arange(1, 21)]
+    often, counts, rest = decontam._often(row, term, 400, terms)
+    assert often.tolist() == [0] and counts[:, 0].sum() == 1180 and rest.sum() == 20
+    # many texts at once, and each by itself
+    vocabulary = {b"w%d" % i: i for i in range(terms)}
+    items = [decontam.Item(i, [b"w%d" % w for w in t[:20 * i + 10]], []) for i, t in enumerate(texts[-1:] * 3)]
+    index = decontam.Index(items, [], vocabulary, idf, q, 0.3, 0.6, 0.5)
+    words = [" ".join(f"w{w}" for w in t) for t in texts] + [None, "", "other"]
+    together, alone = index.find_all(words), [index.find(t) for t in words]
+    assert any(alone) and [[(f["item_id"], f["lcs_share"]) for f in x] for x in together] == [
+        [(f["item_id"], f["lcs_share"]) for f in x] for x in alone]
+
+
 # ------------------------------------------------------------------ secrets
 
 def test_secrets_found_and_redacted(spark):

@@ -10,13 +10,14 @@ cut ones too, are found, and shared topics alone are not.
 
 Benchmark items come in blocks of bounded size, each a pass over the
 documents, so what tasks and driver hold does not grow with the benchmark.
-Document frequencies, small matrices and, once a block, the numbers of the
-benchmark's words in each text are shuffled; no text moves.
+Once a block the numbers of the benchmark's words in each text are written:
+document frequencies, SVD and search read these.  They, document frequencies
+and small matrices are shuffled; no text moves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -50,9 +51,9 @@ def read_items(rows: list) -> list[Item]:
     return [x for x in items if x.words]
 
 
-def lcs_length(item: list[bytes], other: list[bytes]) -> int:
+def lcs_length(item: list, other: list) -> int:
     """Longest common subsequence, bit-parallel over the item's words."""
-    masks: dict[bytes, int] = {}
+    masks: dict = {}
     for i, w in enumerate(item):
         masks[w] = masks.get(w, 0) | 1 << i
     full = (1 << len(item)) - 1
@@ -65,25 +66,68 @@ def lcs_length(item: list[bytes], other: list[bytes]) -> int:
     return len(item) - v.bit_count()
 
 
-def document_frequencies(docs: DataFrame, text: str, vocabulary: dict[bytes, int]) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those that hold each word."""
+def codes_of(words: list[bytes], vocabulary: dict[bytes, int]) -> np.ndarray:
+    """The number of each word; len(vocabulary) for other words."""
+    return np.fromiter(map(vocabulary.get, words, repeat(len(vocabulary))), np.int64, len(words))
+
+
+def encode_texts(docs: DataFrame, text: str, vocabulary: dict[bytes, int], key: str | None = None) -> DataFrame:
+    """Of each row: key, a hash h of the text and the numbers of its words,
+    32 bits each (null if it holds none of the vocabulary), written once."""
+    @F.pandas_udf("binary")
+    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in parts:
+            codes = (codes_of(words_of(t), vocabulary) for t in s)
+            yield pd.Series([c.astype("<u4").tobytes() if len(c) and c.min() < len(vocabulary) else None
+                             for c in codes], dtype=object)
+    body = F.col(text).cast("string")
+    return to_scratch(docs.select((F.col(key) if key else F.lit(None).cast("int")).alias("key"),
+                                  F.xxhash64(body).alias("h"), encode(body).alias("ids")), "passages")
+
+
+def document_frequencies(texts: DataFrame, terms: int) -> np.ndarray:
+    """Number of documents that hold each term, from the distinct texts (ids,
+    and the number n of documents)."""
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n, held = 0, np.zeros(len(vocabulary), np.int64)
+        held = np.zeros(terms, np.int64)
         for p in parts:
-            for t in p["text"]:
-                n += 1
-                held[[vocabulary[w] for w in vocabulary.keys() & set(words_of(t))]] += 1
+            for raw, n in zip(p["ids"], p["n"]):
+                ids = np.unique(np.frombuffer(raw, "<u4"))
+                held[ids[:np.searchsorted(ids, terms)]] += n
         at = np.flatnonzero(held)
-        yield pd.DataFrame({"term": np.r_[-1, at], "n": np.r_[n, held[at]]})
-    rows = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(count, "term long, n long")
+        yield pd.DataFrame({"term": at, "n": held[at]})
+    rows = texts.select("ids", "n").mapInPandas(count, "term long, n long")
     got = dict(tuple(r) for r in rows.groupBy("term").agg(F.sum("n")).collect())
-    return got.get(-1, 0), np.array([got.get(i, 0) for i in range(len(vocabulary))], np.int64)
+    return np.array([got.get(i, 0) for i in range(terms)], np.int64)
+
+
+def _often(row: np.ndarray, term: np.ndarray, n: int, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a sparse matrix of n rows: the terms that are worth a dense column,
+    the counts there (n x these), and which of the places are left."""
+    often = np.flatnonzero(np.bincount(term, minlength=terms) * 64 >= n)
+    column = np.full(terms, -1)
+    column[often] = np.arange(len(often))
+    at = column[term]
+    counts = np.bincount((row * len(often) + at)[at >= 0], minlength=n * len(often))
+    return often, counts.reshape(n, len(often)).astype(np.float32), at < 0
+
+
+def _add_rows(out: np.ndarray, at: np.ndarray, values: np.ndarray) -> None:
+    """Adds each row of ``values`` to the row of ``out`` that ``at``, in
+    ascending order, names: first the first of each, then the second."""
+    first = np.flatnonzero(np.r_[True, np.diff(at) > 0])
+    left = np.diff(np.r_[first, len(at)])
+    while len(first):
+        out[at[first]] += values[first]
+        more = left > 1
+        first, left = first[more] + 1, left[more] - 1
 
 
 def _multiplied(texts: Iterator[bytes], q: np.ndarray, idf: np.ndarray, window: int = 64,
                 chunk: int = 1 << 15) -> tuple[np.ndarray, int]:
     """X'Xq and the number of rows of X, the unit TF-IDF vectors of all windows
-    of the texts (the term of each word, 32 bits; len(idf) for other words)."""
+    of the texts (the term of each word, 32 bits; len(idf) or more for others).
+    The terms that are frequent in a chunk are multiplied as a dense matrix."""
     terms, z, rows = len(idf), np.zeros(q.shape), 0
     held: list[np.ndarray] = []
 
@@ -92,18 +136,25 @@ def _multiplied(texts: Iterator[bytes], q: np.ndarray, idf: np.ndarray, window:
         ids = np.concatenate(held).astype(np.int64)
         held.clear()
         at = np.flatnonzero(ids < terms)
-        pairs, n = np.unique(at // window * terms + ids[at], return_counts=True)
-        if not len(pairs):
+        if not len(at):
             return
-        term, first = pairs % terms, np.r_[True, np.diff(pairs // terms) > 0]
-        row, starts = np.cumsum(first) - 1, np.flatnonzero(first)
-        rows += len(starts)
+        size, row, term = len(ids) // window, at // window, ids[at]
+        often, x, rest = _often(row, term, size, terms)
+        pairs, n = np.unique(row[rest] * terms + term[rest], return_counts=True)
+        row, term = pairs // terms, pairs % terms
+        x *= idf[often].astype(np.float32)
         v = n * idf[term]
-        v = (v / np.sqrt(np.add.reduceat(v * v, starts))[row]).astype(np.float32)[:, None]
-        there = np.add.reduceat(q[term] * v, starts)
-        order = np.argsort(term, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(term[order]) > 0])
-        z[term[order][cuts]] += np.add.reduceat(there[row[order]] * v[order], cuts)
+        squares = np.einsum("ij,ij->i", x, x) + np.bincount(row, v * v, size)
+        rows += np.count_nonzero(squares)
+        scale = 1 / np.sqrt(np.where(squares > 0, squares, 1))
+        x *= scale[:, None].astype(np.float32)
+        v = (v * scale[row]).astype(np.float32)[:, None]
+        there = x @ q[often]
+        if len(pairs):
+            _add_rows(there, row, q[term] * v)
+            order = np.argsort(term, kind="stable")
+            _add_rows(z, term[order], there[row[order]] * v[order])
+        z[often] += x.T @ there
     room = chunk
     for raw in texts:
         ids = np.frombuffer(raw, "<u4")
@@ -161,13 +212,18 @@ def randomised_svd(items: list[bytes], texts: DataFrame, idf: np.ndarray, rank:
 
 class Index:
     """Latent vectors of the items of a block, and all that checking needs.
-    ``short`` items have no vector: their words are looked for as they are."""
+    Words are numbers: first those of the items, which are the terms, then
+    those of ``short`` items and of answers.  Short items have no vector: their
+    words are looked for as they are."""
 
     def __init__(self, items: list[Item], short: list[Item], vocabulary: dict[bytes, int], idf: np.ndarray,
                  basis: np.ndarray, min_cosine: float, min_lcs: float, min_answer: float):
-        self.items, self.vocabulary = items + short, vocabulary
-        self.short: dict[bytes, list[int]] = {}
-        for n, x in enumerate(short, len(items)):
+        def numbers(words: list[bytes]) -> list[int]:
+            return [vocabulary[w] for w in words]
+        self.items = [Item(x.item_id, numbers(x.words), numbers(x.answer)) for x in items + short]
+        self.vocabulary = vocabulary
+        self.short: dict[int, list[int]] = {}
+        for n, x in enumerate(self.items[len(items):], len(items)):
             self.short.setdefault(x.words[0], []).append(n)
         self.terms = basis * idf[:, None].astype(np.float32)
         self.limits = (min_cosine, min_lcs, min_answer)
@@ -175,40 +231,69 @@ class Index:
         if not items:
             return
         sizes = [max(16, 1 << (len(x.words) - 1).bit_length()) for x in items]
-        vectors = np.stack([self.terms[[vocabulary[w] for w in x.words]].sum(0) for x in items])
+        vectors = np.stack([self.terms[x.words].sum(0) for x in self.items[:len(items)]])
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         self.classes = {s: np.array([i for i, x in enumerate(sizes) if x == s]) for s in set(sizes)}
         self.vectors = {s: vectors[at] for s, at in self.classes.items()}
         self.longest = max(self.classes)
 
     def find(self, text: str | None) -> list[dict]:
-        """The items found in a text: windows twice as long as the items'
-        length class and half overlapping, so that a copy lies whole in one.
-        A candidate is read word by word only if enough of the item's words
-        are there at all, which the subsequence cannot exceed."""
-        words = words_of(text)
-        if not words:
-            return []
+        """The items found in a text."""
+        return self.find_all([text])[0]
+
+    def find_all(self, texts: Iterable[str | None]) -> list[list[dict]]:
+        """The items found in each text."""
+        return self.find_encoded(codes_of(words_of(t), self.vocabulary) for t in texts)
+
+    def find_encoded(self, texts: Iterable[np.ndarray], chunk: int = 1 << 15) -> list[list[dict]]:
+        """The items found in each text, given the numbers of its words; as many
+        texts as make up a chunk of words are compared at once."""
+        out: list[dict[int, dict]] = []
+        held: list[tuple[np.ndarray, dict[int, dict]]] = []
+        room = chunk
+        for words in texts:
+            out.append(self._find_short(words))
+            if len(words) and self.classes:
+                held.append((words, out[-1]))
+                room -= len(words)
+            if room <= 0:
+                self._find_near(held)
+                held, room = [], chunk
+        if held:
+            self._find_near(held)
+        return [[best[n] for n in sorted(best)] for best in out]
+
+    def _find_near(self, texts: list[tuple[np.ndarray, dict[int, dict]]]) -> None:
+        """Adds to each text's finds the items near its windows, which are
+        twice as long as the items' length class and half overlapping, so that
+        a copy lies whole in one.  A candidate is read word by word only if
+        enough of the item's words are there at all, which the subsequence
+        cannot exceed."""
         min_cosine, min_lcs, min_answer = self.limits
-        best = self._find_short(words)
-        if not self.classes:
-            return [best[n] for n in sorted(best)]
-        other = len(self.vocabulary)
-        ids = np.fromiter(map(self.vocabulary.get, words, repeat(other)), np.int64, len(words))
+        # empty blocks fill each text up and part it from the next, for every class
+        lengths = np.array([len(words) for words, _ in texts])
+        room = (-(-lengths // self.longest) + 1) * self.longest
+        first = np.cumsum(room) - room
+        ids = np.full(int(room.sum()), len(self.vocabulary))
+        for (words, _), at in zip(texts, first.tolist()):
+            ids[at:at + len(words)] = words
         size, blocks = 16, self._block_sums(ids)
         while size <= self.longest:
             if size in self.classes:
-                edge = np.zeros_like(blocks[:1])
-                sums = np.vstack([blocks, edge]) + np.vstack([edge, blocks])
-                norms = np.linalg.norm(sums, axis=1, keepdims=True)
-                cosine = (sums @ self.vectors[size].T) / np.maximum(norms, 1e-12)
-                rows, cols = np.nonzero(cosine >= min_cosine)
+                sums = blocks.copy()
+                sums[1:] += blocks[:-1]
+                norms = np.maximum(np.sqrt(np.einsum("ij,ij->i", sums, sums)), 1e-12)
+                near_by = sums @ self.vectors[size].T
+                rows, cols = np.nonzero(near_by >= np.float32(min_cosine) * norms[:, None])
+                cosines = (near_by[rows, cols] / norms[rows]).tolist()
+                of = np.searchsorted(first // size, rows, "right") - 1
                 at = -1
-                for row, col in zip(rows.tolist(), cols.tolist()):
+                for row, col, k, cosine in zip(rows.tolist(), cols.tolist(), of.tolist(), cosines):
+                    words, best = texts[k]
                     if row != at:
                         at = row
-                        start = max(0, (row - 1) * size - size // 2)
-                        near = words[start:(row + 1) * size + size // 2]
+                        r = row - int(first[k]) // size
+                        near = words[max(0, (r - 1) * size - size // 2):(r + 1) * size + size // 2].tolist()
                         held = set(near).__contains__
                     n = int(self.classes[size][col])
                     item = self.items[n]
@@ -219,19 +304,17 @@ class Index:
                         continue
                     answer = lcs_length(item.answer, near) / len(item.answer) if item.answer else None
                     if answer is None or answer >= min_answer:
-                        best[n] = {"item_id": item.item_id, "cosine": float(cosine[row, col]),
+                        best[n] = {"item_id": item.item_id, "cosine": cosine,
                                    "lcs_share": share, "answer_share": answer}
-            if len(blocks) % 2:
-                blocks = np.vstack([blocks, np.zeros_like(blocks[:1])])
-            blocks = blocks[::2] + blocks[1::2]
+            blocks = blocks[::2] + blocks[1::2] if size < self.longest else blocks
             size *= 2
-        return [best[n] for n in sorted(best)]
 
-    def _find_short(self, words: list[bytes]) -> dict[int, dict]:
+    def _find_short(self, ids: np.ndarray) -> dict[int, dict]:
         """Short items whose words stand in the text in a row."""
         best: dict[int, dict] = {}
         if not self.short:
             return best
+        words = ids.tolist()
         for at in [i for i, w in enumerate(words) if w in self.short]:
             for n in self.short[words[at]]:
                 item = self.items[n]
@@ -243,55 +326,59 @@ class Index:
                     best[n] = {"item_id": item.item_id, "cosine": 1.0, "lcs_share": 1.0, "answer_share": answer}
         return best
 
-    def _block_sums(self, ids: np.ndarray, size: int = 16, chunk: int = 1 << 14) -> np.ndarray:
+    def _block_sums(self, ids: np.ndarray, size: int = 16, chunk: int = 1 << 15) -> np.ndarray:
         """Latent sums of the words of each block of 16; words that no item
         holds add nothing and are skipped."""
         parts = []
-        for at in range(0, len(ids), chunk):  # a multiple of the block
-            part = ids[at:at + chunk]
-            places = np.flatnonzero(part < len(self.vocabulary))
-            n = -(-len(part) // size)
-            out = np.zeros((n, self.terms.shape[1]), np.float32)
-            if len(places):
-                first = np.searchsorted(places, np.arange(n) * size)
-                full = np.flatnonzero(np.diff(np.r_[first, len(places)]))
-                out[full] = np.add.reduceat(self.terms[part[places]], first[full], axis=0)
+        for start in range(0, len(ids), chunk):  # a multiple of the block
+            part = ids[start:start + chunk]
+            at = np.flatnonzero(part < len(self.terms))
+            n = len(part) // size
+            row, term = at // size, part[at]
+            often, counts, rest = _often(row, term, n, len(self.terms))
+            out = counts @ self.terms[often]
+            if rest.any():
+                _add_rows(out, row[rest], self.terms[term[rest]])
             parts.append(out)
         return np.concatenate(parts)
 
 
 def build_index(docs: DataFrame, rows: list, text: str, rank: int, min_words: int,
-                limits: tuple[float, float, float]) -> Index | None:
-    """The index of a block of (item_id, text, answer)."""
+                limits: tuple[float, float, float], key: str | None = None) -> tuple[Index, DataFrame] | None:
+    """The index of a block of (item_id, text, answer), and the encoded texts."""
     every = read_items(rows)
+    if not every:
+        return None
     items, short = [[x for x in every if (len(x.words) < min_words) == is_short] for is_short in (False, True)]
+    first = {w for x in items for w in x.words}
+    more = {w for x in every for w in x.words + x.answer} - first
+    vocabulary = {w: i for i, w in enumerate([*sorted(first), *sorted(more)])}
+    encoded = encode_texts(docs, text, vocabulary, key)
     if not items:
-        return Index([], short, {}, np.zeros(0), np.zeros((0, 1), np.float32), *limits) if short else None
-    vocabulary = {w: i for i, w in enumerate(sorted({w for x in items for w in x.words}))}
-    n, held = document_frequencies(docs, text, vocabulary)
-    idf = np.log((n + 1) / (held + 1)) + 0.1
-
-    def encode(words: list[bytes]) -> bytes:
-        return np.fromiter(map(vocabulary.get, words, repeat(len(vocabulary))), "<u4", len(words)).tobytes()
-
-    def encoded(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            rows = [(h, words_of(t)) for h, t in zip(p["h"], p["text"])]
-            yield pd.DataFrame([(h, encode(w)) for h, w in rows if not vocabulary.keys().isdisjoint(w)],
-                               columns=["h", "ids"])
-    # equal texts are one: term numbers are shuffled for it, no text
-    whole = docs.select(F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("text")).mapInPandas(
-        encoded, "h long, ids binary").groupBy("h").agg(F.first("ids").alias("ids")).select("ids")
-    basis = randomised_svd([encode(x.words) for x in items], to_scratch(whole, "passages"), idf, rank)
-    return Index(items, short, vocabulary, idf, basis, *limits)
+        return Index([], short, vocabulary, np.zeros(0), np.zeros((0, 1), np.float32), *limits), encoded
+    # equal texts are one: numbers of words are shuffled for it, no text
+    texts = to_scratch(encoded.where("ids is not null").groupBy("h").agg(
+        F.first("ids").alias("ids"), F.count("*").alias("n")), "distinct")
+    idf = np.log((encoded.count() + 1) / (document_frequencies(texts, len(first)) + 1)) + 0.1
+    own = [codes_of(x.words, vocabulary).astype("<u4").tobytes() for x in items]
+    return Index(items, short, vocabulary, idf, randomised_svd(own, texts.select("ids"), idf, rank), *limits), encoded
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id",
             item_text: str = "text", answer: str | None = None, block: int = 512, rank: int = 128,
             min_words: int = 6, min_cosine: float = 0.38,
             min_lcs: float = 0.6, min_answer: float = 0.5) -> Iterator[Index]:
-    """An index for each block of benchmark items, in order of id and text,
-    those without an id first.  Equal texts are one item (the smallest id);
+    """An index for each block of benchmark items: see ``encoded_blocks``."""
+    return (index for index, _ in encoded_blocks(
+        docs, benchmark, None, text, item, item_text, answer, block, rank, min_words, min_cosine, min_lcs, min_answer))
+
+
+def encoded_blocks(docs: DataFrame, benchmark: DataFrame, key: str | None = None, text: str = "text",
+                   item: str = "item_id", item_text: str = "text", answer: str | None = None, block: int = 512,
+                   rank: int = 128, min_words: int = 6, min_cosine: float = 0.38,
+                   min_lcs: float = 0.6, min_answer: float = 0.5) -> Iterator[tuple[Index, DataFrame]]:
+    """For each block of benchmark items, in order of id and text, those
+    without an id first, an index and the texts in its words' numbers.  Equal texts are one item (the smallest id);
     null texts and texts without a word are none.  Items under ``min_words``
     words are found only word by word, nothing changed."""
     rows = to_scratch(benchmark.where(F.col(item_text).isNotNull()).groupBy(
@@ -308,20 +395,22 @@ def indexes(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
         if not got:
             return
         made = build_index(docs, [tuple(r) for r in got], text, rank, min_words,
-                           (min_cosine, min_lcs, min_answer))
+                           (min_cosine, min_lcs, min_answer), key)
         if made:
             yield made
         last = got[-1]
 
 
-def matches_column(text: str, index: Index) -> Column:
-    """array<struct(item_id, cosine, lcs_share, answer_share)> of a text column."""
+def matches_column(column: Column, index: Index, encoded: bool = False) -> Column:
+    """array<struct(item_id, cosine, lcs_share, answer_share)> of a column of
+    texts, or of the numbers of their words."""
     @F.pandas_udf("array<struct<item_id:long,cosine:double,lcs_share:double,answer_share:double>>")
     def find(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in parts:
-            yield pd.Series([index.find(t) for t in s], dtype=object)
+            yield pd.Series(index.find_encoded(np.frombuffer(x, "<u4") for x in s) if encoded
+                            else index.find_all(s), dtype=object)
     # else Spark repeats the function in a filter that it infers from an explode
-    return find.asNondeterministic()(F.col(text).cast("string"))
+    return find.asNondeterministic()(column)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text",
@@ -335,9 +424,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     """
     out = docs.sparkSession.createDataFrame(
         [], f"{key} {dict(docs.dtypes)[key]}, item_id long, cosine double, lcs_share double, answer_share double")
-    for index in indexes(docs, benchmark, text, **options):
-        found = docs.select(key, F.explode(matches_column(text, index)).alias("m")).select(key, "m.*")
-        out = out.unionByName(found)
+    for index, encoded in encoded_blocks(docs, benchmark, key, text, **options):
+        found = encoded.where("ids is not null").select(
+            F.col("key").alias(key), F.explode(matches_column(F.col("ids"), index, True)).alias("m"))
+        out = out.unionByName(found.select(key, "m.*"))
     return out
 
 
@@ -345,5 +435,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", **opti
     """``docs`` without the rows that hold a benchmark item; all columns stay."""
     out, m = docs, free_name(docs, "_found")
     for index in indexes(docs, benchmark, text, **options):
-        out = out.withColumn(m, matches_column(text, index)).where(F.size(m) == 0).drop(m)
+        out = out.withColumn(m, matches_column(F.col(text).cast("string"), index)).where(F.size(m) == 0).drop(m)
     return out
