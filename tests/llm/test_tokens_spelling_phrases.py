@@ -50,6 +50,20 @@ def test_word_ids_equal_the_tokenizer(cache):
     assert ours.size <= cache + 200_000
 
 
+def test_each_part_of_a_batch_is_looked_up_once(monkeypatch):
+    asked: list[list[bytes]] = []
+    look_up = tokens.WordIds._look_up
+    monkeypatch.setattr(tokens.WordIds, "_look_up", lambda self, parts: asked.append(parts) or look_up(self, parts))
+    ours = tokens.WordIds(word_tokenizer())
+    texts = [" the cat, the\thound. ", None, "cat the the", "", "Été été the"]
+    alone = [ours.encode([t])[0] for t in texts]
+    asked.clear()
+    assert ours.encode(texts) == alone and alone[1] == alone[3] == b""
+    parts, = asked
+    assert len(parts) == len(set(parts)) and {b"the", b"cat", b"hound"} <= set(parts)
+    assert ours.encode([]) == []
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for trial in range(120):

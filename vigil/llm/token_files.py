@@ -83,10 +83,10 @@ def encode_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             hi = min(b, lo + BLOCK)
             at = np.arange(max(a, lo), hi - _LEAST_RUN + 1)
             best[at], step[at] = RUN, hi - at
-    starts, i, steps = [], 0, step.tolist()
+    starts, i, after = [], 0, (np.arange(n) + step).tolist()
     while i < n:
         starts.append(i)
-        i += steps[i]
+        i = after[i]
     at = np.array(starts)
     kind = best[at]
     words = kind.astype(np.uint64) << np.uint64(60)

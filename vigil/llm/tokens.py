@@ -2,8 +2,9 @@
 
 The tokenizer lower-cases, drops white space and encodes each run of letters,
 each digit and each run of other signs by itself.  A text can therefore be cut
-at white space and between a letter and a sign; known parts come from a cache that a Python worker keeps between its tasks, and the unknown parts of a whole
-batch of texts are encoded together.
+at white space and between a letter and a sign.  The different parts of a batch
+of texts are found first and each is looked up once, in a cache that a Python
+worker keeps between its tasks; the unknown ones are encoded together.
 """
 
 from __future__ import annotations
@@ -11,8 +12,13 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterable
 from itertools import islice
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: bytes that the cache of one worker may hold
 CACHE_BYTES = 64_000_000
 #: places that mark which parts were met before; a part is cached when it comes again
@@ -32,15 +38,14 @@ _BYTE_SIGNS = {b: 256 + i for i, b in enumerate(
     x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or x >= 174))}
 
 
-class _Cache(dict):
-    """Keys that are not there are noted and have no value yet."""
-
-    def __init__(self, items=()):
-        super().__init__(items)
-        self.missed: list[bytes] = []
-
-    def __missing__(self, key: bytes) -> None:
-        self.missed.append(key)
+def _values(column: pa.LargeStringArray) -> list[bytes]:
+    """The bytes of each string of a column without nulls."""
+    if not len(column):
+        return []
+    _, ends, data = column.buffers()
+    raw = data.to_pybytes() if data else b""
+    at = np.frombuffer(ends, np.int64)[column.offset:column.offset + len(column) + 1].tolist()
+    return [raw[a:b] for a, b in zip(at, at[1:])]
 
 
 class WordIds:
@@ -56,24 +61,33 @@ class WordIds:
         if hasattr(self.model, "_resize_cache"):
             self.model._resize_cache(0)          # words come here once
         self.limit = cache_bytes
-        self.new, self.size = _Cache(), 0
+        self.new: dict[bytes, bytes] = {}
+        self.size = 0
         self.met, self.marks = bytearray(MET), 0
 
     @staticmethod
-    def parts(text: str) -> list[bytes]:
-        """The text in parts whose ids are those of the text when put in a row."""
+    def spaced(text: str) -> bytes:
+        """The text with spaces around parts whose ids are those of the text
+        when put in a row."""
         raw = text.encode("utf-8", "replace").lower().translate(_SPACES)
         if raw.translate(None, _SIMPLE) or raw[:1] in (b".", b",") or _BEFORE.search(raw):
             raw = _WORD_SIGN.sub(rb"\1 \2", raw)
         else:
             raw = raw.replace(b". ", b" . ").replace(b", ", b" , ")
-        return raw.split()
+        return raw
 
-    def _fresh(self, missed: set[bytes]) -> dict[bytes, bytes]:
+    @staticmethod
+    def parts(text: str) -> list[bytes]:
+        """These parts."""
+        return WordIds.spaced(text).split()
+
+    def _fresh(self, missed: list[bytes]) -> dict[bytes, bytes]:
         out, other, tokenize = {}, [], self.model.tokenize
         for p in missed:
-            if _WORD.fullmatch(s := p.decode("utf-8")):
-                signs = s if s.isascii() else p.decode("latin-1").translate(_BYTE_SIGNS)
+            if p.isalpha():   # of ASCII letters
+                out[p] = array("I", [t.id for t in tokenize(p.decode("ascii"))]).tobytes()
+            elif _WORD.fullmatch(s := p.decode("utf-8")):
+                signs = p.decode("latin-1").translate(_BYTE_SIGNS)
                 out[p] = array("I", [t.id for t in tokenize(signs)]).tobytes()
             else:
                 other.append((p, s))
@@ -83,42 +97,55 @@ class WordIds:
                 out[p] = array("I", e.ids).tobytes()
         return out
 
-    def _met(self, part: bytes) -> bool:
-        """Was the part met in an earlier batch?  (Rarely true by chance.)"""
-        at = hash(part) % len(self.met)
-        if self.met[at]:
-            return True
-        self.met[at] = 1
-        self.marks += 1
-        if self.marks > len(self.met) // 4:
-            self.met, self.marks = bytearray(len(self.met)), 0
-        return False
+    def _met(self, parts: Iterable[bytes]) -> list[bytes]:
+        """The parts that were met in an earlier batch.  (By chance rarely others.)"""
+        met, n = self.met, len(self.met)
+        out = []
+        for p in parts:
+            at = hash(p) % n
+            if met[at]:
+                out.append(p)
+            else:
+                met[at] = 1
+                self.marks += 1
+        if self.marks > n // 4:
+            self.met, self.marks = bytearray(n), 0
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.parts(t) if t else [] for t in texts]
+        spaced = [self.spaced(t) if t else b"" for t in texts]
+        ends = np.cumsum([0, *map(len, spaced)])
+        column = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(b"".join(spaced)))
+        cut = pc.ascii_split_whitespace(column)
+        parts = cut.flatten().dictionary_encode()
+        # an empty part before leading and after trailing space has no ids
+        ids = self._look_up(_values(parts.dictionary))
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = parts.indices.to_numpy()
+        n = lengths[at]
+        last = np.cumsum(n)
+        # an id's place among those of the different parts
+        places = np.repeat((np.cumsum(lengths) - lengths)[at] - last + n, n)
+        places += np.arange(len(places))
+        flat = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
+        borders = 4 * np.r_[0, last][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return [flat[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist())]
+
+    def _look_up(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of different parts."""
         new = self.new
-        out: list = []
-        open_: list[int] = []
-        for i, parts in enumerate(cut):
-            before = len(new.missed)
-            got = list(map(new.__getitem__, parts))
-            if len(new.missed) > before:
-                open_.append(i)
-                out.append(got)
-            else:
-                out.append(b"".join(got))
-        if open_:
-            fresh = self._fresh(set(new.missed))
-            new.missed.clear()
-            for i in open_:
-                out[i] = b"".join([fresh[p] if g is None else g for p, g in zip(cut[i], out[i])])
-            again = {p: x for p, x in fresh.items() if self._met(p)}
+        ids = list(map(new.get, parts))
+        missed = [p for p, x in zip(parts, ids) if x is None]
+        if missed:
+            fresh = self._fresh(missed)
+            ids = [fresh[p] if x is None else x for p, x in zip(parts, ids)]
+            again = {p: fresh[p] for p in self._met(missed)}
             new.update(again)
             self.size += sum(map(len, again)) + sum(map(len, again.values())) + _ENTRY * len(again)
             if self.size > self.limit:   # the later half goes: frequent parts come early
-                self.new = _Cache(islice(new.items(), len(new) // 2))
+                self.new = dict(islice(new.items(), len(new) // 2))
                 self.size //= 2
-        return out
+        return ids
 
 
 _LOADED: dict[str, WordIds] = {}
