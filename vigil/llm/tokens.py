@@ -116,8 +116,9 @@ class WordIds:
         spaced = [self.spaced(t) if t else b"" for t in texts]
         ends = np.cumsum([0, *map(len, spaced)])
         column = pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(ends), pa.py_buffer(b"".join(spaced)))
-        cut = pc.ascii_split_whitespace(column)
-        parts = cut.flatten().dictionary_encode()
+        pool = pa.system_memory_pool()   # gives back what a batch took
+        cut = pc.ascii_split_whitespace(column, memory_pool=pool)
+        parts = pc.dictionary_encode(cut.flatten(), memory_pool=pool)
         # an empty part before leading and after trailing space has no ids
         ids = self._look_up(_values(parts.dictionary))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
