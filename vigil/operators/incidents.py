@@ -253,7 +253,7 @@ def similar_incidents(incidents: DataFrame, k: int = SIMILAR_LIMIT, id_col: str
     """
     tags = F.col("tags") if "tags" in incidents.columns else F.array(F.col("tag"))
     ws = word_set(F.col("title"), F.col("description"), F.array_join(tags, " "))
-    sets = incidents.select(F.col(id_col).alias("id"), F.array_sort(ws).alias("ws")).filter(F.size("ws") > 0)
+    sets = incidents.select(F.col(id_col).alias("id"), F.sort_array(ws).alias("ws")).filter(F.size("ws") > 0)
     member, classes = classes_of(sets, "ws", "json")
     near = spread_over_members(top_jaccard(classes, k + 1, threshold), member, k, 1.0)
     return near.select(F.col("id").alias(id_col), F.col("other").alias("similar_id"),
